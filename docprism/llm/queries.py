@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from docprism.llm import decontaminate, lines, packing, quality, toxicity
+from docprism.llm import chat, decontaminate, jaccard, licences, lines, packing, quality, toxicity, urls
 from docprism.llm.store import table
 
 
+def op1_ngram_jaccard_join(spark, sf_dir):
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -14,6 +18,11 @@ def op3_benchmark_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_url_filters(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return urls.evaluate(urls.with_days(pages), urls.dated_entries(pages))
+
+
 def op5_line_dedup(spark, sf_dir):
     return lines.report(table(spark, sf_dir, "documents"))
 
@@ -27,6 +36,31 @@ def op8_quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_benchmark_decontamination, op5_line_dedup, op7_toxicity, op8_quality_rules)}
+def op9_licence_scans(spark, sf_dir):
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_chat_formatting(spark, sf_dir):
+    r"""All conversations (row layout) and one of two turns that say control strings (message layout)."""
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.sql("select -7L as conv_id, array(named_struct('role', 'user', 'content', :said), named_struct('role', 'assistant', 'content', :said)) as messages", args={"said": said})
+    turns = chat.canonical_turns(table(spark, sf_dir, "conversations")).unionByName(chat.canonical_turns(extra))
+    return chat.digest(chat.format_turns(turns))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op2_best_fit_packing,
+        op3_benchmark_decontamination,
+        op4_url_filters,
+        op5_line_dedup,
+        op7_toxicity,
+        op8_quality_rules,
+        op9_licence_scans,
+        op10_chat_formatting,
+    )
+}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_url_filters": urls.SQL, "op10_chat_formatting": chat.SQL}
