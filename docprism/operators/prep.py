@@ -164,9 +164,11 @@ def split_by_source(rows: DataFrame, source: str = "source_id", least_groups: in
 def replace_words(text: Column, key: Column, percent: Column, filler: str = "item") -> Column:
     """``int(n * percent / 100)`` words, chosen in hash order of place and key, become the filler."""
     words = tx.tokens(text)
-    order = F.array_sort(F.transform(words, lambda w, i: F.struct(F.md5(F.concat(key.cast("string"), F.lit(":"), i.cast("string"))).alias("h"), i.alias("i"))))
-    chosen = F.transform(F.slice(order, F.lit(1), F.floor(F.size(words) * percent / 100).cast("int")), lambda x: x["i"])
-    return F.array_join(F.transform(words, lambda w, i: F.when(F.array_contains(chosen, i), F.lit(filler)).otherwise(w)), " ")
+    order = F.array_sort(F.transform(words, lambda w, i: F.struct(F.md5(F.concat(key.cast("string"), F.lit(":"), i.cast("string"))).alias("h"), i.alias("i"), w.alias("w"))))
+    k = F.floor(F.size(words) * percent / 100).cast("int")
+    gone = F.transform(F.slice(order, F.lit(1), k), lambda x: F.struct(x["i"].alias("i"), F.lit(filler).alias("w")))
+    rest = F.transform(F.slice(order, k + 1, F.size(words)), lambda x: F.struct(x["i"].alias("i"), x["w"].alias("w")))
+    return F.array_join(F.transform(F.array_sort(F.concat(gone, rest)), lambda x: x["w"]), " ")
 
 
 def insert_word(text: Column, key: Column) -> Column:

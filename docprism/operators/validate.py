@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """``key, rule`` for each row and each rule that does not hold (null counts as broken)."""
     broken = F.filter(F.array(*[F.when(~F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in rules.items()]), lambda x: x.isNotNull())
-    return rows.select(key, F.explode(broken).alias("rule"))
+    return rows.withColumn("_broken", broken).select(key, F.explode("_broken").alias("rule"))
 
 
 def enforce(found: DataFrame, what: str) -> None:
