@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docprism.llm import chat, decontaminate, jaccard, licences, lines, packing, quality, toxicity, urls
+from docprism.llm import chat, decontaminate, jaccard, licences, lines, packing, quality, suffixes, toxicity, urls
 from docprism.llm.store import table
 
 
@@ -27,6 +27,10 @@ def op5_line_dedup(spark, sf_dir):
     return lines.report(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array_dedup(spark, sf_dir):
+    return suffixes.report(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -56,6 +60,7 @@ QUERIES = {
         op3_benchmark_decontamination,
         op4_url_filters,
         op5_line_dedup,
+        op6_suffix_array_dedup,
         op7_toxicity,
         op8_quality_rules,
         op9_licence_scans,

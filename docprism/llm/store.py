@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,3 +40,45 @@ def drop_materialized(spark: SparkSession, *frames: DataFrame) -> None:
             path = jvm.org.apache.hadoop.fs.Path(file).getParent()
             if "/docprism/" in path.toString():
                 path.getFileSystem(conf).delete(path, True)
+
+
+class Bitmap:
+    """Bits of keys, with no false negatives; at most ``LARGEST`` bits, so that it may be broadcast at any scale.
+
+    Past that size it fills up and only saves less: what it lets through is
+    checked by a join in any case.
+    """
+
+    LARGEST = 1 << 26
+
+    def __init__(self, keys: DataFrame, column: str):
+        n = keys.count()
+        self.size = min(self.LARGEST, max(1 << 16, 1 << (16 * n).bit_length()))
+        rows = keys.where(F.col(column).isNotNull()).select((self.bit(column) + 1).alias("_bit"))  # those functions count bits from 1
+        rows = rows.groupBy(F.bitmap_bucket_number("_bit").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("m"))
+        self.bits = np.zeros(self.size, bool)
+        for bucket, mask in rows.toLocalIterator():  # size / 32768 rows of 4 KB
+            at = (bucket - 1) * 32768
+            held = np.unpackbits(np.frombuffer(mask, np.uint8), bitorder="little").astype(bool)
+            held = held[: min(len(held), self.size - at)]
+            self.bits[at : at + len(held)] = held
+        self.shared = keys.sparkSession.sparkContext.broadcast(np.packbits(self.bits))
+
+    def bit(self, column: str):
+        return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(self.size))
+
+    def split(self, rows: DataFrame, column: str, inside: bool) -> DataFrame:
+        """Rows whose key may be among the keys (or, for ``inside=False``, surely is not); null keys count as outside."""
+        shared = self.shared
+
+        def run(batches):
+            bits = shared.value
+            for batch in batches:
+                bit = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+                known = bit >= 0
+                hit = known & ((bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1).astype(bool)
+                keep = pa.array(hit if inside else ~hit)
+                yield batch.select(range(batch.num_columns - 1)).filter(keep)
+
+        marked = rows.select("*", F.coalesce(F.when(F.col(column).isNotNull(), self.bit(column)), F.lit(-1).cast("long")).alias("__dp_bit"))
+        return marked.mapInArrow(run, rows.schema)
