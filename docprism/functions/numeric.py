@@ -59,7 +59,7 @@ def wilson(k: Column, n: Column, confidence: float = 0.95) -> tuple[Column, Colu
     base = 1 + F.try_divide(F.lit(z * z), n)
     mid = (p + F.try_divide(F.lit(z * z / 2), n)) / base
     half = F.lit(z) * F.sqrt(F.greatest(F.try_divide(p * (1 - p), n) + F.try_divide(F.lit(z * z / 4), n.cast("double") * n), F.lit(0.0))) / base
-    return F.greatest(mid - half, F.lit(0.0)), F.least(mid + half, F.lit(1.0))
+    return F.when(n > 0, F.greatest(mid - half, F.lit(0.0))), F.when(n > 0, F.least(mid + half, F.lit(1.0)))  # greatest() skips nulls
 
 
 def beta_upper(k: int, n: int, confidence: float = 0.95) -> float | None:

@@ -17,8 +17,8 @@ from docprism.streaming import windows
 
 RATES = "round(tp / nullif(tp + fp, 0), 9) AS precision, round(tp / nullif(tp + fn, 0), 9) AS recall, round(fp / nullif(fp + tn, 0), 9) AS fpr, round(2 * tp / nullif(2 * tp + fp + fn, 0), 9) AS f1"
 COUNTS = "count(*) FILTER (y AND p) AS tp, count(*) FILTER (NOT y AND p) AS fp, count(*) FILTER (NOT y AND NOT p) AS tn, count(*) FILTER (y AND NOT p) AS fn"
-WILSON = """round(greatest((k / n + z * z / 2 / n) / (1 + z * z / n) - z * sqrt(greatest(k / n * (1 - k / n) / n + z * z / 4 / (n::DOUBLE * n), 0)) / (1 + z * z / n), 0), 9) AS wilson_low,
- round(least((k / n + z * z / 2 / n) / (1 + z * z / n) + z * sqrt(greatest(k / n * (1 - k / n) / n + z * z / 4 / (n::DOUBLE * n), 0)) / (1 + z * z / n), 1), 9) AS wilson_high"""
+WILSON = """CASE WHEN n > 0 THEN round(greatest((k / n + z * z / 2 / n) / (1 + z * z / n) - z * sqrt(greatest(k / n * (1 - k / n) / n + z * z / 4 / (n::DOUBLE * n), 0)) / (1 + z * z / n), 0), 9) END AS wilson_low,
+ CASE WHEN n > 0 THEN round(least((k / n + z * z / 2 / n) / (1 + z * z / n) + z * sqrt(greatest(k / n * (1 - k / n) / n + z * z / 4 / (n::DOUBLE * n), 0)) / (1 + z * z / n), 1), 9) END AS wilson_high"""
 Z = "1.959963984540054"
 
 
