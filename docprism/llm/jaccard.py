@@ -20,8 +20,8 @@ are linked; the result has each document's class (component of links).
    that may be similar leaves a list: rows stay below the number of signatures.
    Long lists are reduced to leaders as they stream by.
 5. Components of that forest are the candidate classes.  Every set travels once
-   to its class (in blocks, where a class is large), and all pairs of a class
-   are verified exactly as products of incidence matrices.
+   to its class (in blocks, where a class is large); pairs of a class that wide
+   histograms leave are counted exactly, unless links connect them already.
 6. Components of the verified links are the result.
 
 Defined results: without words a document has the empty set and is linked with
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from docprism.llm import textvec as tv
 from docprism.llm.components import connected
-from docprism.llm.store import drop_materialized, materialize
+from docprism.llm.store import Bitmap, materialize
 
 U64 = np.uint64
 WORDS, PERCENT = 3, 90
@@ -50,10 +50,12 @@ MAX_FREQUENT, LEAST_FREQUENT = 1 << 20, 32
 #: Shingles counted at a time, and least count in that window to be reported.
 COUNT_WINDOW, WINDOW_LEAST = 1 << 22, 4
 #: Largest block of a class that is verified at once.
-BLOCK_NODES, BLOCK_SHINGLES = 1024, 2_000_000
+BLOCK_NODES, BLOCK_SHINGLES = 4096, 16_000_000
 #: Nodes of a signature that are compared all with all; above, by leaders.
 LIST_PAIRS, LIST_CHUNK = 256, 1 << 15
 SKETCH = 64
+#: Buckets of the wide histograms in a class.
+WIDE = 1024
 _MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], U64)
 
 
@@ -239,39 +241,92 @@ def _groups(batches, n_keys: int) -> Iterator[tuple[bool, list[pa.RecordBatch]]]
 
 
 def _may_link(shared_percent: int):
-    """Forest edges among the nodes of each signature that the histograms cannot tell apart."""
+    """Forest edges among the nodes of each signature that the histograms cannot tell apart (rows sorted by signature)."""
     p = shared_percent
 
     def bound(total):  # largest symmetric difference of similar sets with so many shingles together
         return total - 2 * (-(-p * total // (100 + p)))
 
-    def pairs(node, n, sketch):
-        a, b = [], []
-        for i in range(1, len(node)):
-            apart = np.abs(sketch[:i] - sketch[i]).sum(1)
-            close = np.flatnonzero((apart <= bound(n[:i] + n[i])))
-            a.append(node[close])
-            b.append(np.full(len(close), node[i]))
-        return _forest(np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    def short(sig, node, n, sketch):
+        """Of whole short lists, the pairs that may be similar: place by place over all lists at once, each pair once."""
+        found_a, found_b = [], []
+        for gap in range(1, len(sig)):
+            at = np.flatnonzero(sig[gap:] == sig[:-gap])
+            if not len(at):
+                break
+            small, large = np.minimum(n[at], n[at + gap]), np.maximum(n[at], n[at + gap])
+            at = at[100 * small >= p * large]
+            x, y = np.minimum(node[at], node[at + gap]), np.maximum(node[at], node[at + gap])
+            key = tv.mix(x.view(U64) * _MULTIPLY[0] + y.view(U64))
+            slot = (key >> U64(64 - 18)).astype(np.int64)
+            new = seen[slot] != key
+            seen[slot] = key
+            at, x, y = at[new], x[new], y[new]
+            for lo in range(0, len(at), 20_000):
+                i = at[lo : lo + 20_000]
+                apart = np.abs(sketch[i] - sketch[i + gap]).sum(1)
+                close = np.flatnonzero(apart <= bound(n[i] + n[i + gap])) + lo
+                found_a.append(x[close])
+                found_b.append(y[close])
+        if not found_a:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return _forest(np.concatenate(found_a), np.concatenate(found_b))
+
+    def arrays(batch):
+        raw = batch.column(3)
+        sketch = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
+        return [batch.column(c).to_numpy() for c in range(3)] + [sketch]
 
     def run(batches):
-        leaders = None
-        for ends, parts in _groups(batches, 1):
-            node = np.concatenate([x.column(1).to_numpy() for x in parts])
-            n = np.concatenate([x.column(2).to_numpy() for x in parts])
-            sketch = np.frombuffer(b"".join(y for x in parts for y in x.column(3).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
-            if ends and leaders is None and len(node) <= LIST_PAIRS:
-                a, b = pairs(node, n, sketch)
-            else:
-                a, b, leaders = _lead(node, n, sketch, leaders, bound)
-                if ends:
-                    leaders = None
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
+        held, leaders = None, None  # rows of the list that the last batch cut; leaders of a list too long to hold
+        for batch in _with_end(batches):
+            if batch is not None and not len(batch):
+                continue
+            now = arrays(batch) if batch is not None else None
+            if held is not None:
+                now = [np.concatenate([x, y]) for x, y in zip(held, now)] if now is not None else held
+            held = None
+            if now is None or not len(now[0]):
+                continue
+            sig = now[0]
+            starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+            sizes = np.diff(np.append(starts, len(sig)))
+            if batch is not None:  # the last list may go on
+                held = [x[starts[-1] :] for x in now]
+                if sizes[-1] >= LIST_CHUNK or leaders is not None and leaders[3] == sig[-1]:
+                    a, b, leaders = _lead(*held[1:], leaders[:3] if leaders is not None and leaders[3] == sig[-1] else None, bound)
+                    leaders.append(sig[-1])
+                    held = None
+                    yield from _edges(a, b)
+                starts, sizes = starts[:-1], sizes[:-1]
+            going = leaders is not None and len(starts) and sig[starts[0]] == leaders[3]
+            long = [k for k in range(len(starts)) if sizes[k] > LIST_PAIRS or (k == 0 and going)]
+            for k in long:
+                part = [x[starts[k] : starts[k] + sizes[k]] for x in now[1:]]
+                a, b, _ = _lead(*part, leaders[:3] if k == 0 and going else None, bound)
+                yield from _edges(a, b)
+            if long and going:
+                leaders = None
+            whole = np.repeat(sizes <= LIST_PAIRS, sizes)
+            if long and long[0] == 0:
+                whole[: sizes[0]] = False
+            rows = [x[: len(whole)][whole] for x in now]
+            yield from _edges(*short(*rows))
+
+    seen = np.zeros(1 << 18, U64)  # pairs met before, direct-mapped
     return run
 
 
+def _with_end(batches):
+    yield from batches
+    yield None
+
+
+def _edges(a, b):
+    if len(a):
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
 def _lead(node, n, sketch, leaders, bound):
     """Link every node to a leader within the list's bound, and leaders that members could connect; never misses a pair."""
     if leaders is None:
@@ -343,36 +398,38 @@ def _emit_sets(k: int):
 
 
 def links_of(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (a < b) of the pairs of sets that reach the threshold, exactly."""
-    n = np.array([len(s) for s in sets])
+    """A spanning forest (positions a, b) of the pairs of sets that reach the threshold, exactly.
+
+    Wide histograms bound the symmetric difference from below; pairs they leave
+    are counted exactly, nearest first, unless links already connect them.
+    """
+    n = np.array([len(s) for s in sets], np.int64)
     m = len(sets)
-    if m <= 12:
-        found = []
-        for j in range(m):
-            for i in range(j):
-                if 100 * min(n[i], n[j]) >= percent * max(n[i], n[j]):
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if 100 * both >= percent * (n[i] + n[j] - both):
-                        found.append((i, j))
-        out = np.array(found, np.int64).reshape(-1, 2)
-        return out[:, 0], out[:, 1]
-    tokens, at, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(m), n)
-    shared = held[at] > 1
-    column = np.cumsum(held > 1) - 1
-    at, row = column[at[shared]], row[shared]
-    order = np.argsort(at, kind="stable")
-    at, row = at[order], row[order]
-    both = np.zeros((m, m), np.float32)
-    width = max(256, (1 << 23) // m)
-    for lo in range(0, int(column[-1]) + 1, width):
-        i, j = np.searchsorted(at, [lo, lo + width])
-        x = np.zeros((m, width), np.float32)
-        x[row[i:j], at[i:j] - lo] = 1
-        both += x @ x.T
-    both = both.astype(np.int64)
-    a, b = np.nonzero(np.triu(100 * both >= percent * (n[:, None] + n[None, :] - both), 1))
-    return a, b
+    shape = np.zeros((m, WIDE), np.int16)
+    for k, s in enumerate(sets):
+        shape[k] = np.minimum(np.bincount((s & U64(WIDE - 1)).astype(np.int64), minlength=WIDE), 32_000)
+    group = np.arange(m)
+    a, b = [], []
+    for i in range(1, m):
+        total = n[:i] + n[i]
+        near = np.flatnonzero((group[:i] != group[i]) & (100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i])))
+        if not len(near):
+            continue
+        apart = np.abs(shape[near] - shape[i]).sum(1, dtype=np.int64)
+        most = total[near] - 2 * (-(-percent * total[near] // (100 + percent)))
+        ok = apart <= most
+        near = near[ok][np.argsort(apart[ok], kind="stable")]
+        while len(near):
+            j = near[0]
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= percent * (n[i] + n[j] - both):
+                a.append(j)
+                b.append(i)
+                group[group == group[i]] = group[j]
+                near = near[group[near] != group[j]]
+            else:
+                near = near[1:]
+    return np.array(a, np.int64), np.array(b, np.int64)
 
 
 def _verify(percent: int):
@@ -381,7 +438,8 @@ def _verify(percent: int):
         for ends, parts in _groups(batches, 2):
             for x in parts:
                 for node, raw in zip(x.column(2).to_pylist(), x.column(3)):
-                    sets.setdefault(node, np.frombuffer(raw.as_buffer(), U64).copy())
+                    if node not in sets:
+                        sets[node] = np.frombuffer(raw.as_buffer(), U64).copy()
             if not ends:
                 continue
             nodes = np.array(list(sets), np.int64)
@@ -424,7 +482,8 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     placed = members.join(sizes.select("cls", blocks.alias("_blocks")), "cls").withColumn("_own", own)
     others = F.when(F.col("_blocks") == 1, F.array(F.lit(0))).otherwise(F.expr("filter(sequence(0, _blocks - 1), b -> b <> _own)"))
     part = F.when(F.col("_blocks") == 1, F.lit(0)).otherwise(F.least("_own", "_other") * F.col("_blocks") + F.greatest("_own", "_other"))
-    texts = placed.join(docs, placed["least"] == docs["doc_id"]).select("text", "node", "cls", "_blocks", "_own")
+    near = Bitmap(members, "least").split(docs, "doc_id", True)  # most texts never travel
+    texts = placed.join(near, placed["least"] == near["doc_id"]).select("text", "node", "cls", "_blocks", "_own")
     held = texts.mapInArrow(_emit_sets(words), "node long, cls long, _blocks int, _own int, tokens binary")
     sets = held.withColumn("_other", F.explode(others)).select("cls", part.cast("int").alias("part"), "node", "tokens")
     links = sets.repartition("cls", "part").sortWithinPartitions("cls", "part").mapInArrow(_verify(percent), "a long, b long")
@@ -443,7 +502,8 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     """``docs`` with one document (the least id) of each class; of repeated rows one stays; null ids stay."""
     found = materialize(classes(docs, words, percent), "classes")
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    bits = Bitmap(gone, "doc_id")
+    kept = bits.split(docs, "doc_id", True).join(gone, "doc_id", "left_anti").select(docs.columns).unionByName(bits.split(docs, "doc_id", False))
     if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         single = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
         kept = single.unionByName(kept.where("doc_id is null"))
