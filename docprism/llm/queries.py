@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docprism.llm import chat, decontaminate, jaccard, licences, lines, packing, quality, suffixes, toxicity, urls
+from docprism.llm import chat, decontaminate, jaccard, licences, lines, packing, quality, sql, suffixes, toxicity, urls
 from docprism.llm.store import table
 
 
@@ -68,4 +68,12 @@ QUERIES = {
     )
 }
 
-SQL: dict[str, str] = {"op4_url_filters": urls.SQL, "op10_chat_formatting": chat.SQL}
+#: The others are no SQL (a tokenizer, trained models) or too slow there (byte windows of whole texts); tests hold them against brute force.
+SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": sql.JACCARD,
+    "op3_benchmark_decontamination": sql.DECONTAMINATE,
+    "op4_url_filters": urls.SQL,
+    "op5_line_dedup": sql.LINES,
+    "op8_quality_rules": sql.QUALITY,
+    "op10_chat_formatting": chat.SQL,
+}
