@@ -32,7 +32,7 @@ from docprism.llm import textvec as tv
 BITS = 19
 #: Besides the whole word, its first so many bytes are features of their own, for inflected languages.
 PREFIXES = (4, 5, 6)
-MAX_TRAIN = 4000
+MAX_TRAIN = 2500
 THRESHOLD = 0.3
 HELD_OUT_PART = 2
 _LOWER = np.arange(256, dtype=np.uint64)
@@ -92,37 +92,43 @@ class NoisyOr:
 
 
 def fit(bags: list[tuple[np.ndarray, np.ndarray, int]], weight: dict[int, float], rounds: int = 100, rate: float = 0.5, l1: float = 3e-5, l2: float = 1e-5, least: int = 20) -> NoisyOr:
-    """Weighted maximum likelihood of the document labels by adaptive gradient steps; words in under ``least`` bags stay out."""
+    """Weighted maximum likelihood of the document labels by adaptive gradient steps; words in under ``least`` bags stay out.  Empties ``bags``."""
     size = 1 << BITS
     if len({y for *_, y in bags}) < 2:
         return NoisyOr(np.zeros(size, np.float32), -np.inf)
-    bags = [b for b in bags if len(b[1])]
-    held = np.zeros(size, np.int64)
-    for bucket, _, _ in bags:
-        held[np.unique(bucket)] += 1
-    words = np.concatenate([b[0] for b in bags], axis=1)
-    begins = np.concatenate([b[1] for b in bags])
-    first = np.flatnonzero(begins)
+    bags[:] = [b for b in bags if len(b[1])]
     per_bag = np.array([b[1].sum() for b in bags])
     bag_first = np.cumsum(per_bag) - per_bag
     y = np.array([b[2] for b in bags])
+    begins = np.concatenate([b[1] for b in bags])
+    words = [np.concatenate([b[0][k] for b in bags]) for k in range(1 + len(PREFIXES))]
+    held = np.zeros(size, np.int64)
+    for b in bags:
+        held[np.unique(b[0])] += 1
+    bags.clear()  # the arrays hold all from here on
+    first = np.flatnonzero(begins)
     wt = np.array([weight[k] for k in y])
     wt = wt / wt.sum()
     live = held >= least
-    sentence_of = np.cumsum(begins) - 1
-    weights, bias = np.zeros(size), float(-np.log(per_bag.mean()) - 5)
+    sentence_of = np.cumsum(begins, dtype=np.int32) - 1
+    weights, bias = np.zeros(size, np.float32), float(-np.log(per_bag.mean()) - 5)
     seen, seen_b = np.full(size, 1e-12), 1e-12
     for _ in range(rounds):
-        z = np.add.reduceat(weights[words].sum(0), first) + bias
+        each = weights[words[0]]
+        for w in words[1:]:
+            each += weights[w]
+        z = np.add.reduceat(each, first, dtype=np.float64) + bias
         p = np.exp(-np.logaddexp(0, -z))
         quiet = np.add.reduceat(-np.logaddexp(0, z), bag_first)
         toxic = np.maximum(-np.expm1(quiet), 1e-9)
         pull = np.where(y == 1, np.exp(quiet) / toxic, -1.0) * wt
         g = np.repeat(pull, per_bag) * p  # of the log likelihood by z
         each = g[sentence_of]
-        step = sum(np.bincount(w, weights=each, minlength=size) for w in words) * live - l2 * weights
+        step = -l2 * weights.astype(np.float64)
+        for w in words:
+            step += np.bincount(w, weights=each, minlength=size) * live
         seen += step * step
-        weights = np.maximum(weights + rate * (step - l1) / np.sqrt(seen), 0)  # words may only add to toxicity
+        weights = np.maximum(weights + rate * (step - l1) / np.sqrt(seen), 0).astype(np.float32)  # words may only add to toxicity
         gb = float(g.sum())
         seen_b += gb * gb
         bias += rate * gb / np.sqrt(seen_b)
