@@ -42,8 +42,8 @@ from docprism.llm.store import Bitmap, materialize
 U64 = np.uint64
 WIDTH, GRAM = 200, 40
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-#: Bytes of snippets that a task merges at once (whole anchors).
-MERGE_BYTES = 1 << 21
+#: Bytes of snippets that a task merges at once (whole anchors): few enough for the caches of a core.
+MERGE_BYTES = 1 << 17
 SHARDS = 4
 SEGMENT = 1 << 22
 
@@ -169,52 +169,48 @@ def _with_end(batches):
 
 
 def repeated_suffixes(text: np.ndarray, left: np.ndarray, shard: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes that share their first ``width`` bytes with another, and the number of their repeated interval.
+    """Suffixes that share their first ``width`` bytes with another, and the number of their repeated interval (at most 2 GB of text).
 
     ``left``: bytes to the end of each suffix's string; ``shard``: its shard.
     """
     n = len(text)
-    padded = np.zeros(n + 8, U64)
-    padded[:n] = text
+    left = left.astype(np.int32)
     key = np.zeros(n, U64)
-    for k in range(8):
-        key |= padded[k : k + n] << U64(56 - 8 * k)
+    for k in range(min(8, n)):
+        key[: n - k] |= text[k:].astype(U64) << U64(56 - 8 * k)
     known = 8
-    rows = np.flatnonzero(left >= known)
+    rows = np.flatnonzero(left >= known).astype(np.int32)
     # each shard's suffixes in the order of their leading bytes; text[order - 1] is its transform
-    orders = [(r := rows[shard[rows] == x])[np.argsort(key[r], kind="stable")] for x in np.unique(shard)]
+    orders = [(r := rows[shard[rows] == x])[np.argsort(key[r])] for x in np.unique(shard)]
     order = np.concatenate(orders) if orders else rows
     order = order[np.argsort(key[order], kind="stable")]  # the shards' sorted runs are interleaved
-    rank = np.zeros(n, np.int64)
+    rank = np.zeros(n, np.int32)
     rank[order] = _block_starts(key[order])
+    del key, rows, orders
     while known < width:
         step = min(known, width - known)
         order = order[left[order] >= known + step]
         block = _block_starts(rank[order])
         together = np.bincount(block, minlength=len(order))[block] > 1
         order = order[together]  # the others are separated for good and keep their rank
-        follow = rank[order + step]  # continuations reach at least ``known`` bytes, so their ranks hold
-        at = np.lexsort((follow, rank[order]))
-        order, follow = order[at], follow[at]
-        old = _block_starts(rank[order])
-        new = _block_starts(rank[order], follow)
-        rank[order] += new - old
+        pair = (rank[order].astype(np.int64) << 32) | rank[order + step]  # continuations reach at least ``known`` bytes, so their ranks hold
+        at = np.argsort(pair)
+        order, pair = order[at], pair[at]
+        rank[order] += (_block_starts(pair) - _block_starts(pair >> 32)).astype(np.int32)
         known += step
     block = _block_starts(rank[order])
     together = np.bincount(block, minlength=len(order))[block] > 1
     return order[together], block[together]
 
 
-def _block_starts(*keys: np.ndarray) -> np.ndarray:
-    """For each place of sorted keys the place where its run of equal keys starts."""
-    n = len(keys[0])
+def _block_starts(key: np.ndarray) -> np.ndarray:
+    """For each place of a sorted key the place where its run of equal keys starts."""
+    n = len(key)
     if not n:
         return np.zeros(0, np.int64)
-    new = np.zeros(n, bool)
-    new[0] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    new = np.ones(n, bool)
+    new[1:] = key[1:] != key[:-1]
+    return np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), np.int32(0)))
 
 
 def _snippets(width: int, gram: int):
@@ -257,9 +253,10 @@ def _compare(width: int):
         sizes = np.array([len(y) for y in strings])
         ends = np.cumsum(sizes)
         text = np.frombuffer(b"".join(strings), np.uint8)
-        left = np.repeat(ends, sizes) - np.arange(len(text))
-        owner = np.repeat(np.arange(len(strings)), sizes)
-        order, group = repeated_suffixes(text, left, owner * SHARDS // max(1, len(strings)), width)
+        left = (np.repeat(ends, sizes) - np.arange(len(text))).astype(np.int32)
+        owner = np.repeat(np.arange(len(strings), dtype=np.int32), sizes)
+        shard = np.repeat((np.arange(len(strings)) * SHARDS // max(1, len(strings))).astype(np.int8), sizes)
+        order, group = repeated_suffixes(text, left, shard, width)
         if not len(order):
             return None
         of = owner[order]

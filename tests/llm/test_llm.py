@@ -344,3 +344,35 @@ def test_pipeline(spark, tmp_path, docs):
     assert len({c for *_, c in brute.components(left)}) == len(left)
     packed = corpus_pipeline.STAGES[-1][1](spark, held, folder)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {i for i, _ in left}
+
+
+def test_leaders_never_lose_a_pair():
+    rng = np.random.default_rng(0)
+    bound = lambda total: total - 2 * (-(-90 * total // 190))
+    for turn in range(10):
+        sets = []
+        for _ in range(5):
+            base = rng.integers(0, 1 << 63, rng.integers(40, 300), dtype=np.uint64)
+            for _ in range(12):
+                k = rng.integers(0, len(base) // 8)
+                sets.append(np.unique(np.append(rng.permutation(base)[k:], rng.integers(0, 1 << 63, k, dtype=np.uint64))))
+        if turn % 2:
+            sets.sort(key=len)  # bounds that rise from chunk to chunk
+        n = np.array([len(s) for s in sets])
+        shapes = np.array([np.minimum(np.bincount((s & np.uint64(63)).astype(int), minlength=64), 255) for s in sets], np.int16)
+        root, leaders = list(range(60)), None
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for c in range(0, 60, 20):
+            a, b, leaders = jaccard._lead(np.arange(60)[c : c + 20], n[c : c + 20], shapes[c : c + 20], leaders, bound)
+            for x, y in zip(a, b):
+                root[find(x)] = find(y)
+        for x in range(60):
+            for y in range(x):
+                both = len(np.intersect1d(sets[x], sets[y]))
+                if 100 * both >= 90 * (n[x] + n[y] - both):
+                    assert find(x) == find(y)
