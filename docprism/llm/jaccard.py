@@ -48,7 +48,7 @@ WORDS, PERCENT = 3, 90
 #: Entries of the table of frequent shingles, and least count there.
 MAX_FREQUENT, LEAST_FREQUENT = 1 << 20, 32
 #: Shingles counted at a time, and least count in that window to be reported.
-COUNT_WINDOW, WINDOW_LEAST = 1 << 22, 4
+COUNT_WINDOW, WINDOW_LEAST = 1 << 21, 4
 #: Largest block of a class that is verified at once.
 BLOCK_NODES, BLOCK_SHINGLES = 4096, 16_000_000
 #: Nodes of a signature that are compared all with all; above, by leaders.
@@ -350,9 +350,10 @@ def _lead(node, n, sketch, leaders, bound):
         b.append(node[near])
         new.append(node[at[0]])
         new_sketch.append(sketch[at[0]])
-    if new:
-        every, shapes = np.append(old, new), np.concatenate([old_sketch, np.array(new_sketch, np.int16)])
-        for k in range(len(old), len(every)):
+    wider = reach > leaders[2]  # a larger bound than before: the old leaders meet again
+    if new or wider:
+        every, shapes = np.append(old, np.array(new, np.int64)), np.concatenate([old_sketch, np.array(new_sketch, np.int16).reshape(-1, SKETCH)])
+        for k in range(1 if wider else max(1, len(old)), len(every)):
             close = np.flatnonzero(np.abs(shapes[:k] - shapes[k]).sum(1) <= 3 * reach)
             a.append(every[close])
             b.append(np.full(len(close), every[k]))
