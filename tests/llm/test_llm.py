@@ -100,6 +100,53 @@ def test_jaccard_keeps_one(docs, texts):
     assert sorted(r.doc_id for r in kept.collect()) == want
 
 
+def test_pipeline_drops_near_copies_of_five_words(spark):
+    """The stage against brute force, with copies that 3 words / 0.9 leave in."""
+    rng = random.Random(11)
+    made = []
+    for _ in range(6):
+        w = words(rng, 100).split()
+        edited = list(w)
+        edited[30], edited[70] = "edit", "edit"
+        made += [" ".join(w), " ".join(w + words(rng, 15).split()), " ".join(edited), " ".join(w + words(rng, 60).split())]
+    made += [words(rng, 100) for _ in range(6)] + ["one two three four", "one two three five", "", None]
+    made = list(enumerate(made))
+    root = list(range(len(made)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    sets = [brute.shingles(t, 5) for _, t in made]
+    for a in range(len(made)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in made], DOCS)
+    want = [i for i, _ in made if find(i) == i]
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == want
+    assert len(want) < len({c for *_, c in brute.components(made)})
+
+
+def test_jaccard_signatures_meet_at_80_percent():
+    rng = np.random.default_rng(2)
+    cls = lambda s: ((s >> np.uint64(3)) % np.uint64(3)).astype(np.uint8)
+    met = 0
+    for n in (1, 2, 4, 5, 9, 15, 16, 31, 33, 64, 127, 200):
+        for _ in range(60):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            gone, more = rng.integers(0, 1 + n // 5), rng.integers(0, 1 + n // 5)
+            b = np.unique(np.append(rng.permutation(a)[gone:], rng.integers(0, 1 << 63, more, dtype=np.uint64)))
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= 80 * (len(a) + len(b) - both):
+                met += 1
+                assert len(np.intersect1d(jaccard.signatures(a, cls(a), 80), jaccard.signatures(b, cls(b), 80)))
+    assert met > 300
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
