@@ -331,7 +331,8 @@ def _lead(node, n, sketch, leaders, bound):
     """Link every node to a leader within the list's bound, and leaders that members could connect; never misses a pair."""
     if leaders is None:
         leaders = [np.zeros(0, np.int64), np.zeros((0, SKETCH), np.int16), 0]
-    reach = max(leaders[2], int(bound(2 * n.max())))
+    most = 2 * int(n.max())
+    reach = max(leaders[2], bound(most), bound(most - 1))  # the bound rises over even and over odd totals, not from one to the next
     a, b = [], []
     old, old_sketch = leaders[0], leaders[1]
     free = np.ones(len(node), bool)

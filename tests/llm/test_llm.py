@@ -423,3 +423,27 @@ def test_leaders_never_lose_a_pair():
                 both = len(np.intersect1d(sets[x], sets[y]))
                 if 100 * both >= 90 * (n[x] + n[y] - both):
                     assert find(x) == find(y)
+
+
+def test_leaders_of_small_sets():
+    """Sets of 9 to 18 shingles that differ by one: similar, though two of the largest may not differ at all."""
+    bound = lambda total: total - 2 * (-(-90 * total // 190))
+    rng = np.random.default_rng(5)
+    for size in range(10, 19):
+        a = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        n = np.array([size - 1, size])
+        shapes = np.array([np.bincount((s & np.uint64(63)).astype(int), minlength=64) for s in (a[1:], a)], np.int16)
+        x, y, _ = jaccard._lead(np.arange(2), n, shapes, None, bound)
+        assert {*x, *y} == {0, 1}, size
+
+
+def test_jaccard_of_many_short_texts(spark, monkeypatch):
+    rng = random.Random(7)
+    made = []
+    for k in range(12):
+        w = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(12, 18))]
+        made += [" ".join(w), " ".join(w[:-1]), " ".join(w[1:])]
+    made = list(enumerate(made))
+    monkeypatch.setattr(jaccard, "LIST_PAIRS", 1)
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    assert rows(jaccard.classes(docs), "doc_id", "n_shingles", "component_id") == sorted(brute.components(made), key=repr)
