@@ -172,3 +172,16 @@ def test_streaming_histogram(spark, tmp_path):
         q.stop()
     assert {(r.event_type, r.n, r.le_1_0) for r in spark.table("lat").collect()} == {("a", 2, 1), ("b", 1, 1)}
     assert sorted(r.n for r in spark.table("win").collect()) == [1, 2]
+
+
+def test_mutation_curve_takes_every_document(spark, tmp_path):
+    """Long documents and those without a length are in the curve too."""
+    from docprism.plans import evaluation_queries as eq
+
+    made = [(i, "plain words stand here " * (5 if i % 2 else 400), None if i % 5 == 0 else (115 if i % 2 else 9200)) for i in range(60)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = prep.attack_corpus(docs).count()
+    assert want > 60
+    got = {r.budget: r.tp + r.fp + r.tn + r.fn for r in eq.mutation_curve(spark, str(tmp_path)).collect()}
+    assert got == {0: want, 25: want, 50: want}
