@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +37,81 @@ def keyword_measures(rows: DataFrame, text: str = "text", words=SKILLS, aliases=
     return out.withColumn("keyword_score", F.coalesce(F.try_divide("hits", "n_words"), F.lit(0.0)) + WEIGHT * F.col("concentration")).drop("_w", "_at")
 
 
+_SPACE = re.compile(tx.SPACE)
+_SKILL = re.compile(r"\b(" + "|".join(sorted(SKILLS)) + r")\b", re.ASCII)
+_ALIAS = [(re.compile(r"(?i)\b" + tx.SPACE.join(re.escape(w) for w in a.split()) + r"\b", re.ASCII), ALIASES[a]) for a in sorted(ALIASES, key=lambda a: (-len(a), a))]
+#: First words of aliases of several words: near these an insertion may make or break an alias.
+_MAY_ALIAS = re.compile(r"\b(" + "|".join(sorted({a.split()[0] for a in ALIASES if " " in a})) + r")(?:[ \t\n\r\f\x0B]|$)", re.ASCII)
+
+
+def _digest(*key) -> int:
+    return int(hashlib.md5(":".join(str(k) for k in key if k is not None).encode()).hexdigest()[:6], 16)
+
+
+def _score(n: int, hits: int, first: int, last: int) -> float:
+    gap, reach = (last - first) / (hits - 1) if hits > 1 else 0.0, n / 20
+    concentration = 1 - gap / reach if hits > MIN_HITS and gap < reach else 0.0
+    return (hits / n if n else 0.0) + WEIGHT * concentration
+
+
+def _measured(text: str) -> tuple[int, int, int, int]:
+    """Words, hits, place of the first and of the last hit: as :func:`keyword_measures` finds them."""
+    t = text.lower()
+    for pattern, name in _ALIAS:
+        t = pattern.sub(name, t)
+    words = [w for w in _SPACE.split(t) if w]
+    joined = " ".join(words)
+    found = [m.start() for m in _SKILL.finditer(joined)]
+    if not found:
+        return len(words), 0, -1, -1
+    return len(words), len(found), joined.count(" ", 0, found[0]), joined.count(" ", 0, found[-1])
+
+
+def _attack(key, text: str | None, threshold: float, generations: int, tries: int) -> tuple[float, str | None]:
+    words = [w for w in _SPACE.split(text or "") if w]
+    now, moved = _measured(text or ""), False
+    slow = _MAY_ALIAS.search((text or "").lower()) is not None
+    for g in range(generations):
+        limit = threshold * (0.8 + 0.2 * _digest(key, g, "limit") / 16**6)
+        best = None
+        for k in range(tries):
+            h = _digest(key, g, k)
+            at, word = h % (len(words) + 1), SKILLS[h % len(SKILLS)]
+            if slow:
+                then = _measured(" ".join([*words[:at], word, *words[at:]]))
+            else:
+                n, hits, first, last = now
+                then = (n + 1, hits + 1, min(at, first + (first >= at)) if hits else at, max(at, last + (last >= at)) if hits else at)
+            score = _score(*then)
+            if score < limit and (best is None or score > best[0]):
+                best = score, at, word, then
+        if best is None:
+            break
+        _, at, word, now = best
+        words.insert(at, word)
+        moved = True
+    return _score(*now), " ".join(words) if moved else text
+
+
+def adaptive_search(rows: DataFrame, threshold: float = 0.05, generations: int = 20, tries: int = 5) -> DataFrame:
+    """``doc_id, text, keyword_score`` after a greedy search against the keyword detector.
+
+    In each generation the insertion that scores highest below the limit stays; a
+    document is stuck, and ends, when none is below.  The limit moves between 0.8
+    and 1 times the threshold.  Chance is the digest of id, generation and try.
+    The search of a document needs no other row, so one pass does it; a word put
+    in shifts the places of the hits, and texts are not scored again.
+    """
+
+    def run(batches):
+        for batch in batches:
+            found = [_attack(k, t, threshold, generations, tries) for k, t in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for _, t in found], pa.string()), pa.array([x for x, _ in found], pa.float64())], names=["doc_id", "text", "keyword_score"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "text", F.col("doc_id").cast("string").alias("_key")).mapInArrow(run, f"doc_id {kind}, text string, keyword_score double")
+
+
 def p95_of_clean(rows: DataFrame, score: str, label: str = "is_adversarial") -> DataFrame:
     """One row: the linear 95th percentile of the clean scores and what guards it."""
     clean = F.when(F.col(label) == 0, F.col(score))

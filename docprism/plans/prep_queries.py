@@ -157,16 +157,10 @@ def insert_keyword(spark, sf_dir):
 
 @query()
 def adaptive_attack(spark, sf_dir):
-    """Greedy search: in each generation the mutation that scores highest below the threshold survives."""
+    """Greedy search of 20 generations of 5 insertions: the one that scores highest below a moving threshold survives, until stuck."""
     from docprism.operators import detect
 
-    best = docs(spark, sf_dir).where("n_chars < 800").select("doc_id", "text", F.lit(0.0).alias("keyword_score"))
-    threshold = 0.05
-    for g in range(3):
-        tries = best.select("doc_id", "text", F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("k"))
-        moved = tries.withColumn("text", prep.insert_word(F.col("text"), F.concat_ws(":", F.col("doc_id"), F.lit(g), F.col("k"))))
-        scored = detect.keyword_measures(moved).where(F.col("keyword_score") < threshold).select("doc_id", "text", "keyword_score")
-        best = best.unionByName(scored).groupBy("doc_id").agg(F.max_by("text", F.struct("keyword_score", "text")).alias("text"), F.max("keyword_score").alias("keyword_score"))
+    best = detect.adaptive_search(docs(spark, sf_dir))
     return best.select("doc_id", F.round("keyword_score", 9).alias("keyword_score"), F.md5("text").alias("text_md5"))
 
 

@@ -185,3 +185,36 @@ def test_mutation_curve_takes_every_document(spark, tmp_path):
     assert want > 60
     got = {r.budget: r.tp + r.fp + r.tn + r.fn for r in eq.mutation_curve(spark, str(tmp_path)).collect()}
     assert got == {0: want, 25: want, 50: want}
+
+
+def test_adaptive_attack_against_plain_search(spark, tmp_path):
+    """All documents, 20 generations of 5, against a search that scores every text with the detector."""
+    import hashlib
+
+    from docprism.plans import prep_queries as pq
+
+    filler = "plain words stand here and say little "
+    made = [(1, filler * 60), (2, filler * 3), (3, "Python SQL " * 9 + filler * 9), (4, None), (5, ""), (6, "we like py\nspark and py " + filler * 40), (7, "Structured  Query language, k8s/python\t" + filler * 90), (8, "émile İ über python-sql spark. " + filler * 70)]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in made], "doc_id long, text string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    digest = lambda *k: int(hashlib.md5(":".join(map(str, k)).encode()).hexdigest()[:6], 16)
+    now, live = {i: t for i, t in made}, [i for i, _ in made]
+    for g in range(20):
+        tries = []
+        for i in live:
+            for k in range(5):
+                w, h = (now[i] or "").split(), digest(i, g, k)
+                w.insert(h % (len(w) + 1), prep.SKILLS[h % len(prep.SKILLS)])
+                tries.append((i, k, " ".join(w)))
+        scored = detect.keyword_measures(spark.createDataFrame(tries, "doc_id long, k long, text string").coalesce(1)).collect() if tries else []
+        live = []
+        for i in {r.doc_id for r in scored}:
+            limit = 0.05 * (0.8 + 0.2 * digest(i, g, "limit") / 16**6)
+            below = sorted((-round(r.keyword_score, 12), r.k, r.text) for r in scored if r.doc_id == i and r.keyword_score < limit)
+            if below:
+                now[i], live = below[0][2], [*live, i]
+    final = spark.createDataFrame(list(now.items()), "doc_id long, text string")
+    want = {r.doc_id: (round(r.keyword_score, 9), r.h) for r in detect.keyword_measures(final).withColumn("h", F.md5("text")).collect()}
+    got = {r.doc_id: (r.keyword_score, r.text_md5) for r in pq.adaptive_attack(spark, str(tmp_path)).collect()}
+    assert got == want
+    assert len(now[1].split()) > 60 * 7 + 3 and now[3] == made[2][1]
