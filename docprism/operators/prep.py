@@ -71,7 +71,7 @@ def near_pairs(rows: DataFrame, key: str, words: str, threshold: float = 0.95) -
 
 
 def greedy_kept(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """Ids that a first-come scan drops: ``id`` of nodes with a kept smaller neighbour; removed nodes remove nobody."""
+    """Ids that a first-come scan drops: ``id`` of nodes with a kept smaller neighbour; removed nodes remove nobody.  Nodes left open after ``max_rounds`` are an error."""
     spark = pairs.sparkSession
     edges = pairs.select("a", "b")
     nodes = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
@@ -82,10 +82,12 @@ def greedy_kept(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
         live = edges.join(dropped.select(F.col("id").alias("a")), "a", "left_anti").join(kept.select(F.col("id").alias("a")), "a", "left_anti")
         free = open_.join(live.select(F.col("b").alias("id")), "id", "left_anti")
         if free.isEmpty():
-            break
+            return dropped
         kept = kept.union(free).distinct()
         dropped = edges.join(kept.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
-    return dropped
+    if nodes.join(kept, "id", "left_anti").join(dropped, "id", "left_anti").isEmpty():
+        return dropped
+    raise RuntimeError(f"nodes are still open after {max_rounds} rounds")
 
 
 def keyword_block(rank: Column, n: int) -> Column:

@@ -218,3 +218,10 @@ def test_adaptive_attack_against_plain_search(spark, tmp_path):
     got = {r.doc_id: (r.keyword_score, r.text_md5) for r in pq.adaptive_attack(spark, str(tmp_path)).collect()}
     assert got == want
     assert len(now[1].split()) > 60 * 7 + 3 and now[3] == made[2][1]
+
+
+def test_greedy_never_leaves_nodes_open(spark):
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(1, 6)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        prep.greedy_kept(pairs, max_rounds=1)
+    assert sorted(r[0] for r in prep.greedy_kept(pairs, max_rounds=3).collect()) == [2, 4, 6]
