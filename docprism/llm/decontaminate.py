@@ -7,27 +7,34 @@ in the sorted hash table, and verifies every hit word by word.  There is no
 shuffle and nothing per document leaves its row.
 
 The broadcast is bounded: a benchmark of more than ``block_windows`` windows is
-processed in blocks of that many, each a further scan that adds to the marks
-carried in the row, so the size on an executor never depends on the benchmark.
+processed in blocks of that many, one after another.  Each is a scan of its own
+that writes the hits of the texts it hits; they join back by text at the end.  So
+what the driver and an executor hold at a time never depends on the benchmark.
 
 Defined results: null or wordless text has no words, is never hit; a null or
 wordless item has no window; a null ``item_id`` reads as ``null`` in the digest; repeated items
-with one id count once; repeated documents give equal rows.
+with one id count once; repeated documents give equal rows.  With several blocks
+a text is known by its 64-bit hash.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docprism.llm import textvec as tv
+from docprism.llm.store import Bitmap, materialize
 
 WIDTH = 13
+#: Benchmark windows that are broadcast at a time.
+BLOCK_WINDOWS = 500_000
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -81,7 +88,8 @@ def _blocks(benchmark: DataFrame, block_windows: int, width: int) -> Iterator[Wi
     """The benchmark in blocks of at most ``block_windows`` windows (one item at least), read as a stream."""
     rows, size = [], 0
     for row in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        n = len(row[1].split()) + 1 if row[1] else 0
+        data, off = tv.buffers(pa.array([row[1]], pa.large_string()))
+        n = len(tv.words(data, off, tv.ALNUM).start)  # at least the number of windows
         if rows and size + n > block_windows:
             yield Windows(rows, width)
             rows, size = [], 0
@@ -91,39 +99,68 @@ def _blocks(benchmark: DataFrame, block_windows: int, width: int) -> Iterator[Wi
         yield Windows(rows, width)
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_windows: int = 500_000) -> DataFrame:
-    """``docs`` plus ``__dp_spans`` (hit words as first, length pairs), ``__dp_items`` and ``__dp_words``; one scan a block."""
-    schema = docs.schema
-    out = docs.withColumns({"__dp_words": F.lit(0).cast("long"), "__dp_spans": F.array().cast("array<int>"), "__dp_items": F.array().cast("array<string>")})
-    blocks = list(_blocks(benchmark, block_windows, width)) or [Windows([], width)]
-    for block in blocks:
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-        out = out.mapInArrow(_marker(shared), out.schema)
-    del schema
-    return out
+def _found(table: Windows, column: pa.Array) -> Iterator[tuple[int, int, list[int], set[str]]]:
+    """Of each text its row, number of words, hit words as first, length pairs, and items."""
+    data, off = tv.buffers(column)
+    for i, j in tv.row_blocks(off, 1 << 20):
+        w = tv.words(data, off[i : j + 1], tv.ALNUM)
+        for r in range(i, j):
+            a, b = w.first[r - i], w.first[r - i + 1]
+            hit, items = table.scan(_View(data), w.start[a:b], w.end[a:b], w.hash[a:b]) if b > a else ([], set())
+            yield r, int(b - a), [x for s in hit for x in s], items
 
 
-def _marker(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for batch in batches:
-            names = batch.schema.names
-            data, off = tv.buffers(batch.column(names.index("text")))
-            before_spans, before_items = batch.column(names.index("__dp_spans")), batch.column(names.index("__dp_items"))
-            n_words, spans, items = np.zeros(len(batch), np.int64), [], []
-            for i, j in tv.row_blocks(off):
-                w = tv.words(data, off[i : j + 1], tv.ALNUM)
-                for r in range(i, j):
-                    a, b = w.first[r - i], w.first[r - i + 1]
-                    n_words[r] = b - a
-                    hit, names_hit = table.scan(_View(data), w.start[a:b], w.end[a:b], w.hash[a:b]) if b > a else ([], set())
-                    old = before_spans[r].as_py() or []
-                    spans.append(old + [x for s in hit for x in s])
-                    items.append(sorted({*(before_items[r].as_py() or []), *names_hit}))
-            columns = {"__dp_words": pa.array(n_words), "__dp_spans": pa.array(spans, pa.list_(pa.int32())), "__dp_items": pa.array(items, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_arrays([columns.get(n, batch.column(k)) for k, n in enumerate(names)], names=names)
-
-    return run
+def _text_key(column: pa.Array) -> list[int]:
+    return [int.from_bytes(hashlib.blake2b((x.as_py() or "").encode(), digest_size=8).digest(), "little", signed=True) for x in column]
+
+
+def _several(docs: DataFrame, first: Windows, rest: Iterator[Windows]) -> DataFrame:
+    """``__dp_key, __dp_spans, __dp_items`` of the texts that any block hits; one scan a block."""
+    spark, hits = docs.sparkSession, None
+    for block in itertools.chain([first], rest):
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches, shared=shared):
+            for batch in batches:
+                texts = batch.column(0)
+                found = [(r, spans, sorted(items)) for r, _, spans, items in _found(shared.value, texts) if spans]
+                keys = _text_key(texts.take(pa.array([x[0] for x in found], pa.int64())))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int32())), pa.array([x[2] for x in found], pa.list_(pa.string()))], names=["__dp_key", "__dp_spans", "__dp_items"])
+
+        part = materialize(docs.select("text").mapInArrow(tv.tidy(run), "__dp_key long, __dp_spans array<int>, __dp_items array<string>").distinct(), "hits")
+        shared.destroy()
+        hits = part if hits is None else hits.unionByName(part)
+    return materialize(hits.groupBy("__dp_key").agg(F.flatten(F.collect_list("__dp_spans")).alias("__dp_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__dp_items")))).alias("__dp_items")), "hits")
+
+
+@F.arrow_udf(T.LongType())
+def _key_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        yield pa.array(_text_key(batch), pa.int64())
+
+
+def _with_hits(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """``docs`` with ``__dp_spans`` and ``__dp_items`` (null where nothing is hit); texts that surely have no hit do not travel."""
+    keyed = docs.withColumn("__dp_text_key", _key_of(F.col("text")))
+    maybe = Bitmap(hits, "__dp_key").has(F.col("__dp_text_key"))
+    near = keyed.where(maybe).join(hits, F.col("__dp_text_key") == F.col("__dp_key"), "left").drop("__dp_text_key", "__dp_key")
+    far = keyed.where(~maybe).drop("__dp_text_key")
+    return near.unionByName(far, allowMissingColumns=True)
+
+
+def _judged(rows: list[tuple[int, list[int], set[str] | list[str]]]) -> dict[str, list]:
+    """Columns of the digest from (words, hit spans, items)."""
+    hits = [int(hit_mask(n, spans).sum()) if spans else 0 for n, spans, _ in rows]
+    return {
+        "n_words": [n for n, *_ in rows], "n_hit": hits, "n_items": [len(items) for *_, items in rows],
+        "items_sha256": [hashlib.sha256(",".join(sorted(items)).encode()).hexdigest() for *_, items in rows],
+        "contaminated": [h > 0 and 20 * h >= n for h, (n, *_) in zip(hits, rows)],
+    }
+
+
+def _n_words(column: pa.Array) -> list[int]:
+    data, off = tv.buffers(column)
+    return [int(n) for i, j in tv.row_blocks(off, 1 << 20) for n in np.diff(tv.words(data, off[i : j + 1], tv.ALNUM).first)]
 
 
 class _View:
@@ -144,53 +181,82 @@ def hit_mask(n_words: int, spans: list[int]) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, **options) -> DataFrame:
-    """One row a document with the contamination digest (columns of ``SCHEMA``)."""
-    marked = mark(docs.select("doc_id", "text"), benchmark, width, **options).select("doc_id", "__dp_words", "__dp_spans", "__dp_items")
+_DIGEST = (("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()))
 
-    def run(batches):
-        for batch in batches:
-            words = batch.column(1).to_numpy()
-            hits = np.array([hit_mask(n, s).sum() if s else 0 for n, s in zip(words, batch.column(2).to_pylist())], np.int64)
-            items = batch.column(3).to_pylist()
-            digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-            bad = (hits > 0) & (20 * hits >= words)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(hits), pa.array([len(x) for x in items], pa.int64()), pa.array(digest), pa.array(bad)],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
 
-    return marked.mapInArrow(run, SCHEMA)
+def _first_two(benchmark: DataFrame, block_windows: int, width: int) -> tuple[Windows, Iterator[Windows] | None]:
+    """The first block, and all blocks after it if there are any."""
+    blocks = _blocks(benchmark, block_windows, width)
+    first = next(blocks, None) or Windows([], width)
+    second = next(blocks, None)
+    return first, None if second is None else itertools.chain([second], blocks)
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", width: int = WIDTH, **options) -> DataFrame:
-    """Rows of ``docs`` with contaminated documents dropped, or (``mode="spans"``) with the hit words cut out of the text."""
-    if mode not in ("documents", "spans"):
-        raise ValueError(mode)
-    helper = mark(docs.withColumns({}), benchmark, width, **options)
-    columns = docs.columns
+def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """One row a document with the contamination digest (columns of ``SCHEMA``)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    first, rest = _first_two(benchmark, block_windows, width)
+    rows = docs if rest is None else _with_hits(docs, _several(docs, first, rest))
+    shared = docs.sparkSession.sparkContext.broadcast(first if rest is None else None)
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = batch.column(len(columns)).to_numpy()
-            masks = [hit_mask(n, s) if s else None for n, s in zip(words, batch.column(len(columns) + 1).to_pylist())]
-            hits = np.array([0 if m is None else m.sum() for m in masks], np.int64)
-            out = [batch.column(k) for k in range(len(columns))]
-            if mode == "documents":
-                keep = pa.array(~((hits > 0) & (20 * hits >= words)))
-                yield pa.RecordBatch.from_arrays(out, names=columns).filter(keep)
-                continue
-            at = columns.index("text")
-            texts = out[at].to_pylist()
-            for r, m in enumerate(masks):
-                if m is not None:
-                    raw = np.frombuffer(texts[r].encode(), np.uint8)
-                    w = tv.words(raw, np.array([0, len(raw)]), tv.ALNUM)
-                    cut = np.zeros(len(raw) + 1, np.int64)
-                    np.add.at(cut, w.start[m], 1)
-                    np.add.at(cut, w.end[m], -1)
-                    texts[r] = raw[np.cumsum(cut[:-1]) == 0].tobytes().decode()
-            out[at] = pa.array(texts, out[at].type)
-            yield pa.RecordBatch.from_arrays(out, names=columns)
-
-    return helper.mapInArrow(run, docs.schema)
+            if shared.value is not None:
+                found = [x[1:] for x in _found(shared.value, batch.column(1))]
+            else:
+                found = [(n, spans or [], items or []) for n, spans, items in zip(_n_words(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            columns = _judged(found)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(columns[c], kind) for c, kind in _DIGEST)], names=["doc_id", *(c for c, _ in _DIGEST)])
+
+    return rows.mapInArrow(tv.tidy(run), SCHEMA)
+
+
+def _cut(text: str | None, n_words: int, spans: list[int]) -> str | None:
+    """The text without its hit words; None where nothing is hit."""
+    if not spans:
+        return None
+    raw = np.frombuffer(text.encode(), np.uint8)
+    w = tv.words(raw, np.array([0, len(raw)]), tv.ALNUM)
+    m = hit_mask(n_words, spans)
+    cut = np.zeros(len(raw) + 1, np.int64)
+    np.add.at(cut, w.start[m], 1)
+    np.add.at(cut, w.end[m], -1)
+    return raw[np.cumsum(cut[:-1]) == 0].tobytes().decode()
+
+
+def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", width: int = WIDTH, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """Rows of ``docs`` with contaminated documents dropped, or (``mode="spans"``) with the hit words cut out of the text.
+
+    Of a kept document only the text travels to Python, and it does not come back.
+    """
+    if mode not in ("documents", "spans"):
+        raise ValueError(mode)
+    first, rest = _first_two(benchmark, block_windows, width)
+    rows = docs if rest is None else _with_hits(docs, _several(docs, first, rest))
+    shared = docs.sparkSession.sparkContext.broadcast(first if rest is None else None)
+
+    def found(text, spans):
+        if shared.value is not None:
+            return [(n, spans) for _, n, spans, _ in _found(shared.value, text)]
+        return [(n, x or []) for n, x in zip(_n_words(text), spans.to_pylist())]
+
+    @F.arrow_udf("boolean")
+    def bad(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        try:
+            for text, spans in batches:
+                yield pa.array(_judged([(n, x, ()) for n, x in found(text, spans)])["contaminated"], pa.bool_())
+        finally:
+            tv.release()
+
+    @F.arrow_udf("string")
+    def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        try:
+            for text, spans in batches:
+                yield pa.array([_cut(t.as_py(), n, x) if x else None for t, (n, x) in zip(text, found(text, spans))], pa.string())
+        finally:
+            tv.release()
+
+    known = F.lit(None).cast("array<int>") if rest is None else F.col("__dp_spans")
+    if mode == "documents":
+        return rows.where(~bad(F.col("text"), known)).select(docs.columns)
+    return rows.withColumn("text", F.coalesce(cut(F.col("text"), known), F.col("text"))).select(docs.columns)

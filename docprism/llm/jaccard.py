@@ -5,23 +5,26 @@ are linked; the result has each document's class (component of links).
 
 1. Each document becomes its set of 64-bit shingle hashes; equal sets are one
    node from here on, so copies never meet each other.
-2. Shingles that many sets share are found by lossy counting over all sets:
-   their table has at most ``MAX_FREQUENT`` entries whatever the corpus, as the
-   cut-off rises with the total.  It defines the global order: rare shingles
-   first, then classes of rising frequency.
+2. The same scan counts shingles by lossy counting: the table of frequent ones
+   has at most ``MAX_FREQUENT`` entries whatever the corpus, as the cut-off rises
+   with the total.  It defines the global order: rare shingles first, then
+   classes of rising frequency.
 3. A set indexes its first rare shingles one by one.  Where they do not reach
    the prefix bound, the prefix is extended into the frequent classes, and
    pairs of frequent shingles of one hash cell are indexed instead of single
    ones: a cell with c shingles loses c - 1 of them before its last pair goes,
    so pairs are taken until the bound is met again.  Signatures carry the size
    class; a set near a class border signs for both.
-4. Nodes that share a signature are compared by a 64-byte histogram of their
-   set, a lower bound of the symmetric difference.  Only a forest of the pairs
-   that may be similar leaves a list: rows stay below the number of signatures.
-   Long lists are reduced to leaders as they stream by.
-5. Components of that forest are the candidate classes.  Every set travels once
-   to its class (in blocks, where a class is large); pairs of a class that wide
-   histograms leave are counted exactly, unless links connect them already.
+4. Signatures with the same nodes are one list.  The nodes of a list are compared
+   by histograms of their sets, as wide as the sets need them: a lower bound of
+   the symmetric difference.  Long lists are reduced to leaders: first within
+   each task that signs, so that a list that a third of all sets are in enters
+   the shuffle as a few leaders of each task, then as they stream by.  Only a
+   forest of the pairs that may be similar leaves.
+5. Every candidate is compared exactly with its least neighbour in that forest,
+   group by group, large groups in slices.  Where candidates are still apart,
+   their groups are compared in blocks: only against the others, never within
+   what is linked already.
 6. Components of the verified links are the result.
 
 Defined results: without words a document has the empty set and is linked with
@@ -41,21 +44,30 @@ from pyspark.sql import functions as F
 
 from docprism.llm import textvec as tv
 from docprism.llm.components import connected
-from docprism.llm.store import Bitmap, materialize
+from docprism.llm.store import Bitmap, drop_materialized, materialize
 
 U64 = np.uint64
-WORDS, PERCENT = 3, 90
+WORDS, PERCENT = 5, 80
 #: Entries of the table of frequent shingles, and least count there.
-MAX_FREQUENT, LEAST_FREQUENT = 1 << 20, 32
+MAX_FREQUENT, LEAST_FREQUENT = 1 << 21, 32
 #: Shingles counted at a time, and least count in that window to be reported.
-COUNT_WINDOW, WINDOW_LEAST = 1 << 21, 4
-#: Largest block of a class that is verified at once.
-BLOCK_NODES, BLOCK_SHINGLES = 4096, 16_000_000
+COUNT_WINDOW, WINDOW_LEAST = 1 << 20, 4
+#: Signatures that a signing task holds at a time, and nodes of a list that it reduces to leaders.
+SIGN_WINDOW, LOCAL_LIST = 1 << 19, 64
 #: Nodes of a signature that are compared all with all; above, by leaders.
-LIST_PAIRS, LIST_CHUNK = 256, 1 << 15
-SKETCH = 64
-#: Buckets of the wide histograms in a class.
+LIST_PAIRS, LIST_CHUNK = 256, 1 << 14
+#: Members that a task compares with one candidate, and sizes of a block of candidates that are compared all with all.
+STAR_NODES, BLOCK_NODES, BLOCK_SHINGLES = 4096, 1024, 1 << 21
+#: Rows of one signature that a task holds to tell which others have the same nodes.
+HOLD_LIST = 1 << 20
+#: Buckets of a histogram: least and most, and shingles a bucket of a large set.
+SKETCH, SKETCH_MOST, SKETCH_LOAD = 64, 4096, 16
+#: Buckets of the wide histograms in a block.
 WIDE = 1024
+#: Histogram cells that are compared at a time.
+CELLS = 1 << 21
+_SCANNED = "kind int, doc_id long, n long, node long, sketch binary"
+_SIGNED = "sig long, node long, info long"
 _MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], U64)
 
 
@@ -72,6 +84,64 @@ def node_of(s: np.ndarray) -> int:
     return int(tv.mix(np.array([np.bitwise_xor.reduce(tv.mix(s ^ (n * _MULTIPLY[0])))], U64) + U64(len(s)))[0].astype(np.int64))
 
 
+def shape_of(s: np.ndarray) -> np.ndarray:
+    """Histogram of a set, a byte a bucket: wide enough that large sets without much in common differ by more than similar ones may."""
+    size = SKETCH
+    while size < SKETCH_MOST and size * SKETCH_LOAD < len(s):
+        size *= 2
+    return np.minimum(np.bincount((s & U64(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8)
+
+
+class Shapes:
+    """Histograms of several nodes; a wide one folds into any narrower one."""
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, size: np.ndarray):
+        self.data, self.start, self.size = data, start, size
+
+    @staticmethod
+    def of(column: pa.Array | list[np.ndarray]) -> Shapes:
+        if isinstance(column, list):
+            size = np.array([len(x) for x in column], np.int64)
+            return Shapes(np.concatenate([np.zeros(0, np.uint8), *column]), np.cumsum(size) - size, size)
+        _, off, data = column.cast(pa.large_binary()).buffers()
+        off = np.frombuffer(off, np.int64)[column.offset : column.offset + len(column) + 1]
+        return Shapes(np.frombuffer(data, np.uint8), off[:-1], np.diff(off))
+
+    def take(self, rows) -> Shapes:
+        return Shapes(self.data, self.start[rows], self.size[rows])
+
+    def joined(self, other: Shapes) -> Shapes:
+        own, more = self.packed(), other.packed()
+        return Shapes(np.concatenate([own.data, more.data]), np.append(own.start, more.start + len(own.data)), np.append(own.size, more.size))
+
+    def packed(self) -> Shapes:
+        """Without the bytes of nodes that were left behind."""
+        if int(self.size.sum()) == len(self.data):
+            return self
+        end = np.cumsum(self.size)
+        at = np.arange(end[-1] if len(end) else 0) + np.repeat(self.start - (end - self.size), self.size)
+        return Shapes(self.data[at], end - self.size, self.size)
+
+    def at(self, rows: np.ndarray, size: int) -> np.ndarray:
+        """Histograms of ``size`` buckets of the given rows."""
+        out = np.empty((len(rows), size), np.int16)
+        for own in np.unique(self.size[rows]):
+            held = np.flatnonzero(self.size[rows] == own)
+            cells = self.data[self.start[rows[held]][:, None] + np.arange(own)]
+            out[held] = cells if own == size else cells.reshape(len(held), own // size, size).sum(1, dtype=np.int16)
+        return out
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Least symmetric difference of the pairs of rows."""
+        out, size = np.zeros(len(i), np.int64), np.minimum(self.size[i], self.size[j])
+        for width in np.unique(size):
+            pairs = np.flatnonzero(size == width)
+            for lo in range(0, len(pairs), max(1, CELLS // int(width))):
+                k = pairs[lo : lo + max(1, CELLS // int(width))]
+                out[k] = np.abs(self.at(i[k], width) - self.at(j[k], width)).sum(1, dtype=np.int64)
+        return out
+
+
 def _sets(column, k: int) -> Iterator[tuple[int, np.ndarray]]:
     data, off = tv.buffers(column)
     for i, j in tv.row_blocks(off, 1 << 20):
@@ -80,70 +150,79 @@ def _sets(column, k: int) -> Iterator[tuple[int, np.ndarray]]:
             yield r, shingle_set(w.hash[w.first[r - i] : w.first[r - i + 1]], k)
 
 
-def _describe(k: int):
-    def run(batches):
-        for batch in batches:
-            n, nodes, sketches = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64), []
-            for r, s in _sets(batch.column(1), k):
-                n[r] = len(s)
-                nodes[r] = node_of(s) if len(s) else 0
-                sketches.append(np.minimum(np.bincount((s & U64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(nodes), pa.array(sketches, pa.binary())], names=["doc_id", "n", "node", "sketch"])
+class _Recent:
+    """Whether a task meets a set for the first time; may forget (copies are then only work, not errors)."""
 
-    return run
+    def __init__(self):
+        self.slots = np.zeros(1 << 16, np.int64)
 
+    def fresh(self, node: int) -> bool:
+        if self.slots[node & 0xFFFF] == node:
+            return False
+        self.slots[node & 0xFFFF] = node
+        return True
 
-def _count(k: int):
-    """Shingles of the distinct sets of a task that recur in a window of ``COUNT_WINDOW``."""
 
-    def flush(parts):
-        values, counts = np.unique(np.concatenate(parts), return_counts=True)
-        often = counts >= WINDOW_LEAST
-        return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often])], names=["token", "n"])
+class _Often:
+    """Counts of the shingles that recur in a window."""
 
-    def run(batches):
-        parts, size, seen = [], 0, set()
-        for batch in batches:
-            for _, s in _sets(batch.column(0), k):
-                if len(s) and _fresh(seen, node_of(s)):
-                    parts.append(s)
-                    size += len(s)
-                    if size >= COUNT_WINDOW:
-                        yield flush(parts)
-                        parts, size = [], 0
-        if parts:
-            yield flush(parts)
+    def __init__(self, window: int, least: int):
+        self.values, self.filled, self.least = np.empty(window, U64), 0, least
 
-    return run
+    def add(self, s: np.ndarray) -> Iterator[pa.RecordBatch]:
+        while len(s):
+            part, s = s[: len(self.values) - self.filled], s[len(self.values) - self.filled :]
+            self.values[self.filled : self.filled + len(part)] = part
+            self.filled += len(part)
+            if self.filled == len(self.values):
+                yield self.flush()
 
+    def flush(self) -> pa.RecordBatch:
+        v = self.values[: self.filled]
+        v.sort()
+        self.filled = 0
+        run = max(len(v) - self.least + 1, 0)
+        token = np.unique(v[:run][v[:run] == v[len(v) - run :]])
+        counts = np.searchsorted(v, token, "right") - np.searchsorted(v, token, "left")
+        none = pa.nulls(len(token), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), np.int32)), none, pa.array(counts), pa.array(token.view(np.int64)), pa.nulls(len(token), pa.binary())], names=["kind", "doc_id", "n", "node", "sketch"])
 
-def _fresh(seen: set, node: int) -> bool:
-    """Whether a task meets a set for the first time; forgets all now and then (copies are then only work, not errors)."""
-    if node in seen:
-        return False
-    if len(seen) > 500_000:
-        seen.clear()
-    seen.add(node)
-    return True
+
+def _describe(k: int):
+    """Of each document its set's size, identity and histogram (kind 0); counts of recurring shingles (kind 1: ``node`` is the shingle)."""
+    window, least = COUNT_WINDOW, WINDOW_LEAST
+
+    def run(batches):
+        often, recent = _Often(window, least), _Recent()
+        for batch in batches:
+            n, nodes, shapes = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64), [None] * len(batch)
+            for r, s in _sets(batch.column(1), k):
+                if len(s):
+                    n[r], nodes[r], shapes[r] = len(s), node_of(s), shape_of(s).tobytes()
+                    if recent.fresh(nodes[r]):
+                        yield from often.add(s)
+            kinds = pa.array(np.zeros(len(batch), np.int32))
+            yield pa.RecordBatch.from_arrays([kinds, batch.column(0), pa.array(n), pa.array(nodes), pa.array(shapes, pa.binary())], names=["kind", "doc_id", "n", "node", "sketch"])
+        yield often.flush()
+
+    return tv.tidy(run)
 
 
 class Frequent:
-    """Class (rising with frequency, 0 for rare) of shingles."""
+    """Class (rising with frequency, 0 for rare) of shingles, from a table of slots by hash.
+
+    A rare shingle that shares the slot of a frequent one counts as frequent, in
+    every set alike: any order that all sets share keeps the guarantee.
+    """
 
     def __init__(self, tokens: np.ndarray, counts: np.ndarray):
-        order = np.argsort(tokens)
-        self.tokens = tokens[order]
-        self.classes = (1 + np.log2(np.maximum(counts[order], 1)).astype(np.uint8)).astype(np.uint8)
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.tokens >> U64(44)).astype(np.int64)] = True
+        bits = min(24, max(16, (8 * len(tokens)).bit_length()))
+        self.shift = U64(64 - bits)
+        self.slots = np.zeros(1 << bits, np.uint8)
+        np.maximum.at(self.slots, (tokens >> self.shift).astype(np.int64), (1 + np.log2(np.maximum(counts, 1)).astype(np.uint8)).astype(np.uint8))
 
     def of(self, s: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(s), np.uint8)
-        at = np.flatnonzero(self.bits[(s >> U64(44)).astype(np.int64)])
-        if len(at):
-            i = np.minimum(np.searchsorted(self.tokens, s[at]), len(self.tokens) - 1)
-            out[at] = np.where(self.tokens[i] == s[at], self.classes[i], 0)
-        return out
+        return self.slots[(s >> self.shift).astype(np.int64)]
 
 
 def signatures(s: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
@@ -176,145 +255,293 @@ def signatures(s: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+def _bound(percent: int):
+    """Largest symmetric difference of similar sets with so many shingles together."""
+    return lambda total: total - 2 * (-(-percent * total // (100 + percent)))
+
+
+class Leaders:
+    """Leaders of one list: each node is within ``reach`` of its leader; never loses a pair that may be similar.
+
+    ``info`` of a node: 0, or for a leader of another task's nodes their largest
+    set (shifted by 31 bits) and the radius around it in which they lie.
+    """
+
+    def __init__(self, bound):
+        self.bound, self.reach, self.top = bound, 0, 0
+        self.nodes, self.radii = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.shapes = np.zeros((0, SKETCH_MOST), np.int16)
+
+    def absorb(self, node, n, shapes: Shapes, info) -> tuple[np.ndarray, np.ndarray]:
+        """Edges from leaders to the given nodes."""
+        most, radius = info >> 31, info & ((1 << 31) - 1)
+        self.top = max(self.top, int(n.max()), int(most.max()))
+        self.reach = max(self.reach, self.bound(2 * self.top), self.bound(2 * self.top - 1))  # the bound rises over even and over odd totals, not from one to the next
+        width = min(self.shapes.shape[1], int(shapes.size.min()))
+        self.shapes = self.shapes.reshape(len(self.shapes), self.shapes.shape[1] // width, width).sum(1, dtype=np.int16)
+        a, b = [], []
+        step = max(1, CELLS // width)
+        for lo in range(0, len(node), step):
+            rows = np.arange(lo, min(len(node), lo + step))
+            self._absorb(node[rows], shapes.at(rows, width), radius[rows], a, b)
+        return np.concatenate(a), np.concatenate(b)
+
+    def _absorb(self, node, shape, radius, a, b):
+        free = np.arange(len(node))
+        new, new_radii, k = [], [], 0
+        while len(free):
+            known = k < len(self.nodes)
+            center = self.shapes[k] if known else shape[free[0]]
+            away = np.abs(shape[free] - center).sum(1, dtype=np.int64) + radius[free]
+            near = away <= self.reach
+            if not known:
+                near[0] = True
+                new.append(free[0])
+                new_radii.append(0)
+            if near.any():
+                held = free[near]
+                a.append(np.full(len(held), self.nodes[k] if known else node[free[0]]))
+                b.append(node[held])
+                if known:
+                    self.radii[k] = max(self.radii[k], away[near].max())
+                else:
+                    new_radii[-1] = int(away[near].max())
+                free = free[~near]
+            k += 1
+        if new:
+            self.nodes, self.radii = np.append(self.nodes, node[new]), np.append(self.radii, new_radii)
+            self.shapes = np.concatenate([self.shapes, shape[new]])
+
+    def close(self) -> tuple[np.ndarray, np.ndarray]:
+        """Edges between the leaders whose nodes may be similar."""
+        a, b = [], []
+        for k in range(1, len(self.nodes)):
+            apart = np.abs(self.shapes[:k] - self.shapes[k]).sum(1, dtype=np.int64)
+            close = np.flatnonzero(apart <= self.radii[:k] + self.radii[k] + self.reach)
+            a.append(self.nodes[close])
+            b.append(np.full(len(close), self.nodes[k]))
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+    def info(self) -> np.ndarray:
+        return (np.int64(self.top) << 31) | self.radii
+
+
+class _Window:
+    """Signatures of some of a task's sets; of long lists only leaders go on, and edges to them (``info`` -1: ``sig`` and ``node`` are linked)."""
+
+    def __init__(self, bound, most: int, long: int):
+        self.bound, self.most, self.long = bound, most, long
+        self._clear()
+
+    def _clear(self):
+        self.sigs, self.nodes, self.n, self.shapes, self.size = [], [], [], [], 0
+
+    def add(self, node: int, s: np.ndarray, sigs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.sigs.append(sigs)
+        self.nodes.append(node)
+        self.n.append(len(s))
+        self.shapes.append(shape_of(s))
+        self.size += len(sigs)
+        if self.size >= self.most:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.nodes:
+            return
+        sig = np.concatenate(self.sigs)
+        owner = np.repeat(np.arange(len(self.nodes)), [len(x) for x in self.sigs])
+        node, n, shapes = np.array(self.nodes, np.int64), np.array(self.n, np.int64), Shapes.of(self.shapes)
+        self._clear()
+        order = np.argsort(sig, kind="stable")
+        sig, owner = sig[order], owner[order]
+        starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        sizes = np.diff(np.append(starts, len(sig)))
+        info, keep = np.zeros(len(sig), np.int64), np.ones(len(sig), bool)
+        met: dict[bytes, tuple] = {}  # copies with few edits share most of their lists
+        a, b = [], []
+        for start, size in zip(starts[sizes > self.long], sizes[sizes > self.long]):
+            members = owner[start : start + size]
+            if (key := members.tobytes()) not in met:
+                held = Leaders(self.bound)
+                x, y = held.absorb(node[members], n[members], shapes.take(members), np.zeros(size, np.int64))
+                a.append(x)
+                b.append(y)
+                by_node = np.argsort(held.nodes)
+                at = by_node[np.minimum(np.searchsorted(held.nodes[by_node], node[members]), len(by_node) - 1)]
+                met[key] = held.nodes[at] == node[members], held.info()[at]
+            keep[start : start + size], info[start : start + size] = met[key]
+        yield pa.RecordBatch.from_arrays([pa.array(sig[keep].view(np.int64)), pa.array(node[owner[keep]]), pa.array(info[keep])], names=["sig", "node", "info"])
+        if a:
+            a, b = np.concatenate(a), np.concatenate(b)
+            a, b = _forest(a[a != b], b[a != b])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), -1, np.int64))], names=["sig", "node", "info"])
+
+
 def _sign(shared, k: int, percent: int):
+    most, long = SIGN_WINDOW, LOCAL_LIST
+
     def run(batches):
-        frequent, seen = shared.value, set()
+        frequent, recent, window = shared.value, _Recent(), _Window(_bound(percent), most, long)
         for batch in batches:
-            sigs, nodes = [], []
             for _, s in _sets(batch.column(0), k):
-                if len(s) and _fresh(seen, node := node_of(s)):
-                    x = signatures(s, frequent.of(s), percent)
-                    sigs.append(x.view(np.int64))
-                    nodes.append(np.full(len(x), node, np.int64))
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(nodes))], names=["sig", "node"])
+                if len(s) and recent.fresh(node := node_of(s)):
+                    yield from window.add(node, s, signatures(s, frequent.of(s), percent))
+        yield from window.flush()
 
-    return run
+    return tv.tidy(run)
 
 
-def _shared(batches):
-    """Of rows sorted by (sig, node), those whose signature another node has too."""
-    carry = None  # the last row so far and whether the one before it had its signature
-    for batch in batches:
-        sig, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        joined = False
-        if carry is not None:
-            sig, node, joined = np.append(carry[0], sig), np.append(carry[1], node), carry[2]
-        if not len(sig):
-            continue
-        keep = np.ones(len(sig), bool)
-        keep[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-        sig, node = sig[keep], node[keep]
-        before = np.zeros(len(sig), bool)
-        before[1:] = sig[1:] == sig[:-1]
-        before[0] = joined
-        carry = sig[-1], node[-1], bool(before[-1])
-        many = before[:-1] | before[1:]
-        yield pa.RecordBatch.from_arrays([pa.array(sig[:-1][many]), pa.array(node[:-1][many])], names=["sig", "node"])
-    if carry is not None and carry[2]:
-        yield pa.RecordBatch.from_arrays([pa.array([carry[0]]), pa.array([carry[1]])], names=["sig", "node"])
-
-
-def _groups(batches, n_keys: int) -> Iterator[tuple[bool, list[pa.RecordBatch]]]:
-    """Slices of sorted batches as (ends here, slice) of one key each; large groups come in several parts."""
-    held, key = [], None
-    for batch in batches:
-        if not len(batch):
-            continue
-        keys = [batch.column(c).to_numpy() for c in range(n_keys)]
-        change = np.zeros(len(batch), bool)
-        for x in keys:
-            change[1:] |= x[1:] != x[:-1]
-        cuts = [0, *np.flatnonzero(change), len(batch)]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            this = tuple(x[a] for x in keys)
-            if held and this != key:
-                yield True, held
-                held = []
-            key = this
-            held.append(batch.slice(a, b - a))
-            if sum(map(len, held)) >= LIST_CHUNK:
-                yield False, held
-                held = []
-    if held:
-        yield True, held
-
-
-def _may_link(shared_percent: int):
-    """Forest edges among the nodes of each signature that the histograms cannot tell apart (rows sorted by signature)."""
-    p = shared_percent
-
-    def bound(total):  # largest symmetric difference of similar sets with so many shingles together
-        return total - 2 * (-(-p * total // (100 + p)))
-
-    def short(sig, node, n, sketch):
-        """Of whole short lists, the pairs that may be similar: place by place over all lists at once, each pair once."""
+def _shared():
+    """Of rows sorted by (sig, node), edges, and the lists of signatures that several nodes have.
+
+    A list goes by the hash of its rows in place of its signature, so that lists
+    with the same rows are one; a task emits it once.  Only a list too long to
+    hold keeps a name of its own.
+    """
+    most = HOLD_LIST
+
+    def run(batches):
+        seen = np.zeros(1 << 18, U64)
+        held, open_ = None, None  # rows of the last signature; the last signature, if part of its rows have gone already
+        for batch in _with_end(batches):
+            rows = np.zeros((3, 0), np.int64)
+            if batch is not None:
+                rows = np.stack([batch.column(c).to_numpy() for c in range(3)])
+                edges = rows[2] == -1
+                if edges.any():
+                    yield _signed(rows[:, edges])
+                    rows = rows[:, ~edges]
+            if held is not None:
+                rows = np.concatenate([held, rows], axis=1)
+                held = None
+            if not rows.shape[1]:
+                continue
+            first = np.flatnonzero(np.append(True, (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])))
+            top, radius = np.maximum.reduceat(rows[2] >> 31, first), np.maximum.reduceat(rows[2] & ((1 << 31) - 1), first)
+            rows = np.stack([rows[0, first], rows[1, first], (top << 31) | radius])
+            starts = np.flatnonzero(np.append(True, rows[0, 1:] != rows[0, :-1]))
+            if open_ is not None:
+                end = starts[1] if len(starts) > 1 else rows.shape[1]
+                if rows[0, 0] == open_:
+                    yield _signed(rows[:, :end])
+                    rows = rows[:, end:]
+                    if not rows.shape[1]:
+                        continue
+                    starts = starts[1:] - end
+                open_ = None
+            if batch is not None:
+                held, rows, starts = rows[:, starts[-1] :], rows[:, : starts[-1]], starts[:-1]
+                if held.shape[1] >= most:
+                    yield _signed(held)
+                    held, open_ = None, held[0, 0]
+            sizes = np.diff(np.append(starts, rows.shape[1]))
+            rows, sizes = rows[:, np.repeat(sizes > 1, sizes)], sizes[sizes > 1]
+            if not len(sizes):
+                continue
+            starts = np.cumsum(sizes) - sizes
+            name = tv.mix(rows[1].view(U64) * _MULTIPLY[0] + rows[2].view(U64) * _MULTIPLY[1])
+            name = tv.mix(np.add.reduceat(name, starts) + sizes.astype(U64))
+            fresh = np.zeros(len(name), bool)
+            fresh[np.unique(name, return_index=True)[1]] = True
+            slot = (name >> U64(64 - 18)).astype(np.int64)
+            fresh &= seen[slot] != name
+            seen[slot] = name
+            rows[0] = np.repeat(name.view(np.int64), sizes)
+            yield _signed(rows[:, np.repeat(fresh, sizes)])
+
+    return tv.tidy(run)
+
+
+def _signed(rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["sig", "node", "info"])
+
+
+def _short_lists(percent: int):
+    """Of whole short lists, the pairs that may be similar: place by place over all lists at once, each pair once."""
+    bound = _bound(percent)
+    seen = np.zeros(1 << 18, U64)  # pairs met before, direct-mapped
+
+    def run(sig, node, n, shapes):
         found_a, found_b = [], []
         for gap in range(1, len(sig)):
             at = np.flatnonzero(sig[gap:] == sig[:-gap])
             if not len(at):
                 break
             small, large = np.minimum(n[at], n[at + gap]), np.maximum(n[at], n[at + gap])
-            at = at[100 * small >= p * large]
+            at = at[100 * small >= percent * large]
             x, y = np.minimum(node[at], node[at + gap]), np.maximum(node[at], node[at + gap])
             key = tv.mix(x.view(U64) * _MULTIPLY[0] + y.view(U64))
             slot = (key >> U64(64 - 18)).astype(np.int64)
             new = seen[slot] != key
             seen[slot] = key
             at, x, y = at[new], x[new], y[new]
-            for lo in range(0, len(at), 20_000):
-                i = at[lo : lo + 20_000]
-                apart = np.abs(sketch[i] - sketch[i + gap]).sum(1)
-                close = np.flatnonzero(apart <= bound(n[i] + n[i + gap])) + lo
-                found_a.append(x[close])
-                found_b.append(y[close])
+            close = shapes.apart(at, at + gap) <= bound(n[at] + n[at + gap])
+            found_a.append(x[close])
+            found_b.append(y[close])
         if not found_a:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return _forest(np.concatenate(found_a), np.concatenate(found_b))
 
-    def arrays(batch):
-        raw = batch.column(3)
-        sketch = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
-        return [batch.column(c).to_numpy() for c in range(3)] + [sketch]
+    return run
+
+
+def _may_link(percent: int):
+    """Forest edges among the nodes of each list that the histograms cannot tell apart (rows ``sig, node, n, info, sketch`` sorted by list)."""
+    pairs, chunk = LIST_PAIRS, LIST_CHUNK
+
+    def part(now, rows):
+        return [*(x[rows] for x in now[:4]), now[4].take(rows)]
 
     def run(batches):
-        held, leaders = None, None  # rows of the list that the last batch cut; leaders of a list too long to hold
+        bound, short = _bound(percent), _short_lists(percent)
+        held, going, going_sig = None, None, None  # rows of the list that the last batch cut; leaders of a list too long to hold
+
+        def ended(leaders):
+            yield from _edges(*leaders.close())
+
         for batch in _with_end(batches):
-            if batch is not None and not len(batch):
+            now = [*(batch.column(c).to_numpy() for c in range(4)), Shapes.of(batch.column(4))] if batch is not None and len(batch) else None
+            if batch is not None and now is None:
                 continue
-            now = arrays(batch) if batch is not None else None
             if held is not None:
-                now = [np.concatenate([x, y]) for x, y in zip(held, now)] if now is not None else held
-            held = None
-            if now is None or not len(now[0]):
+                now = [*(np.concatenate([x, y]) for x, y in zip(held[:4], now[:4])), held[4].joined(now[4])] if now is not None else held
+                held = None
+            if going is not None and (now is None or now[0][0] != going_sig):
+                yield from ended(going)
+                going = None
+            if now is None:
                 continue
             sig = now[0]
             starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
             sizes = np.diff(np.append(starts, len(sig)))
             if batch is not None:  # the last list may go on
-                held = [x[starts[-1] :] for x in now]
-                if sizes[-1] >= LIST_CHUNK or leaders is not None and leaders[3] == sig[-1]:
-                    a, b, leaders = _lead(*held[1:], leaders[:3] if leaders is not None and leaders[3] == sig[-1] else None, bound)
-                    leaders.append(sig[-1])
-                    held = None
-                    yield from _edges(a, b)
-                starts, sizes = starts[:-1], sizes[:-1]
-            going = leaders is not None and len(starts) and sig[starts[0]] == leaders[3]
-            long = [k for k in range(len(starts)) if sizes[k] > LIST_PAIRS or (k == 0 and going)]
-            for k in long:
-                part = [x[starts[k] : starts[k] + sizes[k]] for x in now[1:]]
-                a, b, _ = _lead(*part, leaders[:3] if k == 0 and going else None, bound)
-                yield from _edges(a, b)
-            if long and going:
-                leaders = None
-            whole = np.repeat(sizes <= LIST_PAIRS, sizes)
-            if long and long[0] == 0:
-                whole[: sizes[0]] = False
-            rows = [x[: len(whole)][whole] for x in now]
-            yield from _edges(*short(*rows))
-
-    seen = np.zeros(1 << 18, U64)  # pairs met before, direct-mapped
-    return run
+                tail = part(now, slice(starts[-1], None))
+                more = going is not None and going_sig == tail[0][0]
+                if more or sizes[-1] >= chunk:
+                    if not more:
+                        going, going_sig = Leaders(bound), tail[0][0]
+                    yield from _edges(*going.absorb(tail[1], tail[2], tail[4], tail[3]))
+                else:
+                    held = [*tail[:4], tail[4].packed()]
+                now, starts, sizes = part(now, slice(0, starts[-1])), starts[:-1], sizes[:-1]
+                if more or not len(starts):
+                    continue
+            long = sizes > pairs
+            long |= np.maximum.reduceat(now[3], starts) > 0
+            if going is not None and going_sig == sig[0]:
+                long[0] = True
+            for k in np.flatnonzero(long):
+                rows = part(now, slice(starts[k], starts[k] + sizes[k]))
+                leaders = going if k == 0 and going is not None and going_sig == rows[0][0] else Leaders(bound)
+                if leaders is going:
+                    going = None
+                yield from _edges(*leaders.absorb(rows[1], rows[2], rows[4], rows[3]))
+                yield from ended(leaders)
+            rows = part(now, np.repeat(~long, sizes))
+            yield from _edges(*short(rows[0], rows[1], rows[2], rows[4]))
+
+    return tv.tidy(run)
 
 
 def _with_end(batches):
@@ -323,46 +550,11 @@ def _with_end(batches):
 
 
 def _edges(a, b):
+    a, b = _forest(a[a != b], b[a != b])
     if len(a):
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def _lead(node, n, sketch, leaders, bound):
-    """Link every node to a leader within the list's bound, and leaders that members could connect; never misses a pair."""
-    if leaders is None:
-        leaders = [np.zeros(0, np.int64), np.zeros((0, SKETCH), np.int16), 0]
-    most = 2 * int(n.max())
-    reach = max(leaders[2], bound(most), bound(most - 1))  # the bound rises over even and over odd totals, not from one to the next
-    a, b = [], []
-    old, old_sketch = leaders[0], leaders[1]
-    free = np.ones(len(node), bool)
-    for k in range(len(old)):
-        at = np.flatnonzero(free)
-        near = at[np.abs(sketch[at] - old_sketch[k]).sum(1) <= reach]
-        free[near] = False
-        a.append(np.full(len(near), old[k]))
-        b.append(node[near])
-    new, new_sketch = [], []
-    while free.any():
-        at = np.flatnonzero(free)
-        near = at[np.abs(sketch[at] - sketch[at[0]]).sum(1) <= reach]
-        free[near] = False
-        a.append(np.full(len(near), node[at[0]]))
-        b.append(node[near])
-        new.append(node[at[0]])
-        new_sketch.append(sketch[at[0]])
-    wider = reach > leaders[2]  # a larger bound than before: the old leaders meet again
-    if new or wider:
-        every, shapes = np.append(old, np.array(new, np.int64)), np.concatenate([old_sketch, np.array(new_sketch, np.int16).reshape(-1, SKETCH)])
-        for k in range(1 if wider else max(1, len(old)), len(every)):
-            close = np.flatnonzero(np.abs(shapes[:k] - shapes[k]).sum(1) <= 3 * reach)
-            a.append(every[close])
-            b.append(np.full(len(close), every[k]))
-        old, old_sketch = every, shapes
-    a, b = np.concatenate(a), np.concatenate(b)
-    return (*_forest(a[a != b], b[a != b]), [old, old_sketch, reach])
-
-
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Star edges (least node, other) of the components of the edges."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -383,7 +575,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _emit_sets(k: int):
-    """The sets of class members, for verification."""
+    """The sets of candidates, for verification."""
 
     def run(batches):
         for batch in batches:
@@ -391,39 +583,70 @@ def _emit_sets(k: int):
             wanted = batch.column(1).to_numpy()
             for r, s in _sets(batch.column(0), k):
                 if len(s) and node_of(s) == wanted[r]:
-                    rows.append(r)
+                    rows.append(wanted[r])
                     sets.append(s.tobytes())
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in (1, 2, 3, 4)), pa.array(sets, pa.binary())], names=["node", "cls", "_blocks", "_own", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(sets, pa.binary())], names=["node", "tokens"])
 
-    return run
+    return tv.tidy(run)
+
+
+def _common(s: np.ndarray, t: np.ndarray) -> int:
+    """Shared elements of two sorted sets."""
+    if len(s) < len(t):
+        s, t = t, s
+    return int((s[np.minimum(np.searchsorted(s, t), len(s) - 1)] == t).sum())
 
 
-def links_of(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _check_stars(percent: int):
+    """Links of the members to the center of their group (rows sorted by group, the center first)."""
+
+    def run(batches):
+        center, of = None, None
+        for batch in batches:
+            group, center_here, node = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            tokens, a, b = batch.column(4), [], []
+            for r in range(len(batch)):
+                s = np.frombuffer(tokens[r].as_buffer(), U64)
+                if center_here[r] == 0:
+                    center, of = s.copy(), group[r]
+                elif of == group[r]:
+                    both = _common(center, s)
+                    if 100 * both >= percent * (len(s) + len(center) - both):
+                        a.append(group[r][0])
+                        b.append(node[r])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return tv.tidy(run)
+
+
+def links_of(sets: list[np.ndarray], percent: int, group: np.ndarray | None = None, block: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (positions a, b) of the pairs of sets that reach the threshold, exactly.
 
     Wide histograms bound the symmetric difference from below; pairs they leave
     are counted exactly, nearest first, unless links already connect them.
+    ``group``: what is linked already; ``block``: only sets of two blocks are compared.
     """
     n = np.array([len(s) for s in sets], np.int64)
     m = len(sets)
     shape = np.zeros((m, WIDE), np.int16)
     for k, s in enumerate(sets):
         shape[k] = np.minimum(np.bincount((s & U64(WIDE - 1)).astype(np.int64), minlength=WIDE), 32_000)
-    group = np.arange(m)
+    group = np.arange(m) if group is None else np.unique(group, return_inverse=True)[1]
     a, b = [], []
     for i in range(1, m):
         total = n[:i] + n[i]
-        near = np.flatnonzero((group[:i] != group[i]) & (100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i])))
+        able = (group[:i] != group[i]) & (100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i]))
+        if block is not None:
+            able &= block[:i] != block[i]
+        near = np.flatnonzero(able)
         if not len(near):
             continue
         apart = np.abs(shape[near] - shape[i]).sum(1, dtype=np.int64)
-        most = total[near] - 2 * (-(-percent * total[near] // (100 + percent)))
-        ok = apart <= most
+        ok = apart <= _bound(percent)(total[near])
         near = near[ok][np.argsort(apart[ok], kind="stable")]
         while len(near):
             j = near[0]
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            both = _common(sets[i], sets[j])
             if 100 * both >= percent * (n[i] + n[j] - both):
                 a.append(j)
                 b.append(i)
@@ -434,79 +657,139 @@ def links_of(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarr
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _verify(percent: int):
+def _check_blocks(percent: int):
+    """Links between the sets of two blocks, and in home parts within them (rows sorted by class and part): ``cls, part, home, block, node, comp, tokens``."""
+
     def run(batches):
-        sets = {}
-        for ends, parts in _groups(batches, 2):
-            for x in parts:
-                for node, raw in zip(x.column(2).to_pylist(), x.column(3)):
-                    if node not in sets:
-                        sets[node] = np.frombuffer(raw.as_buffer(), U64).copy()
-            if not ends:
-                continue
-            nodes = np.array(list(sets), np.int64)
-            a, b = links_of(list(sets.values()), percent)
-            sets = {}
+        held: dict[int, tuple] = {}
+        key, home = None, True
+
+        def done():
+            nodes = np.array(list(held), np.int64)
+            block = None if home else np.array([x[1] for x in held.values()])
+            a, b = links_of([x[2] for x in held.values()], percent, np.array([x[0] for x in held.values()], np.int64), block)
             if len(a):
                 a, b = _forest(nodes[a], nodes[b])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return run
+        for batch in batches:
+            cls, part, homes, blocks, nodes, comps = (batch.column(c).to_pylist() for c in range(6))
+            tokens = batch.column(6)
+            for r in range(len(batch)):
+                if (cls[r], part[r]) != key:
+                    yield from done()
+                    held, key, home = {}, (cls[r], part[r]), homes[r]
+                if nodes[r] not in held:
+                    held[nodes[r]] = comps[r], blocks[r], np.frombuffer(tokens[r].as_buffer(), U64).copy()
+        yield from done()
 
+    return tv.tidy(run)
 
-def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of each document; ``percent``: the threshold."""
+
+def _candidates(docs: DataFrame, scanned: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """``a, b``: a forest of the pairs of nodes that may be similar."""
+    spark = docs.sparkSession
+    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    cut = max(LEAST_FREQUENT, -(-total // MAX_FREQUENT))
+    counted = scanned.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= cut).toArrow()  # about total / cut <= MAX_FREQUENT rows
+    shared = spark.sparkContext.broadcast(Frequent(counted["node"].to_numpy().view(U64), counted["n"].to_numpy()))
+    signed = docs.where("doc_id is not null").select("text").mapInArrow(_sign(shared, words, percent), _SIGNED)
+    several = materialize(signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_shared(), _SIGNED), "signatures")
+    lists = several.where("info >= 0").distinct().join(nodes.select("node", "n", "sketch"), "node").select("sig", "node", "n", "info", "sketch")
+    linked = lists.repartition("sig").sortWithinPartitions("sig").mapInArrow(_may_link(percent), "a long, b long")
+    edges = linked.unionByName(several.where("info = -1").select(F.col("sig").alias("a"), F.col("node").alias("b")))
+    forest = materialize(edges.distinct(), "candidates")
+    drop_materialized(spark, several)
+    return forest
+
+
+def _verified(docs: DataFrame, forest: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """``node, root, least``: each candidate with the component of its verified links."""
+    spark = docs.sparkSession
+    members = materialize(forest.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least", "n"), "node"), "members")
+    near = docs.where(Bitmap(members, "least").has(F.col("doc_id")))  # most texts never travel
+    texts = members.join(near, members["least"] == near["doc_id"]).select("text", "node")
+    sets = materialize(texts.mapInArrow(_emit_sets(words), "node long, tokens binary"), "candidate-sets")
+
+    parents = forest.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("grp"))
+    slices = parents.groupBy("grp").agg(F.ceil(F.count("*") / STAR_NODES).cast("int").alias("slices"))
+    around = sets.join(parents.join(slices, "grp"), "node").select("grp", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int").alias("slice"), F.lit(1).alias("role"), "node", "tokens")
+    centers = sets.join(slices, sets["node"] == slices["grp"]).select("grp", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("role"), "node", "tokens")
+    stars = centers.unionByName(around).repartition("grp", "slice").sortWithinPartitions("grp", "slice", "role")
+    first = connected(stars.mapInArrow(_check_stars(percent), "a long, b long"))
+    of = members.join(first, "node", "left").select("node", "least", "n", F.coalesce("root", "node").alias("comp"))
+    of = materialize(of, "linked")
+    drop_materialized(spark, members)
+
+    side = lambda name: of.select(F.col("node").alias(name), F.col("comp").alias(f"c{name}"))
+    apart = forest.join(side("a"), "a").join(side("b"), "b").where("ca <> cb")
+    apart = materialize(apart.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "apart")
+    if apart.isEmpty():
+        drop_materialized(spark, sets, apart)
+        return of.select("node", "least", F.col("comp").alias("root"))
+    placed = _placed(of, connected(apart))
+    rows = sets.join(placed, "node").select("cls", "part", "home", "block", "node", "comp", "tokens")
+    links = rows.repartition("cls", "part").sortWithinPartitions("cls", "part").mapInArrow(_check_blocks(percent), "a long, b long")
+    more = connected(links.join(side("a"), "a").join(side("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    drop_materialized(spark, sets, apart)
+    return of.join(more.select(F.col("node").alias("comp"), "root"), "comp", "left").select("node", "least", F.coalesce("root", "comp").alias("root"))
+
+
+def _placed(of: DataFrame, groups: DataFrame) -> DataFrame:
+    """``node, comp, cls, block, part, home``: members of classes that hold several components, in the pairs of blocks in which they meet.
+
+    The largest component of a class has blocks of its own, which never meet each
+    other.  A class of two nodes was its only pair, which is checked already.
+    """
+    inside = of.join(groups.select(F.col("node").alias("comp"), F.col("root").alias("cls")), "comp")
+    sizes = inside.groupBy("cls", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("t"))
+    main = F.max(F.struct("m", "comp", "t"))
+    classes = sizes.groupBy("cls").agg(main.alias("main"), F.sum("m").alias("m"), F.sum("t").alias("t")).where("m > 2")
+    blocks = lambda m, t: F.greatest(F.ceil(m / BLOCK_NODES), F.ceil(t / BLOCK_SHINGLES)).cast("int")
+    classes = classes.select("cls", F.col("main.comp").alias("_main"), blocks(F.col("main.m"), F.col("main.t")).alias("_mb"), blocks(F.col("m") - F.col("main.m"), F.col("t") - F.col("main.t")).alias("_ob"))
+    rows = inside.join(classes, "cls")
+    held = F.xxhash64("node")
+    is_main = F.col("comp") == F.col("_main")
+    rows = rows.withColumn("block", F.when(is_main, F.pmod(held, F.col("_mb"))).otherwise(F.col("_mb") + F.pmod(held, F.col("_ob"))).cast("int"))
+    rows = rows.withColumn("_all", F.col("_mb") + F.col("_ob")).withColumn("_from", F.when(is_main, F.col("_mb")).otherwise(F.lit(0)))
+    rows = rows.withColumn("_other", F.explode(F.expr("filter(sequence(_from, _all - 1), b -> b <> block)")))
+    first, second = F.least("block", "_other"), F.greatest("block", "_other")
+    return rows.select("node", "comp", "cls", "block", (first.cast("long") * F.col("_all") + second).alias("part"), (first == 0).alias("home"))
+
+
+def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The result of :func:`classes` and the tables that it reads."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = materialize(docs.mapInArrow(_describe(words), "doc_id long, n long, node long, sketch binary"), "sets")
+    scanned = materialize(docs.mapInArrow(_describe(words), _SCANNED), "sets")
+    described = scanned.where("kind = 0")
     real = described.where("n > 0 and doc_id is not null")
     nodes = materialize(real.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
-    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-
-    usable = docs.where("doc_id is not null").select("text")
-    cut = max(LEAST_FREQUENT, -(-total // MAX_FREQUENT))
-    counted = usable.mapInArrow(_count(words), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= cut)
-    table = counted.toArrow()  # at most total / cut <= MAX_FREQUENT rows
-    frequent = Frequent(table["token"].to_numpy().view(U64), table["n"].to_numpy())
-    shared = spark.sparkContext.broadcast(frequent)
-
-    signed = usable.mapInArrow(_sign(shared, words, percent), "sig long, node long")
-    several = signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, node long")
-    lists = several.join(nodes.select("node", "n", "sketch"), "node").select("sig", "node", "n", "sketch")
-    forest = lists.repartition("sig").sortWithinPartitions("sig").mapInArrow(_may_link(percent), "a long, b long")
-    candidates = connected(forest)
-
-    members = candidates.join(nodes, "node").select("node", F.col("root").alias("cls"), "least", "n")
-    members = materialize(members, "members")
-    sizes = members.groupBy("cls").agg(F.count("*").alias("_m"), F.sum("n").alias("_t"))
-    blocks = F.greatest(F.ceil(F.col("_m") / BLOCK_NODES), F.ceil(F.col("_t") / BLOCK_SHINGLES)).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
-    placed = members.join(sizes.select("cls", blocks.alias("_blocks")), "cls").withColumn("_own", own)
-    others = F.when(F.col("_blocks") == 1, F.array(F.lit(0))).otherwise(F.expr("filter(sequence(0, _blocks - 1), b -> b <> _own)"))
-    part = F.when(F.col("_blocks") == 1, F.lit(0)).otherwise(F.least("_own", "_other") * F.col("_blocks") + F.greatest("_own", "_other"))
-    near = Bitmap(members, "least").split(docs, "doc_id", True)  # most texts never travel
-    texts = placed.join(near, placed["least"] == near["doc_id"]).select("text", "node", "cls", "_blocks", "_own")
-    held = texts.mapInArrow(_emit_sets(words), "node long, cls long, _blocks int, _own int, tokens binary")
-    sets = held.withColumn("_other", F.explode(others)).select("cls", part.cast("int").alias("part"), "node", "tokens")
-    links = sets.repartition("cls", "part").sortWithinPartitions("cls", "part").mapInArrow(_verify(percent), "a long, b long")
-    roots = connected(links)
-
-    least = F.min("least").alias("component_id")
-    labelled = roots.join(nodes.select("node", "least"), "node")
-    groups = labelled.groupBy("root").agg(least)
-    of_node = nodes.select("node", "least").join(roots.join(groups, "root").select("node", "component_id"), "node", "left")
-    of_node = of_node.select(F.col("node").alias("_node"), F.coalesce("component_id", "least").alias("_component"))
+    forest = _candidates(docs, scanned, nodes, words, percent)
+    roots = _verified(docs, forest, nodes, words, percent)
+    groups = roots.groupBy("root").agg(F.min("least").alias("_component"))
+    of_node = nodes.select("node", "least").join(roots.join(groups, "root").select("node", "_component"), "node", "left")
+    of_node = materialize(of_node.select(F.col("node").alias("_node"), F.coalesce("_component", "least").alias("_component")), "components")
+    drop_materialized(spark, nodes, forest)
     out = described.join(of_node, (described["node"] == of_node["_node"]) & (described["n"] > 0) & described["doc_id"].isNotNull(), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_component", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_component", "doc_id").alias("component_id")), [scanned, of_node]
+
+
+def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of each document; ``percent``: the threshold."""
+    return _classes(docs, words, percent)[0]
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document (the least id) of each class; of repeated rows one stays; null ids stay."""
-    found = materialize(classes(docs, words, percent), "classes")
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    bits = Bitmap(gone, "doc_id")
-    kept = bits.split(docs, "doc_id", True).join(gone, "doc_id", "left_anti").select(docs.columns).unionByName(bits.split(docs, "doc_id", False))
-    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+    spark = docs.sparkSession
+    found, read = _classes(docs, words, percent)
+    gone = materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "copies")
+    repeated = not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    drop_materialized(spark, *read)
+    maybe = Bitmap(gone, "doc_id").has(F.col("doc_id"))
+    kept = docs.where(maybe).join(gone, "doc_id", "left_anti").select(docs.columns).unionByName(docs.where(~maybe))
+    if repeated:
         single = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
         kept = single.unionByName(kept.where("doc_id is null"))
     return kept

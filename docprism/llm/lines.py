@@ -5,7 +5,7 @@ white space and with A-Z lower-cased.  Keys of at least ``min_chars`` code point
 found in at least ``min_docs`` documents lose their lines everywhere except in
 the largest ``doc_id`` that holds them.
 
-Plan: the first scan emits each document's distinct 128-bit key hashes; counting
+Plan: one scan writes each document's distinct 128-bit key hashes; counting
 is a two-step aggregation with partial sums, so that a line held by a third of
 all documents is spread over every task.  The hashes to drop join back as rows
 ``(hash, keeper)`` by a shuffled equi-join whose hot keys adaptive execution can
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docprism.llm import textvec as tv
+from docprism.llm.store import materialize
 
 MIN_CHARS, MIN_DOCS = 20, 3
 SCHEMA = "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
@@ -83,11 +84,13 @@ def _keys(min_chars):
 
 
 def drop_list(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``doc_id, drop``: each document's key hashes (two longs in a struct) whose lines go."""
-    keys = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(_keys(min_chars), "h1 long, h2 long, doc_id long")
-    held = keys.distinct()
-    common = held.groupBy("h1", "h2").agg(F.count("*").alias("_n"), F.max("doc_id").alias("_keeper")).where(F.col("_n") >= min_docs)
-    return held.join(common, ["h1", "h2"]).where("doc_id <> _keeper").groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("__dp_drop"))
+    """``doc_id, __dp_drop``: each document's key hashes (two longs in a struct) whose lines go."""
+    found = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tv.tidy(_keys(min_chars)), "h1 long, h2 long, doc_id long")
+    held = materialize(found, "line-keys")
+    common = held.distinct().groupBy("h1", "h2").agg(F.count("*").alias("_n"), F.max("doc_id").alias("_keeper")).where(F.col("_n") >= min_docs)
+    common = materialize(common.select("h1", "h2", "_keeper"), "common-lines")  # so that adaptive execution can split the join's hot keys
+    gone = held.join(common, ["h1", "h2"]).where("doc_id <> _keeper")
+    return gone.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("__dp_drop"))
 
 
 def _kept(column, drops, min_chars):
@@ -136,21 +139,23 @@ def report(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS
                 names=["doc_id", "n_lines", "n_dropped", "kept_sha256"],
             )
 
-    return _joined(docs.select(F.col("doc_id").cast("long"), "text"), min_chars, min_docs).mapInArrow(run, SCHEMA)
+    return _joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_chars, min_docs).mapInArrow(tv.tidy(run), SCHEMA)
 
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with the dropped lines taken out of ``text``; a document that loses every line becomes empty."""
-    columns = docs.columns
-    at = columns.index("text")
-
-    def run(batches):
-        for batch in batches:
-            out = [batch.column(k) for k in range(len(columns))]
-            drops = _drops(batch.column(len(columns)))
-            changed = [x[2].decode() if x[1] else None for x in _kept(out[at], drops, min_chars)]
-            old = out[at]
-            out[at] = pa.array([c if c is not None else o.as_py() for c, o in zip(changed, old)], old.type)
-            yield pa.RecordBatch.from_arrays(out, names=columns)
-
-    return _joined(docs, min_chars, min_docs).mapInArrow(run, docs.schema)
+    """``docs`` with the dropped lines taken out of ``text``; a document that loses every line becomes empty.
+
+    Only texts that lose lines travel to Python.
+    """
+
+    @F.arrow_udf("string")
+    def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        try:
+            for text, drops in batches:
+                yield pa.array([x[2].decode() if x[1] else None for x in _kept(text, _drops(drops), min_chars)], pa.string())
+        finally:
+            tv.release()
+
+    joined = _joined(docs, min_chars, min_docs)
+    shorter = cut(F.when(F.col("__dp_drop").isNotNull(), F.col("text")), F.col("__dp_drop"))
+    return joined.withColumn("text", F.coalesce(shorter, F.col("text"))).select(docs.columns)

@@ -7,7 +7,7 @@ from docprism.llm.store import table
 
 
 def op1_ngram_jaccard_join(spark, sf_dir):
-    return jaccard.classes(table(spark, sf_dir, "documents"))
+    return jaccard.classes(table(spark, sf_dir, "documents"), words=3, percent=90)  # the contract's
 
 
 def op2_best_fit_packing(spark, sf_dir):

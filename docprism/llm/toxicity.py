@@ -6,8 +6,8 @@ sentences is: ``1 - prod(1 - p)``.  Only document labels train the model; the
 sentence probabilities then locate the offending sentences.
 
 Training takes at most ``max_train`` labelled documents for each label (those
-with the least hash of their id), weighted back to the labels' true counts, and
-never one whose ``crc32(doc_id as text) mod 4`` is 2.  The sample's ids are a
+with the least hash of their id) and ``max_words`` words in all, weighted back to
+the labels' true counts, and never one whose ``crc32(doc_id as text) mod 4`` is 2.  The sample's ids are a
 bounded table that is joined to the corpus in the scan; only hashed words of
 these documents reach the driver.  Scoring is one scan without a shuffle: words,
 sentences and their products are array operations over whole Arrow batches.
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docprism.llm import textvec as tv
@@ -33,6 +33,8 @@ BITS = 19
 #: Besides the whole word, its first so many bytes are features of their own, for inflected languages.
 PREFIXES = (4, 5, 6)
 MAX_TRAIN = 2500
+#: Words of the training sample; a document that would pass it is left out of the sample, so long texts or repeated ids cannot fill the driver.
+MAX_TRAIN_WORDS = 6_000_000
 THRESHOLD = 0.3
 HELD_OUT_PART = 2
 _LOWER = np.arange(256, dtype=np.uint64)
@@ -138,7 +140,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray, int]], weight: dict[int, float]
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = tv.buffers(batch.column(1))
-        for i, j in tv.row_blocks(off):
+        for i, j in tv.row_blocks(off, 1 << 20):
             bucket, begins, w = features(data, off[i : j + 1])
             spans = [(w.first[r], w.first[r + 1]) for r in range(j - i)]
             bucket = bucket.T
@@ -148,8 +150,8 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> NoisyOr:
-    """Fit on at most ``max_train`` labelled documents of each label outside the held-out part."""
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_words: int = MAX_TRAIN_WORDS) -> NoisyOr:
+    """Fit on at most ``max_train`` labelled documents of each label outside the held-out part, and ``max_words`` words."""
     usable = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).where("_id is not null and _toxic in (0, 1)").where(~held_out(F.col("_id")))
     total = {r[0]: r[1] for r in usable.groupBy("_toxic").count().collect()}
     chosen = None
@@ -158,40 +160,44 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Noi
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_toxic", "text")  # at most 2 * max_train ids
     bags, number = [], {0: 0, 1: 0}
-    for toxic, words, begins in rows.mapInArrow(_bags, "toxic int, words binary, begins binary").toLocalIterator():
+    held = 0
+    for toxic, words, begins in rows.mapInArrow(tv.tidy(_bags), "toxic int, words binary, begins binary").toLocalIterator():
+        if held + len(begins) > max_words:
+            continue
+        held += len(begins)
         bags.append((np.frombuffer(words, "<i4").reshape(-1, 1 + len(PREFIXES)).T, np.frombuffer(begins, bool), toxic))
         number[toxic] += 1
     return fit(bags, {k: total.get(k, 0) / max(1, n) for k, n in number.items()})
 
 
-def _scored(shared, out_names, text_at, keep_below=None):
-    def run(batches):
-        model = shared.value
-        for batch in batches:
-            data, off = tv.buffers(batch.column(text_at))
-            score = np.zeros(len(batch))
-            for i, j in tv.row_blocks(off):
-                score[i:j] = model.documents(data, off[i : j + 1])
-            if keep_below is not None:
-                yield batch.filter(pa.array(score < keep_below))
-            else:
-                columns = [c for k, c in enumerate(batch.columns) if k != text_at]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(score)], names=out_names)
+def scores(text: Column, model: NoisyOr) -> Column:
+    """Score of each text; only the text travels to Python and only the score comes back."""
+    shared = SparkSession.active().sparkContext.broadcast(model)
 
-    return run
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for batch in batches:
+                data, off = tv.buffers(batch)
+                out = np.zeros(len(batch))
+                for i, j in tv.row_blocks(off, 1 << 20):
+                    out[i:j] = shared.value.documents(data, off[i : j + 1])
+                yield pa.array(out)
+        finally:
+            tv.release()
+
+    return run(text)
 
 
 def score(docs: DataFrame, model: NoisyOr, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    scored = docs.select("doc_id", "text").mapInArrow(_scored(shared, ["doc_id", "score"], 1), "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), scores(F.col("text"), model).alias("score"))
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def reject(docs: DataFrame, model: NoisyOr, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents that score ``threshold`` or more."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_scored(shared, docs.columns, docs.columns.index("text"), threshold), docs.schema)
+    return docs.where(scores(F.col("text"), model) < threshold)
 
 
 def offending(docs: DataFrame, model: NoisyOr, threshold: float = THRESHOLD) -> DataFrame:
@@ -218,4 +224,4 @@ def offending(docs: DataFrame, model: NoisyOr, threshold: float = THRESHOLD) ->
                     spans.append(data[w.start[first[k]] : w.end[last[k]]].tobytes().decode())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(places, pa.int64()), pa.array(scores, pa.float64()), pa.array(spans, pa.string())], names=["doc_id", "sentence", "score", "span"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sentence long, score double, span string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tv.tidy(run), "doc_id long, sentence long, score double, span string")
