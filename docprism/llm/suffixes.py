@@ -3,26 +3,33 @@
 Removes every byte under a ``width``-byte string that also starts elsewhere.
 
 1. Equal texts are one node; a text held twice goes as a whole.
-2. Anchors: in every run of ``width`` bytes the least of its gram hashes marks a
-   place.  Equal strings have equal anchors, so a string can only repeat where
-   an anchor's gram does.  Of repeated anchors, those whose whole surroundings
-   repeat are settled; the rest are edges, where a repeat begins or ends.
-3. Edges, with one sample of each settled surrounding, travel as snippets to
-   the task of their anchor.  There, shards of snippets are brought into suffix
-   order by their leading bytes, which gives each shard's transform (the byte
-   before each suffix in that order); the shards' orders are interleaved, and
-   the interleave is refined round by round.  A round looks only at rows that
-   are still together with another row, and separates them by the rank of the
-   suffix that starts where the known common prefix ends; the common prefix
-   doubles with each round.  Rows that are separate are never sorted again.
-   The round that separates two rows gives their common prefix; rows still
-   together at ``width`` are a repeated interval.
-4. Intervals are united by text and cut out; texts without any never travel.
+2. Anchors prune: in every run of ``width`` bytes the least of its gram hashes
+   marks a place.  Equal strings have equal anchors, so a string can only repeat
+   where an anchor's gram does.  Anchors whose whole surroundings repeat are
+   settled, first within each task, then where the rest meet; what remains are
+   edges, where a repeat begins or ends.
+3. Edges, with one sample of each settled surrounding, travel as snippets to the
+   task of their anchor.  There each snippet is a shard: its suffixes in order
+   give its transform (the ``STEP`` bytes before each suffix) and its LF map
+   (where the suffix that begins with them stands).  The shards' transforms are
+   merged by refining their interleave: dealing the suffixes, in the order of
+   the interleave, out to the characters that their transforms hold before them
+   gives the interleave of suffixes whose known prefix is ``STEP`` longer.  No
+   suffix is compared again.  Neighbours that part in a round have what was known
+   before as their common prefix and leave; those together at ``width`` bytes
+   are the repeated intervals, and they alone decide.
+4. An anchor with very many edges is split by content: a string that holds the
+   anchor begins in one of a few ranges before it, and all strings of a range
+   share a core, by which the edges meet.  Of what a range covers equal pieces are
+   settled, and one of each goes on.  Where a core still has too many, strings
+   that begin within a few bytes of the range's end meet by their own hash, and
+   all others hold these bytes, which deal them out.
+5. Intervals are united by text and cut out; texts without any never travel.
 
 Defined results: null text is empty; texts under ``width`` bytes stay; rows whose
 ``doc_id`` is null are not compared and stay as they are; repeated rows hold the
-text twice, so both go.  Texts, grams and surroundings are compared by 64-bit
-hashes, edges byte by byte.
+text twice, so both go.  Texts, grams, surroundings and the strings
+at a hot anchor are compared by 64-bit hashes, other edges byte by byte.
 """
 
 from __future__ import annotations
@@ -32,20 +39,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docprism.llm import textvec as tv
-from docprism.llm.bpe import _EXACT, _ramp
-from docprism.llm.store import Bitmap, materialize
+from docprism.llm.bpe import _EXACT
+from docprism.llm.store import Bitmap, drop_materialized, materialize
 
 U64 = np.uint64
 WIDTH, GRAM = 200, 40
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+#: Bytes that one round of the merge puts before each suffix.
+STEP = 16
 #: Bytes of snippets that a task merges at once (whole anchors): few enough for the caches of a core.
 MERGE_BYTES = 1 << 17
-SHARDS = 4
-SEGMENT = 1 << 22
+#: Bytes of a long text that are marked at a time, and anchors of a task that are settled at a time.
+SEGMENT, MARK_WINDOW = 1 << 22, 1 << 18
+#: Surroundings of an anchor in such a window above which they are dealt out in so many parts.
+HOT_LOCAL, SALTS = 32, 64
+#: Edges of an anchor above which it is split by content, number of ranges of begins, and bytes beside the gram that deal out a range that is still too large.
+HOT_ANCHOR, RANGES, PEEL = 2048, 4, 3
+_MARKED = "h long, salt int, f long, node long, pos long, many int"
+_FOUND = "kind int, node long, x long, y long, alone int"
+_ROUTED, _MARKER = -1, 2
 
 
 def _prefix(part: np.ndarray):
@@ -88,79 +104,162 @@ def _anchors(part: np.ndarray, off: np.ndarray, width: int, gram: int):
     return r, place - off[r], h[place], around
 
 
+def _segments(off, i, j, width, segment):
+    """Parts of a block as (begin, end, begin within the text, offsets, first and last place of the part's own anchors).
+
+    A block is one part; a single long text comes as overlapping ones.  Every
+    anchor belongs to one part, in which its surroundings, and the strings of
+    which it is the anchor, lie whole.
+    """
+    if off[j] - off[i] <= 2 * segment:
+        yield off[i], off[j], 0, off[i : j + 1] - off[i], 0, off[j] - off[i]
+        return
+    for a in range(off[i], off[j], segment):
+        b = min(off[j], a + segment + 4 * width)
+        yield a, b, a - off[i], np.array([0, b - a]), 0 if a == off[i] else width, b - a if b == off[j] else segment + width
+        if b == off[j]:
+            return
+
+
+class _Settling:
+    """Anchors of some of a task's texts: repeated surroundings are settled here, one row of each goes on."""
+
+    def __init__(self, width: int, gram: int, hot: int, salts: int):
+        self.width, self.reach, self.hot, self.salts = width, width - gram, hot, salts
+        self._clear()
+
+    def _clear(self):
+        self.rows, self.nodes, self.size = [], set(), 0
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.rows:
+            self._clear()
+            return
+        h, f, node, pos = (np.concatenate(x) for x in zip(*self.rows))
+        self._clear()
+        order = np.argsort(f)
+        h, f, node, pos = h[order], f[order], node[order], pos[order]
+        first = np.append(True, f[1:] != f[:-1])
+        count = np.bincount(np.cumsum(first) - 1)
+        again = np.repeat(count > 1, count)
+        if again.any():
+            m, s, e = _united(node[again], np.maximum(pos[again] - self.reach, 0), pos[again] + self.width)
+            yield _marked(m, np.full(len(m), _ROUTED), s, m, e, np.zeros(len(m), int))
+        h, f, node, pos, many = h[first], f[first], node[first], pos[first], (count > 1).astype(int)
+        order = np.argsort(h, kind="stable")
+        h, f, node, pos, many = (x[order] for x in (h, f, node, pos, many))
+        starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        size = np.diff(np.append(starts, len(h)))
+        hot = np.repeat(size > self.hot, size)
+        yield _marked(h, np.where(hot, 1 + (f % U64(self.salts)).astype(int), 0), f, node, pos, many)
+        at = starts[size > self.hot]  # tell those that stay at salt 0 that the anchor has other surroundings
+        if len(at):
+            yield _marked(h[at], np.zeros(len(at), int), f[at], np.zeros(len(at), int), np.full(len(at), -1), np.full(len(at), _MARKER))
+
+
+def _marked(h, salt, f, node, pos, many) -> pa.RecordBatch:
+    cast = lambda x: pa.array(x.view(np.int64) if x.dtype == U64 else x)
+    return pa.RecordBatch.from_arrays([cast(h), pa.array(salt.astype(np.int32)), cast(f), pa.array(node), pa.array(pos), pa.array(many.astype(np.int32))], names=["h", "salt", "f", "node", "pos", "many"])
+
+
+def _united(node, s, e) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals of equal nodes that touch as one."""
+    order = np.lexsort((s, node))
+    node, s, e = node[order], s[order], e[order]
+    starts = np.append(True, node[1:] != node[:-1])
+    upto = e + np.cumsum(starts) * (1 << 40)  # a running maximum that starts anew with each node
+    upto = np.maximum.accumulate(upto) - np.cumsum(starts) * (1 << 40)
+    first = np.flatnonzero(starts | np.append(True, s[1:] > upto[:-1]))
+    last = np.append(first[1:], len(s)) - 1
+    return node[first], s[first], upto[last]
+
+
 def _mark(width: int, gram: int):
+    """Settled intervals (salt -1: ``f`` and ``pos`` are their ends) and anchors to settle."""
+    segment, most, hot, salts = SEGMENT, MARK_WINDOW, HOT_LOCAL, SALTS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        window = _Settling(width, gram, hot, salts)
         for batch in batches:
             data, off = tv.buffers(batch.column(0))
-            fresh = np.zeros(len(batch), bool)
-            nodes = np.zeros(len(batch), np.int64)
-            for r in range(len(batch)):
-                if off[r + 1] - off[r] >= width:
-                    nodes[r] = node = text_node(data[off[r] : off[r + 1]].tobytes())
-                    if node not in seen:
-                        if len(seen) > 500_000:
-                            seen.clear()
-                        seen.add(node)
-                        fresh[r] = True
-            for i, j in tv.row_blocks(off, 1 << 20):
-                for a, b, shift, rows in _segments(off, i, j, width):
+            for i, j in tv.row_blocks(off, min(1 << 20, segment)):
+                nodes, fresh = np.zeros(j - i, np.int64), np.zeros(j - i, bool)
+                for r in range(i, j):
+                    if off[r + 1] - off[r] >= width:
+                        nodes[r - i] = node = text_node(data[off[r] : off[r + 1]].tobytes())
+                        if node not in window.nodes:  # within a window no text comes twice
+                            window.nodes.add(node)
+                            fresh[r - i] = True
+                if not fresh.any():
+                    continue
+                for a, b, shift, rows, low, high in _segments(off, i, j, width, segment):
                     part = data[a:b]
                     if len(part) < width:
                         continue
                     r, place, h, around = _anchors(part, rows, width, gram)
-                    keep = fresh[i + r]
-                    if keep.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(around[keep].view(np.int64)), pa.array(nodes[i + r[keep]]), pa.array(place[keep] + shift)], names=["h", "f", "node", "pos"])
+                    keep = fresh[r] & (place + rows[r] >= low) & (place + rows[r] < high)
+                    window.rows.append((h[keep], around[keep], nodes[r[keep]], place[keep] + shift))
+                    window.size += int(keep.sum())
+                if window.size >= most:
+                    yield from window.flush()
+        yield from window.flush()
 
-    return run
+    return tv.tidy(run)
 
 
-def _segments(off, i, j, width):
-    """Parts of a block: one, or for a single long text overlapping ones.
+def _settle(width: int, gram: int):
+    """Of rows sorted by (h, salt, f, node, pos): kind 0, settled intervals ``x, y``; kind 1, edges: anchor ``x`` at ``y``, and whether its surroundings are ``alone``.
 
-    Surroundings of anchors within ``2 * width`` of a cut are seen whole in the
-    neighbouring part; the copy seen partly only adds a surrounding of its own.
+    Of an anchor that is dealt out in parts all surroundings are edges; whether any is alone is known only later.
     """
-    if off[j] - off[i] <= 2 * SEGMENT:
-        yield off[i], off[j], 0, off[i : j + 1] - off[i]
-        return
-    for a in range(off[i], off[j], SEGMENT):
-        b = min(off[j], a + SEGMENT + 4 * width)
-        yield a, b, a - off[i], np.array([0, b - a])
-
-
-def _settle(batches):
-    """Of rows sorted by (h, f, node, pos): kind 0, settled places; kind 1, places to compare."""
-    held = None
-    for batch in _with_end(batches):
-        if batch is not None and not len(batch):
-            continue
-        now = [c.to_numpy() for c in batch.columns] if batch is not None else None
-        if held is not None:
-            now = [np.concatenate([x, y]) for x, y in zip(held, now)] if now is not None else held
-        if now is None or not len(now[0]):
-            continue
-        cut = len(now[0])
-        if batch is not None:  # the last anchor may go on
-            cut = int(np.flatnonzero(np.append(True, now[0][1:] != now[0][:-1]))[-1])
-        held = [x[cut:] for x in now]
-        h, f, node, pos = (x[:cut] for x in now)
-        if not cut:
-            continue
-        new = np.append(True, (h[1:] != h[:-1]) | (f[1:] != f[:-1]) | (node[1:] != node[:-1]) | (pos[1:] != pos[:-1]))
-        h, f, node, pos = h[new], f[new], node[new], pos[new]
-        first_h = np.append(True, h[1:] != h[:-1])
-        first_f = first_h | np.append(True, f[1:] != f[:-1])
-        of_h, of_f = np.cumsum(first_h) - 1, np.cumsum(first_f) - 1
-        in_f = np.bincount(of_f)[of_f]
-        kinds = np.bincount(of_h, weights=first_f)[of_h]  # surroundings of the anchor
-        alone = np.bincount(of_h, weights=in_f == 1)[of_h]  # those that occur once
-        settled = in_f > 1
-        compare = (kinds > 1) & (alone > 0) & first_f
-        for kind, at in ((0, settled), (1, compare)):
-            if at.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(at.sum()), kind, np.int32)), pa.array(h[at]), pa.array(node[at]), pa.array(pos[at])], names=["kind", "h", "node", "pos"])
+
+    def rows_of(kind, node, x, y, alone=None):
+        kinds, alone = np.full(len(node), kind, np.int32), np.zeros(len(node), np.int32) if alone is None else alone.astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(node), pa.array(x), pa.array(y), pa.array(alone)], names=["kind", "node", "x", "y", "alone"])
+
+    def run(batches):
+        held = None
+        for batch in _with_end(batches):
+            if batch is not None and not len(batch):
+                continue
+            now = [c.to_numpy() for c in batch.columns] if batch is not None else None
+            if held is not None:
+                now = [np.concatenate([x, y]) for x, y in zip(held, now)] if now is not None else held
+            if now is None or not len(now[0]):
+                continue
+            cut = len(now[0])
+            if batch is not None:  # the last anchor may go on
+                cut = int(np.flatnonzero(np.append(True, (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])))[-1])
+            held = [x[cut:] for x in now]
+            h, salt, f, node, pos, many = (x[:cut] for x in now)
+            routed = salt == _ROUTED
+            if routed.any():
+                yield rows_of(0, *_united(node[routed], f[routed], pos[routed]))
+                h, salt, f, node, pos, many = (x[~routed] for x in (h, salt, f, node, pos, many))
+            if not len(h):
+                continue
+            new_key = np.append(True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1]))
+            of_key = np.cumsum(new_key) - 1
+            marker = many == _MARKER
+            hot = (np.bincount(of_key, weights=marker) > 0) | (salt[new_key] > 0)
+            keep = ~marker
+            keep[1:] &= new_key[1:] | (f[1:] != f[:-1]) | (node[1:] != node[:-1]) | (pos[1:] != pos[:-1]) | marker[:-1] | (many[1:] != many[:-1])
+            of_key, f, h, node, pos, many = of_key[keep], f[keep], h[keep], node[keep], pos[keep], many[keep]
+            if not len(h):
+                continue
+            first = np.append(True, (of_key[1:] != of_key[:-1]) | (f[1:] != f[:-1]))
+            of_f = np.cumsum(first) - 1
+            place = first | np.append(True, (node[1:] != node[:-1]) | (pos[1:] != pos[:-1]))
+            again = ((np.bincount(of_f, weights=place) > 1) | (np.bincount(of_f, weights=many) > 0))[of_f]
+            size = len(hot)
+            kinds, alone = np.bincount(of_key, weights=first, minlength=size), np.bincount(of_key, weights=~again, minlength=size)
+            compare = ((((kinds > 1) & (alone > 0)) | hot)[of_key]) & first
+            if again.any():
+                yield rows_of(0, *_united(node[again], np.maximum(pos[again] - (width - gram), 0), pos[again] + width))
+            if compare.any():
+                yield rows_of(1, node[compare], h[compare], pos[compare], ~again[compare])
+
+    return tv.tidy(run)
 
 
 def _with_end(batches):
@@ -168,59 +267,135 @@ def _with_end(batches):
     yield None
 
 
+class Transforms:
+    """The transforms of all shards (strings): ``sa`` the suffixes, shard by shard and in order; ``before`` the characters of ``STEP`` bytes ahead of them (-1: none); ``lf`` where the suffix that begins with them stands."""
+
+    def __init__(self, text: np.ndarray, left: np.ndarray, shard: np.ndarray):
+        n = len(text)
+        half = STEP // 2
+        key = np.zeros(n, U64)  # the next bytes of each place within its string
+        for k in range(min(half, n)):
+            key[: n - k] |= np.where(left[: n - k] > k, text[k:], 0).astype(U64) << U64(8 * (half - 1 - k))
+        order = np.argsort(key)
+        held = key[order]
+        first = np.zeros(n + half, np.int64)
+        first[order] = 1 + np.cumsum(np.append(False, held[1:] != held[:-1]))
+        self.key, self.half = key, first[:n]
+        pair = first[:n] << 32 | np.where(left > half, first[half:], 0)
+        order = np.argsort(pair)
+        held = pair[order]
+        character = np.zeros(n, np.int32)
+        character[order] = np.cumsum(np.append(False, held[1:] != held[:-1]), dtype=np.int32)
+        order = order[np.argsort(_narrow(shard[order]), kind="stable")]
+        self.sa = _sorted_ties(order, character, shard, left).astype(np.int32)
+        rank = np.zeros(n, np.int32)
+        rank[self.sa] = np.arange(n, dtype=np.int32)
+        ahead = np.maximum(self.sa - np.int32(STEP), 0)
+        whole = left[ahead] == left[self.sa] + STEP  # in the same string
+        self.before = np.where(whole, character[ahead], np.int32(-1))
+        self.lf = rank[ahead]
+
+
+    def first(self, size: int) -> np.ndarray:
+        """Numbers by which suffixes with equal first ``size`` bytes (``STEP`` at most) are equal and the others in order."""
+        half = STEP // 2
+        if size <= half:
+            return self.key >> U64(8 * (half - size))
+        tail = np.zeros(len(self.key), np.int64)
+        cut = self.key >> U64(8 * (STEP - size))
+        tail[: len(cut) - half] = 1 + np.unique(cut, return_inverse=True)[1][half:]
+        return self.half << 32 | tail
+
+
+def _narrow(numbers: np.ndarray) -> np.ndarray:
+    """Small numbers in few bits, for which a stable sort deals them out."""
+    return numbers.astype(np.uint16) if len(numbers) and 0 <= numbers.min() and numbers.max() < 1 << 16 else numbers
+
+
+def _sorted_ties(order: np.ndarray, character: np.ndarray, shard: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Finish the order of each shard's suffixes: those with equal first characters, by what follows, twice as far each time."""
+    key = shard[order].astype(np.int64) << 32 | character[order]
+    new = np.append(True, key[1:] != key[:-1])
+    tied = np.flatnonzero(~new | ~np.append(new[1:], True))  # places in the order
+    if not len(tied):
+        return order
+    order = order.copy()
+    rank = np.zeros(len(order), np.int64)
+    rank[order] = _block_starts(key)
+    known = STEP
+    while len(tied):
+        rows = order[tied]
+        block = rank[rows]
+        further = left[rows] > known
+        follow = np.zeros(len(rows), np.int64)  # 0: ends here, and so comes first
+        follow[further] = 1 + rank[rows[further] + known]
+        key = block << 32 | follow
+        by = np.argsort(key, kind="stable")
+        order[tied], key, follow = rows[by], key[by], follow[by]
+        rank[order[tied]] = tied[_block_starts(key)]
+        new = np.append(True, key[1:] != key[:-1])
+        tied = tied[(~new | ~np.append(new[1:], True)) & (follow > 0)]
+        known *= 2
+    return order
+
+
 def repeated_suffixes(text: np.ndarray, left: np.ndarray, shard: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes that share their first ``width`` bytes with another, and the number of their repeated interval (at most 2 GB of text).
 
-    ``left``: bytes to the end of each suffix's string; ``shard``: its shard.
+    ``left``: bytes to the end of each suffix's string; ``shard``: its string or strings.
     """
-    n = len(text)
     left = left.astype(np.int32)
-    key = np.zeros(n, U64)
-    for k in range(min(8, n)):
-        key[: n - k] |= text[k:].astype(U64) << U64(56 - 8 * k)
-    known = 8
-    rows = np.flatnonzero(left >= known).astype(np.int32)
-    # each shard's suffixes in the order of their leading bytes; text[order - 1] is its transform
-    orders = [(r := rows[shard[rows] == x])[np.argsort(key[r])] for x in np.unique(shard)]
-    order = np.concatenate(orders) if orders else rows
-    order = order[np.argsort(key[order], kind="stable")]  # the shards' sorted runs are interleaved
-    rank = np.zeros(n, np.int32)
-    rank[order] = _block_starts(key[order])
-    del key, rows, orders
-    while known < width:
-        step = min(known, width - known)
-        order = order[left[order] >= known + step]
-        block = _block_starts(rank[order])
-        together = np.bincount(block, minlength=len(order))[block] > 1
-        order = order[together]  # the others are separated for good and keep their rank
-        pair = (rank[order].astype(np.int64) << 32) | rank[order + step]  # continuations reach at least ``known`` bytes, so their ranks hold
-        at = np.argsort(pair)
-        order, pair = order[at], pair[at]
-        rank[order] += (_block_starts(pair) - _block_starts(pair >> 32)).astype(np.int32)
-        known += step
-    block = _block_starts(rank[order])
-    together = np.bincount(block, minlength=len(order))[block] > 1
-    return order[together], block[together]
+    if not len(text):
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    merged = Transforms(text, left, shard)
+    known = min(width, width % STEP or STEP)
+    # the interleave of the shards by the first bytes: entry by entry the row of a shard's transform
+    lead = merged.first(known)[merged.sa]
+    interleave = np.flatnonzero(left[merged.sa] >= known)
+    interleave = interleave[np.argsort(lead[interleave], kind="stable")].astype(np.int32)
+    lead = lead[interleave]
+    interleave, block = _together(interleave, np.append(True, lead[1:] != lead[:-1]) if len(lead) else np.zeros(0, bool))
+    while known < width and len(interleave):
+        c = merged.before[interleave]
+        goes = np.flatnonzero(c >= 0)
+        dealt = np.sort(c[goes].astype(np.int64) << 32 | goes)  # by character, and as they stand
+        c, at = dealt >> 32, dealt & 0xFFFFFFFF
+        block = block[at]
+        parted = np.append(True, (c[1:] != c[:-1]) | (block[1:] != block[:-1])) if len(c) else np.zeros(0, bool)
+        interleave, block = _together(merged.lf[interleave[at]], parted)
+        known += STEP
+    return merged.sa[interleave], block
+
+
+def _together(rows: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that are not alone in their block, and the number of their block."""
+    if not len(rows):
+        return rows, np.zeros(0, np.int64)
+    block = np.cumsum(new) - 1
+    keep = (np.bincount(block) > 1)[block]
+    return rows[keep], block[keep]
 
 
 def _block_starts(key: np.ndarray) -> np.ndarray:
     """For each place of a sorted key the place where its run of equal keys starts."""
-    n = len(key)
-    if not n:
+    if not len(key):
         return np.zeros(0, np.int64)
-    new = np.ones(n, bool)
-    new[1:] = key[1:] != key[:-1]
-    return np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), np.int32(0)))
+    new = np.append(True, key[1:] != key[:-1])
+    return np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
 
 
 def _snippets(width: int, gram: int):
-    """Surroundings of the edges of each text, as bytes."""
+    """Surroundings of the edges of each text, as bytes; ``at`` is the anchor's place in them."""
+    names = ["h", "node", "lo", "at", "raw"]
+
+    def batch_of(rows):
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
     def run(batches):
         for batch in batches:
-            texts, wanted = batch.column(0), batch.column(1).to_numpy()
-            edges = batch.column(2)
-            out_h, out_node, out_place, out_raw = [], [], [], []
+            texts, wanted, edges = batch.column(0), batch.column(1).to_numpy(), batch.column(2)
+            out = []
             for r in range(len(batch)):
                 raw = (texts[r].as_py() or "").encode()
                 if text_node(raw) != wanted[r]:
@@ -228,85 +403,170 @@ def _snippets(width: int, gram: int):
                 e = edges[r].values
                 for h, pos in zip(e.field(0).to_pylist(), e.field(1).to_pylist()):
                     lo = max(0, pos - (width - gram))
-                    out_h.append(h)
-                    out_node.append(wanted[r])
-                    out_place.append(lo)
-                    out_raw.append(raw[lo : pos + width])
-                if len(out_raw) > 5000:
-                    yield _rows(out_h, out_node, out_place, out_raw)
-                    out_h, out_node, out_place, out_raw = [], [], [], []
-            yield _rows(out_h, out_node, out_place, out_raw)
-
-    def _rows(h, node, place, raw):
-        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(node, pa.int64()), pa.array(place, pa.int64()), pa.array(raw, pa.binary())], names=["h", "node", "lo", "raw"])
-
-    return run
+                    out.append((h, wanted[r], lo, pos - lo, raw[lo : pos + width]))
+                    if len(out) >= 4096:
+                        yield batch_of(out)
+                        out = []
+            yield batch_of(out)
+
+    return tv.tidy(run)
+
+
+def _merge(rows: list[tuple[int, int, bytes]], width: int) -> pa.RecordBatch | None:
+    """Repeated intervals ``node, s, e`` among snippets (node, place of the first byte, bytes)."""
+    sizes = np.array([len(x[2]) for x in rows])
+    node, lo = np.array([x[0] for x in rows], np.int64), np.array([x[1] for x in rows], np.int64)
+    ends = np.cumsum(sizes)
+    text = np.frombuffer(b"".join(x[2] for x in rows), np.uint8)
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    place, group = repeated_suffixes(text, np.repeat(ends, sizes) - np.arange(len(text)), owner, width)
+    if not len(place):
+        return None
+    of = owner[place]
+    at = lo[of] + place - (ends - sizes)[of]
+    # one place of a text may lie in several snippets: an interval needs two different places
+    by = np.lexsort((at, node[of], group))
+    g, m, p = group[by], node[of][by], at[by]
+    new = np.append(True, (g[1:] != g[:-1]) | (m[1:] != m[:-1]) | (p[1:] != p[:-1]))
+    g, m, p = g[new], m[new], p[new]
+    many = np.bincount(g)[g] > 1
+    if not many.any():
+        return None
+    return pa.RecordBatch.from_arrays(list(map(pa.array, _united(m[many], p[many], p[many] + width))), names=["node", "s", "e"])
 
 
 def _compare(width: int):
     """Repeated intervals among the snippets of whole anchors (rows sorted by anchor): ``node, s, e``."""
+    most = MERGE_BYTES
+
+    def run(batches):
+        rows, size, last = [], 0, None
+        for batch in batches:
+            h, node, lo, raw = (batch.column(c).to_pylist() for c in range(4))
+            for r in range(len(batch)):
+                if size >= most and h[r] != last:
+                    if (out := _merge(rows, width)) is not None:
+                        yield out
+                    rows, size = [], 0
+                rows.append((node[r], lo[r], raw[r]))
+                size += len(raw[r])
+                last = h[r]
+        if rows and (out := _merge(rows, width)) is not None:
+            yield out
+
+    return tv.tidy(run)
+
+
+def _peel(width: int, gram: int, chars: int):
+    """Split a hot group (rows ``key, left, node, lo, at, raw, kl, kr``) by the content on one side of its anchor.
+
+    Strings that begin less than ``kl + chars`` before the anchor (or end less than
+    ``kr + chars`` behind its gram) go by their own hash (``raw`` null, ``lo`` is
+    their place); all others hold the next ``chars`` bytes of that side, so pairs of
+    them meet by these.
+    """
+
+    def run(batches):
+        for batch in batches:
+            key, left, node, lo, at, raw, kl, kr = (batch.column(c).to_pylist() for c in range(8))
+            out = []
+            for r in range(len(batch)):
+                text, here, low, high = raw[r], at[r], kl[r], width - gram - kr[r]  # begins that are left: low to high before the anchor
+                own = range(low, min(low + chars, high + 1)) if left[r] else range(max(high - chars + 1, low), high + 1)
+                for d in own:
+                    if d <= here and here + width - d <= len(text):
+                        out.append((text_node(text[here - d : here - d + width]), node[r], lo[r] + here - d, 0, None, 0, 0))
+                if left[r]:
+                    beside, low = text[max(0, here - low - chars) : here - low], low + chars
+                else:
+                    beside, high = text[here + width - high : here + width - high + chars], high - chars
+                if low <= high and len(beside) == chars:
+                    name = text_node(b"%d %d %d " % (key[r], low, high) + beside)
+                    out.append((name, node[r], lo[r], here, text, low, width - gram - high))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kind) for c, kind in enumerate(kinds)], names=["key", "node", "lo", "at", "raw", "kl", "kr"])
 
-    def merge(parts):
-        node = np.concatenate([x.column(1).to_numpy() for x in parts])
-        lo = np.concatenate([x.column(2).to_numpy() for x in parts])
-        strings = [y for x in parts for y in x.column(3).to_pylist()]
-        sizes = np.array([len(y) for y in strings])
-        ends = np.cumsum(sizes)
-        text = np.frombuffer(b"".join(strings), np.uint8)
-        left = (np.repeat(ends, sizes) - np.arange(len(text))).astype(np.int32)
-        owner = np.repeat(np.arange(len(strings), dtype=np.int32), sizes)
-        shard = np.repeat((np.arange(len(strings)) * SHARDS // max(1, len(strings))).astype(np.int8), sizes)
-        order, group = repeated_suffixes(text, left, shard, width)
-        if not len(order):
-            return None
-        of = owner[order]
-        place = lo[of] + order - (ends - sizes)[of]
-        # one text place may lie in several snippets: an interval needs two different places
-        by = np.lexsort((place, node[of], group))
-        g, m, p = group[by], node[of][by], place[by]
-        new = np.append(True, (g[1:] != g[:-1]) | (m[1:] != m[:-1]) | (p[1:] != p[:-1]))
-        g, m, p = g[new], m[new], p[new]
-        many = np.bincount(g)[g] > 1
-        m, p = m[many], p[many]
-        by = np.lexsort((p, m))
-        m, p = m[by], p[by]
-        if not len(m):
-            return None
-        new = np.append(True, (m[1:] != m[:-1]) | (p[1:] > p[:-1] + width))
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(m)) - 1
-        return pa.RecordBatch.from_arrays([pa.array(m[first]), pa.array(p[first]), pa.array(p[last] + width)], names=["node", "s", "e"])
+    return tv.tidy(run)
+
+
+def _ranges(width: int, gram: int) -> list[tuple[int, int]]:
+    """Ranges of the distance from a string's begin to its anchor."""
+    cuts = np.linspace(0, width - gram + 1, min(RANGES, width - gram + 1) + 1).astype(int)
+    return [(int(a), int(b) - 1) for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def _cores(width: int, gram: int):
+    """``key, node, lo, at, k`` for each range of begins that an edge's snippet has: the hash of what all strings of the range share."""
+    ranges = _ranges(width, gram)
 
     def run(batches):
-        parts, size = [], 0
-        for batch in _with_end(batches):
-            if batch is not None and not len(batch):
-                continue
-            if batch is not None:
-                h = batch.column(0).to_numpy()
-                cuts = np.flatnonzero(h[1:] != h[:-1]) + 1
-                if parts and parts[-1].column(0)[-1].as_py() != h[0]:
-                    cuts = np.append(0, cuts)
-                at = 0
-                for c in cuts:
-                    if c > at:
-                        parts.append(batch.slice(at, c - at))
-                        size += parts[-1].nbytes
-                    at = int(c)
-                    if size >= MERGE_BYTES:
-                        if (out := merge(parts)) is not None:
-                            yield out
-                        parts, size = [], 0
-                parts.append(batch.slice(at))
-                size += parts[-1].nbytes
-            elif parts and (out := merge(parts)) is not None:
-                yield out
-
-    return run
+        for batch in batches:
+            h, node, lo, at, raw = (batch.column(c).to_pylist() for c in range(5))
+            out = []
+            for r in range(len(batch)):
+                for k, (a, b) in enumerate(ranges):
+                    if a <= at[r] and at[r] + width - b <= len(raw[r]):
+                        key = text_node(b"%d %d " % (h[r], k) + raw[r][at[r] - a : at[r] + width - b])
+                        out.append((key, node[r], lo[r], at[r], k))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["key", "node", "lo", "at", "k"])
+
+    return tv.tidy(run)
+
+
+_PIECES = "key long, content long, node long, lo long, at int, raw binary, kl int, kr int"
+
+
+def _pieces(width: int, gram: int):
+    """What the strings of a range cover of a snippet, and its hash (rows ``key, k, node, lo, at, raw``)."""
+    ranges = _ranges(width, gram)
+
+    def run(batches):
+        for batch in batches:
+            key, k, node, lo, at, raw = (batch.column(c).to_pylist() for c in range(6))
+            out = []
+            for r in range(len(batch)):
+                low, high = ranges[k[r]]
+                a, b = max(low, at[r] + width - len(raw[r])), min(high, at[r])  # those that the snippet has
+                piece = raw[r][at[r] - b : at[r] + width - a]
+                out.append((key[r], text_node(b"%d %d %d " % (key[r], a, b) + piece), node[r], lo[r] + at[r] - b, b, piece, low, width - gram - high))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kind) for c, kind in enumerate(kinds)], names=["key", "content", "node", "lo", "at", "raw", "kl", "kr"])
+
+    return tv.tidy(run)
+
+
+def _split(hot: DataFrame, width: int, gram: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Snippets (``h, node, lo, raw``) in smaller groups, and settled intervals (``node, s, e``), of the edges of hot anchors; and the tables they read."""
+    low = width - gram
+    cores = materialize(hot.mapInArrow(_cores(width, gram), "key long, node long, lo long, at int, k int"), "cores")
+    common = cores.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
+    alive = cores.join(common, "key").join(hot.select("node", "lo", "at", "raw"), ["node", "lo", "at"]).select("key", "k", "node", "lo", "at", "raw")
+    pieces = materialize(alive.mapInArrow(_pieces(width, gram), _PIECES), "pieces-of-edges")
+    drop_materialized(hot.sparkSession, cores)
+    held = F.struct("node", "lo")
+    same = pieces.groupBy("content").agg(F.count("*").alias("_n"), F.min(held).alias("_first"))
+    known = pieces.join(same, "content")
+    settled = known.where("_n > 1").select("node", F.col("lo").alias("s"), (F.col("lo") + F.octet_length("raw")).alias("e"))
+    rows = materialize(known.where(held == F.col("_first")).select("key", "node", "lo", "at", "raw", "kl", "kr"), "distinct-pieces")
+
+    beside = [F.expr(f"substring(raw, greatest(at - kl - {PEEL}, 0) + 1, least(at - kl, {PEEL}))"), F.expr(f"substring(raw, at + {gram} + kr + 1, {PEEL})")]
+    sizes = rows.groupBy("key").agg(F.count("*").alias("_n"), *[F.approx_count_distinct(x).alias(n) for x, n in zip(beside, ("_l", "_r"))])
+    sizes = materialize(sizes.where(f"_n > {HOT_ANCHOR}"), "hot-cores")
+    small = rows.join(sizes, "key", "left_anti").select(F.col("key").alias("h"), "node", "lo", "raw")
+    large = rows.join(sizes, "key").select("key", (F.col("_l") >= F.col("_r")).alias("left"), "node", "lo", "at", "raw", "kl", "kr")
+    parts = materialize(large.mapInArrow(_peel(width, gram, PEEL), "key long, node long, lo long, at int, raw binary, kl int, kr int"), "peeled")
+    first = F.greatest(F.col("at") - (low - F.col("kr")), F.lit(0))  # nothing before it belongs to a string that is left
+    rest = F.expr(f"substring(raw, greatest(at - ({low} - kr), 0) + 1, at + {width} - kl - greatest(at - ({low} - kr), 0))")
+    peeled = parts.where("raw is not null").select(F.col("key").alias("h"), "node", (F.col("lo") + first).alias("lo"), rest.alias("raw"))
+    whole = parts.where("raw is null").select("key", "node", "lo").distinct()
+    twice = whole.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
+    again = whole.join(twice, "key").select("node", F.col("lo").alias("s"), (F.col("lo") + width).alias("e"))
+    return small.unionByName(peeled), settled.unionByName(again), [pieces, rows, sizes, parts]
 
 
 def intervals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """``doc_id, node, whole, spans``: for each text with repeats its united removed intervals, or that it goes as a whole."""
+    spark = docs.sparkSession
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def describe(batches):
@@ -314,23 +574,36 @@ def intervals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFram
             data, off = tv.buffers(batch.column(1))
             long = np.flatnonzero(np.diff(off) >= width)
             nodes = [text_node(data[off[r] : off[r + 1]].tobytes()) for r in long]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(long)), pa.array(nodes, pa.int64()), pa.array(np.diff(off)[long])], names=["doc_id", "node", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(long)), pa.array(nodes, pa.int64())], names=["doc_id", "node"])
 
-    rows = materialize(docs.mapInArrow(describe, "doc_id long, node long, n long"), "texts")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"))
-    anchors = docs.select("text").mapInArrow(_mark(width, gram), "h long, f long, node long, pos long")
-    found = anchors.repartition("h").sortWithinPartitions("h", "f", "node", "pos").mapInArrow(_settle, "kind int, h long, node long, pos long")
+    rows = materialize(docs.mapInArrow(tv.tidy(describe), "doc_id long, node long"), "texts")
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    anchors = docs.select("text").mapInArrow(_mark(width, gram), _MARKED)
+    found = anchors.repartition("h", "salt").sortWithinPartitions("h", "salt", "f", "node", "pos", "many").mapInArrow(_settle(width, gram), _FOUND)
     found = materialize(found, "anchors")
-    reach = width - gram
-    settled = found.where("kind = 0").select("node", F.greatest(F.col("pos") - reach, F.lit(0)).alias("s"), (F.col("pos") + width).alias("e"))
-    edges = materialize(found.where("kind = 1").groupBy("node").agg(F.collect_list(F.struct("h", "pos")).alias("edges")).join(nodes.select("node", "least"), "node"), "edges")
-    near = Bitmap(edges, "least").split(docs, "doc_id", True)
+    anchor = found.where("kind = 1").groupBy(F.col("x").alias("h")).agg(F.count("*").alias("_n"), F.max("alone").alias("_alone"))
+    anchor = materialize(anchor.where((F.col("_n") > HOT_ANCHOR) | (F.col("_alone") == 0)), "hot-anchors")  # so that adaptive execution can split the joins' hot keys
+    idle = anchor.where("_alone = 0").select("h")  # all its surroundings are settled
+    crowded = anchor.where("_alone > 0").select("h")
+    edges = found.where("kind = 1").join(idle, F.col("x") == F.col("h"), "left_anti").groupBy("node").agg(F.collect_list(F.struct("x", "y")).alias("edges"))  # of one text, which is held whole anyway
+    edges = materialize(edges.join(nodes.select("node", "least"), "node"), "edges")
+    near = docs.where(Bitmap(edges, "least").has(F.col("doc_id")))
     texts = edges.join(near, edges["least"] == near["doc_id"]).select("text", "node", "edges")
-    snippets = texts.mapInArrow(_snippets(width, gram), "h long, node long, lo long, raw binary")
-    compared = snippets.repartition("h").sortWithinPartitions("h").mapInArrow(_compare(width), "node long, s long, e long")
+    snippets = materialize(texts.mapInArrow(_snippets(width, gram), "h long, node long, lo long, at int, raw binary"), "snippets")
+    drop_materialized(spark, edges)
+
+    cool, settled = snippets.select("h", "node", "lo", "raw"), found.where("kind = 0").select("node", F.col("x").alias("s"), F.col("y").alias("e"))
+    read = [snippets, anchor]
+    if not crowded.isEmpty():
+        cool = snippets.join(crowded, "h", "left_anti").select("h", "node", "lo", "raw")
+        warm, known, more = _split(snippets.join(crowded, "h", "left_semi").select("h", "node", "lo", "at", "raw"), width, gram)
+        cool, settled, read = cool.unionByName(warm), settled.unionByName(known), [*read, *more]
+    compared = cool.repartition("h").sortWithinPartitions("h").mapInArrow(_compare(width), "node long, s long, e long")
     spans = settled.unionByName(compared).groupBy("node").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     state = nodes.join(spans, "node", "left").where("copies > 1 or spans is not null").select("node", (F.col("copies") > 1).alias("whole"), "spans")
-    return rows.select("doc_id", "node").join(state, "node")
+    out = materialize(rows.select("doc_id", "node").join(state, "node"), "repeats")
+    drop_materialized(spark, rows, found, *read)
+    return out
 
 
 def _cut(text, held, width: int):
@@ -351,14 +624,14 @@ def _cut(text, held, width: int):
     return raw, None
 
 
-def _with_spans(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    held = intervals(docs, width, gram).groupBy(F.col("doc_id").alias("__dp_id")).agg(F.collect_set(F.struct("node", "whole", "spans")).alias("__dp_held"))
-    held = materialize(held, "intervals")
-    bits = Bitmap(held, "__dp_id")
-    near, far = bits.split(docs, "doc_id", True), bits.split(docs, "doc_id", False)
-    kind = held.schema["__dp_held"].dataType
-    joined = near.join(held, near["doc_id"] == held["__dp_id"], "left").drop("__dp_id")
-    return joined.unionByName(far.withColumn("__dp_held", F.lit(None).cast(kind)))
+def _with_spans(docs: DataFrame, width: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """Rows that may lose bytes, with ``__dp_held``, and the others."""
+    found = intervals(docs, width, gram)
+    held = materialize(found.groupBy(F.col("doc_id").alias("__dp_id")).agg(F.collect_set(F.struct("node", "whole", "spans")).alias("__dp_held")), "intervals")
+    drop_materialized(docs.sparkSession, found)
+    maybe = Bitmap(held, "__dp_id").has(F.col("doc_id"))
+    near = docs.where(maybe)
+    return near.join(held, near["doc_id"] == held["__dp_id"], "left").drop("__dp_id"), docs.where(~maybe)
 
 
 def report(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -376,23 +649,28 @@ def report(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
                     rows.append((len(raw), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, gram).mapInArrow(run, SCHEMA)
+    near, far = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, gram)
+    text: Column = F.coalesce("text", F.lit(""))
+    none = F.lit(0).cast("long")
+    whole = far.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"))
+    return near.mapInArrow(tv.tidy(run), SCHEMA).unionByName(whole)
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """``docs`` with repeated bytes cut out of ``text``; a character that is cut in part is dropped."""
-    columns = docs.columns
-    at = columns.index("text")
 
-    def run(batches):
-        for batch in batches:
-            out = [batch.column(k) for k in range(len(columns))]
-            texts = out[at].to_pylist()
-            for r, held in enumerate(batch.column(len(columns)).to_pylist()):
-                raw, gone = _cut(texts[r], held, width)
-                if gone is not None:
-                    texts[r] = np.frombuffer(raw, np.uint8)[~gone].tobytes().decode(errors="ignore")
-            out[at] = pa.array(texts, out[at].type)
-            yield pa.RecordBatch.from_arrays(out, names=columns)
-
-    return _with_spans(docs, width, gram).mapInArrow(run, docs.schema)
+    @F.arrow_udf("string")
+    def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        try:
+            for texts, spans in batches:
+                out = []
+                for text, held in zip(texts.to_pylist(), spans.to_pylist()):
+                    raw, gone = _cut(text, held, width)
+                    out.append(None if gone is None else np.frombuffer(raw, np.uint8)[~gone].tobytes().decode(errors="ignore"))
+                yield pa.array(out, pa.string())
+        finally:
+            tv.release()
+
+    near, far = _with_spans(docs, width, gram)
+    shorter = cut(F.col("text"), F.col("__dp_held"))
+    return near.withColumn("text", F.coalesce(shorter, F.col("text"))).select(docs.columns).unionByName(far)
