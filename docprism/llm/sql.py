@@ -33,28 +33,30 @@ held AS (SELECT key, max(doc_id) AS keeper FROM l WHERE length(key) >= 20 AND do
 marked AS (SELECT l.*, coalesce(l.doc_id <> keeper, false) AS gone FROM l LEFT JOIN held ON l.key = held.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM marked GROUP BY doc_id"""
 
-_BINS = {
-    "word_length": "100 * word_chars / greatest(n_words, 1)",
-    "symbol_rate": "1000 * n_symbols / greatest(n_words, 1)",
-    "dup_line_rate": "1000 * n_dup_lines / greatest(n_words, 1)",
-    "repeat_rate": "1000 * n_repeat_words / greatest(n_words, 1)",
-}
-_SLACK = " ".join(f"WHEN '{m}' THEN {s}" for m, s in quality.MEASURES.items())
+_VALUES = ", ".join(f"{{'measure': '{m}', 'x': ({quality.SCALE} * {part}) // greatest({whole}, 1)}}" for m, (part, whole) in quality.MEASURES.items())
+_BUCKET = f"CASE WHEN x < {quality.EXACT} THEN x ELSE (length(bin(x)) - 7) * 64 + (x >> (length(bin(x)) - 7)::BIGINT) END"
+_LOW = f"CASE WHEN {{q}} < {quality.EXACT} THEN {{q}} ELSE (64 + {{q}} % 64) << ({{q}} // 64 - 1) END"
+_HIGH = f"CASE WHEN {{q}} < {quality.EXACT} THEN {{q}} ELSE ((65 + {{q}} % 64) << ({{q}} // 64 - 1)) - 1 END"
+_LEVEL = """{name} AS (SELECT {keys} measure, max(size) AS size, min(b) FILTER (upto * 100 >= size * 25) AS q25, min(b) FILTER (upto * 100 >= size * 75) AS q75, min(b) FILTER (upto * 100 >= size * 95) AS q95
+ FROM (SELECT {keys} measure, b, sum(n) OVER (PARTITION BY {keys} measure ORDER BY b) AS upto, sum(n) OVER (PARTITION BY {keys} measure) AS size FROM (SELECT {keys} measure, b, sum(n) AS n FROM sketch GROUP BY {keys} measure, b)) GROUP BY {keys} measure)"""
 
 QUALITY = f"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
-dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{_SPACED}') GROUP BY doc_id),
+dup AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{_SPACED}') GROUP BY doc_id),
 win AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS c FROM (SELECT doc_id, p, array_to_string(w[p:p + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM d WHERE len(w) >= 3))),
 rep AS (SELECT doc_id, count(DISTINCT p + o) AS n_repeat_words FROM (SELECT doc_id, p, unnest([0, 1, 2]) AS o FROM win WHERE c > 1) GROUP BY doc_id),
-stats AS (SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+stats AS (SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
  FROM d LEFT JOIN dup ON dup.doc_id = d.doc_id LEFT JOIN rep ON rep.doc_id = d.doc_id),
 judged AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM stats),
-bins AS (SELECT doc_id, lang, source, base_failed, unnest([{", ".join(f"{{'measure': '{m}', 'bin': least(floor({e})::BIGINT, {quality.BINS})}}" for m, e in _BINS.items())}]) AS m FROM judged),
-rows AS (SELECT doc_id, lang, source, base_failed, m.measure AS measure, m.bin AS bin FROM bins),
-own AS (SELECT lang, source, measure, bin, sum(count(*)) OVER (PARTITION BY lang, source, measure ORDER BY bin) AS upto, sum(count(*)) OVER (PARTITION BY lang, source, measure) AS size FROM rows WHERE NOT base_failed GROUP BY lang, source, measure, bin),
-broad AS (SELECT lang, measure, bin, sum(count(*)) OVER (PARTITION BY lang, measure ORDER BY bin) AS upto, sum(count(*)) OVER (PARTITION BY lang, measure) AS size FROM rows WHERE NOT base_failed GROUP BY lang, measure, bin),
-q AS (SELECT lang, source, measure, min(bin) FILTER (upto * 4 >= size) AS q1, min(bin) FILTER (upto * 4 >= size * 3) AS q3, max(size) AS size FROM own GROUP BY lang, source, measure),
-b AS (SELECT lang, measure, min(bin) FILTER (upto * 4 >= size) AS q1, min(bin) FILTER (upto * 4 >= size * 3) AS q3 FROM broad GROUP BY lang, measure),
-f AS (SELECT q.lang, q.source, q.measure, CASE WHEN q.size < 100 THEN b.q1 ELSE q.q1 END AS q1, CASE WHEN q.size < 100 THEN b.q3 ELSE q.q3 END AS q3 FROM q JOIN b ON q.lang IS NOT DISTINCT FROM b.lang AND q.measure = b.measure),
-fences AS (SELECT lang, source, measure, q1 - greatest({quality.SPREAD} * (q3 - q1), CASE measure {_SLACK} END) AS low, q3 + greatest({quality.SPREAD} * (q3 - q1), CASE measure {_SLACK} END) AS high FROM f),
-out_of AS (SELECT DISTINCT rows.doc_id FROM rows JOIN fences ON rows.lang IS NOT DISTINCT FROM fences.lang AND rows.source IS NOT DISTINCT FROM fences.source AND rows.measure = fences.measure WHERE bin > high OR (rows.measure = 'word_length' AND bin < low))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM out_of) AS kept FROM judged"""
+vals AS (SELECT doc_id, lang, source, base_failed, m.measure AS measure, m.x AS x FROM (SELECT *, unnest([{_VALUES}]) AS m FROM judged)),
+sketch AS (SELECT lang, source, measure, {_BUCKET} AS b, count(*) AS n FROM vals WHERE NOT base_failed AND x > 0 GROUP BY ALL),
+{_LEVEL.format(name="own", keys="lang, source,")},
+{_LEVEL.format(name="broad", keys="lang,")},
+{_LEVEL.format(name="every", keys="")},
+chosen AS (SELECT o.lang, o.source, o.measure, CASE WHEN o.size >= {quality.MIN_GROUP} THEN o.q25 WHEN b.size >= {quality.MIN_GROUP} THEN b.q25 WHEN e.size >= {quality.MIN_GROUP} THEN e.q25 END AS q25,
+ CASE WHEN o.size >= {quality.MIN_GROUP} THEN o.q75 WHEN b.size >= {quality.MIN_GROUP} THEN b.q75 WHEN e.size >= {quality.MIN_GROUP} THEN e.q75 END AS q75,
+ CASE WHEN o.size >= {quality.MIN_GROUP} THEN o.q95 WHEN b.size >= {quality.MIN_GROUP} THEN b.q95 WHEN e.size >= {quality.MIN_GROUP} THEN e.q95 END AS q95
+ FROM own o JOIN broad b ON o.lang IS NOT DISTINCT FROM b.lang AND o.measure = b.measure JOIN every e ON o.measure = e.measure),
+ends AS (SELECT lang, source, measure, {_LOW.format(q="q25")} AS low, {_HIGH.format(q="q75")} AS high, {_HIGH.format(q="q95")} AS top FROM chosen WHERE q25 IS NOT NULL),
+out_of AS (SELECT DISTINCT v.doc_id FROM vals v JOIN ends f ON v.lang IS NOT DISTINCT FROM f.lang AND v.source IS NOT DISTINCT FROM f.source AND v.measure = f.measure
+ WHERE CASE WHEN v.measure = 'word_length' THEN x < low - {quality.SPREAD} * (high - low) OR x > high + {quality.SPREAD} * (high - low) ELSE x > greatest(top, high + {quality.TAIL} * (high - low)) END)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM out_of) AS kept FROM judged"""
