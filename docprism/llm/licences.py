@@ -1,62 +1,56 @@
-"""Licence scans (method: trained paragraph classifier; DataFrame functions only).
-
-A paragraph is a line of a document.  Word n-grams (one to three words) of a
-paragraph are the sparse features of a multinomial logistic regression whose
-classes are licence families and *unknown*.  It is trained here, on the driver,
-from the notices below in the spellings that ``_variants`` makes of them, and
-from paragraphs about other matters, some of them with licence words.  A family
-counts from the least probability at which no such held-out paragraph would be
-mistaken (the calibrated threshold); a prediction is confirmed if the paragraph
-holds enough of one of the family's templates.
-
-Scoring is one scan without a shuffle: paragraphs are kept only if they have a
-word that every template has one of (the model knows nothing else), their
-n-grams are intersected with the vocabulary, and weights are looked up in
-literals of fixed size.
-
-Defined results: null and empty texts have no paragraphs and no licence;
-repeated rows get equal rows; of equal probabilities the family that comes first
-in the alphabet is reported.
+r"""Licence scans (method: trained paragraph classifier; DataFrame functions only).
+
+Paragraphs are separated by blank lines.  Of a paragraph the lines count that hold
+a licence word, joined, so that a hard-wrapped notice is read as a whole and a
+one-line notice within other text is not drowned.  Word n-grams (one to three
+words, with a licence word in each) are the sparse features of a multinomial
+logistic regression whose classes are licence families and *unknown*.
+
+It is trained here, on the driver, from the paragraphs in ``licence_texts``, whole
+and in pieces, and against sentences of no family and paragraphs of the corpus
+itself: at most ``SAMPLE_DOCS`` documents (those with the least hash of their id),
+``SAMPLE_PARAGRAPHS`` paragraphs each, of which those that hold a template are no
+counter-examples.  A fifth of all examples is held out; on it the temperature of
+the probabilities is set, and the least probability at which a family counts: the
+lowest at which at most ``MAX_ERROR`` of the held-out examples that would count
+are wrong.  A prediction is confirmed if it and one of the family's templates
+share most of the n-grams of the shorter one.
+
+A licence word is one that templates use and other text seldom does; a paragraph
+without any has no feature, so passing it over decides nothing.  Scoring is one
+scan without a shuffle: n-grams are looked up by hash in literal tables of fixed
+size, and compared there as strings.
+
+Defined results: null and empty texts have no paragraphs and no licence; repeated
+rows get equal rows; of equal probabilities the family that comes first in the
+alphabet is reported; further columns take no part.
 """
 
 from __future__ import annotations
 
-import math
-from functools import lru_cache
+import json
+import re
+import zlib
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Notices by family.  Public licence names and customary one-line notices.
-TEMPLATES = {
-    "apache-2.0": ["licensed under the apache license version 2.0", "apache license version 2.0 january 2004", "spdx license identifier apache 2.0", "distributed under the apache 2.0 license", "you may not use this file except in compliance with the license"],
-    "mit": ["released under the mit license", "licensed under the mit license", "the mit license mit", "spdx license identifier mit", "permission is hereby granted free of charge to any person obtaining a copy"],
-    "gpl": ["this work is licensed under the gnu general public license version 3", "gnu general public license as published by the free software foundation", "licensed under the gpl version 2 or later", "spdx license identifier gpl 3.0 or later", "gnu lesser general public license version 2.1"],
-    "bsd": ["licensed under the bsd 3 clause license", "released under the bsd license", "spdx license identifier bsd 2 clause", "redistribution and use in source and binary forms with or without modification are permitted"],
-    "mpl-2.0": ["subject to the terms of the mozilla public license version 2.0", "licensed under the mpl 2.0 license", "spdx license identifier mpl 2.0"],
-    "cc-by-nc": ["licensed under cc by nc 4.0", "creative commons attribution noncommercial 4.0 international license", "licensed under a creative commons attribution noncommercial license", "licensed under cc by nc sa 4.0"],
-    "cc-by": ["licensed under cc by 4.0", "creative commons attribution 4.0 international license", "licensed under a creative commons attribution license", "licensed under cc by sa 4.0"],
-    "proprietary": ["all rights reserved", "copyright all rights reserved no part may be reproduced", "unauthorized copying of this file is strictly prohibited"],
-}
+from docprism.llm.licence_texts import TEMPLATES, other_sentences
+
 UNKNOWN = "unknown"
-#: Paragraphs of no family.
-OTHER = [
-    "the driver must hold a valid license to operate this vehicle", "she renewed her fishing license in the spring", "a license plate was found near the road",
-    "copyright law protects authors of original works", "the office grants a license within ten days", "permission to enter the building is required",
-    "the museum asked permission to copy the painting", "poetic license is common in such verse", "the software can be downloaded from the site",
-    "the version of the story told here is the third", "the public library is open to any person", "general conditions of the market improved",
-    "all seats are reserved for members", "the terms of the agreement were published today", "his work is free of charge on weekends",
-    "this license expired last year", "a commercial license costs more than a private one", "the foundation published its report",
-]
-#: Words of which every template has at least one.
-ANCHORS = ("license", "licensed", "licence", "licensing", "permission", "spdx", "redistribution", "copyright", "reserved", "unauthorized", "creative", "cc", "gnu", "gpl", "mozilla")
-CONFIRM = 0.6
+SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 300, 4
+MAX_ERROR = 0.01
+#: Slots of the table of n-grams; of n-grams that share one the more frequent stays.
+SLOTS = 1 << 14
+#: Share of the shorter one's n-grams, and least number, that confirm a prediction.
+CONFIRM, CONFIRM_GRAMS = 0.6, 2
 _TOKEN = "[a-z0-9]+(?:[.][0-9]+)*"
+_GAP = r"\n[ \t\r\f\x0B]*\n"
 
 
-def _tokens(text: str) -> list[str]:
-    import re
-
+def tokens_of(text: str) -> list[str]:
     return re.findall(_TOKEN, text.lower())
 
 
@@ -64,105 +58,194 @@ def _grams(tokens: list[str]) -> set[str]:
     return {" ".join(tokens[i : i + k]) for k in (1, 2, 3) for i in range(len(tokens) - k + 1)}
 
 
-def _variants(notice: str) -> list[str]:
-    return [notice, notice.replace("license", "licence"), f"this document is {notice}", f"{notice} see the file for details", f"copyright 2020 the authors {notice}"]
-
-
-@lru_cache(1)
-def train(rounds: int = 100, rate: float = 0.5, decay: float = 1e-4) -> tuple[dict[str, list[float]], list[float], list[str], float]:
-    """Weights of n-grams by class, biases, class names, least probability of a family."""
-    families = [*sorted(TEMPLATES), UNKNOWN]
-    rows = [(_grams(_tokens(v)), families.index(f)) for f, notices in TEMPLATES.items() for n in notices for v in _variants(n)]
-    other = [_grams(_tokens(x)) for x in OTHER]
-    held = other[::3]
-    rows += [(g, len(families) - 1) for k, g in enumerate(other) if k % 3] * 4 + [(set(), len(families) - 1)] * 8
-    count: dict[str, int] = {}
-    for grams, _ in rows:
+@dataclass(frozen=True)
+class Model:
+    """``words``: licence words; ``grams``: known n-grams, in the order of the rows of ``weights`` (a column a class, the last *unknown*)."""
+
+    words: tuple[str, ...]
+    grams: tuple[str, ...]
+    weights: np.ndarray
+    bias: np.ndarray
+    families: tuple[str, ...]
+    threshold: float
+    error: float  # share of wrong ones among the held-out examples that count
+    recall: float  # share of held-out notices that count, rightly
+    templates: tuple[tuple[int, tuple[int, ...]], ...]  # class, rows of its n-grams
+
+
+def _pieces(notice: str) -> list[str]:
+    """A notice in the spellings and cuts in which it occurs."""
+    words = notice.split()
+    out = [notice, notice.replace("license", "licence"), f"this document is {notice}", f"{notice} see the file for details", f"copyright 2020 the authors {notice}"]
+    out += [" ".join(words[i : i + 10]) for i in range(0, max(1, len(words) - 9), 5)] if len(words) > 14 else []
+    return list(dict.fromkeys(out))
+
+
+def _held_out(text: str) -> bool:
+    return zlib.crc32(text.encode()) % 5 == 0
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def sample(docs: DataFrame) -> list[str]:
+    """Paragraphs of a bounded sample of documents, as token strings."""
+    ids = [r[0] for r in docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()]
+    if not ids:
+        return []
+    paragraph = F.explode(F.slice(F.split(F.coalesce("text", F.lit("")), _GAP), 1, SAMPLE_PARAGRAPHS)).alias("p")
+    tokens = F.slice(F.regexp_extract_all(F.lower("p"), F.lit(f"({_TOKEN})"), 1), 1, 400)
+    rows = docs.where(F.col("doc_id").isin(ids)).select(paragraph).select(F.array_join(tokens, " ")).limit(SAMPLE_DOCS * SAMPLE_PARAGRAPHS).collect()
+    return sorted(r[0] for r in rows)
+
+
+def train(corpus: list[str], rounds: int = 120, rate: float = 0.5, decay: float = 1e-4) -> Model:
+    """Fit on the templates and against sentences of no family and ``corpus`` paragraphs."""
+    families = (*sorted(TEMPLATES), UNKNOWN)
+    notices = [(tokens_of(x), families.index(f)) for f, texts in TEMPLATES.items() for x in texts]
+    others = [tokens_of(x) for x in [*other_sentences(), *corpus]]
+    seldom: dict[str, int] = {}
+    for t in others:
+        for w in set(t):
+            seldom[w] = seldom.get(w, 0) + 1
+    plain = max(3, len(others) // 50)
+    used = {w for t, _ in notices for w in t if len(w) > 1}
+    words = {w for w in used if seldom.get(w, 0) <= plain} | {w for w in used if w.startswith(("licen", "copyright", "permission", "reserved"))}
+    kept = lambda t: {g for g in _grams(t) if not words.isdisjoint(g.split(" "))}
+    examples = [(kept(tokens_of(v)), y, _held_out(v)) for f, texts in TEMPLATES.items() for y in (families.index(f),) for x in texts for v in _pieces(x)]
+    at = {}
+    for grams, _, _ in examples:
         for g in grams:
-            count[g] = count.get(g, 0) + 1
-    vocabulary = sorted(g for g, n in count.items() if n >= 3)
-    weights = {g: [0.0] * len(families) for g in vocabulary}
-    bias = [0.0] * len(families)
-    sparse = [([g for g in grams if g in weights], y) for grams, y in rows]
+            at[g] = at.get(g, 0) + 1
+    slots: dict[int, str] = {}
+    for g in sorted(at, key=lambda g: (-at[g], g)):
+        slots.setdefault(zlib.crc32(g.encode()) % SLOTS, g)
+    grams = tuple(sorted(slots.values()))
+    row = {g: k for k, g in enumerate(grams)}
+    templates = tuple((y, tuple(sorted(row[g] for g in kept(t) if g in row))) for t, y in notices)
+    for t in others:
+        found = {row[g] for g in kept(t) if g in row}
+        if not any(_confirms(found, set(rows)) for _, rows in templates):
+            examples.append((kept(t), len(families) - 1, _held_out(" ".join(t))))
+    examples += [(set(), len(families) - 1, False)] * 20
+    x = np.zeros((len(examples), len(grams)), np.float32)
+    for k, (found, _, _) in enumerate(examples):
+        x[k, [row[g] for g in found if g in row]] = 1
+    y, held = np.array([e[1] for e in examples]), np.array([e[2] for e in examples])
+    unknown = len(families) - 1
+    share = np.where(y == unknown, 1 / (y == unknown).sum(), 1 / (y != unknown).sum())  # notices and others weigh the same
+    scaled = x / (1 + np.sqrt(x.sum(1, keepdims=True)))
+    weights, bias = np.zeros((len(grams), len(families)), np.float32), np.zeros(len(families))
+    seen, seen_b = np.full_like(weights, 1e-10), np.full(len(families), 1e-10)
+    train_x, train_y, train_w = scaled[~held], np.eye(len(families))[y[~held]], (share[~held] / share[~held].sum())[:, None]
     for _ in range(rounds):
-        for grams, y in sparse:
-            p = _softmax([b + sum(weights[g][k] for g in grams) for k, b in enumerate(bias)])
-            for k in range(len(families)):
-                step = rate * ((k == y) - p[k]) / (1 + len(grams))
-                bias[k] += step
-                for g in grams:
-                    weights[g][k] += step - decay * weights[g][k]
-    mistaken = [max(_softmax([b + sum(weights[g][k] for g in x if g in weights) for k, b in enumerate(bias)])[:-1]) for x in held]
-    return weights, bias, families, max(0.5, *mistaken)
-
-
-def _softmax(z: list[float]) -> list[float]:
-    top = max(z)
-    e = [math.exp(x - top) for x in z]
-    return [x / sum(e) for x in e]
-
-
-def classify(text: str) -> tuple[str, float, bool]:
-    """Family, probability and confirmation of one paragraph, in plain Python (for tests)."""
-    weights, bias, families, least = train()
-    tokens = _tokens(text)
-    if not set(tokens) & set(ANCHORS):
-        return UNKNOWN, 1.0, False
-    grams = _grams(tokens)
-    p = _softmax([b + sum(weights[g][k] for g in sorted(grams) if g in weights) for k, b in enumerate(bias)])
-    k = max(range(len(p) - 1), key=lambda k: p[k])
-    if p[k] < least:
-        return UNKNOWN, p[-1], False
-    held = max(len(_grams(_tokens(t)) & grams) / len(_grams(_tokens(t))) for t in TEMPLATES[families[k]])
-    return families[k], p[k], held >= CONFIRM
-
-
-def _array(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
-def _sql_array(values) -> str:
-    return "array(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
+        pull = ((train_y - _softmax(train_x @ weights + bias)) * train_w).astype(np.float32)
+        step = train_x.T @ pull - decay * weights / len(train_x)
+        seen += step * step
+        weights += rate * step / np.sqrt(seen)
+        seen_b += pull.sum(0) ** 2
+        bias += rate * pull.sum(0) / np.sqrt(seen_b)
+    z, target = scaled[held] @ weights + bias, y[held]
+    heat = min(np.geomspace(0.2, 5, 60), key=lambda t: -np.log(_softmax(z / t)[np.arange(len(z)), target] + 1e-12).mean())
+    weights, bias = np.round((weights / heat).astype(np.float64), 3), bias / heat  # thousandths, which add up alike in any order
+    p = _softmax(scaled[held] @ weights + bias)[:, :-1]
+    top, right = p.max(1), p.argmax(1) == target
+    threshold = 1.0
+    for least in sorted(set(np.round(top, 6)), reverse=True):
+        if least >= 0.2 and (~right)[top >= least].sum() <= MAX_ERROR * (top >= least).sum():
+            threshold = float(least)
+    counts, notice = top >= threshold, target != unknown
+    error = float((~right)[counts].mean()) if counts.any() else 0.0
+    return Model(tuple(sorted(words)), grams, weights, bias, families, threshold, error, float((counts & right)[notice].mean()), templates)
+
+
+def _confirms(found: set[int], template: set[int]) -> bool:
+    both = len(found & template)
+    return both >= min(CONFIRM_GRAMS, len(template)) and both >= CONFIRM * min(len(found), len(template)) and both > 0
+
+
+def _table(values, kind: str) -> Column:
+    """A literal array; parsed once, when the plan is optimised."""
+    return F.from_json(F.lit(json.dumps(list(values))), f"array<{kind}>")
+
+
+def _alternatives(words: tuple[str, ...]) -> str:
+    """Pattern of whole words, by first letter, so that most places need one comparison."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[0], []).append(re.escape(w[1:]))
+    return r"(?<![a-z0-9.])(?:" + "|".join(f"{re.escape(k)}(?:{'|'.join(sorted(v, key=lambda x: (-len(x), x)))})" for k, v in sorted(by.items())) + r")(?![a-z0-9])"
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, n_paragraphs, families, n_confirmed, licence, probability`` of each document; see :func:`scan`."""
+    classes = len(model.families)
+    slots = np.zeros(SLOTS, np.int64)
+    for k, g in enumerate(model.grams):
+        slots[zlib.crc32(g.encode()) % SLOTS] = k + 1  # 0: none
+    slot, known = _table(slots.tolist(), "int"), _table(["", *model.grams], "string")
+    thousandths = np.rint(model.weights * 1000).astype(int)
+    gate = _alternatives(model.words)
+    blocks = F.split(F.lower(F.coalesce("text", F.lit(""))), _GAP)
+    lines = F.transform(blocks, lambda b: F.array_join(F.filter(F.split(b, "\n"), lambda x: x.rlike(gate)), " "))
+    rows = docs.select("doc_id", F.filter(lines, lambda b: b != "").alias("_p"))
+    rows = rows.withColumn("_t", F.transform("_p", lambda p: F.regexp_extract_all(p, F.lit(f"({_TOKEN})"), 1)))
+
+    def grams(t: Column) -> Column:
+        def of(k: int) -> Column:
+            runs = F.transform(F.sequence(F.lit(0), F.size(t) - k), lambda i: F.array_join(F.slice(t, i + 1, k), " "))
+            return F.when(F.size(t) >= k, runs).otherwise(F.array().cast("array<string>"))
+
+        return F.array_distinct(F.concat(of(1), of(2), of(3)))
+
+    def number(g: Column) -> Column:
+        k = slot[(F.crc32(g) % SLOTS).cast("int")]
+        return F.when(known[k] == g, k).otherwise(F.lit(0))
+
+    rows = rows.withColumn("_g", F.transform("_t", lambda t: F.filter(F.transform(grams(t), number), lambda k: k > 0)))
+
+    def logit(g: Column, c: int) -> Column:
+        column = _table([0, *thousandths[:, c].tolist()], "int")
+        total = F.aggregate(g, F.lit(0).cast("long"), lambda a, k: a + column[k])
+        return F.lit(float(model.bias[c])) + total / 1000 / (1 + F.sqrt(F.size(g).cast("double")))
+
+    rows = rows.withColumn("_z", F.transform("_g", lambda g: F.array(*[logit(g, c) for c in range(classes)])))
+    rows = rows.withColumn("_e", F.transform("_z", lambda z: F.transform(z, lambda x: F.exp(x - F.array_max(z)))))
+    rows = rows.withColumn("_f", F.transform("_e", lambda e: F.transform(F.slice(e, 1, classes - 1), lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))))
+    best = F.transform("_f", lambda f: F.struct(F.array_max(f).alias("p"), (F.array_position(f, F.array_max(f)) - 1).cast("int").alias("k")))
+
+    def confirmed(b: Column, g: Column) -> Column:
+        out = F.lit(False)
+        for c in range(classes - 1):
+            tests = []
+            for held in (rows_ for y, rows_ in model.templates if y == c and rows_):
+                both = F.size(F.array_intersect(g, F.array(*[F.lit(r + 1) for r in held])))
+                tests.append((both >= max(1, min(CONFIRM_GRAMS, len(held)))) & (both >= CONFIRM * F.least(F.size(g), F.lit(len(held)))))
+            any_ = tests[0]
+            for test in tests[1:]:
+                any_ = any_ | test
+            out = F.when(b["k"] == c, any_).otherwise(out)
+        return out
+
+    names = F.array(*[F.lit(f) for f in model.families[:-1]])
+    rows = rows.withColumn("_c", F.zip_with(best, "_g", lambda b, g: F.struct(b["p"].alias("p"), names[b["k"]].alias("family"), g.alias("g"), b["k"].alias("k"))))
+    rows = rows.withColumn("_c", F.filter("_c", lambda c: c["p"] >= F.lit(model.threshold)))
+    rows = rows.withColumn("_c", F.transform("_c", lambda c: F.struct(c["p"].alias("p"), c["family"].alias("family"), confirmed(c, c["g"]).alias("ok"))))
+    rows = rows.withColumn("_best", F.array_sort(F.transform(F.filter("_c", lambda c: c["ok"]), lambda c: F.struct((-c["p"]).alias("p"), c["family"].alias("family")))))
+    first = F.try_element_at("_best", F.lit(1))
+    return rows.select(
+        "doc_id", F.size("_p").cast("long").alias("n_paragraphs"), F.array_join(F.sort_array(F.array_distinct(F.transform("_c", lambda c: c["family"]))), ",").alias("families"),
+        F.size("_best").cast("long").alias("n_confirmed"), first["family"].alias("licence"), F.round(-first["p"], 6).alias("probability"),
+    )
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id, n_paragraphs, families, n_confirmed, licence, probability`` of each document.
 
-    ``families``: sorted families of its paragraphs, joined by commas; ``licence``
-    and ``probability``: the most probable confirmed one, else null.
+    ``n_paragraphs``: those with a licence word; ``families``: sorted families of its
+    paragraphs, joined by commas; ``licence`` and ``probability``: the most probable
+    confirmed one, else null.
     """
-    weights, bias, families, least = train()
-    anchors = "(?i)(?<![a-z0-9])(" + "|".join(ANCHORS) + ")(?![a-z0-9])"
-    rows = docs.select("doc_id", F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda p: p.rlike(anchors)).alias("_p"))
-    tokens = F.transform("_p", lambda p: F.regexp_extract_all(F.lower(p), F.lit(f"({_TOKEN})"), 1))
-    rows = rows.withColumn("_t", tokens)
-    gram_sql = "array_union(array_union(array_distinct(t), " + "), ".join(
-        f"if(size(t) >= {k}, transform(sequence(0, size(t) - {k}), i -> concat_ws(' ', slice(t, i + 1, {k}))), array())" for k in (2, 3)
-    ) + ")"
-    vocabulary = sorted(weights)
-    known = sorted({g for notices in TEMPLATES.values() for t in notices for g in _grams(_tokens(t))} | set(vocabulary))
-    rows = rows.withColumn("_g", F.expr(f"transform(_t, t -> array_intersect({gram_sql}, {_sql_array(known)}))"))
-    values = ", ".join("'" + g + "', array(" + ", ".join(f"{w:.17g}D" for w in weights[g]) + ")" for g in vocabulary)
-    zero = "array(" + ", ".join(["0D"] * len(families)) + ")"
-    table = f"map({values})"
-    rows = rows.withColumn("_w", F.expr(f"transform(_g, g -> transform(g, x -> coalesce(try_element_at({table}, x), {zero})))"))
-    sums = "array(" + ", ".join(f"aggregate(w, {b:.17g}D, (a, x) -> a + x[{k}])" for k, b in enumerate(bias)) + ")"
-    rows = rows.withColumn("_z", F.expr(f"transform(_w, w -> {sums})"))
-    rows = rows.withColumn("_e", F.expr("transform(_z, z -> transform(z, x -> exp(x - array_max(z))))"))
-    rows = rows.withColumn("_q", F.expr("transform(_e, e -> transform(e, x -> x / aggregate(e, 0D, (a, y) -> a + y)))"))
-    rows = rows.withColumn("_f", F.expr(f"transform(_q, q -> slice(q, 1, {len(families) - 1}))"))
-    rows = rows.withColumn("_b", F.expr("transform(_f, f -> named_struct('p', array_max(f), 'k', cast(array_position(f, array_max(f)) - 1 as int)))"))
-    held = []
-    for f in families[:-1]:
-        parts = [f"size(array_intersect({_sql_array(sorted(_grams(_tokens(t))))}, g)) / {len(_grams(_tokens(t)))}D" for t in TEMPLATES[f]]
-        held.append("greatest(" + ", ".join(parts) + ")" if len(parts) > 1 else parts[0])
-    chosen = "case b.k " + " ".join(f"when {k} then {x}" for k, x in enumerate(held)) + " else 0D end"
-    names = _sql_array(families[:-1])
-    rows = rows.withColumn("_c", F.expr(f"zip_with(_b, _g, (b, g) -> named_struct('p', b.p, 'family', {names}[b.k], 'ok', {chosen} >= {CONFIRM}D))"))
-    rows = rows.withColumn("_c", F.expr(f"filter(_c, c -> c.p >= {least:.17g}D)"))
-    best = F.expr("array_sort(filter(_c, c -> c.ok), (x, y) -> case when x.p > y.p then -1 when x.p < y.p then 1 when x.family < y.family then -1 when x.family > y.family then 1 else 0 end)")
-    rows = rows.withColumn("_best", best)
-    return rows.select(
-        "doc_id", F.size("_p").cast("long").alias("n_paragraphs"), F.array_join(F.sort_array(F.array_distinct(F.transform("_c", lambda c: c["family"]))), ",").alias("families"),
-        F.size("_best").cast("long").alias("n_confirmed"), F.expr("try_element_at(_best, 1).family").alias("licence"), F.expr("round(try_element_at(_best, 1).p, 6)").alias("probability"),
-    )
+    return score(docs, train(sample(docs)))
