@@ -13,7 +13,9 @@ small.
 
 Defined results: a null or unparsable URL has no host and is kept; a null fetch
 day matches nothing; of entries of one key and day the greatest action counts;
-repeated captures get equal rows; entries with a null key or day are void.
+a verdict belongs to a URL and day, so repeated captures get equal rows and two
+captures of one page (or of none) may differ; entries with a null key or day are
+void; further columns of either table take no part.
 """
 
 from __future__ import annotations
@@ -49,12 +51,12 @@ def intervals(entries: DataFrame) -> DataFrame:
 def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """``page_id, fetch_day, host, matched_key, action, since, kept`` of each capture (``page_id, url, fetch_day``)."""
     rows = captures.select("page_id", "url", "fetch_day", host_of(F.col("url")).alias("host"))
-    asked = rows.where("host is not null").select("page_id", "url", "fetch_day", F.explode(keys_of(F.col("url"))).alias("key")).drop("url")
+    asked = rows.where("host is not null and fetch_day is not null").select("url", "fetch_day").distinct().withColumn("key", F.explode(keys_of(F.col("url"))))
     listed = intervals(entries)
     active = asked.join(listed, (asked["key"] == listed["key"]) & (F.col("since") <= F.col("fetch_day")) & (F.col("until").isNull() | (F.col("fetch_day") < F.col("until"))))
     best = F.max(F.struct(F.length(asked["key"]).alias("n"), asked["key"].alias("k"), F.col("action").alias("a"), F.col("since").alias("s"))).alias("_best")
-    hit = active.groupBy("page_id", "fetch_day").agg(best).select(F.col("page_id").alias("_page"), F.col("fetch_day").alias("_day"), "_best")
-    out = rows.join(hit, (rows["page_id"] == F.col("_page")) & (rows["fetch_day"] == F.col("_day")), "left")
+    hit = active.groupBy("url", "fetch_day").agg(best).select(F.col("url").alias("_url"), F.col("fetch_day").alias("_day"), "_best")
+    out = rows.join(hit, (rows["url"] == F.col("_url")) & (rows["fetch_day"] == F.col("_day")), "left")
     return out.select(
         "page_id", "fetch_day", "host", F.col("_best.k").alias("matched_key"), F.col("_best.a").alias("action"), F.col("_best.s").alias("since"),
         F.coalesce(F.col("_best.a") != "block", F.lit(True)).alias("kept"),
@@ -87,10 +89,10 @@ WITH rows AS (
     nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1), '') AS segment
   FROM pages),
 asked AS (
-  SELECT DISTINCT page_id, fetch_day, key FROM (
-    SELECT page_id, fetch_day, array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.') AS key
+  SELECT DISTINCT url, fetch_day, key FROM (
+    SELECT url, fetch_day, array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.') AS key
     FROM (SELECT *, unnest(range(1, greatest(len(string_split(host, '.')), 2))) AS i FROM rows WHERE host IS NOT NULL)
-    UNION ALL SELECT page_id, fetch_day, host || '/' || segment FROM rows WHERE host IS NOT NULL AND segment IS NOT NULL)),
+    UNION ALL SELECT url, fetch_day, host || '/' || segment FROM rows WHERE host IS NOT NULL AND segment IS NOT NULL)),
 keys AS (
   SELECT key, ('0x' || substr(md5(key), 1, 4))::INT AS a, ('0x' || substr(md5(key), 5, 4))::INT % 120 AS d1,
     1 + ('0x' || substr(md5(key), 9, 4))::INT % 90 AS d2, 1 + ('0x' || substr(md5(key), 13, 4))::INT % 90 AS d3
@@ -101,8 +103,8 @@ entries AS (
   UNION ALL SELECT key, 'block', DATE '2024-01-01' + d1 + d2 + d3 FROM keys WHERE a % 5 = 0),
 listed AS (SELECT key, action, day AS since, lead(day) OVER (PARTITION BY key ORDER BY day) AS until FROM entries),
 best AS (
-  SELECT page_id, fetch_day, key, action, since, row_number() OVER (PARTITION BY page_id, fetch_day ORDER BY length(key) DESC, key DESC, action DESC, since DESC) AS rn
+  SELECT url, fetch_day, key, action, since, row_number() OVER (PARTITION BY url, fetch_day ORDER BY length(key) DESC, key DESC, action DESC, since DESC) AS rn
   FROM asked JOIN listed USING (key) WHERE action <> 'remove' AND since <= fetch_day AND (until IS NULL OR fetch_day < until))
 SELECT rows.page_id, rows.fetch_day, host, best.key AS matched_key, action, since, coalesce(action <> 'block', true) AS kept
-FROM rows LEFT JOIN best ON rows.page_id = best.page_id AND rows.fetch_day = best.fetch_day AND rn = 1
+FROM rows LEFT JOIN best ON rows.url = best.url AND rows.fetch_day = best.fetch_day AND rn = 1
 """
