@@ -4,7 +4,9 @@ A layout is known by the fingerprint of its schema: the hash of its sorted
 nested field paths.  Each fingerprint selects a declarative mapping (``LAYOUTS``)
 that turns prompt, instruction, message or row layouts into canonical turns
 ``conv_id, turn, role, text``; records kept as JSON are fingerprinted one by one,
-so one table may mix layouts.
+so one table may mix layouts.  A record or table with further fields beside a known
+layout's has another fingerprint; then the layout with the most of its paths there
+is taken.
 
 The template writes a turn as ``### role: text</turn>\n``.  Inside roles and
 texts ``\`` becomes ``\b``, ``<`` ``\l`` and ``#`` ``\h`` (in roles also ``:``
@@ -12,8 +14,9 @@ texts ``\`` becomes ``\b``, ``<`` ``\l`` and ``#`` ``\h`` (in roles also ``:``
 
 Defined results: null text and null role are empty; turns with equal numbers are
 ordered by role, then text, a null turn first; repeated rows are turns of their
-own; a conversation without turns has no row; an unknown layout is an error that
-names its paths.
+own; a conversation without turns has no row; a null record has no turns; an
+unknown layout, or a record that is no JSON object, is an error that names its
+paths; further columns take no part.
 """
 
 from __future__ import annotations
@@ -68,6 +71,14 @@ LAYOUTS = (
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant"}
 
 
+def _role(name: Column) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])[name], name)
+
+
+def _turns(*turns: tuple[Column, Column, Column]) -> Column:
+    return F.array(*[F.struct(turn.cast("long").alias("turn"), role.alias("role"), text.alias("text")) for turn, role, text in turns])
+
+
 def _canonical(df: DataFrame, layout: Layout) -> DataFrame:
     kind, *spec = layout.turns
     conv = F.col(layout.id).cast("long").alias("conv_id")
@@ -77,10 +88,9 @@ def _canonical(df: DataFrame, layout: Layout) -> DataFrame:
     if kind == "list":
         array, role, text = spec
         rows = df.select(conv, F.posexplode(array).alias("turn", "_m"))
-        known = F.col(f"_m.{role}").cast("string")
-        named = F.coalesce(F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])[known], known)
+        named = _role(F.col(f"_m.{role}").cast("string"))
         return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), named.alias("role"), F.col(f"_m.{text}").cast("string").alias("text"))
-    turns = F.array(*[F.struct(F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), F.col(field).cast("string").alias("text")) for i, (role, field) in enumerate(spec)])
+    turns = _turns(*[(F.lit(i), F.lit(role), F.col(field).cast("string")) for i, (role, field) in enumerate(spec)])
     return df.select(conv, F.explode(turns).alias("t")).select("conv_id", "t.*")
 
 
@@ -97,24 +107,58 @@ def canonical_turns(df: DataFrame) -> DataFrame:
     return _canonical(df, layout)
 
 
+def _record_paths(fields: Column) -> Column:
+    """Sorted nested field paths of a record given as a map of its fields to their JSON, as :func:`field_paths` names them."""
+
+    def below(entry):
+        name, value = entry["key"], entry["value"]
+        objects = F.from_json(value, "array<map<string,string>>")
+        inner = F.from_json(value, "map<string,string>")
+        listed = F.array_distinct(F.flatten(F.transform(objects, lambda m: F.coalesce(F.map_keys(m), F.array().cast("array<string>")))))
+        paths = F.when(value.startswith("[") & (F.size(listed) > 0), F.transform(listed, lambda k: F.concat(name, F.lit("[]."), k)))
+        paths = paths.when(value.startswith("["), F.array(F.concat(name, F.lit("[]"))))
+        return paths.when(value.startswith("{") & (F.size(F.map_keys(inner)) > 0), F.transform(F.map_keys(inner), lambda k: F.concat(name, F.lit("."), k))).otherwise(F.array(name))
+
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.map_entries(fields), below))))
+
+
+def _record_turns(layout: Layout) -> Column:
+    """Canonical turns of a record's ``_fields``; of an array those entries count that are objects."""
+    kind, *spec = layout.turns
+    field = lambda name: F.col("_fields")[name]
+    if kind == "rows":
+        turn, role, text = spec
+        return _turns((field(turn), field(role), field(text)))
+    if kind == "list":
+        array, role, text = spec
+        objects = F.from_json(field(array), "array<map<string,string>>")
+        return F.transform(objects, lambda m, i: F.struct(i.cast("long").alias("turn"), _role(m[role]).alias("role"), m[text].alias("text")))
+    return _turns(*[(F.lit(i), F.lit(role), field(name)) for i, (role, name) in enumerate(spec)])
+
+
 def canonical_records(df: DataFrame, json: str = "record") -> DataFrame:
-    """Canonical turns of JSON records in mixed layouts, each by its own fingerprint; unknown ones give an error row's failure."""
-    leaf = {"id": "long", "conv_id": "long", "turn": "long"}
-    out = None
-    shaped = df.select(F.try_parse_json(json).alias("_v"), F.col(json).alias("_raw"))
-    paths = F.regexp_replace(F.schema_of_variant("_v"), r": (STRING|BIGINT|DOUBLE|BOOLEAN|VOID|DECIMAL\(\d+,\d+\))", "")
-    marked = shaped.withColumn("_print", F.sha2(paths, 256))
-    for layout in LAYOUTS[1:]:
-        nested: dict[str, list[str]] = {}
-        for p in layout.paths:
-            top, _, sub = p.partition("[].")
-            nested.setdefault(top, []).extend([sub] if sub else [])
-        shape = "OBJECT<" + ", ".join(f"{k}: ARRAY<OBJECT<{', '.join(sorted(v))}>>" if v else k for k, v in sorted(nested.items())) + ">"
-        schema = ", ".join(f"{k} array<struct<{', '.join(f'`{s}`: string' for s in v)}>>" if v else f"{k} {leaf.get(k, 'string')}" for k, v in nested.items())
-        part = marked.where(F.col("_print") == hashlib.sha256(shape.encode()).hexdigest())
-        turns = _canonical(part.select(F.from_json("_raw", schema).alias("_r")).select("_r.*"), layout)
-        out = turns if out is None else out.unionByName(turns)
-    return out
+    """Canonical turns of JSON records in mixed layouts, each by its own fingerprint, in one scan.
+
+    A record that is no JSON object, or fits no layout, is an error when the
+    result is computed; a null record has no turns.
+    """
+    rows = df.where(F.col(json).isNotNull()).select(F.col(json).alias("_raw"), F.from_json(json, "map<string,string>").alias("_fields"))
+    rows = rows.withColumn("_paths", _record_paths(F.col("_fields")))
+    rows = rows.withColumn("_print", F.sha2(F.array_join("_paths", "\n"), 256))
+    choice = F.lit(None).cast("int")
+    for k in sorted(range(len(LAYOUTS)), key=lambda k: len(LAYOUTS[k].paths)):  # the later wins
+        fits = F.size(F.array_except(F.array(*[F.lit(p) for p in LAYOUTS[k].paths]), "_paths")) == 0
+        choice = F.when(fits, F.lit(k)).otherwise(choice)
+    for k, layout in enumerate(LAYOUTS):
+        choice = F.when(F.col("_print") == layout.fingerprint, F.lit(k)).otherwise(choice)
+    unknown = F.when(F.coalesce(F.size("_paths"), F.lit(0)) <= 0, F.concat(F.lit("no JSON object: "), F.substring("_raw", 1, 200))).otherwise(F.concat(F.lit("no layout has the paths "), F.array_join("_paths", ", ")))
+    rows = rows.withColumn("_layout", F.coalesce(choice, F.raise_error(unknown).cast("int")))
+    turns, conv = F.lit(None), F.lit(None)
+    for k, layout in enumerate(LAYOUTS):
+        here = F.col("_layout") == k
+        turns, conv = F.when(here, _record_turns(layout)).otherwise(turns), F.when(here, F.col("_fields")[layout.id]).otherwise(conv)
+    found = rows.select("_layout", conv.cast("long").alias("conv_id"), F.explode_outer(turns).alias("t"))
+    return found.where("_layout is not null and t is not null").select("conv_id", "t.*")
 
 
 def escape(text: Column) -> Column:
