@@ -7,11 +7,12 @@ unpacked pieces that fill its expanded gap more tightly.
 
 Two pieces of one length are interchangeable, so the whole plan is made on the
 histogram of lengths: at most ``capacity`` counters, whatever the corpus.  The
-planner repeats each found filling as often as the counters allow.  The pieces
-are then numbered within (length, salt), the salts of a length are lined up by a
-running sum over their counts, and the number picks sequence and offset from the
-plan.  A length that a third of all pieces share is numbered in ``SALTS`` tasks;
-no task and no broadcast grows with the corpus.
+planner repeats each found filling as often as the counters allow.  A piece of
+full length is a sequence of its own and needs no number among its like.  The
+others are numbered within (length, salt), the salts of a length are lined up by
+a running sum over their counts, and the number picks sequence and offset from
+the plan.  A length has about the square root of its count in salts, so that
+neither the rows of a salt nor the salts of a length fill a task.
 
 Defined results: null text is empty and gives one piece with the end id alone;
 repeated rows are packed each; ties between equal pieces are broken by
@@ -20,6 +21,7 @@ repeated rows are packed each; ties between equal pieces are broken by
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +33,9 @@ from pyspark.sql import functions as F
 from docprism.llm import textvec as tv
 from docprism.llm.store import materialize
 
-CAPACITY, END_ID, SALTS = 2048, 0, 64
+CAPACITY, END_ID = 2048, 0
+#: Least number of pieces of one length and salt.
+SALT_ROWS = 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SCHEMA = PIECES + ", sequence_id long, offset long"
 
@@ -69,7 +73,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tv.tidy(run), PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[tuple[int, int]], int]]:
@@ -166,16 +170,19 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     """One row a piece with its place (columns of ``SCHEMA``)."""
     spark = docs.sparkSession
     parts = materialize(pieces(docs, tokenizer, capacity, end_id), "pieces")
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")
-    parts = parts.withColumn("_salt", salt)
-    sizes = parts.groupBy("length", "_salt").agg(F.count("*").alias("_n"))  # at most capacity * SALTS rows
+    counts = {r[0]: r[1] for r in parts.groupBy("length").count().collect()}  # at most capacity rows
+    full = counts.pop(capacity, 0)
+    plan_of = Places(plan(counts, capacity))
+    places = spark.sparkContext.broadcast(plan_of)
+    salts = spark.createDataFrame([(length, -(-n // max(SALT_ROWS, math.isqrt(n)))) for length, n in counts.items()], "length long, _salts long")  # at most capacity rows
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_salts"))
+    short = parts.where(F.col("length") < capacity).join(F.broadcast(salts), "length").withColumn("_salt", salt)
+    sizes = short.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     firsts = sizes.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    counts = {r[0]: r[1] for r in sizes.groupBy("length").agg(F.sum("_n")).collect()}  # at most capacity rows
-    places = spark.sparkContext.broadcast(Places(plan(counts, capacity)))
     within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32", "start")
     numbered = (
-        parts.withColumn("_row", F.row_number().over(within) - 1)
+        short.withColumn("_row", F.row_number().over(within) - 1)
         .join(firsts, ["length", "_salt"])
         .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_first") + F.col("_row")).alias("_number"))
     )
@@ -185,4 +192,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
             sequence, offset = places.value.place(batch.column(3).to_numpy(), batch.column(5).to_numpy())
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    return numbered.mapInArrow(run, SCHEMA)
+    out = numbered.mapInArrow(tv.tidy(run), SCHEMA)
+    if not full:
+        return out
+    own = F.lit(plan_of.n_sequences) + F.monotonically_increasing_id()
+    alone = parts.where(F.col("length") == capacity).select("doc_id", "piece", "start", "length", "ids_crc32", own.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return out.unionByName(alone)
