@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -68,6 +69,117 @@ def quality_counts(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(covered)
 
 
+def quality_verdicts(docs, min_group=20):
+    """docs: [(doc_id, lang, source, text)]; {doc_id: kept}: quantiles of values cut to seven significant bits, by source, language or all."""
+
+    def low(x):
+        return x if x < 128 else x >> (x.bit_length() - 7) << (x.bit_length() - 7)
+
+    def high(x):
+        return x if x < 128 else low(x) + (1 << (x.bit_length() - 7)) - 1
+
+    def quantile(values, percent):
+        values = sorted(values, key=low)
+        return values[-(-len(values) * percent // 100) - 1]
+
+    rows, groups = [], defaultdict(list)
+    for i, lang, source, text in docs:
+        n, chars, signs, dup, rep = quality_counts(text)
+        failed = n < 50 or 100 * rep > 50 * n
+        n_lines = sum(bool(SPACED.search(x)) for x in (text or "").split("\n"))
+        values = {"length": chars * 100_000 // max(n, 1), "signs": signs * 100_000 // max(n, 1), "dup": dup * 100_000 // max(n_lines, 1), "rep": rep * 100_000 // max(n, 1)}
+        rows.append((i, lang, source, failed, values))
+        for m, x in values.items():
+            if x and not failed:
+                for key in ((lang, source), (lang,), ()):
+                    groups[key, m].append(x)
+    out = {}
+    for i, lang, source, failed, values in rows:
+        kept = not failed
+        for m, x in values.items():
+            held = next((groups[key, m] for key in ((lang, source), (lang,), ()) if len(groups[key, m]) >= min_group), None)
+            if not x or held is None:
+                continue
+            a, b, top = low(quantile(held, 25)), high(quantile(held, 75)), high(quantile(held, 95))
+            kept &= a - 6 * (b - a) <= x <= b + 6 * (b - a) if m == "length" else x <= max(top, b + 2 * (b - a))
+        out[i] = kept
+    return out
+
+
+def toxicity(text, weights, bias, bits, prefixes, word_hash, prefix_hash):
+    """Noisy-or of the sentences of one text; hashes are given."""
+    sentences = defaultdict(list)
+    for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text or ""):
+        sentences[sum(c in ".!?\n" for c in text[: m.start()])].append(m[0])
+    quiet = 1.0
+    for words in sentences.values():
+        z = bias
+        for w in words:
+            z += weights[word_hash(w) >> (64 - bits)] + sum(weights[prefix_hash(w, k) >> (64 - bits)] for k in prefixes)
+        quiet *= 1 - 1 / (1 + math.exp(-z))
+    return 1 - quiet
+
+
+def licences(text, model):
+    """Digest row of one text: paragraphs, families, confirmed, licence, probability."""
+    row = {g: k for k, g in enumerate(model.grams)}
+    words, found, n = set(model.words), [], 0
+    for block in re.split(r"\n[ \t\r\f\v]*\n", (text or "").lower()):
+        lines = [x for x in block.split("\n") if words & {m[0] for m in re.finditer(r"(?<![a-z0-9.])[a-z0-9]+(?:[.][0-9]+)*(?![a-z0-9])", x)} or any(re.search(rf"(?<![a-z0-9.]){re.escape(w)}(?![a-z0-9])", x) for w in words)]
+        if not lines:
+            continue
+        n += 1
+        t = re.findall(r"[a-z0-9]+(?:[.][0-9]+)*", " ".join(lines))
+        held = {row[g] for k in (1, 2, 3) for i in range(len(t) - k + 1) if (g := " ".join(t[i : i + k])) in row}
+        z = [float(b) + sum(float(model.weights[r][c]) for r in held) / (1 + math.sqrt(len(held))) for c, b in enumerate(model.bias)]
+        e = [math.exp(x - max(z)) for x in z]
+        p = [x / sum(e) for x in e][:-1]
+        k = max(range(len(p)), key=lambda c: (p[c], -c))
+        if p[k] < model.threshold:
+            continue
+        sure = any(y == k and len(held & set(rows)) >= max(1, min(2, len(rows))) and len(held & set(rows)) >= 0.6 * min(len(held), len(rows)) for y, rows in model.templates if rows)
+        found.append((p[k], model.families[k], sure))
+    best = min(((-p, f) for p, f, sure in found if sure), default=(None, None))
+    return n, ",".join(sorted({f for _, f, _ in found})), sum(sure for *_, sure in found), best[1], None if best[0] is None else round(-best[0], 6)
+
+
+def lines_left(docs, min_chars=20, min_docs=3):
+    """docs: [(doc_id, text)]; the texts after line dedup."""
+    key = lambda line: line.strip(" \t\n\v\f\r").translate(LOWER)
+    held = defaultdict(set)
+    for i, text in docs:
+        if i is not None:
+            for line in (text or "").split("\n"):
+                held[key(line)].add(i)
+    out = []
+    for i, text in docs:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if i is None or len(key(x)) < min_chars or len(held[key(x)]) < min_docs or max(held[key(x)]) == i]
+        out.append((i, text if len(kept) == len(lines) else "\n".join(kept)))
+    return out
+
+
+def near_copies_left(docs, k=5, percent=80):
+    """docs: [(doc_id, text)]; one of each class of near copies, one of repeated rows, all rows without an id."""
+    known = sorted({(i, t) for i, t in docs if i is not None}, key=repr)
+    sets, root = [shingles(t, k) for _, t in known], list(range(len(known)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(known)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                root[find(a)] = find(b)
+    least = {}
+    for a, (i, _) in enumerate(known):
+        least[find(a)] = min(least.get(find(a), i), i)
+    return [known[a] for a in range(len(known)) if not sets[a] or least[find(a)] == known[a][0]] + [(i, t) for i, t in docs if i is None]
+
+
 def shingles(text, k=3):
     w = SPACED.findall((text or "").translate(LOWER))
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
