@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; where it is unset, a folder of our own, on a single machine only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="docprism-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: later plans see one and the same result, and lineage ends."""
+    path = f"{shared_folder(df.sparkSession)}/docprism/{df.sparkSession.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """CSV with a header; with a schema, a row that breaks it is an error."""
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
@@ -33,6 +53,20 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def resolve_manifest(manifest: DataFrame, files: DataFrame, limit: int = 16 << 20) -> DataFrame:
+    """Manifest rows with the size and digest of their files (of an :func:`inventory`); a missing, empty or too large file is an error."""
+    found = manifest.join(files, manifest["file"] == files["path"], "left").drop("path")
+    bad = found.where(F.col("size").isNull() | (F.col("size") == 0) | (F.col("size") > limit))
+    if not bad.isEmpty():
+        raise ValueError(f"files of the manifest are missing, empty or over {limit} bytes: {[r[0] for r in bad.select('file').limit(5).collect()]}")
+    return found
+
+
+def same_set(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows on one side only, as often as they are more there: ``side`` (missing or unexpected) and the columns; empty if the two are equal."""
+    return expected.exceptAll(found).withColumn("side", F.lit("missing")).unionByName(found.exceptAll(expected).withColumn("side", F.lit("unexpected")))
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """One row a plain text file: ``path, text``."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
