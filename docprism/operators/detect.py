@@ -162,16 +162,47 @@ def trace_summary(flags: DataFrame) -> DataFrame:
     return flags.groupBy("doc_id").agg(*[F.count_if(F.col(f)).alias(f"n_{f}") for f in FLAGS], F.count_if(any_flag).alias("n_flagged"), F.count("*").alias("n_traces")).withColumn("trace_score", F.least(F.lit(1.0), F.col("n_flagged") / 10))
 
 
+MAX_PAGES, MAX_TRACES, MAX_LISTED = 20, 20_000, 200
+
+
+def trace_errors(traces: DataFrame, encrypted: DataFrame | None = None) -> DataFrame:
+    """``doc_id, error`` of documents whose traces cannot be judged: encrypted, too many pages or traces, or a box that is not finite.
+
+    ``encrypted``: ids of documents that could not be opened.
+    """
+    finite = F.lit(True)
+    for c in ("x0", "y0", "x1", "y1"):
+        finite = finite & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    per = traces.groupBy("doc_id").agg(F.count_distinct("page").alias("pages"), F.count("*").alias("n"), F.bool_and(finite).alias("finite"))
+    error = F.when(F.col("pages") > MAX_PAGES, "too_many_pages").when(F.col("n") > MAX_TRACES, "too_many_traces").when(~F.col("finite"), "box_not_finite")
+    found = per.select("doc_id", error.alias("error")).where("error is not null")
+    if encrypted is None:
+        return found
+    closed = encrypted.select("doc_id", F.lit("encrypted").alias("error")).distinct()
+    return found.join(closed, "doc_id", "left_anti").unionByName(closed)
+
+
+def trace_findings(flags: DataFrame, layers: DataFrame) -> DataFrame:
+    """Of each document its first ``MAX_LISTED`` flagged traces, the number left out, and the layers that are off."""
+    flagged = flags.where(F.greatest(*[F.col(f) for f in FLAGS]))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "trace_idx"))
+    listed = flagged.withColumn("_k", place).groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("_k") <= MAX_LISTED, F.struct("page", "trace_idx")))).alias("listed"), F.greatest(F.count("*") - MAX_LISTED, F.lit(0)).alias("omitted"),
+    )
+    hidden = layers.where(~F.col("is_on")).groupBy("doc_id").agg(F.count_distinct("layer").alias("hidden_layers"))
+    return listed.join(hidden, "doc_id", "full").withColumn("hidden_layers", F.coalesce("hidden_layers", F.lit(0).cast("long")))
+
+
 def cluster_traces(flags: DataFrame, corner: float = 1.0, gap: float = 3.0, overlap: float = -5.0) -> DataFrame:
-    """Flagged traces of one page and flag set, merged in trace order while corners meet or lines follow each other."""
+    """Flagged traces of one page and flag set, merged in trace order while boxes are the same point or their facing edges are close."""
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for t in pdf.sort_values("trace_idx").itertuples():
             for c in out:
-                near = max(abs(c["x0"] - t.x0), abs(c["y0"] - t.y0), abs(c["x1"] - t.x1), abs(c["y1"] - t.y1)) <= corner
+                near = max(abs(c["x0"] - t.x0), abs(c["y0"] - t.y0), abs(c["x1"] - t.x1), abs(c["y1"] - t.y1)) < corner
                 across = min(c["x1"], t.x1) - max(c["x0"], t.x0)
-                down = max(c["y0"], t.y0) - min(c["y1"], t.y1)
+                down = min(abs(t.y0 - c["y1"]), abs(c["y0"] - t.y1))
                 if near or (across > overlap and down <= gap):
                     c.update(x0=min(c["x0"], t.x0), y0=min(c["y0"], t.y0), x1=max(c["x1"], t.x1), y1=max(c["y1"], t.y1), n=c["n"] + 1)
                     break
@@ -231,24 +262,45 @@ def explain_units(windows: DataFrame, limit: int = 64) -> DataFrame:
 
 # Cues: commands that address an automated reader.  Patterns run on folded lower-case text.
 
+_WHO = r"(?:candidate|applicant|application|profile|person|resume|me|them)"
+_IN = r"[^.!?;\n]"
 OVERRIDES = {
-    "override_en": r"\b(?:ignore|disregard|forget)\b[^.!?;\n]{0,40}\b(?:previous|earlier|prior|above)\b[^.!?;\n]{0,20}\b(?:instructions?|guidance|rules?|prompts?)\b",
-    "override_es": r"\b(?:ignora|olvida)\b[^.!?;\n]{0,40}\binstrucciones\b",
+    "override": rf"\b(?:ignore|disregard|forget|overlook)\b{_IN}{{0,40}}\b(?:previous|earlier|prior|above)\b{_IN}{{0,20}}\b(?:instructions?|guidance|rules?|prompts?)\b",
+    "override_stop": rf"\b(?:stop following|do not follow|no longer follow)\b{_IN}{{0,30}}\b(?:instructions?|guidance|rules?|prompts?)\b",
+    "override_es": rf"\b(?:ignora|olvida|descarta)\b{_IN}{{0,40}}\binstrucciones\b",
 }
 OUTCOMES = {
-    "place_on_top": r"\b(?:rank|place|put)\b[^.!?;\n]{0,30}\b(?:candidate|applicant|profile|me)\b[^.!?;\n]{0,20}\b(?:first|on top|at the top)\b",
-    "set_score": r"\b(?:set|give|assign)\b[^.!?;\n]{0,30}\bscore\b[^.!?;\n]{0,20}\b(?:maximum|highest|100)\b",
+    "place_first": rf"\b(?:rank|place|put)\b{_IN}{{0,30}}\b{_WHO}\b{_IN}{{0,20}}\b(?:first|on top|at the top)\b",
+    "set_score": rf"\b(?:set|give|raise)\b{_IN}{{0,30}}\bscore\b{_IN}{{0,20}}\b(?:maximum|highest|100)\b",
+    "top_of_list": rf"\b(?:move|put|keep)\b{_IN}{{0,40}}\btop of (?:the|your) (?:shortlist|list|ranking)\b",
+    "first_choice": rf"\b(?:choose|select|pick)\b{_IN}{{0,30}}\b(?:first|only) choice\b",
+    "must_hire": rf"\b{_WHO}\b{_IN}{{0,20}}\bmust be (?:hired|accepted|selected)\b",
+    "credential_met": rf"\b(?:treat|count|regard)\b{_IN}{{0,30}}\b(?:missing|absent|lacking)\b{_IN}{{0,30}}\bas (?:met|satisfied|fulfilled)\b",
+    "force_outcome": rf"\b(?:force|fix|lock)\b{_IN}{{0,30}}\b(?:disposition|outcome|verdict)\b",
+    "reuse_outcome": rf"\b(?:reuse|repeat|copy)\b{_IN}{{0,20}}\b(?:same|exact|that) (?:outcome|verdict|decision)\b",
+    "full_marks": rf"\bwrite\b{_IN}{{0,40}}\brecommendation\b{_IN}{{0,30}}\bfull marks\b",
+    "perfect_match": rf"\b(?:treat|see|consider)\b{_IN}{{0,40}}\b(?:perfect|ideal) (?:match|fit)\b",
+    "highest_score": rf"\b(?:allocate|assign|award)\b{_IN}{{0,30}}\b(?:highest|maximum|top) (?:score|rating|mark)\b",
+    "mark_suitable": rf"\bmark\b{_IN}{{0,30}}\b(?:eligible|suitable|qualified)\b",
+    "return_decision": rf"\breturn\b{_IN}{{0,20}}\bdecision\b{_IN}{{0,40}}\b(?:eligible|suitable|positive)\b",
     "do_not_reject": r"\bdo not reject\b",
-    "mark_suitable": r"\bmark\b[^.!?;\n]{0,30}\b(?:eligible|suitable|qualified)\b",
-    "hire_now": r"\b(?:hire|accept)\b[^.!?;\n]{0,20}\b(?:immediately|now|at once)\b",
-    "score_es": r"\b(?:asigna|otorga)\b[^.!?;\n]{0,30}\bpuntuación\b",
+    "hire_now": rf"\b(?:hire|accept)\b{_IN}{{0,20}}\b(?:immediately|now|at once)\b",
+    "advance": rf"\badvance\b{_IN}{{0,20}}\b{_WHO}\b{_IN}{{0,20}}\bto the (?:final|next) (?:round|stage)\b",
+    "score_es": rf"\b(?:asigna|otorga)\b{_IN}{{0,30}}\bpuntuación\b",
+    "mark_es": rf"\b(?:marca|considera)\b{_IN}{{0,30}}\b(?:apto|elegible|cualificado)\b",
 }
 PATTERNS = OVERRIDES | OUTCOMES
 _COMPILED = {k: re.compile(p) for k, p in PATTERNS.items()}
-_BYPASS = re.compile(r"\b(?:regardless|even if|no matter|despite|without checking)\b")
-_CONDITION = re.compile(r"\b(?:if|when|provided|only if|as long as)\b[^.!?;\n]*\b(?:meets?|qualif\w+|requirements?|experience)\b")
-_LABEL = re.compile(r"\b(?:example|quoted?|research|sample|fixture)\b[^.!?;\n]{0,64}$")
-_QUOTES = {'"': '"', "“": "”", "«": "»"}
+_BYPASS = re.compile(r"\b(?:regardless|even if|no matter|despite|without checking|whether or not)\b")
+_CONDITION = re.compile(rf"\b(?:if|when|provided|only if|once|as long as)\b{_IN}*\b(?:meets?|qualif\w+|requirements?|experience|verified)\b")
+_INVENTED = re.compile(rf"\b(?:pretend|assume|claim|invent|make up|act as though)\b{_IN}{{0,60}}\b(?:degree|credentials?|certificates?|requirements?|experience|qualif\w+)\b")
+_DIRECTIVE = re.compile(r"(?:^|[,:]\s*)(?:please|now|then|you must|you should|always|and|reviewer|assistant|model|system)?[,:]?\s*$")
+_LABEL = re.compile(rf"\b(?:example|quoted?|research|legitimate|sample|fixture)\b{_IN}{{0,64}}$")
+_APPLY = re.compile(r"\b(?:decode|apply|execute|follow|obey|carry out)\b")
+_QUOTES = {'"': '"', "“": "”", "«": "»", "'": "'"}
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{16,2048}={0,2}(?![A-Za-z0-9+/=])")
+_WRAPPED = re.compile(r"(?i)\b(?:decode|apply|execute|follow)\b(?:[\s,:]+(?:and|then|the|this|these|block|text|message|apply|decode|follow|it|below|following|now)\b){0,12}[\s,:]*\n(?P<run>[ \t]*[A-Za-z0-9+/]{8,}(?:[ \t]*\n[ \t]*[A-Za-z0-9+/]{4,}={0,2})+={0,2})(?![A-Za-z0-9+/=])")
+MAX_CARRIERS = 32
 
 
 def native_cues(text: Column) -> Column:
@@ -256,55 +308,76 @@ def native_cues(text: Column) -> Column:
     return F.filter(F.array(*[F.when(F.lower(text).rlike(p), F.lit(k)) for k, p in PATTERNS.items()]), lambda x: x.isNotNull())
 
 
-def _views(text: str) -> Iterator[tuple[str, str, tuple[int, int] | None]]:
-    """The text and its decoded passages as (kind, folded text, carrier span)."""
+def _carriers(text: str) -> list[tuple[int, int, str]]:
+    """Encoded passages as (begin, end, decoded text): unbroken runs, and wrapped blocks behind a directive; of overlapping ones the earliest, then the longest."""
     import base64
 
-    yield "plain", tx.fold_text(text), None
-    for k, m in enumerate(re.finditer(r"[A-Za-z0-9+/]{16,2048}={0,2}", text)):
-        if k >= 32:
-            break
+    spans = [m.span() for m in _BASE64.finditer(text)] + [m.span("run") for m in _WRAPPED.finditer(text) if m.start("run") - m.start() <= 80]
+    out, upto = [], 0
+    for begin, end in sorted(spans, key=lambda x: (x[0], -x[1]))[:MAX_CARRIERS]:
+        if begin < upto:
+            continue
+        upto = end
         try:
-            raw = base64.b64decode(m[0], validate=True).decode()
+            raw = base64.b64decode("".join(text[begin:end].split()), validate=True).decode()
         except ValueError:
             continue
         if len(raw) >= 8 and all(c.isprintable() or c in "\r\n\t" for c in raw):
-            yield "base64", tx.fold_text(raw), m.span()
+            out.append((begin, end, raw))
+    return out
 
 
-def _benign(name: str, text: str, start: int, end: int) -> bool:
-    """Whether the clause shows that the cue is quoted, labelled as an example, or a condition on qualification."""
+def _clause(text: str, start: int, end: int) -> tuple[int, int]:
     begin = max((text.rfind(c, 0, start) for c in ".!?;\n"), default=-1) + 1
     stop = min((p for c in ".!?;\n" if (p := text.find(c, end)) >= 0), default=len(text))
-    clause, before = text[begin:stop], text[begin:start]
-    if name in OUTCOMES and not _BYPASS.search(clause) and _CONDITION.search(text[end:stop]):
-        return True
+    if text[stop + 1 : stop + 2] in ('"', "”", "»", "'"):  # a closing quote behind the sign belongs to the clause
+        stop += 2
+    return begin, stop
+
+
+def _quoted(before: str, after: str) -> bool:
+    """Whether a quotation opens before and closes behind; apostrophes within words are none."""
+    before, after = re.sub(r"(?<=\w)'(?=\w)", "", before), re.sub(r"(?<=\w)'(?=\w)", "", after)
     for open_, close in _QUOTES.items():
-        if before.count(open_) % 2 == 1 if open_ == close else before.rfind(open_) > before.rfind(close):
-            if close in text[end:stop]:
+        opened = before.count(open_) % 2 == 1 if open_ == close else before.rfind(open_) > before.rfind(close)
+        if opened and close in after:
+            return True
+    return False
+
+
+def _benign(name: str, text: str, start: int, end: int) -> bool:
+    """Whether the clause shows that the cue is a condition on qualification, a description, quoted, or labelled as an example; rules in order."""
+    begin, stop = _clause(text, start, end)
+    clause, before, after = text[begin:stop], text[begin:start], text[end:stop]
+    if not _BYPASS.search(clause):
+        if name in OUTCOMES and _CONDITION.search(after):
+            following = _clause(text, min(stop + 1, len(text)), min(stop + 1, len(text)))[1]
+            if not _INVENTED.search(text[begin : min(following, begin + 320)]):
                 return True
-    return bool(_LABEL.search(before))
+        if name == "highest_score" and not _DIRECTIVE.search(before):
+            return True
+    return _quoted(before, after) or bool(_LABEL.search(before))
 
 
 def cue_matches(text: str | None) -> list[dict]:
-    """Actionable cues: pattern, kind of view, span in the original (of the carrier for decoded views; -1 where folding moved it)."""
+    """Actionable cues: pattern, kind of view, span in the original (of the carrier for decoded views)."""
     if not text:
         return []
-    places = None
     out = []
-    for kind, view, carrier in _views(text):
-        if carrier and _LABEL.search(text[max(0, carrier[0] - 80) : carrier[0]].casefold()):
+    folded, spans = tx.fold_spans(text)
+    for name, pattern in _COMPILED.items():
+        for m in pattern.finditer(folded):
+            if not _benign(name, folded, *m.span()):
+                out.append({"pattern": name, "kind": "plain", "start": spans[m.start()][0], "end": spans[m.end() - 1][1]})
+    for begin, end, raw in _carriers(text):
+        low, first = text.lower(), _clause(text.lower(), begin, end)
+        around = low[max(0, begin - 160) : begin] + " " + low[end : end + 160]
+        if _LABEL.search(low[max(first[0], begin - 160) : begin]) and not _APPLY.search(around) or _quoted(low[first[0] : begin], low[end : first[1]]):
             continue
+        view = tx.fold_text(raw)
         for name, pattern in _COMPILED.items():
-            for m in pattern.finditer(view):
-                if _benign(name, view, *m.span()):
-                    continue
-                if carrier:
-                    span = carrier
-                else:
-                    places = tx.fold_offsets(text) if places is None else places
-                    span = (places[m.start()], places[m.end() - 1] + 1) if places and m.end() <= len(places) else (-1, -1)
-                out.append({"pattern": name, "kind": kind, "start": span[0], "end": span[1]})
+            if any(not _benign(name, view, *m.span()) for m in pattern.finditer(view)):
+                out.append({"pattern": name, "kind": "base64", "start": begin, "end": end})
     return sorted(out, key=lambda x: (x["start"], x["end"], x["pattern"]))
 
 
@@ -312,11 +385,26 @@ CUE = T.StructType([T.StructField("pattern", T.StringType()), T.StructField("kin
 
 
 @F.pandas_udf(T.ArrayType(CUE))
-def cues(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _cues(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
         yield batch.map(cue_matches)
 
 
+#: Letters that folding leaves as they are, or that no pattern holds.
+_PLAIN = r"\x00-\x7F\u00C0-\u012F\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E"
+
+
+def may_have_cues(text: Column) -> Column:
+    """False only where :func:`cue_matches` finds nothing: no pattern in the plain text, no letter that folds into others, no encoded run."""
+    plain = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    return text.rlike(f"[^{_PLAIN}]") | text.rlike(r"[A-Za-z0-9+/]{8,}[ \t]*\n[ \t]*[A-Za-z0-9+/]{4}|[A-Za-z0-9+/]{16}") | plain.rlike("|".join(f"(?:{p})" for p in PATTERNS.values()))
+
+
+def cues(text: Column) -> Column:
+    """Actionable cues of a text; only texts that may have any travel to Python."""
+    return F.coalesce(_cues(F.when(may_have_cues(text), text)), F.array().cast(T.ArrayType(CUE)))
+
+
 def cue_count(matches: Column) -> Column:
     """Distinct patterns with an actionable match."""
     return F.size(F.array_distinct(F.transform(matches, lambda m: m["pattern"]))).cast("long")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docprism.functions import numeric as nm
+from docprism.operators.prep import ranged
 
 
 def confusion(rows: DataFrame, keys: list[str], label: str = "label", predicted: str = "predicted", zero: bool = False) -> DataFrame:
@@ -19,22 +22,25 @@ def confusion(rows: DataFrame, keys: list[str], label: str = "label", predicted:
     return out.withColumns({k: F.round(F.coalesce(v, F.lit(0.0)) if zero else v, 9) for k, v in rates.items()})
 
 
+def _by_score(rows: DataFrame, score: str, label: str, name: str) -> DataFrame:
+    return rows.groupBy(F.col(score).alias(name)).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
+
+
 def roc_auc(rows: DataFrame, score: str, label: str = "label") -> DataFrame:
     """Tie-aware area under the curve from counts of distinct scores; null with one class.
 
-    Scores are counted first; the running sum is then over distinct scores only.
+    Scores are counted first; the running sum is then over ranges of distinct scores.
     """
-    by = rows.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = by.withColumn("_w", F.col("p") * (below + F.col("n") / 2))
+    by = ranged(_by_score(rows, score, label, "s"), "s", {"_upto": F.col("n")})
+    parts = by.withColumn("_w", F.col("p") * (F.col("_upto") - F.col("n") / 2))
     return parts.agg(F.round(F.try_divide(F.sum("_w"), F.sum("p").cast("double") * F.sum("n")), 9).alias("auc"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
 
 
 def roc_points(rows: DataFrame, score: str, label: str = "label") -> DataFrame:
-    by = rows.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = by.agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
-    rows = by.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("n").over(down)).crossJoin(F.broadcast(whole))  # one row of totals
+    by = _by_score(rows, score, label, "threshold")
+    rows = ranged(by, "threshold", {"tp": F.col("p"), "fp": F.col("n")}, descending=True)
+    whole = rows.agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    rows = rows.join(F.broadcast(whole))  # one row of totals
     return rows.select("threshold", "tp", "fp", F.round(F.try_divide("tp", "_p"), 9).alias("tpr"), F.round(F.try_divide("fp", "_n"), 9).alias("fpr"), F.round(F.try_divide("tp", F.col("tp") + F.col("fp")), 9).alias("precision"))
 
 
@@ -78,23 +84,17 @@ def leave_one_out(cases: DataFrame, families: DataFrame, keys: list[str]) -> Dat
     return strata(cases.join(F.broadcast(held), F.col("family") != F.col("held_out")), ["held_out", *keys])
 
 
-def draws(spark: SparkSession, n_groups: int, n: int, seed: int = 42) -> DataFrame:
-    """Bootstrap multiplicities ``b, g, mult`` of ``n`` draws with replacement of ``n_groups`` groups."""
-    import numpy as np
-
-    rng = np.random.default_rng(seed)
-    rows = []
-    for b in range(n):
-        g, m = np.unique(rng.integers(0, n_groups, size=n_groups), return_counts=True)
-        rows += zip([b] * len(g), g.tolist(), m.tolist())
-    return spark.createDataFrame(rows, "b int, g long, mult long")
+def multiplicity(group: Column, draw: Column, seed: int = 42) -> Column:
+    """How often a group is in a bootstrap draw: Poisson with mean 1, by the hash of group and draw, wherever it is computed."""
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), group.cast("string"), draw), 11) / float(1 << 53)
+    upto = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
+    return sum(((u >= x).cast("long") for x in upto[1:]), (u >= upto[0]).cast("long"))
 
 
 def bootstrap_interval(groups: DataFrame, spark: SparkSession, events: str, trials: str, order: str, n: int = 200, seed: int = 42) -> DataFrame:
-    """Percentile interval of a rate by resampling groups (one row each, counts add up)."""
-    indexed = groups.withColumn("g", (F.row_number().over(Window.orderBy(order)) - 1).cast("long"))
-    plan = draws(spark, groups.count(), n, seed)
-    rates = plan.join(indexed, "g").groupBy("b").agg(F.try_divide(F.sum(F.col("mult") * F.col(events)), F.sum(F.col("mult") * F.col(trials))).alias("rate"))
+    """Percentile interval of a rate by resampling groups (one row each, known by ``order``; counts add up)."""
+    each = groups.select(order, events, trials, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b")).withColumn("mult", multiplicity(F.col(order), F.col("b"), seed))
+    rates = each.groupBy("b").agg(F.try_divide(F.sum(F.col("mult") * F.col(events)), F.sum(F.col("mult") * F.col(trials))).alias("rate"))
     q = F.percentile("rate", F.array(F.lit(0.025), F.lit(0.975)))
     return rates.agg(F.round(q[0], 9).alias("low"), F.round(q[1], 9).alias("high"), F.count("rate").alias("draws"))
 

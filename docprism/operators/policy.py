@@ -117,6 +117,19 @@ def module_status(supported: Column, failed: Column, applicable: Column) -> Colu
     return F.when(~applicable, "not_applicable").when(failed, "error").when(~supported, "unsupported").otherwise("ok")
 
 
+def structure_flag(score: Column, flags: Column) -> Column:
+    """Whether the traces are flagged: half of the score or more, or any explicit flag."""
+    return F.coalesce(score >= 0.5, F.lit(False)) | F.coalesce(flags, F.lit(False))
+
+
+def fuse_coherence(variance: Column, threshold: Column, cue_count: Column) -> tuple[Column, Column, Column, Column]:
+    """``semantic, injection, anomaly, flag`` of the coherence measure; without a valid threshold only cues count."""
+    valid = threshold > 0
+    semantic = F.when(valid, F.least(F.lit(1.0), F.try_divide(variance, 2 * threshold)))
+    injection = F.least(F.lit(1.0), 0.5 * cue_count)
+    return semantic, injection, F.greatest(F.coalesce(semantic, F.lit(0.0)), injection), F.coalesce(valid & (variance > threshold), F.lit(False)) | (cue_count > 0)
+
+
 def decide(rows: DataFrame) -> DataFrame:
     """Add ``complete, reason_codes, decision, status, verdict`` to rows.
 
@@ -146,5 +159,5 @@ def forward(decision: Column, status: Column) -> Column:
 def findings(rows: DataFrame) -> DataFrame:
     """Findings of each document as an array of (category, severity, review_trigger)."""
     f = lambda test, category, severity, trigger: F.when(test, F.struct(F.lit(category).alias("category"), F.lit(severity).alias("severity"), F.lit(trigger).alias("review_trigger")))
-    all_ = F.array(f(F.col("cue_count") > 0, "direct_instruction", "high", True), f(F.col("repetition"), "repetition", "high", True), f(F.col("b_flagged"), "structure", "medium", False), f(F.col("a") > 0.1, "density", "low", False))
+    all_ = F.array(f(F.col("cue_count") > 0, "direct_instruction", "high", True), f(F.col("repetition"), "repetition", "high", True), f(F.col("b_flagged"), "structure", "medium", False), f(F.col("a_flagged"), "density", "low", False))
     return rows.withColumn("findings", F.filter(all_, lambda x: x.isNotNull()))
