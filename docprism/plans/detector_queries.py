@@ -41,7 +41,9 @@ def keyword_flags(spark, sf_dir):
     return rows.groupBy("attack_type").agg(F.count("*").alias("n"), F.count_if(F.col("keyword_score") > 0.02).alias("flagged"), F.round(F.avg(detect.anomaly(F.col("keyword_score"), 0.02)), 6).alias("anomaly"))
 
 
-REPETITION = f"""tok AS (SELECT key, pos, list_contains({KW}, tok) AS s, tok FROM (SELECT source_id || attack_type AS key, unnest(t) AS tok, unnest(range(0, len(t))) AS pos FROM (SELECT *, regexp_extract_all(lower(text || CASE WHEN source_id % 10 = 0 THEN repeat(' sql spark', 20) ELSE '' END), '[a-z0-9_+#.]*[a-z0-9_+#]') AS t FROM corpus))),
+def repetition_sql(more: str = "''") -> str:
+    """The gate as SQL, over the corpus with ``more`` behind each text."""
+    return f"""tok AS (SELECT key, pos, list_contains({KW}, tok) AS s, tok FROM (SELECT source_id || attack_type AS key, unnest(t) AS tok, unnest(range(0, len(t))) AS pos FROM (SELECT *, regexp_extract_all(lower(text || {more}), '[a-z0-9_+#.]*[a-z0-9_+#]') AS t FROM corpus))),
 cum AS (SELECT *, sum(s::INT) OVER (PARTITION BY key ORDER BY pos) AS skills FROM tok),
 wide AS (SELECT *, {", ".join(f"lag(tok, {w}) OVER o AS t{w}, coalesce(lag(skills, {w}) OVER o, 0) AS s{w}" for w in range(1, 13))} FROM cum WINDOW o AS (PARTITION BY key ORDER BY pos)),
 per AS ({" UNION ALL ".join(f"SELECT key, pos, {w} AS width, skills - s{w} AS inside FROM wide WHERE tok = t{w}" for w in range(1, 13))}),
@@ -49,6 +51,9 @@ runs AS (SELECT key, width, count(*) AS run, min(pos) AS first, max(inside) AS i
 rep AS (SELECT key, width::BIGINT AS width, first::BIGINT AS position FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY width, first) AS rn FROM runs WHERE run + width >= greatest(32, 8 * width) AND 2 * inside >= width) WHERE rn = 1)"""
 
 
+REPETITION = repetition_sql("CASE WHEN source_id % 10 = 0 THEN repeat(' sql spark', 20) ELSE '' END")
+
+
 def repeated(spark, sf_dir):
     """The gate over the corpus; every tenth source also gets a long run of two skill words."""
     more = F.when(F.col("source_id") % 10 == 0, F.repeat(F.lit(" sql spark"), F.lit(20))).otherwise("")
@@ -163,7 +168,7 @@ def research_policy(spark, sf_dir):
     return verdicts(spark, sf_dir).groupBy("input_mode").agg(F.count("*").alias("n"), F.count_if(flag).alias("flagged"))
 
 
-@query(f"""WITH {VERDICTS}, f AS (SELECT doc_id, unnest([CASE WHEN cue_count > 0 THEN 'direct_instruction' END, CASE WHEN repetition THEN 'repetition' END, CASE WHEN b_flagged THEN 'structure' END, CASE WHEN a > 0.1 THEN 'density' END]) AS category FROM v)
+@query(f"""WITH {VERDICTS}, f AS (SELECT doc_id, unnest([CASE WHEN cue_count > 0 THEN 'direct_instruction' END, CASE WHEN repetition THEN 'repetition' END, CASE WHEN b_flagged THEN 'structure' END, CASE WHEN a_flagged THEN 'density' END]) AS category FROM v)
 SELECT category, count(*) AS n, count(*) FILTER (category IN ('direct_instruction', 'repetition')) AS triggers, count(DISTINCT doc_id) AS documents FROM f WHERE category IS NOT NULL GROUP BY category""")
 def review_projection(spark, sf_dir):
     rows = policy.findings(verdicts(spark, sf_dir)).select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.*")
@@ -179,10 +184,43 @@ def module_states(spark, sf_dir):
     return rows.groupBy(b.alias("b_status"), c.alias("c_status")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'ok' AS rule, 0::BIGINT AS n WHERE false")
+_BROKEN = f"""{VERDICTS}, w AS (SELECT doc_id, CASE WHEN doc_id % 50 = 1 THEN 'maybe' WHEN doc_id % 50 = 4 THEN 'no_signals_detected' ELSE decision END AS decision,
+ CASE WHEN doc_id % 50 = 2 THEN 'done' WHEN doc_id % 50 = 4 THEN 'partial' ELSE status END AS status, CASE WHEN doc_id % 50 = 3 THEN 2.0 ELSE score END AS score FROM v)"""
+
+
+@query(f"""WITH {_BROKEN} SELECT rule, count(*) AS n FROM (SELECT unnest([CASE WHEN decision NOT IN ('review_recommended', 'no_signals_detected', 'insufficient_evidence') THEN 'decision' END, CASE WHEN status NOT IN ('complete', 'partial', 'unscorable') THEN 'status' END,
+ CASE WHEN decision = 'no_signals_detected' AND NOT (status = 'complete' AND score IS NOT NULL) THEN 'clean_is_complete' END, CASE WHEN NOT coalesce(score BETWEEN 0 AND 1, true) THEN 'score_range' END]) AS rule FROM w) WHERE rule IS NOT NULL GROUP BY rule""")
 def verdict_contract(spark, sf_dir):
-    """Violations of the contract of results: none."""
-    return validate.violations(verdicts(spark, sf_dir), "doc_id", validate.verdict_rules()).groupBy("rule").agg(F.count("*").alias("n"))
+    """Violations of the contract of results, in results of which some are broken on purpose."""
+    at, rows = F.col("doc_id") % 50, verdicts(spark, sf_dir)
+    rows = rows.withColumns({
+        "decision": F.when(at == 1, "maybe").when(at == 4, "no_signals_detected").otherwise(F.col("decision")), "status": F.when(at == 2, "done").when(at == 4, "partial").otherwise(F.col("status")),
+        "score": F.when(at == 3, 2.0).otherwise(F.col("score")),
+    })
+    return validate.violations(rows, "doc_id", validate.verdict_rules()).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {fx.TRACES}, {SUMMARY}, s AS (SELECT doc_id, least(1.0, count(*) FILTER (f) / 10) AS score, bool_or(invisible OR off_page OR hidden_layer) AS explicit, count(*) FILTER (f) AS n FROM flagged GROUP BY doc_id)
+SELECT s.doc_id, coalesce(score >= 0.5, false) OR explicit AS b_flagged, least(n, {detect.MAX_LISTED})::BIGINT AS listed, greatest(n - {detect.MAX_LISTED}, 0) AS omitted, (CASE WHEN o.doc_id IS NULL THEN 0 ELSE 1 END)::BIGINT AS hidden_layers FROM s LEFT JOIN off o ON o.doc_id = s.doc_id""")
+def structure_flags(spark, sf_dir):
+    """Whether the traces of a document are flagged, its listed findings, and the layers that are off."""
+    found, pages, layers = fx.traces(spark, sf_dir)
+    flags = detect.trace_flags(found, pages, layers)
+    explicit = flags.groupBy("doc_id").agg(F.bool_or(F.col("invisible") | F.col("off_page") | F.col("hidden_layer")).alias("explicit"))
+    rows = detect.trace_summary(flags).join(explicit, "doc_id").join(detect.trace_findings(flags, layers), "doc_id", "left")
+    zero = F.lit(0).cast("long")
+    return rows.select("doc_id", policy.structure_flag(F.col("trace_score"), F.col("explicit")).alias("b_flagged"), F.coalesce(F.size("listed").cast("long"), zero).alias("listed"), F.coalesce("omitted", zero).alias("omitted"), F.coalesce("hidden_layers", zero).alias("hidden_layers"))
+
+
+@query("""WITH p AS (SELECT label, vec_id, embedding, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS prev FROM embeddings),
+c AS (SELECT label, coalesce(var_pop(CASE WHEN prev IS NOT NULL THEN list_cosine_similarity(embedding::DOUBLE[], prev::DOUBLE[]) END), 0) AS variance, label % 3 AS cues FROM p GROUP BY label)
+SELECT label AS doc_id, round(least(1.0, variance / 0.04), 6) AS semantic, least(1.0, 0.5 * cues)::DOUBLE AS injection, round(greatest(least(1.0, variance / 0.04), 0.5 * cues), 6) AS anomaly, variance > 0.02 OR cues > 0 AS flag FROM c""")
+def coherence_fusion(spark, sf_dir):
+    """The coherence measure fused with a number of cues, at a threshold of 0.02."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("doc_id"), F.col("vec_id").alias("w_idx"), "embedding")
+    rows = detect.coherence(rows).withColumn("cues", F.col("doc_id") % 3)
+    semantic, injection, anomaly, flag = policy.fuse_coherence(F.col("variance"), F.lit(0.02), F.col("cues"))
+    return rows.select("doc_id", F.round(semantic, 6).alias("semantic"), injection.cast("double").alias("injection"), F.round(anomaly, 6).alias("anomaly"), flag.alias("flag"))
 
 
 @query()

@@ -264,10 +264,33 @@ def observation_contract(spark, sf_dir):
     return validate.violations(fx.observations(spark, sf_dir), "doc_id", rules).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'x' AS rule, 0::BIGINT AS n WHERE false")
+@query(f"""WITH {fx.CASES}, w AS (SELECT case_id, arm, CASE WHEN case_id % 60 = 1 THEN 'odd' ELSE status END AS status, CASE WHEN case_id % 60 = 2 THEN NULL WHEN case_id % 60 = 3 THEN false ELSE flagged END AS flagged FROM cases UNION ALL SELECT case_id, arm, status, flagged FROM cases WHERE case_id % 60 = 4),
+u AS (SELECT *, count(*) OVER (PARTITION BY case_id, arm) AS c FROM w)
+SELECT rule, count(*) AS n FROM (SELECT unnest([CASE WHEN c <> 1 THEN 'unique' END, CASE WHEN status NOT IN ('complete', 'partial', 'error') THEN 'status' END, CASE WHEN status = 'complete' AND flagged IS NULL THEN 'complete_known' END, CASE WHEN status <> 'complete' AND flagged IS NOT NULL AND NOT flagged THEN 'incomplete_unknown' END]) AS rule FROM u) WHERE rule IS NOT NULL GROUP BY rule""")
 def case_contract(spark, sf_dir):
-    """Violations of the contract of challenge cases: none."""
-    return validate.violations(fx.cases(spark, sf_dir), "case_id", validate.case_rules()).groupBy("rule").agg(F.count("*").alias("n"))
+    """Violations of the contract of challenge cases, in cases of which some are broken on purpose."""
+    rows, at = fx.cases(spark, sf_dir).select("case_id", "arm", "status", "flagged"), F.col("case_id") % 60
+    broken = rows.withColumns({"status": F.when(at == 1, "odd").otherwise(F.col("status")), "flagged": F.when(at == 2, F.lit(None)).when(at == 3, F.lit(False)).otherwise(F.col("flagged"))}).unionByName(rows.where(at == 4))
+    return validate.violations(broken, "case_id", validate.case_rules()).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+_OBS_RULES = {
+    "unique": "c = 1", "arm": "arm IN ('baseline', 'protected')", "state": "state IN ('completed', 'held', 'error')", "label": "label IN (0, 1)", "score_range": "ranking_score IS NULL OR ranking_score BETWEEN 0 AND 100",
+    "latency": "latency_ms >= 0", "outcome_fits": "(state = 'completed') = (attack_success IS NOT NULL)", "baseline_not_held": "arm <> 'baseline' OR state <> 'held'", "reference_clean": "NOT is_reference OR label = 0",
+}
+
+
+@query(f"""WITH {fx.OBSERVATIONS}, w AS (SELECT * REPLACE (CASE WHEN doc_id % 70 = 1 THEN 'third' ELSE arm END AS arm, CASE WHEN doc_id % 70 = 2 THEN 'lost' WHEN doc_id % 70 = 3 THEN 'held' ELSE state END AS state, CASE WHEN doc_id % 70 = 4 THEN 2 ELSE label END AS label, CASE WHEN doc_id % 70 = 5 THEN 101.0::DOUBLE ELSE ranking_score END AS ranking_score,
+ CASE WHEN doc_id % 70 = 6 THEN -1.0::DOUBLE ELSE latency_ms END AS latency_ms) FROM obs), u AS (SELECT *, count(*) OVER (PARTITION BY doc_id, arm) AS c FROM w)
+SELECT rule, count(*) AS n FROM (SELECT unnest([{", ".join(f"CASE WHEN NOT coalesce({test}, false) THEN '{rule}' END" for rule, test in _OBS_RULES.items())}]) AS rule FROM u) WHERE rule IS NOT NULL GROUP BY rule""")
+def observation_rules(spark, sf_dir):
+    """Violations of the contract of observations, in observations of which some are broken on purpose."""
+    at, c = F.col("doc_id") % 70, F.col
+    rows = fx.observations(spark, sf_dir).withColumns({
+        "arm": F.when(at == 1, "third").otherwise(c("arm")), "state": F.when(at == 2, "lost").when(at == 3, "held").otherwise(c("state")), "label": F.when(at == 4, 2).otherwise(c("label")),
+        "ranking_score": F.when(at == 5, 101.0).otherwise(c("ranking_score")), "latency_ms": F.when(at == 6, -1.0).otherwise(c("latency_ms")),
+    })
+    return validate.violations(rows, "doc_id", validate.observation_rules()).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 @query("SELECT CASE WHEN length(text) > 10000 THEN 'not_too_long' ELSE 'has_text' END AS rule, count(*) AS n FROM documents WHERE length(text) > 10000 OR trim(coalesce(text, '')) = '' GROUP BY 1")

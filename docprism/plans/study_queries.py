@@ -7,23 +7,34 @@ from pyspark.sql import functions as F
 from docprism.functions import numeric as nm
 from docprism.operators import detect, policy, prep
 from docprism.operators import evaluate as ev
-from docprism.plans.detector_queries import KEYWORDS, NATIVE, VERDICTS, keyed, verdicts
+from docprism.plans.detector_queries import KEYWORDS, NATIVE, VERDICTS, keyed, repetition_sql, verdicts
 from docprism.plans.evaluation_queries import RATES, WILSON, Z, flagged
 from docprism.plans.prep_queries import CORPUS, corpus
 from docprism.plans.registry import query
 from docprism.plans.text_queries import docs
 
-_STRESS = f"""{CORPUS}, {KEYWORDS}, j AS (SELECT k.attack_type, k.keyword_score > 0.02 AS density, ({NATIVE}) > 0 AS cue, contains(c.text, '{prep.BLOCK_START}') AS hidden FROM keyed k JOIN corpus c ON k.source_id = c.source_id AND k.attack_type = c.attack_type),
-tally AS (SELECT attack_type, count(*) AS n, count(*) FILTER (cue) AS k, count(*) FILTER (density) AS density, count(*) FILTER (hidden) AS hidden, {Z} AS z FROM j GROUP BY attack_type)"""
+_STRESS = f"""{CORPUS}, {KEYWORDS}, {repetition_sql()}, j AS (SELECT k.attack_type, k.keyword_score > 0.02 AS density, ({NATIVE}) > 0 AS cue, contains(c.text, '{prep.BLOCK_START}') AS hidden, c.source_id || c.attack_type IN (SELECT key FROM rep) AS repeated
+ FROM keyed k JOIN corpus c ON k.source_id = c.source_id AND k.attack_type = c.attack_type),
+tally AS (SELECT attack_type, count(*) AS n, count(*) FILTER (cue OR repeated) AS k, count(*) FILTER (NOT cue AND NOT repeated) AS insufficient, count(*) FILTER (density) AS density, count(*) FILTER (hidden) AS hidden, count(*) FILTER (repeated) AS repeated, {Z} AS z FROM j GROUP BY attack_type)"""
 
 
-@query(f"WITH {_STRESS} SELECT attack_type, n, k AS review_recommended, density, hidden, {WILSON} FROM tally")
+@query(f"WITH {_STRESS} SELECT attack_type, n, k AS review_recommended, insufficient AS insufficient_evidence, density, hidden, repeated, {WILSON} FROM tally")
 def stress_study(spark, sf_dir):
-    """Inject, detect, decide, tally: outcomes by family with Wilson bounds."""
-    rows = keyed(spark, sf_dir)
-    t = F.col("text")
-    out = rows.groupBy("attack_type").agg(
-        F.count("*").alias("n"), F.count_if(F.size(detect.native_cues(t)) > 0).alias("review_recommended"), F.count_if(F.col("keyword_score") > 0.02).alias("density"), F.count_if(detect.hidden_block(t) == 1).alias("hidden"),
+    """Inject, detect, decide, tally: decisions by family with Wilson bounds.
+
+    The texts have neither traces nor embeddings, so those measures are missing
+    and nothing can be called clean.
+    """
+    t, none = F.col("text"), F.lit(None).cast("double")
+    rows = keyed(spark, sf_dir).withColumn("key", F.concat(F.col("source_id").cast("string"), "attack_type"))
+    rows = rows.join(detect.repetition(rows, "key").select("key", F.lit(True).alias("_again")), "key", "left")
+    rows = rows.withColumns({
+        "input_mode": F.lit("text"), "repetition": F.coalesce("_again", F.lit(False)), "cue_count": F.size(detect.native_cues(t)), "score": none, "forced_partial": F.lit(False), "semantic_truncated": F.lit(False),
+        "a_status": F.lit("ok"), "b_status": F.lit("not_applicable"), "c_status": F.lit("unsupported"), "a_flagged": F.col("keyword_score") > 0.02, "b_flagged": F.lit(False), "model_flag": F.lit(False),
+    })
+    out = policy.decide(rows).groupBy("attack_type").agg(
+        F.count("*").alias("n"), F.count_if(F.col("decision") == "review_recommended").alias("review_recommended"), F.count_if(F.col("decision") == "insufficient_evidence").alias("insufficient_evidence"),
+        F.count_if("a_flagged").alias("density"), F.count_if(detect.hidden_block(t) == 1).alias("hidden"), F.count_if("repetition").alias("repeated"),
     )
     low, high = nm.wilson(F.col("review_recommended"), F.col("n"))
     return out.withColumns({"wilson_low": F.round(low, 9), "wilson_high": F.round(high, 9)})

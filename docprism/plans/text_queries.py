@@ -160,7 +160,7 @@ def digest_check(spark, sf_dir):
     return bad.select("doc_id", "sha", (F.col("doc_id") % 7 == 0).alias("tampered"))
 
 
-@query("""SELECT row_id, text_md5 FROM (SELECT 'DOC_' || lpad((row_number() OVER (ORDER BY doc_id) - 1)::VARCHAR, 5, '0') AS row_id, md5(text) AS text_md5 FROM documents)""")
+@query("""SELECT row_id, text_md5 FROM (SELECT 'DOC_' || lpad((row_number() OVER (ORDER BY doc_id) - 1)::VARCHAR, greatest(5, length((row_number() OVER (ORDER BY doc_id) - 1)::VARCHAR))::INT, '0') AS row_id, md5(text) AS text_md5 FROM documents)""")
 def sequential_ids(spark, sf_dir):
     rows = docs(spark, sf_dir).select("doc_id", F.md5(src.find_column(docs(spark, sf_dir), src.TEXT_NAMES)).alias("text_md5"))
     return prep.numbered(rows, "doc_id").select("row_id", "text_md5")
@@ -182,9 +182,10 @@ def taxonomy_join(spark, sf_dir):
 
 
 @query("""SELECT 'missing' AS side, c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL
+ SELECT 'unexpected', id FROM (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) UNION ALL
  SELECT 'both', id FROM (SELECT c_custkey AS id FROM customer INTERSECT SELECT o_custkey FROM orders)""")
 def set_reconciliation(spark, sf_dir):
     """Two-way reconciliation of identifier sets: difference and intersection."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"))
-    return c.join(o, "id", "left_anti").select(F.lit("missing").alias("side"), "id").unionByName(c.intersect(o).select(F.lit("both").alias("side"), "id"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")).distinct()
+    return src.same_set(c, o).select("side", "id").unionByName(c.intersect(o).select(F.lit("both").alias("side"), "id"))
