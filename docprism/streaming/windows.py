@@ -17,3 +17,53 @@ def tumbling(events: DataFrame, ts: str = "ts", width: str = "60 seconds", late:
 def latency(events: DataFrame, bounds: list[float], route: str = "event_type", value: str = "value") -> DataFrame:
     """Cumulative latency buckets by route, for a batch or a stream (complete output)."""
     return histogram(events, value, [route], bounds)
+
+
+#: First and longest wait in seconds, and the count at which failures saturate.
+FIRST_WAIT, LONGEST_WAIT, MOST_FAILURES = 5, 60, 5
+
+
+def wait(failures):
+    """Seconds to wait after so many failures in a row: doubled each time up to the longest; none without a failure."""
+    return F.when(failures > 0, F.least(F.lit(LONGEST_WAIT), FIRST_WAIT * F.pow(F.lit(2), failures - 1))).otherwise(0).cast("long")
+
+
+def backoff(events: DataFrame, worker: str, order: list[str], failed: str) -> DataFrame:
+    """State of each worker after its last event, of a batch: ``failures`` in a row, ``wait`` and the time ``since`` which it counts.
+
+    ``order``: the time and what breaks its ties.  ``failed``: boolean; null
+    rows say nothing.  Two aggregations in place of a window, as one worker may
+    have most of the events: the last success, then the failures after it.
+    """
+    rows = events.where(F.col(failed).isNotNull()).select(worker, F.struct(*order).alias("_at"), F.col(failed).alias("_failed"))
+    last = rows.groupBy(worker).agg(F.max(F.when(~F.col("_failed"), F.col("_at"))).alias("_last"))
+    after = rows.join(last.withColumnRenamed(worker, "_w"), F.col(worker).eqNullSafe(F.col("_w")))
+    after = after.withColumn("_counts", F.col("_failed") & (F.col("_last").isNull() | (F.col("_at") > F.col("_last"))))
+    out = after.groupBy(worker).agg(F.least(F.count_if("_counts"), F.lit(MOST_FAILURES)).alias("failures"), F.max(F.when(F.col("_counts"), F.col(f"_at.{order[0]}"))).alias("since"))
+    return out.select(worker, "failures", wait(F.col("failures")).alias("wait"), "since")
+
+
+def backoff_stream(events: DataFrame, worker: str, order: list[str], failed: str) -> DataFrame:
+    """The same state from a stream, a row a worker whenever new events come; it holds one small count a worker.
+
+    Events within a micro-batch are taken in order; an event older than the state's last one is late and left out.
+    """
+    import pandas as pd
+
+    def step(key, batches, state):
+        n, since, upto = state.get if state.exists else (0, None, None)
+        for batch in batches:
+            batch = batch[batch["_failed"].notna()].sort_values(order)
+            for at, bad in zip(batch[order[0]], batch["_failed"]):
+                if upto is not None and at.value < upto:
+                    continue
+                n, since, upto = (min(n + 1, MOST_FAILURES), at.value, at.value) if bad else (0, None, at.value)
+        state.update((n, since, upto))
+        pause = min(LONGEST_WAIT, FIRST_WAIT * 2 ** (n - 1)) if n else 0
+        yield pd.DataFrame({worker: [key[0]], "failures": [n], "wait": [pause], "since": [pd.Timestamp(since) if since is not None else pd.NaT]})
+
+    kind = events.schema[worker].dataType.simpleString()
+    rows = events.select(worker, *order, F.col(failed).alias("_failed"))
+    return rows.groupBy(worker).applyInPandasWithState(
+        step, f"{worker} {kind}, failures long, wait long, since timestamp", "n int, since long, upto long", "update", "NoTimeout",
+    )
