@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,25 +70,57 @@ def numbered(rows: DataFrame, key: str, prefix: str = "DOC_") -> DataFrame:
     return positions(rows, key).withColumn("row_id", F.concat(F.lit(prefix), F.when(F.length(number) < 5, F.lpad(number, 5, "0")).otherwise(number))).drop("position")
 
 
-def near_pairs(rows: DataFrame, key: str, words: str, threshold: float = 0.95) -> DataFrame:
-    """Pairs ``a < b`` of word sets with Jaccard similarity over ``threshold``, by prefix filtering on rare words first.
+def word_sets(rows: DataFrame, key: str, words: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct word sets as ``id, w, n`` (least key, sorted 64-bit hashes of the words, their number) and ``id, member`` of the other rows with the same set.
 
-    ``words``: array of distinct words.  Only the first ``n - ceil(t n) + 1``
-    words of each set in the order of rising frequency meet in the join.
+    ``words``: array of distinct words.  Rows without words have no set.
     """
-    sets = rows.select(F.col(key).alias("id"), F.col(words).alias("w"), F.size(words).alias("n")).where("n > 0")
-    exploded = sets.select("id", "n", F.explode("w").alias("token"))
-    frequency = exploded.groupBy("token").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
-    prefix = exploded.join(frequency, "token").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
-    a, b = prefix.select("token", F.col("id").alias("a"), F.col("n").alias("na")), prefix.select("token", F.col("id").alias("b"), F.col("n").alias("nb"))
-    pairs = a.join(b, "token").where(F.col("a") < F.col("b")).where(F.least("na", "nb") >= F.greatest("na", "nb") * threshold).select("a", "b").distinct()
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
+    hashed = rows.select(F.col(key).alias("member"), F.array_sort(F.transform(words, lambda x: F.xxhash64(x))).alias("w")).where(F.size("w") > 0)
+    made = cut(hashed.withColumn("n", F.size("w")).withColumn("fp", F.xxhash64("w", F.lit(1))))
+    first = made.groupBy("fp", "n").agg(F.min("member").alias("id"), F.count("*").alias("rows"))
+    nodes = made.join(first.select(F.col("id").alias("member")), "member", "left_semi").select(F.col("member").alias("id"), "w", "n")
+    members = made.select("member", "fp", "n").join(first.where("rows > 1"), ["fp", "n"]).where("member <> id").select("id", "member")
+    return nodes, members
+
+
+def near_candidates(nodes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``a < b`` of sets that may have a Jaccard similarity over ``threshold``: none that has is missing.
+
+    Sizes fall into classes a factor of 1 / threshold wide, so similar sets are
+    of one class or of two in a row.  In class c they differ by at most d words;
+    of d + 1 buckets of the hash space one at least then holds the same words in
+    both.  A set meets others by bucket, in its class and in the one below.
+    """
+    wide = 1 / threshold
+    own = F.floor(F.log(F.col("n")) / F.lit(math.log(wide))).cast("int")
+    buckets = F.floor(F.pow(F.lit(wide), F.col("cls") + 2) * (1 - threshold) + 1e-9).cast("int") + 1
+    met = nodes.withColumn("_own", own).withColumn("cls", F.explode(F.array(F.col("_own"), F.col("_own") - 1))).withColumn("k", buckets).where("k > 1")  # with one bucket only equal sets meet
+    each = F.concat(F.transform("w", lambda x: F.struct(F.pmod(x, F.col("k")).cast("int").alias("i"), F.xxhash64(x, F.lit(2)).alias("h"))), F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.struct(i.alias("i"), F.lit(0).cast("long").alias("h"))))
+    met = met.select("id", "n", "cls", (F.col("cls") == F.col("_own")).alias("own"), F.explode(each).alias("e"))
+    content = met.groupBy("id", "n", "cls", "own", F.col("e.i").alias("i")).agg(F.bit_xor("e.h").alias("h"))  # a set's rows are in one task: summed up before the shuffle
+    keys = cut(content.select("id", "n", "own", F.xxhash64("cls", "i", "h").alias("sig")))
+    shared = keys.groupBy("sig").agg(F.count("*").alias("m"), F.count_if("own").alias("owns")).where("m > 1 AND owns > 0").select("sig")
+    some = keys.join(shared, "sig", "left_semi")
+    a, b = some.select("sig", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "own")]), some.select("sig", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "own")])
+    alike = (F.col("id_a") < F.col("id_b")) & (F.col("own_a") | F.col("own_b")) & (F.least("n_a", "n_b") > F.greatest("n_a", "n_b") * threshold)
+    return a.join(b, "sig").where(alike).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
+def near_pairs(nodes: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """Pairs ``a < b`` of :func:`word_sets` with Jaccard similarity over ``threshold``: candidates by buckets, each verified."""
+    pairs = near_candidates(nodes, threshold)
+    both = pairs.join(nodes.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(nodes.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
     shared = F.size(F.array_intersect("wa", "wb"))
     similarity = shared / (F.size("wa") + F.size("wb") - shared)
     return both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") > threshold)
 
 
+def near_dropped(rows: DataFrame, key: str, words: str, threshold: float = 0.95) -> DataFrame:
+    """``id`` of the rows that a first-come scan drops: near copies of kept ones, and all but the first of equal sets, whatever becomes of it."""
+    nodes, members = word_sets(rows, key, words)
+    return greedy_kept(near_pairs(nodes, threshold)).unionByName(members.select(F.col("member").alias("id")))
+
+
 def greedy_kept(pairs: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Ids that a first-come scan drops: ``id`` of nodes with a kept smaller neighbour; removed nodes remove nobody.
 

@@ -69,21 +69,24 @@ def _word_sets(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", w.alias("w"))
 
 
-PAIRS = """s AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents),
-t AS (SELECT doc_id, len(w) AS n, unnest(w) AS k FROM s), d AS (SELECT k FROM t GROUP BY k HAVING count(*) BETWEEN 2 AND 100000),
-c AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS m FROM t a JOIN d USING (k) JOIN t b USING (k) WHERE a.doc_id < b.doc_id AND least(a.n, b.n) >= 0.95 * greatest(a.n, b.n) GROUP BY ALL),
-pairs AS (SELECT a, b, round(m / (na + nb - m), 9) AS similarity FROM c WHERE m / (na + nb - m) > 0.95)"""
+PAIRS = """s AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS w FROM documents), r AS (SELECT doc_id, w, min(doc_id) OVER (PARTITION BY w) AS rep FROM s WHERE len(w) > 0),
+t AS (SELECT doc_id, len(w) AS n, unnest(w) AS k FROM r WHERE doc_id = rep),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS m FROM t a JOIN t b USING (k) WHERE a.doc_id < b.doc_id AND least(a.n, b.n) >= 0.95 * greatest(a.n, b.n) GROUP BY ALL),
+pairs AS (SELECT a, b, round(m / (na + nb - m), 9) AS similarity FROM c WHERE m / (na + nb - m) > 0.95 UNION ALL SELECT rep, doc_id, 1.0::DOUBLE FROM r WHERE doc_id <> rep)"""
 
 
 @query(f"WITH {PAIRS} SELECT * FROM pairs")
 def near_dup_pairs(spark, sf_dir):
-    return prep.near_pairs(_word_sets(spark, sf_dir), "doc_id", "w").withColumn("similarity", F.round("similarity", 9))
+    """Similar pairs of different word sets, each by its first document, and each further document of a set with the first."""
+    nodes, members = prep.word_sets(_word_sets(spark, sf_dir), "doc_id", "w")
+    same = members.select(F.col("id").alias("a"), F.col("member").alias("b"), F.lit(1.0).alias("similarity"))
+    return prep.near_pairs(nodes).withColumn("similarity", F.round("similarity", 9)).unionByName(same)
 
 
 @query()
 def near_dup_survivors(spark, sf_dir):
-    """Documents that the greedy first-come scan keeps."""
-    dropped = prep.greedy_kept(prep.near_pairs(_word_sets(spark, sf_dir), "doc_id", "w"))
+    """Documents that the greedy first-come scan keeps; those without words stay."""
+    dropped = prep.near_dropped(_word_sets(spark, sf_dir), "doc_id", "w")
     return docs(spark, sf_dir).select("doc_id").join(dropped.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
 
 

@@ -130,3 +130,35 @@ def test_grading(spark):
     assert {got[i] for i in range(1, 12)} == {("error", None, None)}
     orders = spark.range(4).select(studies.arm_order(F.col("id"), F.lit(1))[0]).collect()
     assert [r[0] for r in orders] == ["protected", "baseline"] * 2
+
+
+def test_near_copies_against_brute_force(spark):
+    """Sets that lie on both sides of the threshold, of all sizes, with equal sets and empty ones; pairs and the first-come scan."""
+    import random
+
+    from docprism.operators import prep
+
+    rng = random.Random(5)
+    sets = []
+    for n in (0, 0, 1, 2, 10, 18, 19, 20, 21, 38, 39, 40, 41, 60, 100, 150, 400, 1500):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        for _ in range(9):
+            k = rng.randint(0, max(1, n // 25)) if n else 0
+            kept = rng.sample(base, max(len(base) - rng.randint(0, k), 0))
+            sets.append(sorted({*kept, *(f"x{rng.randrange(10**6)}" for _ in range(rng.randint(0, k)))}))
+    rng.shuffle(sets)
+    rows = spark.createDataFrame(list(enumerate(sets)) + [(len(sets), None)], "id int, w array<string>")
+    similar = lambda a, b: bool(a and b) and len({*a} & {*b}) / len({*a} | {*b}) > 0.95
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if similar(sets[i], sets[j])}
+    nodes, members = prep.word_sets(rows, "id", "w")
+    leader = {r.member: r.id for r in members.collect()}
+    pairs = {(r.a, r.b) for r in prep.near_pairs(nodes).collect()}
+    at = lambda i: leader.get(i, i)
+    assert pairs == {(i, j) for i, j in want if at(i) == i and at(j) == j}
+    assert all(sets[i] == sets[j] for i, j in leader.items()) and {(i, j) for i, j in want if sets[i] == sets[j]} == {(i, j) for i, j in want if at(i) == at(j)}
+    kept = []
+    for i, s in enumerate(sets):
+        if not any(similar(sets[j], s) for j in kept):
+            kept.append(i)
+    dropped = {r.id for r in prep.near_dropped(rows, "id", "w").collect()}
+    assert dropped == set(range(len(sets))) - set(kept) and len(dropped) > 20
