@@ -75,7 +75,7 @@ def word_sets(rows: DataFrame, key: str, words: str) -> tuple[DataFrame, DataFra
 
     ``words``: array of distinct words.  Rows without words have no set.
     """
-    hashed = rows.select(F.col(key).alias("member"), F.array_sort(F.transform(words, lambda x: F.xxhash64(x))).alias("w")).where(F.size("w") > 0)
+    hashed = rows.select(F.col(key).alias("member"), F.sort_array(F.transform(words, lambda x: F.xxhash64(x))).alias("w")).where(F.size("w") > 0)
     made = cut(hashed.withColumn("n", F.size("w")).withColumn("fp", F.xxhash64("w", F.lit(1))))
     first = made.groupBy("fp", "n").agg(F.min("member").alias("id"), F.count("*").alias("rows"))
     nodes = made.join(first.select(F.col("id").alias("member")), "member", "left_semi").select(F.col("member").alias("id"), "w", "n")
@@ -83,13 +83,13 @@ def word_sets(rows: DataFrame, key: str, words: str) -> tuple[DataFrame, DataFra
     return nodes, members
 
 
-def near_candidates(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``a < b`` of sets that may have a Jaccard similarity over ``threshold``: none that has is missing.
+def near_keys(nodes: DataFrame, threshold: float) -> DataFrame:
+    """``id, n, own, sig``: sets with a Jaccard similarity over ``threshold`` have a ``sig`` in common; only those that several sets have.
 
     Sizes fall into classes a factor of 1 / threshold wide, so similar sets are
     of one class or of two in a row.  In class c they differ by at most d words;
     of d + 1 buckets of the hash space one at least then holds the same words in
-    both.  A set meets others by bucket, in its class and in the one below.
+    both.  A set meets others by bucket, in its class (``own``) and in the one below.
     """
     wide = 1 / threshold
     own = F.floor(F.log(F.col("n")) / F.lit(math.log(wide))).cast("int")
@@ -100,25 +100,61 @@ def near_candidates(nodes: DataFrame, threshold: float) -> DataFrame:
     content = met.groupBy("id", "n", "cls", "own", F.col("e.i").alias("i")).agg(F.bit_xor("e.h").alias("h"))  # a set's rows are in one task: summed up before the shuffle
     keys = cut(content.select("id", "n", "own", F.xxhash64("cls", "i", "h").alias("sig")))
     shared = keys.groupBy("sig").agg(F.count("*").alias("m"), F.count_if("own").alias("owns")).where("m > 1 AND owns > 0").select("sig")
-    some = keys.join(shared, "sig", "left_semi")
-    a, b = some.select("sig", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "own")]), some.select("sig", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "own")])
-    alike = (F.col("id_a") < F.col("id_b")) & (F.col("own_a") | F.col("own_b")) & (F.least("n_a", "n_b") > F.greatest("n_a", "n_b") * threshold)
-    return a.join(b, "sig").where(alike).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    return cut(keys.join(shared, "sig", "left_semi"))
 
 
-def near_pairs(nodes: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """Pairs ``a < b`` of :func:`word_sets` with Jaccard similarity over ``threshold``: candidates by buckets, each verified."""
-    pairs = near_candidates(nodes, threshold)
+def verified(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """``a, b, similarity`` of the pairs whose sets have a Jaccard similarity over ``threshold``."""
     both = pairs.join(nodes.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(nodes.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
     shared = F.size(F.array_intersect("wa", "wb"))
     similarity = shared / (F.size("wa") + F.size("wb") - shared)
     return both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") > threshold)
 
 
+def candidates(keys: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``a < b`` of different sets that have a ``sig`` in common and sizes that allow the similarity."""
+    a, b = [keys.select("sig", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "own")]) for side in ("a", "b")]
+    alike = (F.col("id_a") < F.col("id_b")) & (F.col("own_a") | F.col("own_b")) & (F.least("n_a", "n_b") > F.greatest("n_a", "n_b") * threshold)
+    return a.join(b, "sig").where(alike).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
+def near_pairs(nodes: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """All pairs ``a < b`` of :func:`word_sets` with Jaccard similarity over ``threshold``: as many as there are links between different sets."""
+    return verified(candidates(near_keys(nodes, threshold), threshold), nodes, threshold)
+
+
+def first_come(nodes: DataFrame, threshold: float = 0.95, least_share: float = 0.1) -> DataFrame:
+    """``id`` of the sets that a scan in the order of ids drops, as they are similar to a kept one before; dropped ones drop nobody.
+
+    In each round the first open set of every ``sig`` leads; a leader that
+    follows no other one is kept, and the sets it leads are compared with it
+    alone.  Similar ones go, it needs no further comparison, and the others stay
+    open.  So a group of copies costs a comparison each, not all their pairs.
+    Once under ``least_share`` of a round's comparisons drop a set, what is open
+    shares buckets but few copies; a leader a round would then be slower than
+    all candidates at once, so their verified pairs settle the rest.
+    """
+    keys = near_keys(nodes, threshold)
+    gone, pays = [], True
+    while pays:
+        leads = keys.groupBy("sig").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1").select("sig", "a")
+        edges = cut(keys.join(leads, "sig").where("a < id").select("a", F.col("id").alias("b")).distinct())
+        tested = cut(edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti"))
+        dropped = cut(verified(tested, nodes, threshold).select(F.col("b").alias("id")).distinct())
+        gone.append(dropped)
+        pays = dropped.count() > least_share * tested.count()
+        settled = dropped.unionByName(tested.select(F.col("a").alias("id")).distinct())
+        keys = cut(keys.join(settled, "id", "left_anti"))
+    out = greedy_kept(verified(candidates(keys, threshold), nodes, threshold))
+    for part in gone:
+        out = out.unionByName(part)
+    return out
+
+
 def near_dropped(rows: DataFrame, key: str, words: str, threshold: float = 0.95) -> DataFrame:
     """``id`` of the rows that a first-come scan drops: near copies of kept ones, and all but the first of equal sets, whatever becomes of it."""
     nodes, members = word_sets(rows, key, words)
-    return greedy_kept(near_pairs(nodes, threshold)).unionByName(members.select(F.col("member").alias("id")))
+    return first_come(nodes, threshold).unionByName(members.select(F.col("member").alias("id")))
 
 
 def greedy_kept(pairs: DataFrame, max_rounds: int | None = None) -> DataFrame:
