@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docprism.llm import chat, decontaminate, jaccard, licences, lines, packing, quality, sql, suffixes, toxicity, urls
+from docprism.llm import chat, decontaminate, jaccard, licences, lines, packing, periodic, quality, sql, suffixes, toxicity, urls
 from docprism.llm.store import table
 
 
@@ -52,6 +52,10 @@ def op10_chat_formatting(spark, sf_dir):
     return chat.digest(chat.format_turns(turns))
 
 
+def op11_periodic_runs(spark, sf_dir):
+    return periodic.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -65,6 +69,7 @@ QUERIES = {
         op8_quality_rules,
         op9_licence_scans,
         op10_chat_formatting,
+        op11_periodic_runs,
     )
 }
 
