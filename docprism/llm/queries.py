@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docprism.llm import chat, decontaminate, jaccard, licences, lines, packing, periodic, quality, sql, suffixes, toxicity, urls
+from docprism.llm import chat, decontaminate, jaccard, kneser, licences, lines, packing, periodic, quality, sql, suffixes, toxicity, urls
 from docprism.llm.store import table
 
 
@@ -56,6 +56,10 @@ def op11_periodic_runs(spark, sf_dir):
     return periodic.report(table(spark, sf_dir, "documents"))
 
 
+def op12_lm_scoring(spark, sf_dir):
+    return kneser.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -70,6 +74,7 @@ QUERIES = {
         op9_licence_scans,
         op10_chat_formatting,
         op11_periodic_runs,
+        op12_lm_scoring,
     )
 }
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -230,3 +231,51 @@ def repeated_bytes(docs, width=200):
         spans = sum(c and (a == 0 or not cut[a - 1]) for a, c in enumerate(cut))
         out.append((i, len(r), sum(cut), spans, sha(bytes(b for b, c in zip(r, cut) if not c))))
     return out
+
+
+def kneser_ney(docs, order=3, parts=7, part=2):
+    """docs: [(doc_id, text)]; rows ``doc_id, held_out, n_tokens, n_known, base_score, score, train_tokens`` by dictionaries, and the probability function."""
+    def tokens(text):
+        return [*SPACED.findall((text or "").translate(LOWER)), None]  # None: the end
+
+    out_of = lambda i: i is not None and zlib.crc32(str(i).encode()) % parts == part
+    counts = {order: Counter()}
+    known = Counter()
+    for i, text in docs:
+        if not out_of(i):
+            t = ["<s>"] * (order - 1) + tokens(text)
+            known.update(t[order - 1 :])
+            counts[order].update(tuple(t[k - order + 1 : k + 1]) for k in range(order - 1, len(t)))
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    follow = {k: defaultdict(Counter) for k in counts}
+    lost = {}
+    for k, c in counts.items():
+        for g, n in c.items():
+            follow[k][g[:-1]].update({"t": n, min(n, 3): 1})
+        n = [sum(v == j for v in c.values()) for j in (1, 2, 3, 4)]
+        if all(n):
+            y = n[0] / (n[0] + 2 * n[1])
+            lost[k] = [0, *(min(max(j - (j + 1) * y * n[j] / n[j - 1], 0), j) for j in (1, 2, 3))]
+        else:
+            lost[k] = [0, 0.5, 1, 1.5]
+
+    def p(context, word):
+        value = 1 / (len(known) + 1)
+        for k in range(1, order + 1):
+            ctx = context[len(context) - k + 1 :] if k > 1 else ()
+            f = follow[k].get(ctx)
+            if f:
+                n = counts[k][(*ctx, word)]
+                value = (max(n - lost[k][min(n, 3)], 0) + sum(lost[k][j] * f[j] for j in (1, 2, 3)) * value) / f["t"]
+        return value
+
+    total = sum(known.values())
+    out = []
+    for i, text in docs:
+        t = tokens(text)
+        s = ["<s>"] * (order - 1) + t
+        score = sum(math.log10(p(tuple(s[k - order + 1 : k]), s[k])) for k in range(order - 1, len(s)))
+        base = sum(math.log10((known[w] + 1) / (total + len(known) + 1)) for w in t)
+        out.append((i, out_of(i), len(t), sum(w in known for w in t), base, score, total))
+    return out, p, known
