@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docprism.llm import chat, decontaminate, jaccard, kneser, licences, lines, packing, periodic, quality, sql, suffixes, toxicity, urls
+from docprism.llm import align, chat, decontaminate, jaccard, kneser, licences, lines, packing, periodic, quality, sql, suffixes, toxicity, urls
 from docprism.llm.store import table
 
 
@@ -60,6 +60,10 @@ def op12_lm_scoring(spark, sf_dir):
     return kneser.report(table(spark, sf_dir, "documents"))
 
 
+def op13_tokenizer_alignment(spark, sf_dir):
+    return align.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -75,6 +79,7 @@ QUERIES = {
         op10_chat_formatting,
         op11_periodic_runs,
         op12_lm_scoring,
+        op13_tokenizer_alignment,
     )
 }
 
