@@ -279,3 +279,78 @@ def kneser_ney(docs, order=3, parts=7, part=2):
         base = sum(math.log10((known[w] + 1) / (total + len(known) + 1)) for w in t)
         out.append((i, out_of(i), len(t), sum(w in known for w in t), base, score, total))
     return out, p, known
+
+
+def periodic_runs(words, least=24):
+    """Runs ``(start, length, period)`` of one list of words: every period, every stretch of equal words so far apart."""
+    found = []
+    for q in range(1, len(words) // 3 + 1):
+        i = 0
+        while i + q < len(words):
+            j = i
+            while j + q < len(words) and words[j] == words[j + q]:
+                j += 1
+            if j - i + q >= max(least, 3 * q):
+                found.append((i, j - i + q, q))
+            i = max(j, i + 1)
+    return sorted(r for r in found if not any(s[2] < r[2] and s[0] <= r[0] and s[0] + s[1] >= r[0] + r[1] for s in found))
+
+
+def periodic(docs, least=24):
+    out = []
+    for i, text in docs:
+        w = SPACED.findall(text or "")
+        n = len(w)
+        h = zlib.crc32(str(i).encode()) if i is not None else 1
+        if h % 10 == 0 and n:
+            g = h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [w[k] if k < a else w[a + (k - a) % p] for k in range(n)]
+        runs = periodic_runs(w, least)
+        best = (None,) * 4
+        for s, length, q in runs:
+            if best[0] is None or length * best[2] > best[1] * q:
+                best = (s, length, q, 1000 * length // q)
+        dropped = {k for s, length, q in runs for k in range(s + q, s + length)}
+        kept = [x for k, x in enumerate(w) if k not in dropped]
+        out.append((i, len(runs), *best, sha("".join(f"{s},{n},{q}\n" for s, n, q in runs)), sha(" ".join(kept))))
+    return out
+
+
+def alignment(docs, encode_a, bytes_a, encode_b, bytes_b):
+    """Digest rows, and the groups of each row: token by token, with given encoders and bytes of ids."""
+    held, count = [], Counter()
+    for i, text in docs:
+        a = b = links = groups = ()
+        if text:
+            a, b = encode_a(" " + text), encode_b(text)
+            of_a, of_b = [bytes_a(x) for x in a], [bytes_b(x) for x in b]
+            if not b"".join(of_a) == b"".join(of_b) == (" " + text).encode():
+                a = b = ()
+        if a:
+            links, groups, left_a, left_b = [], [], [], []
+            end_a = end_b = x = y = 0
+            while x < len(a) or y < len(b):
+                if end_a <= end_b:
+                    left_a.append(a[x])
+                    end_a += len(of_a[x])
+                    x += 1
+                    fresh = left_a
+                else:
+                    left_b.append(b[y])
+                    end_b += len(of_b[y])
+                    y += 1
+                    fresh = left_b
+                if fresh is left_a and end_b > end_a - len(of_a[x - 1]) or fresh is left_b and end_a > end_b - len(of_b[y - 1]):
+                    links.append((left_a[-1], left_b[-1]))
+                if end_a == end_b:
+                    groups.append((left_a, left_b))
+                    left_a, left_b = [], []
+        held.append((i, a, b, groups, links))
+        count.update(set(links))
+    top = Counter()
+    for (x, _), n in count.items():
+        top[x] = max(top[x], n)
+    text = lambda groups: ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+    return [(i, len(a), len(b), len(g), len(e), sum(count[k] == top[k[0]] for k in e), sum(count[k] for k in e), sha(text(g)) if a else "") for i, a, b, g, e in held], held
