@@ -39,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docprism.llm import textvec as tv
@@ -768,28 +768,57 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, list
     forest = _candidates(docs, scanned, nodes, words, percent)
     roots = _verified(docs, forest, nodes, words, percent)
     groups = roots.groupBy("root").agg(F.min("least").alias("_component"))
-    of_node = nodes.select("node", "least").join(roots.join(groups, "root").select("node", "_component"), "node", "left")
-    of_node = materialize(of_node.select(F.col("node").alias("_node"), F.coalesce("_component", "least").alias("_component")), "components")
+    of_node = nodes.select("node", "least").join(roots.join(groups, "root").select("node", "root", "_component"), "node", "left")
+    of_node = materialize(of_node.select(F.col("node").alias("_node"), F.coalesce("root", "node").alias("_class"), F.coalesce("_component", "least").alias("_component")), "components")
     drop_materialized(spark, nodes, forest)
     out = described.join(of_node, (described["node"] == of_node["_node"]) & (described["n"] > 0) & described["doc_id"].isNotNull(), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_component", "doc_id").alias("component_id")), [scanned, of_node]
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_component", "doc_id").alias("component_id"), "node", "_class"), [scanned, of_node]
 
 
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each document; ``percent``: the threshold."""
-    return _classes(docs, words, percent)[0]
+    return _classes(docs, words, percent)[0].select("doc_id", "n_shingles", "component_id")
+
+
+def _node(text: Column, k: int) -> Column:
+    """Identity of each text's set; null without words."""
+
+    @F.arrow_udf("long")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for batch in batches:
+                out = [None] * len(batch)
+                for r, s in _sets(batch, k):
+                    if len(s):
+                        out[r] = node_of(s)
+                yield pa.array(out, pa.int64())
+        finally:
+            tv.release()
+
+    return run(text)
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document (the least id) of each class; of repeated rows one stays; null ids stay."""
+    """``docs`` with one document of each class: the row of the least id, and of its sets the one with the least hash.
+
+    Rows are told apart by id and set, so an id that comes with several unlike
+    texts stays once in the class of each.  Of rows with the same id and set one
+    stays; rows without an id stay; of rows without words with the same id and
+    text one stays.
+    """
     spark = docs.sparkSession
     found, read = _classes(docs, words, percent)
-    gone = materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "copies")
-    repeated = not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    real = found.where("doc_id is not null")
+    if real.groupBy("doc_id").count().where("count > 1").isEmpty():  # then an id says all
+        gone = materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "copies")
+        drop_materialized(spark, *read)
+        maybe = Bitmap(gone, "doc_id").has(F.col("doc_id"))
+        return docs.where(maybe).join(gone, "doc_id", "left_anti").select(docs.columns).unionByName(docs.where(~maybe))
+    stays = real.where("component_id = doc_id and n_shingles > 0").groupBy("_class").agg(F.min("node").alias("_stays"))
+    gone = real.where("n_shingles > 0").join(stays, "_class").where("component_id <> doc_id or node <> _stays").select(F.col("doc_id").alias("_gone"), F.col("node").alias("_gone_node")).distinct()
+    gone = materialize(gone, "copies")
     drop_materialized(spark, *read)
-    maybe = Bitmap(gone, "doc_id").has(F.col("doc_id"))
-    kept = docs.where(maybe).join(gone, "doc_id", "left_anti").select(docs.columns).unionByName(docs.where(~maybe))
-    if repeated:
-        single = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
-        kept = single.unionByName(kept.where("doc_id is null"))
-    return kept
+    named = docs.where("doc_id is not null").withColumn("_set", _node(F.col("text"), words))
+    kept = named.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.col("_set") == F.col("_gone_node")), "left_anti")
+    single = kept.where("_set is not null").dropDuplicates(["doc_id", "_set"]).unionByName(kept.where("_set is null").dropDuplicates(["doc_id", "text"]))
+    return single.select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -7,7 +7,8 @@ sentence probabilities then locate the offending sentences.
 
 Training takes at most ``max_train`` labelled documents for each label (those
 with the least hash of their id) and ``max_words`` words in all, weighted back to
-the labels' true counts, and never one whose ``crc32(doc_id as text) mod 4`` is 2.  The sample's ids are a
+the labels' true counts, and never one whose ``crc32(doc_id as text) mod 4`` is 2.  Words that fewer
+bags hold than the square root of the number of toxic ones get no weight.  The sample's ids are a
 bounded table that is joined to the corpus in the scan; only hashed words of
 these documents reach the driver.  Scoring is one scan without a shuffle: words,
 sentences and their products are array operations over whole Arrow batches.
@@ -20,6 +21,7 @@ conflicting labels of an id count each; repeated rows score alike.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,8 +95,13 @@ class NoisyOr:
         return np.clip(-np.expm1(quiet[upto[w.first[1:]]] - quiet[upto[w.first[:-1]]]), 0.0, 1.0)
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray, int]], weight: dict[int, float], rounds: int = 100, rate: float = 0.5, l1: float = 3e-5, l2: float = 1e-5, least: int = 20) -> NoisyOr:
-    """Weighted maximum likelihood of the document labels by adaptive gradient steps; words in under ``least`` bags stay out.  Empties ``bags``."""
+def fit(bags: list[tuple[np.ndarray, np.ndarray, int]], weight: dict[int, float], rounds: int = 100, rate: float = 0.5, l1: float = 3e-5, l2: float = 1e-5, least: int | None = None) -> NoisyOr:
+    """Weighted maximum likelihood of the document labels by adaptive gradient steps.
+
+    Words in under ``least`` bags stay out: unless given, the square root of the
+    number of toxic bags, which is how far counts among them stray by chance.
+    Empties ``bags``.
+    """
     size = 1 << BITS
     if len({y for *_, y in bags}) < 2:
         return NoisyOr(np.zeros(size, np.float32), -np.inf)
@@ -111,7 +118,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray, int]], weight: dict[int, float]
     first = np.flatnonzero(begins)
     wt = np.array([weight[k] for k in y])
     wt = wt / wt.sum()
-    live = held >= least
+    live = held >= (math.ceil(math.sqrt((y == 1).sum())) if least is None else least)
     sentence_of = np.cumsum(begins, dtype=np.int32) - 1
     weights, bias = np.zeros(size, np.float32), float(-np.log(per_bag.mean()) - 5)
     seen, seen_b = np.full(size, 1e-12), 1e-12

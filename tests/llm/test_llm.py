@@ -698,3 +698,22 @@ def test_jaccard_of_many_short_texts(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "LIST_PAIRS", 1)
     docs = spark.createDataFrame(made, "doc_id long, text string")
     assert rows(jaccard.classes(docs, 3, 90), "doc_id", "n_shingles", "component_id") == sorted(brute.components(made), key=repr)
+
+
+def test_stages_with_ids_of_two_texts(spark):
+    """An id that comes with unlike texts keeps each; with near copies of its own it keeps one; ties go to the least id, then the least set."""
+    rng = random.Random(11)
+    t, u, v = (words(rng, 40) for _ in range(3))
+    near = t.rsplit(" ", 1)[0] + " other"
+    docs = spark.createDataFrame([(1, t), (5, t), (5, u), (5, u), (6, u), (7, v), (7, f" {v}\n"), (8, near), (8, t), (9, None), (9, ""), (9, None), (None, t), (None, t)], "doc_id long, text string").withColumns({"_set": F.lit(1), "node": F.lit("x")})
+    kept = rows(jaccard.keep_one(docs, 3, 80), "doc_id", "text")
+    assert [r for r in kept if r[0] != 7] == sorted([(1, t), (5, u), (9, None), (9, ""), (None, t), (None, t)], key=repr)
+    assert sum(r[0] == 7 for r in kept) == 1
+    assert rows(jaccard.classes(docs, 3, 80), "doc_id", "component_id") == sorted([(1, 1), (5, 1), (5, 5), (5, 5), (6, 5), (7, 7), (7, 7), (8, 1), (8, 1), (9, 9), (9, 9), (9, 9), (None, None), (None, None)], key=repr)
+    line = "a line that is long enough to count"
+    twice = spark.createDataFrame([(1, line), (2, line), (3, f"x\n{line}"), (3, f"{line}\ny"), (3, "z")], "doc_id long, text string")
+    assert rows(lines.dedup(twice), "doc_id", "text") == sorted([(1, ""), (2, ""), (3, f"x\n{line}"), (3, f"{line}\ny"), (3, "z")], key=repr)
+    bench = spark.createDataFrame([("q1", u), ("q1", v)], "item_id string, text string")
+    assert {(r.doc_id, r.n_hit > 0) for r in decontaminate.report(docs, bench).collect()} == {(1, False), (5, False), (5, True), (6, True), (7, True), (8, False), (9, False), (None, False)}
+    pieces = packing.pack(docs).where("doc_id = 5").collect()
+    assert len(pieces) == 3 and len({r.ids_crc32 for r in pieces}) == 2
