@@ -9,8 +9,9 @@ logistic regression whose classes are licence families and *unknown*.
 It is trained here, on the driver, from the paragraphs in ``licence_texts``, whole
 and in pieces, and against sentences of no family and paragraphs of the corpus
 itself: at most ``SAMPLE_DOCS`` documents (those with the least hash of their id),
-``SAMPLE_PARAGRAPHS`` paragraphs each, of which those that hold a template are no
-counter-examples.  A fifth of all examples is held out; on it the temperature of
+``SAMPLE_PARAGRAPHS`` paragraphs each and ``SAMPLE_TOKENS`` tokens of a paragraph, of
+which those that hold a template are no counter-examples.  The sample is taken in the
+order of these hashes and of the paragraphs, so it is the same in every run.  A fifth of all examples is held out; on it the temperature of
 the probabilities is set, and the least probability at which a family counts: the
 lowest at which at most ``MAX_ERROR`` of the held-out examples that would count
 are wrong.  A prediction is confirmed if it and one of the family's templates
@@ -18,8 +19,9 @@ share most of the n-grams of the shorter one.
 
 A licence word is one that templates use and other text seldom does; a paragraph
 without any has no feature, so passing it over decides nothing.  Scoring is one
-scan without a shuffle: n-grams are looked up by hash in literal tables of fixed
-size, and compared there as strings.
+scan without a shuffle: n-grams are looked up by hash in literal tables, and compared
+there as strings; those that share a slot move on to the next, smaller table, so that
+none is lost.
 
 Defined results: null and empty texts have no paragraphs and no licence; repeated
 rows get equal rows; of equal probabilities the family that comes first in the
@@ -40,9 +42,9 @@ from pyspark.sql import functions as F
 from docprism.llm.licence_texts import TEMPLATES, other_sentences
 
 UNKNOWN = "unknown"
-SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 300, 4
+SAMPLE_DOCS, SAMPLE_PARAGRAPHS, SAMPLE_TOKENS = 300, 4, 400
 MAX_ERROR = 0.01
-#: Slots of the table of n-grams; of n-grams that share one the more frequent stays.
+#: Slots of the first table of n-grams.
 SLOTS = 1 << 14
 #: Share of the shorter one's n-grams, and least number, that confirm a prediction.
 CONFIRM, CONFIRM_GRAMS = 0.6, 2
@@ -76,9 +78,9 @@ class Model:
 def _pieces(notice: str) -> list[str]:
     """A notice in the spellings and cuts in which it occurs."""
     words = notice.split()
-    out = [notice, notice.replace("license", "licence"), f"this document is {notice}", f"{notice} see the file for details", f"copyright 2020 the authors {notice}"]
+    out = [notice, f"this document is {notice}", f"{notice} see the file for details", f"copyright 2020 the authors {notice}", f"this file is {notice} please read it"]
     out += [" ".join(words[i : i + 10]) for i in range(0, max(1, len(words) - 9), 5)] if len(words) > 14 else []
-    return list(dict.fromkeys(out))
+    return list(dict.fromkeys(spelt for x in out for spelt in (x, x.replace("license", "licence"))))
 
 
 def _held_out(text: str) -> bool:
@@ -95,10 +97,11 @@ def sample(docs: DataFrame) -> list[str]:
     ids = [r[0] for r in docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()]
     if not ids:
         return []
-    paragraph = F.explode(F.slice(F.split(F.coalesce("text", F.lit("")), _GAP), 1, SAMPLE_PARAGRAPHS)).alias("p")
-    tokens = F.slice(F.regexp_extract_all(F.lower("p"), F.lit(f"({_TOKEN})"), 1), 1, 400)
-    rows = docs.where(F.col("doc_id").isin(ids)).select(paragraph).select(F.array_join(tokens, " ")).limit(SAMPLE_DOCS * SAMPLE_PARAGRAPHS).collect()
-    return sorted(r[0] for r in rows)
+    paragraph = F.posexplode(F.slice(F.split(F.coalesce("text", F.lit("")), _GAP), 1, SAMPLE_PARAGRAPHS)).alias("_k", "_p")
+    tokens = F.slice(F.regexp_extract_all(F.lower("_p"), F.lit(f"({_TOKEN})"), 1), 1, SAMPLE_TOKENS)
+    rows = docs.where(F.col("doc_id").isin(ids)).select(F.xxhash64("doc_id").alias("_h"), paragraph).select("_h", "_k", F.array_join(tokens, " ").alias("_t"))
+    rows = rows.orderBy("_h", "_k", "_t").limit(SAMPLE_DOCS * SAMPLE_PARAGRAPHS).collect()  # ids that come again could give more
+    return sorted(r["_t"] for r in rows)
 
 
 def train(corpus: list[str], rounds: int = 120, rate: float = 0.5, decay: float = 1e-4) -> Model:
@@ -115,14 +118,8 @@ def train(corpus: list[str], rounds: int = 120, rate: float = 0.5, decay: float
     words = {w for w in used if seldom.get(w, 0) <= plain} | {w for w in used if w.startswith(("licen", "copyright", "permission", "reserved"))}
     kept = lambda t: {g for g in _grams(t) if not words.isdisjoint(g.split(" "))}
     examples = [(kept(tokens_of(v)), y, _held_out(v)) for f, texts in TEMPLATES.items() for y in (families.index(f),) for x in texts for v in _pieces(x)]
-    at = {}
-    for grams, _, _ in examples:
-        for g in grams:
-            at[g] = at.get(g, 0) + 1
-    slots: dict[int, str] = {}
-    for g in sorted(at, key=lambda g: (-at[g], g)):
-        slots.setdefault(zlib.crc32(g.encode()) % SLOTS, g)
-    grams = tuple(sorted(slots.values()))
+    at = {g for grams, _, _ in examples for g in grams}
+    grams = tuple(sorted(at))
     row = {g: k for k, g in enumerate(grams)}
     templates = tuple((y, tuple(sorted(row[g] for g in kept(t) if g in row))) for t, y in notices)
     for t in others:
@@ -166,6 +163,29 @@ def _confirms(found: set[int], template: set[int]) -> bool:
     return both >= min(CONFIRM_GRAMS, len(template)) and both >= CONFIRM * min(len(found), len(template)) and both > 0
 
 
+def _tables(grams: tuple[str, ...]) -> list[tuple[int, list[int]]]:
+    """``shift, numbers``: slots of n-grams (from 1; 0: none) by ``crc32 / shift % size``; what shares a slot is in a later table."""
+    left, out, shift = list(range(len(grams))), [], 1
+    while left:
+        size = SLOTS if not out else 4 * len(left) + 1
+        while True:
+            slots, rest = [0] * size, []
+            for k in left:
+                at = zlib.crc32(grams[k].encode()) // shift % size
+                if slots[at]:
+                    rest.append(k)
+                else:
+                    slots[at] = k + 1
+            if not out or len(rest) * 4 <= len(left):
+                break
+            size += 2
+            if size > 64 * len(left) + 64:
+                raise ValueError("n-grams with one hash")
+        out.append((shift, slots))
+        left, shift = rest, 7
+    return out
+
+
 def _table(values, kind: str) -> Column:
     """A literal array; parsed once, when the plan is optimised."""
     return F.from_json(F.lit(json.dumps(list(values))), f"array<{kind}>")
@@ -182,10 +202,7 @@ def _alternatives(words: tuple[str, ...]) -> str:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, n_paragraphs, families, n_confirmed, licence, probability`` of each document; see :func:`scan`."""
     classes = len(model.families)
-    slots = np.zeros(SLOTS, np.int64)
-    for k, g in enumerate(model.grams):
-        slots[zlib.crc32(g.encode()) % SLOTS] = k + 1  # 0: none
-    slot, known = _table(slots.tolist(), "int"), _table(["", *model.grams], "string")
+    tables, known = [(shift, len(slots), _table(slots, "int")) for shift, slots in _tables(model.grams)], _table(["", *model.grams], "string")
     thousandths = np.rint(model.weights * 1000).astype(int)
     gate = _alternatives(model.words)
     blocks = F.split(F.lower(F.coalesce("text", F.lit(""))), _GAP)
@@ -201,8 +218,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         return F.array_distinct(F.concat(of(1), of(2), of(3)))
 
     def number(g: Column) -> Column:
-        k = slot[(F.crc32(g) % SLOTS).cast("int")]
-        return F.when(known[k] == g, k).otherwise(F.lit(0))
+        hash_ = F.crc32(g)
+        out = F.lit(0)
+        for shift, size, slot in reversed(tables):
+            k = slot[(F.floor(hash_ / shift) % size).cast("int")]
+            out = F.when(known[k] == g, k).otherwise(out)
+        return out
 
     rows = rows.withColumn("_g", F.transform("_t", lambda t: F.filter(F.transform(grams(t), number), lambda k: k > 0)))
 
