@@ -49,11 +49,13 @@ def _load(path: str) -> np.ndarray | None:
     return np.load(path, mmap_mode="r") if os.path.exists(path) else None
 
 
-def write_shard(folder: str, table: str, shard: int, bits: int, keys: np.ndarray, columns: dict[str, np.ndarray]) -> None:
-    """Sorted ``keys`` whose top ``bits`` are ``shard``, with their columns."""
+def write_shard(folder: str, table: str, shard: int, bits: int, keys: np.ndarray, columns: dict[str, np.ndarray], wide: dict[str, np.ndarray] | None = None) -> None:
+    """Sorted ``keys`` whose top ``bits`` are ``shard``, with their columns; ``wide`` ones are stored as they are."""
     at = f"{folder}/{table}.{shard}"
     bucket = ((keys << U64(bits)) >> U64(64 - INDEX)).astype(np.int64)
     _save(f"{at}.rest.npy", ((keys << U64(bits + INDEX)) >> U64(32)).astype(np.uint32))
+    for name, values in (wide or {}).items():
+        _save(f"{at}.{name}.npy", values)
     for name, values in columns.items():
         large = np.flatnonzero(values >= 255)
         _save(f"{at}.{name}.large.npy", np.stack([large, values[large].astype(np.int64)]))
@@ -86,8 +88,9 @@ def look_up(folder: str, table: str, bits: int, keys: np.ndarray, columns: tuple
         found = np.flatnonzero((lo < end) & (held[np.minimum(lo, last)] == rest))
         place[a + found] = lo[found]
         for column, out in zip(columns, values):
-            small = _load(f"{at}.{column}.npy")[lo[found]].astype(np.int64)
-            big = np.flatnonzero(small == 255)
+            small = _load(f"{at}.{column}.npy")[lo[found]]
+            big = np.flatnonzero(small == 255) if small.dtype == np.uint8 else ()
+            small = small.astype(np.int64)
             if len(big):
                 where, count = _load(f"{at}.{column}.large.npy")
                 small[big] = count[np.searchsorted(where, lo[found][big])]

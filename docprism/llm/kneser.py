@@ -3,7 +3,8 @@
 Training takes all documents outside the held-out part:
 
 1. Words (A-Z as a-z) and one end for each document are counted; their sorted hashes
-   are the vocabulary, a word's number is its place there.
+   are the vocabulary.  Words are numbered by the size of their counts, frequent ones
+   first (equal sizes: by shard and place), which packs n-grams well.
 2. Each chunk of documents counts its n-grams of the highest order and deals them out
    by a hash of their context, packed; a task adds them up by shard, writes the shard's
    counts and its contexts' totals, and passes each different n-gram's suffix on to the
@@ -47,6 +48,7 @@ CHUNK = 1 << 21
 WORDS = 1 << 21
 SHARD = 1 << 20
 VOCABULARY_BITS = 6
+DIGITS = 64
 U64 = np.uint64
 _END = U64(0xE7D1F3A59B8C2461)  # hash of the end
 _FACTOR = U64(0x9E3779B97F4A7C15)
@@ -64,7 +66,7 @@ class Model:
     folder: str
     order: int
     bits: int
-    first: np.ndarray  # the number of each vocabulary shard's first word
+    first: np.ndarray  # by binary digits of a count and vocabulary shard, the number of the first such word
     tokens: int
     words: int
     discounts: dict[int, tuple[float, float, float, float]]
@@ -83,6 +85,11 @@ class Model:
         return np.uint32 if self.words + 2 < 1 << 32 else np.uint64
 
 
+def _digits(count: np.ndarray) -> np.ndarray:
+    """Binary digits of each count."""
+    return np.frexp(count.astype(np.float64))[1].astype(np.int64)
+
+
 def _folded(ids: list[np.ndarray]) -> np.ndarray:
     """Hash of each row of word numbers."""
     h = np.full(len(ids[0]), U64(len(ids)))
@@ -185,16 +192,21 @@ def _keep_words(folder: str):
         for shard, held, _ in _grouped(batches):
             if held:
                 (key,), count = _added([np.concatenate([h[0] for h in held])], np.concatenate([h[1] for h in held]).astype(np.int64))
-                arrays.write_shard(folder, "words", shard, VOCABULARY_BITS, key, {"n": count})
-                yield _batch([shard], [1], [None], [[len(key), int(count.sum())]])
+                digits = _digits(count)
+                order = np.argsort(digits, kind="stable")
+                sizes = np.bincount(digits, minlength=DIGITS)
+                local = np.empty(len(key), np.uint32)
+                local[order] = np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                arrays.write_shard(folder, "words", shard, VOCABULARY_BITS, key, {"n": count}, {"local": local})
+                yield _batch([shard], [1], [None], [[int(count.sum()), *sizes.tolist()]])
 
     return tv.tidy(run)
 
 
 def _numbers(model: Model, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Number of each word hash (``unknown`` for others) and its count."""
-    place, count = arrays.look_up(model.folder, "words", VOCABULARY_BITS, hashes, ("n",))
-    number = place + model.first[_shard_of(hashes, VOCABULARY_BITS)]
+    place, count, local = arrays.look_up(model.folder, "words", VOCABULARY_BITS, hashes, ("n", "local"))
+    number = model.first[_digits(count), _shard_of(hashes, VOCABULARY_BITS)] + local
     return np.where(place < 0, model.unknown, number).astype(model.kind), count
 
 
@@ -286,12 +298,14 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
         return df.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, _DEALT)
 
     words = dealt(texts.mapInArrow(tv.tidy(_count_words), _DEALT), _keep_words(folder)).select("shard", "sums").collect()  # 2^VOCABULARY_BITS rows at most
-    per_shard = np.zeros(1 << VOCABULARY_BITS, np.int64)
+    sizes = np.zeros((DIGITS, 1 << VOCABULARY_BITS), np.int64)
     for r in words:
-        per_shard[r.shard] = r.sums[0]
-    tokens = sum(r.sums[1] for r in words)
+        sizes[:, r.shard] = r.sums[1:]
+    tokens = sum(r.sums[0] for r in words)
+    falling = sizes[::-1].reshape(-1)  # most digits first
+    first = (np.cumsum(falling) - falling).reshape(sizes.shape)[::-1]
     bits = max(0, (-(-tokens // SHARD) - 1).bit_length())
-    model = Model(folder, order, bits, np.cumsum(per_shard) - per_shard, tokens, int(per_shard.sum()), {}, (0, 0, 0, 0))
+    model = Model(folder, order, bits, first, tokens, int(sizes.sum()), {}, (0, 0, 0, 0))
     rows = texts.mapInArrow(_count_grams(model), _DEALT)
     for k in range(order, 0, -1):
         rows = dealt(rows, _keep_grams(model, k))
