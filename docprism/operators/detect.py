@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from docprism.functions import numeric as nm
 from docprism.functions import text as tx
-from docprism.operators.prep import ALIASES, BLOCK_START, SKILLS
+from docprism.operators.prep import ALIASES, BLOCK_START, SKILLS, replace_words
 
 MIN_HITS, WEIGHT = 3, 0.05
 
@@ -37,6 +37,37 @@ def keyword_measures(rows: DataFrame, text: str = "text", words=SKILLS, aliases=
     return out.withColumn("keyword_score", F.coalesce(F.try_divide("hits", "n_words"), F.lit(0.0)) + WEIGHT * F.col("concentration")).drop("_w", "_at")
 
 
+def keyword_budgets(rows: DataFrame, key: str, budgets: tuple[int, ...], text: str = "text") -> DataFrame:
+    """``rows`` for each ``budget`` with the ``keyword_score`` after :func:`prep.replace_words` of that share.
+
+    Words are ranked once: a budget replaces those whose digest is below its
+    order statistic, so from the digests of the hits alone it is known which
+    survive, and no text is built.  Texts without a hit score 0 and are not
+    ranked.  Only where an alias of several words may stand are texts built, as
+    replacing a word of it changes the number of words.
+    """
+    t = tx.canonical_aliases(F.lower(F.col(text)), ALIASES)
+    slow = F.coalesce(F.lower(F.col(text)).rlike(_MAY_ALIAS.pattern), F.lit(False))
+    pattern = r"\b(" + "|".join(sorted(SKILLS)) + r")\b"
+    digest = lambda i: F.md5(F.concat(F.col("_key"), F.lit(":"), i.cast("string")))
+    plain = rows.where(~slow).withColumn("_key", F.col(key).cast("string")).withColumn("_w", tx.tokens(t))
+    found = F.filter(F.transform("_w", lambda w, i: F.when(w.rlike(pattern), F.struct(i.alias("i"), F.regexp_count(w, F.lit(pattern)).cast("long").alias("c")))), lambda x: x.isNotNull())
+    plain = plain.withColumns({"_n": F.size("_w"), "_hits": found}).drop("_w")
+    ranks = F.when((F.size("_hits") > 0) & (F.col("_n") > 0), F.sort_array(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), digest)))
+    plain = plain.withColumns({"_ranks": ranks, "_hits": F.transform("_hits", lambda x: F.struct(x["i"].alias("i"), x["c"].alias("c"), digest(x["i"]).alias("h")))})
+    limit = lambda b: F.element_at("_ranks", F.floor(F.col("_n") * b / 100).cast("int") + 1)  # noqa: E731  # the first that stays
+    each = F.explode(F.array(*[F.struct(F.lit(b).alias("budget"), (limit(b) if b < 100 else F.lit(None).cast("string")).alias("limit")) for b in budgets])).alias("_b")
+    plain = plain.select(*rows.columns, "_n", "_hits", each).select(*rows.columns, "_n", "_b.budget", F.filter("_hits", lambda x: x["h"] >= F.col("_b.limit")).alias("_left"))
+    hits = F.aggregate("_left", F.lit(0).cast("long"), lambda a, x: a + x["c"])
+    plain = plain.withColumns({"_hit": hits, "_first": F.array_min(F.transform("_left", lambda x: x["i"])), "_last": F.array_max(F.transform("_left", lambda x: x["i"]))})
+    gap, reach = (F.col("_last") - F.col("_first")) / (F.col("_hit") - 1), F.col("_n") / 20
+    concentration = F.coalesce(F.when((F.col("_hit") > MIN_HITS) & (gap < reach), 1 - gap / reach), F.lit(0.0))
+    plain = plain.select(*rows.columns, "budget", (F.coalesce(F.try_divide("_hit", "_n"), F.lit(0.0)) + WEIGHT * concentration).alias("keyword_score"))
+    built = rows.where(slow).withColumn("budget", F.explode(F.array(*[F.lit(b) for b in budgets])))
+    built = keyword_measures(built.withColumn("_moved", replace_words(F.col(text), F.col(key), F.col("budget"))), "_moved")
+    return plain.unionByName(built.select(*rows.columns, "budget", "keyword_score"))
+
+
 _SPACE = re.compile(tx.SPACE)
 _SKILL = re.compile(r"\b(" + "|".join(sorted(SKILLS)) + r")\b", re.ASCII)
 _ALIAS = [(re.compile(r"(?i)\b" + tx.SPACE.join(re.escape(w) for w in a.split()) + r"\b", re.ASCII), ALIASES[a]) for a in sorted(ALIASES, key=lambda a: (-len(a), a))]

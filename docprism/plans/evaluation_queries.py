@@ -250,9 +250,8 @@ def mutation_curve(spark, sf_dir):
     """F1 of the keyword detector when a share of the words is replaced."""
     from docprism.operators import detect
 
-    rows = prep.attack_corpus(table(spark, sf_dir, "documents")).withColumn("budget", F.explode(F.array(*[F.lit(b) for b in (0, 25, 50)])))
-    moved = rows.withColumn("text", prep.replace_words(F.col("text"), F.col("source_id"), F.col("budget")))
-    scored = detect.keyword_measures(moved).select("budget", F.col("is_adversarial").alias("label"), (F.col("keyword_score") > 0.02).cast("int").alias("predicted"))
+    scored = detect.keyword_budgets(prep.attack_corpus(table(spark, sf_dir, "documents")), "source_id", (0, 25, 50))
+    scored = scored.select("budget", F.col("is_adversarial").alias("label"), (F.col("keyword_score") > 0.02).cast("int").alias("predicted"))
     return ev.confusion(scored, ["budget"], zero=True)
 
 

@@ -1,6 +1,7 @@
 """Operators on small fixtures: contracts, guards and the parts that SQL can't express."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -332,3 +333,15 @@ def test_greedy_never_leaves_nodes_open(spark):
     with pytest.raises(RuntimeError):
         prep.greedy_kept(pairs, max_rounds=1)
     assert sorted(r[0] for r in prep.greedy_kept(pairs, max_rounds=3).collect()) == [2, 4, 6]
+
+
+def test_keyword_budgets_equal_built_texts(spark):
+    rng = random.Random(9)
+    pool = ["python", "sql", "k8s", "python/sql", "plain", "words", "of", "a", "Text,", "kafka;", "py", "spark", "structured", "query", "language"]
+    texts = [" ".join(rng.choice(pool[: rng.choice([4, 10, 15])]) for _ in range(rng.randint(0, 60))) for _ in range(120)]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate([None, "", " ", "sql", "sql " * 50, *texts])], "source_id long, text string")
+    got = detect.keyword_budgets(rows, "source_id", (0, 25, 50, 100))
+    built = rows.withColumn("budget", F.explode(F.array(*[F.lit(b) for b in (0, 25, 50, 100)])))
+    want = detect.keyword_measures(built.withColumn("moved", prep.replace_words(F.col("text"), F.col("source_id"), F.col("budget"))), "moved")
+    value = lambda df: {(r.source_id, r.budget): round(r.keyword_score, 12) for r in df.collect()}
+    assert value(got) == value(want) and len(value(got)) == 500
