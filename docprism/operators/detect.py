@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 
 from docprism.functions import numeric as nm
 from docprism.functions import text as tx
+from docprism.operators.order import exact_quantiles
 from docprism.operators.prep import ALIASES, BLOCK_START, SKILLS, replace_words
 
 MIN_HITS, WEIGHT = 3, 0.05
@@ -145,8 +147,9 @@ def adaptive_search(rows: DataFrame, threshold: float = 0.05, generations: int =
 
 def p95_of_clean(rows: DataFrame, score: str, label: str = "is_adversarial") -> DataFrame:
     """One row: the linear 95th percentile of the clean scores and what guards it."""
-    clean = F.when(F.col(label) == 0, F.col(score))
-    return rows.agg(F.percentile(clean, F.lit(0.95)).alias("threshold"), F.count_if(~F.col(label).isin(0, 1) | F.col(label).isNull()).alias("bad_labels"), F.count_distinct(label).alias("n_classes"))
+    guards = rows.agg(F.count_if(~F.col(label).isin(0, 1) | F.col(label).isNull()).alias("bad_labels"), F.count_distinct(label).alias("n_classes"))
+    held = exact_quantiles(rows.where(F.col(label) == 0), [], score, [0.95]).select(F.col("quantiles")[0].alias("threshold"))
+    return guards.join(F.broadcast(held), how="left").select("threshold", "bad_labels", "n_classes")
 
 
 def calibrate(rows: DataFrame, score: str, label: str = "is_adversarial") -> float:
@@ -322,6 +325,28 @@ OUTCOMES = {
 }
 PATTERNS = OVERRIDES | OUTCOMES
 _COMPILED = {k: re.compile(p) for k, p in PATTERNS.items()}
+
+
+def _anchors(pattern: str) -> tuple[str, ...]:
+    """Words of which a match of the pattern holds one: of its groups that must be there, the one whose shortest word is longest."""
+    groups = [tuple(re.sub(r"[a-z]\?.*", "", w) for w in g.split("|")) for g in re.findall(r"\(\?:([^()]*)\)(?![?{])", pattern)]
+    groups = groups or [(max(re.findall("[a-z]{3,}(?: [a-z]+)*", pattern.replace(_IN, " ").replace(r"\b", " ")), key=len),)]
+    return max(groups, key=lambda g: min(map(len, g)))
+
+
+def _one_of(words: set[str]) -> str:
+    """Pattern of the words' beginnings, with a first letter tried once; a word that begins with another one needs no place of its own."""
+    by: dict[str, list[str]] = {}
+    for w in sorted(words):
+        if not any(w != x and w.startswith(x) for x in words):
+            by.setdefault(w[0], []).append(re.escape(w[1:]))
+    return r"\b(?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by.items()) + ")"
+
+
+ANCHORS = {name: _anchors(p) for name, p in PATTERNS.items()}
+#: Matches wherever some pattern does: anchors are whole words' beginnings, looked for in one pass.
+ANY_ANCHOR = _one_of({w for words in ANCHORS.values() for w in words})
+_ANY_ANCHOR = re.compile(ANY_ANCHOR)
 _BYPASS = re.compile(r"\b(?:regardless|even if|no matter|despite|without checking|whether or not)\b")
 _CONDITION = re.compile(rf"\b(?:if|when|provided|only if|once|as long as)\b{_IN}*\b(?:meets?|qualif\w+|requirements?|experience|verified)\b")
 _INVENTED = re.compile(rf"\b(?:pretend|assume|claim|invent|make up|act as though)\b{_IN}{{0,60}}\b(?:degree|credentials?|certificates?|requirements?|experience|qualif\w+)\b")
@@ -335,8 +360,10 @@ MAX_CARRIERS = 32
 
 
 def native_cues(text: Column) -> Column:
-    """Names of the patterns that match the lower-case text as it stands (no views, no context rules)."""
-    return F.filter(F.array(*[F.when(F.lower(text).rlike(p), F.lit(k)) for k, p in PATTERNS.items()]), lambda x: x.isNotNull())
+    """Names of the patterns that match the lower-case text as it stands (no views, no context rules); patterns run where an anchor stands."""
+    low = F.lower(text)
+    found = F.filter(F.array(*[F.when(low.rlike(p), F.lit(k)) for k, p in PATTERNS.items()]), lambda x: x.isNotNull())
+    return F.when(low.rlike(ANY_ANCHOR), found).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def _carriers(text: str) -> list[tuple[int, int, str]]:
@@ -358,12 +385,47 @@ def _carriers(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def _clause(text: str, start: int, end: int) -> tuple[int, int]:
-    begin = max((text.rfind(c, 0, start) for c in ".!?;\n"), default=-1) + 1
-    stop = min((p for c in ".!?;\n" if (p := text.find(c, end)) >= 0), default=len(text))
-    if text[stop + 1 : stop + 2] in ('"', "”", "»", "'"):  # a closing quote behind the sign belongs to the clause
-        stop += 2
-    return begin, stop
+_STOP = re.compile(r"[.!?;\n]")
+
+
+class View:
+    """A folded text with the places of its clauses' ends, found once."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.stops = [m.start() for m in _STOP.finditer(text)]
+
+    def clause(self, start: int, end: int) -> tuple[int, int]:
+        """Begin and end of the clause around a match."""
+        left, right = bisect_left(self.stops, start), bisect_left(self.stops, end)
+        begin = self.stops[left - 1] + 1 if left else 0
+        stop = self.stops[right] if right < len(self.stops) else len(self.text)
+        if self.text[stop + 1 : stop + 2] in ('"', "”", "»", "'"):  # a closing quote behind the sign belongs to the clause
+            stop += 2
+        return begin, stop
+
+    def matches(self) -> Iterator[tuple[str, int, int]]:
+        """``pattern, start, end`` of all matches whose clause does not take the cue back; nothing is tried without an anchor."""
+        anchors = {m[0] for m in _ANY_ANCHOR.finditer(self.text)}
+        for name, pattern in _COMPILED.items():
+            if not anchors.isdisjoint(ANCHORS[name]) or any(a.startswith(w) or w.startswith(a) for a in anchors for w in ANCHORS[name]):
+                for m in pattern.finditer(self.text):
+                    if not self.benign(name, *m.span()):
+                        yield name, *m.span()
+
+    def benign(self, name: str, start: int, end: int) -> bool:
+        """Whether the clause shows that the cue is a condition on qualification, a description, quoted, or labelled as an example; rules in order."""
+        begin, stop = self.clause(start, end)
+        text = self.text
+        clause, before, after = text[begin:stop], text[begin:start], text[end:stop]
+        if not _BYPASS.search(clause):
+            if name in OUTCOMES and _CONDITION.search(after):
+                at = min(stop + 1, len(text))
+                if not _INVENTED.search(text[begin : min(self.clause(at, at)[1], begin + 320)]):
+                    return True
+            if name == "highest_score" and not _DIRECTIVE.search(before):
+                return True
+        return _quoted(before, after) or bool(_LABEL.search(before))
 
 
 def _quoted(before: str, after: str) -> bool:
@@ -376,39 +438,23 @@ def _quoted(before: str, after: str) -> bool:
     return False
 
 
-def _benign(name: str, text: str, start: int, end: int) -> bool:
-    """Whether the clause shows that the cue is a condition on qualification, a description, quoted, or labelled as an example; rules in order."""
-    begin, stop = _clause(text, start, end)
-    clause, before, after = text[begin:stop], text[begin:start], text[end:stop]
-    if not _BYPASS.search(clause):
-        if name in OUTCOMES and _CONDITION.search(after):
-            following = _clause(text, min(stop + 1, len(text)), min(stop + 1, len(text)))[1]
-            if not _INVENTED.search(text[begin : min(following, begin + 320)]):
-                return True
-        if name == "highest_score" and not _DIRECTIVE.search(before):
-            return True
-    return _quoted(before, after) or bool(_LABEL.search(before))
-
-
 def cue_matches(text: str | None) -> list[dict]:
     """Actionable cues: pattern, kind of view, span in the original (of the carrier for decoded views)."""
     if not text:
         return []
     out = []
     folded, spans = tx.fold_spans(text)
-    for name, pattern in _COMPILED.items():
-        for m in pattern.finditer(folded):
-            if not _benign(name, folded, *m.span()):
-                out.append({"pattern": name, "kind": "plain", "start": spans[m.start()][0], "end": spans[m.end() - 1][1]})
-    for begin, end, raw in _carriers(text):
-        low, first = text.lower(), _clause(text.lower(), begin, end)
-        around = low[max(0, begin - 160) : begin] + " " + low[end : end + 160]
-        if _LABEL.search(low[max(first[0], begin - 160) : begin]) and not _APPLY.search(around) or _quoted(low[first[0] : begin], low[end : first[1]]):
+    for name, start, end in View(folded).matches():
+        out.append({"pattern": name, "kind": "plain", "start": spans[start][0], "end": spans[end - 1][1]})
+    carriers = _carriers(text)
+    low = View(text.lower() if carriers else "")
+    for begin, end, raw in carriers:
+        first = low.clause(begin, end)
+        around = low.text[max(0, begin - 160) : begin] + " " + low.text[end : end + 160]
+        if _LABEL.search(low.text[max(first[0], begin - 160) : begin]) and not _APPLY.search(around) or _quoted(low.text[first[0] : begin], low.text[end : first[1]]):
             continue
-        view = tx.fold_text(raw)
-        for name, pattern in _COMPILED.items():
-            if any(not _benign(name, view, *m.span()) for m in pattern.finditer(view)):
-                out.append({"pattern": name, "kind": "base64", "start": begin, "end": end})
+        for name in dict.fromkeys(name for name, _, _ in View(tx.fold_text(raw)).matches()):
+            out.append({"pattern": name, "kind": "base64", "start": begin, "end": end})
     return sorted(out, key=lambda x: (x["start"], x["end"], x["pattern"]))
 
 
@@ -426,9 +472,10 @@ _PLAIN = r"\x00-\x7F\u00C0-\u012F\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E"
 
 
 def may_have_cues(text: Column) -> Column:
-    """False only where :func:`cue_matches` finds nothing: no pattern in the plain text, no letter that folds into others, no encoded run."""
+    """False only where :func:`cue_matches` finds nothing: no anchor of a pattern in the plain text, no letter that folds into others, no encoded run."""
     plain = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
-    return text.rlike(f"[^{_PLAIN}]") | text.rlike(r"[A-Za-z0-9+/]{8,}[ \t]*\n[ \t]*[A-Za-z0-9+/]{4}|[A-Za-z0-9+/]{16}") | plain.rlike("|".join(f"(?:{p})" for p in PATTERNS.values()))
+    encoded = text.rlike(r"[A-Za-z0-9+/]{16}") | text.rlike(r"[A-Za-z0-9+/]{8}[ \t]*\n[ \t]*[A-Za-z0-9+/]{4}")
+    return text.rlike(f"[^{_PLAIN}]") | plain.rlike(ANY_ANCHOR) | encoded
 
 
 def cues(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docprism.operators import detect, evaluate, policy, prep, validate
+from docprism.operators import detect, encode, evaluate, policy, prep, validate
 from docprism.plans import fixtures as fx
 from docprism.plans.prep_queries import CORPUS, KW, corpus
 from docprism.plans.registry import query
@@ -121,6 +121,23 @@ def sentence_windows(spark, sf_dir):
     return detect.sentence_windows(docs(spark, sf_dir)).select("doc_id", "w_idx", F.md5("window").alias("window_md5"))
 
 
+SENTENCES = r"list_filter(string_split(regexp_replace(substr(text, 1, 20000), '([.!?]) +', '\1' || chr(1), 'g'), chr(1)), lambda s: length(trim(s)) > 10)"
+DIGIT_SUMS = ", ".join(f"sum(instr('0123456789abcdef', substr(h, {k}, 1)) - 8.5)::DOUBLE" for k in range(1, 33))
+
+
+@query(f"""WITH s AS (SELECT doc_id, text, {SENTENCES} AS s FROM documents), win AS (SELECT doc_id, unnest(range(1, len(s))) AS i, s FROM s),
+w AS (SELECT doc_id, i, md5(unnest(list_filter(string_split(s[i] || ' ' || s[i + 1], ' '), lambda x: x <> ''))) AS h FROM win), v AS (SELECT doc_id, i, [{DIGIT_SUMS}] AS v FROM w GROUP BY doc_id, i),
+p AS (SELECT doc_id, list_cosine_similarity(v, lag(v) OVER (PARTITION BY doc_id ORDER BY i)) AS cos FROM v), m AS (SELECT doc_id, var_pop(cos) AS variance, avg(cos) AS mean, count(cos) AS n FROM p GROUP BY doc_id),
+c AS (SELECT doc_id, coalesce(variance, 0) AS variance, coalesce(mean, 1) AS mean, coalesce(n, 0) AS n, ({NATIVE}) AS cues FROM s LEFT JOIN m USING (doc_id))
+SELECT doc_id, round(variance, 6) AS variance, round(mean, 6) AS mean_similarity, n AS n_pairs, round(least(1.0, variance / 0.04), 5) AS semantic, round(greatest(least(1.0, variance / 0.04), least(1.0, 0.5 * cues)), 5) AS anomaly, (round(variance, 9) > 0.02 OR cues > 0) AS flag FROM c""")
+def encoded_coherence(spark, sf_dir):
+    """From texts to the fused coherence measure: windows of sentences, vectors of an encoder, cosines, cues."""
+    rows = encode.text_coherence(docs(spark, sf_dir).select("doc_id", "text"), encode.HashedProjection())
+    rows = rows.withColumns({"_v": F.round("variance", 9), "_cues": F.size(F.coalesce(detect.native_cues(F.col("text")), F.array().cast("array<string>")))})
+    semantic, _, anomaly, flag = policy.fuse_coherence(F.col("_v"), F.lit(0.02), F.col("_cues"))
+    return rows.select("doc_id", F.round("variance", 6).alias("variance"), F.round("mean_similarity", 6).alias("mean_similarity"), "n_pairs", F.round(semantic, 5).alias("semantic"), F.round(anomaly, 5).alias("anomaly"), flag.alias("flag"))
+
+
 @query()
 def unit_explanations(spark, sf_dir):
     """Leave-one-out contributions of units to the variance."""
