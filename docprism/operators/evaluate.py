@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docprism.functions import numeric as nm
+from docprism.operators.order import exact_quantiles, resampled_sums
 from docprism.operators.prep import ranged
+from docprism.sources.tables import cut
 
 
 def confusion(rows: DataFrame, keys: list[str], label: str = "label", predicted: str = "predicted", zero: bool = False) -> DataFrame:
@@ -44,24 +46,38 @@ def roc_points(rows: DataFrame, score: str, label: str = "label") -> DataFrame:
     return rows.select("threshold", "tp", "fp", F.round(F.try_divide("tp", "_p"), 9).alias("tpr"), F.round(F.try_divide("fp", "_n"), 9).alias("fpr"), F.round(F.try_divide("tp", F.col("tp") + F.col("fp")), 9).alias("precision"))
 
 
-def quantiles(x: Column) -> list[Column]:
-    q = F.percentile(x, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return [F.count(x).alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(q[0], 6).alias("p50"), F.round(q[1], 6).alias("p95"), F.round(q[2], 6).alias("p99")]
+def quantiles(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Count, mean and exact quantiles by keys; a group without values has nulls."""
+    held = exact_quantiles(rows, keys, value, [0.5, 0.95, 0.99]).drop("n")
+    plain = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"))
+    on = [F.col(f"p.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys] or [F.lit(True)]
+    both = plain.alias("p").join(F.broadcast(held.alias("h")), on, "left")
+    return both.select(*[f"p.{k}" for k in keys], "n", "mean", *[F.round(F.col("quantiles")[i], 6).alias(c) for i, c in enumerate(("p50", "p95", "p99"))])
 
 
-def strata(cases: DataFrame, keys: list[str]) -> DataFrame:
-    """Attempts, outcomes and Wilson bounds by keys from long cases (``status``, tri-state ``flagged``)."""
+STRATUM = ("attempts", "complete", "flagged", "partial_flagged", "errors")
+
+
+def _stratum_counts(cases: DataFrame, keys: list[str]) -> DataFrame:
     done = (F.col("status") == "complete") & F.col("flagged").isNotNull()
-    out = cases.groupBy(*keys).agg(
+    return cases.groupBy(*keys).agg(
         F.count("*").alias("attempts"), F.count_if(done).alias("complete"), F.count_if(done & F.col("flagged")).alias("flagged"),
         F.count_if((F.col("status") == "partial") & F.col("flagged")).alias("partial_flagged"), F.count_if(F.col("status") == "error").alias("errors"),
     )
-    out = out.withColumn("missed", F.col("complete") - F.col("flagged")).withColumn("insufficient", F.col("attempts") - F.col("complete") - F.col("partial_flagged") - F.col("errors"))
+
+
+def _stratum_rates(counts: DataFrame) -> DataFrame:
+    out = counts.withColumn("missed", F.col("complete") - F.col("flagged")).withColumn("insufficient", F.col("attempts") - F.col("complete") - F.col("partial_flagged") - F.col("errors"))
     low, high = nm.wilson(F.col("flagged"), F.col("complete"))
     rates = {"all_rate": F.try_divide(F.col("flagged") + F.col("partial_flagged"), F.col("attempts")), "complete_rate": F.try_divide("flagged", "complete"), "wilson_low": low, "wilson_high": high}
     return out.withColumns({k: F.round(v, 9) for k, v in rates.items()})
 
 
+def strata(cases: DataFrame, keys: list[str]) -> DataFrame:
+    """Attempts, outcomes and Wilson bounds by keys from long cases (``status``, tri-state ``flagged``)."""
+    return _stratum_rates(_stratum_counts(cases, keys))
+
+
 def zero_event(cases: DataFrame, group: str, keys: list[str]) -> DataFrame:
     """Bound for strata where no group has an event and every group is fully observed."""
     per = cases.groupBy(*keys, group).agg(F.bool_or(F.coalesce("flagged", F.lit(False))).alias("event"), F.bool_and((F.col("status") == "complete") & F.col("flagged").isNotNull()).alias("observed"))
@@ -78,24 +94,27 @@ def paired(cases: DataFrame, base_arm: str, keys: list[str]) -> DataFrame:
     return out.withColumn("net", F.round(F.try_divide(F.col("gains") - F.col("losses"), F.col("pairs")), 9))
 
 
-def leave_one_out(cases: DataFrame, families: DataFrame, keys: list[str]) -> DataFrame:
-    """Stratum reports over all but one family each; ``families``: the few family names."""
-    held = families.select(F.col("family").alias("held_out"))
-    return strata(cases.join(F.broadcast(held), F.col("family") != F.col("held_out")), ["held_out", *keys])
+def leave_one_out(cases: DataFrame, keys: list[str], family: str = "family") -> DataFrame:
+    """Stratum reports over all but one family each: counts by family once, subtracted from their totals.  Cases without a family are in none."""
+    per = cut(_stratum_counts(cases.where(F.col(family).isNotNull()), [F.col(family).alias("held_out"), *keys]))
+    totals = per.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in STRATUM])
+    own = per.select("held_out", *keys, *[F.col(c).alias(f"_{c}") for c in STRATUM])
+    pairs = totals.join(F.broadcast(per.select("held_out").distinct())).join(own, ["held_out", *keys], "left")  # strata times families, all counted already
+    left = pairs.select("held_out", *keys, *[(F.col(c) - F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in STRATUM])
+    return _stratum_rates(left.where("attempts > 0"))
 
 
 def multiplicity(group: Column, draw: Column, seed: int = 42) -> Column:
-    """How often a group is in a bootstrap draw: Poisson with mean 1, by the hash of group and draw, wherever it is computed."""
+    """How often a group is in a Poisson bootstrap draw, in which the number of groups varies: by the hash of group and draw, wherever it is computed."""
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), group.cast("string"), draw), 11) / float(1 << 53)
     upto = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
     return sum(((u >= x).cast("long") for x in upto[1:]), (u >= upto[0]).cast("long"))
 
 
 def bootstrap_interval(groups: DataFrame, spark: SparkSession, events: str, trials: str, order: str, n: int = 200, seed: int = 42) -> DataFrame:
-    """Percentile interval of a rate by resampling groups (one row each, known by ``order``; counts add up)."""
-    each = groups.select(order, events, trials, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b")).withColumn("mult", multiplicity(F.col(order), F.col("b"), seed))
-    rates = each.groupBy("b").agg(F.try_divide(F.sum(F.col("mult") * F.col(events)), F.sum(F.col("mult") * F.col(trials))).alias("rate"))
-    q = F.percentile("rate", F.array(F.lit(0.025), F.lit(0.975)))
+    """Percentile interval of a rate by resampling groups (one row each, known by ``order``; counts add up); every draw has as many groups as there are."""
+    rates = resampled_sums(groups, order, [events, trials], n, seed).select(F.try_divide(events, trials).alias("rate"))
+    q = F.percentile("rate", F.array(F.lit(0.025), F.lit(0.975)))  # n values
     return rates.agg(F.round(q[0], 9).alias("low"), F.round(q[1], 9).alias("high"), F.count("rate").alias("draws"))
 
 
@@ -126,5 +145,5 @@ def ranked(rows: DataFrame, pool: list[str], score: str, key: str) -> DataFrame:
 
 def slices(rows: DataFrame, value: str, n: int = 4) -> DataFrame:
     """Rows with their quantile slice of a value (exact quantiles of the whole table, broadcast as one row)."""
-    cuts = rows.agg(F.percentile(value, F.array(*[F.lit(k / n) for k in range(1, n)])).alias("_cuts"))
-    return rows.crossJoin(F.broadcast(cuts)).withColumn("slice", F.size(F.filter("_cuts", lambda c: c < F.col(value))).cast("long")).drop("_cuts")
+    cuts = exact_quantiles(rows, [], value, [k / n for k in range(1, n)]).select(F.col("quantiles").alias("_cuts"))
+    return rows.join(F.broadcast(cuts), how="left").withColumn("slice", F.size(F.filter("_cuts", lambda c: c < F.col(value))).cast("long")).drop("_cuts")

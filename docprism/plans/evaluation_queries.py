@@ -97,8 +97,7 @@ def arm_overall(spark, sf_dir):
 
 @query(_stratum_sql("held_out, arm", "(SELECT * FROM cases JOIN (SELECT DISTINCT family AS held_out FROM cases) ON family <> held_out)"))
 def leave_one_family_out(spark, sf_dir):
-    rows = fx.cases(spark, sf_dir)
-    return ev.leave_one_out(rows, rows.select("family").distinct(), ["arm"])
+    return ev.leave_one_out(fx.cases(spark, sf_dir), ["arm"])
 
 
 @query(f"""WITH {fx.CASES}, known AS (SELECT * FROM cases WHERE status = 'complete' AND flagged IS NOT NULL), j AS (SELECT o.arm, o.added_attack, o.flagged, b.flagged AS base FROM known o JOIN known b USING (case_id) WHERE o.arm <> 'full_policy' AND b.arm = 'full_policy')
@@ -180,7 +179,7 @@ QUANT = "count({x}) AS n, round(avg({x}), 6) AS mean, round(quantile_cont({x}, 0
 
 @query(f"WITH {fx.OBSERVATIONS} SELECT arm, {QUANT.format(x='latency_ms')} FROM obs GROUP BY arm")
 def latency_quantiles(spark, sf_dir):
-    return fx.observations(spark, sf_dir).groupBy("arm").agg(*ev.quantiles(F.col("latency_ms")))
+    return ev.quantiles(fx.observations(spark, sf_dir), ["arm"], "latency_ms")
 
 
 @query(f"WITH {fx.OBSERVATIONS}, d AS (SELECT p.cost - b.cost AS delta, b.state = 'completed' AND p.state = 'completed' AS both_done FROM obs b JOIN obs p USING (doc_id) WHERE b.arm = 'baseline' AND p.arm = 'protected') SELECT both_done, {QUANT.format(x='delta')} FROM d GROUP BY both_done")
@@ -189,7 +188,7 @@ def cost_deltas(spark, sf_dir):
     b = rows.where("arm = 'baseline'").select("doc_id", F.col("cost").alias("bc"), F.col("state").alias("bs"))
     p = rows.where("arm = 'protected'").select("doc_id", F.col("cost").alias("pc"), F.col("state").alias("ps"))
     d = b.join(p, "doc_id").select((F.col("pc") - F.col("bc")).alias("delta"), ((F.col("bs") == "completed") & (F.col("ps") == "completed")).alias("both_done"))
-    return d.groupBy("both_done").agg(*ev.quantiles(F.col("delta")))
+    return ev.quantiles(d, ["both_done"], "delta")
 
 
 @query(f"WITH {fx.OBSERVATIONS}, r AS (SELECT source_id, arm, ranking_score AS ref FROM obs WHERE is_reference) SELECT o.doc_id, o.arm, round(o.ranking_score - r.ref, 6) AS shift FROM obs o JOIN r ON o.source_id = r.source_id AND o.arm = r.arm WHERE NOT o.is_reference")

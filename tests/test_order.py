@@ -1,0 +1,65 @@
+"""Exact quantiles, exact bootstrap draws and leave-one-out by subtraction against plain restatements."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from docprism.operators import evaluate, order
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_exact_quantiles(spark, partitions):
+    rng = random.Random(5)
+    made = [(g, float(rng.choice([0, 1, 1, 1, rng.random(), rng.gauss(0, 50)]))) for g in ("a", "b", None) for _ in range(rng.randint(3, 200))] + [("one", 4.0), ("none", None), ("a", None)] + [("hot", 7.5)] * 300
+    rows = spark.createDataFrame(made, "g string, x double").repartition(partitions)
+    shares = [0.0, 0.1, 0.5, 0.95, 1.0]
+    got = {r.g: (r.n, r.quantiles) for r in order.exact_quantiles(rows, ["g"], "x", shares).collect()}
+    held = {g: [x for k, x in made if k == g and x is not None] for g in {k for k, _ in made}}
+    assert set(got) == {g for g, x in held.items() if x}
+    for g, (n, q) in got.items():
+        assert n == len(held[g])
+        np.testing.assert_allclose(q, np.quantile(held[g], shares), atol=1e-9)
+    whole = order.exact_quantiles(rows, [], "x", shares).collect()
+    np.testing.assert_allclose(whole[0].quantiles, np.quantile([x for _, x in made if x is not None], shares), atol=1e-9)
+    assert order.exact_quantiles(rows.where("false"), [], "x", shares).count() == 0
+    report = {r.g: r for r in evaluate.quantiles(rows, ["g"], "x").collect()}
+    assert report["none"].n == 0 and report["none"].p50 is None and report[None].n == len(held[None]) and report["hot"].p99 == 7.5
+
+
+def test_every_draw_has_all_groups(monkeypatch):
+    monkeypatch.setattr(order, "BLOCK", 8)
+    for n in (1, 7, 8, 9, 100):
+        blocks = -(-n // 8)
+        drawn = np.concatenate([order.block_multiplicities(3, 400, n, b) for b in range(blocks)], axis=1)
+        assert drawn.shape == (400, n) and (drawn.sum(1) == n).all()
+        if n == 100:  # a multinomial: mean 1, variance 1 - 1/n, covariance -1/n
+            assert abs(drawn.mean(0) - 1).max() < 0.25 and abs(drawn.var() - 0.99) < 0.05
+            ends = drawn[:, :50].sum(1)
+            assert abs(ends.var() / 25 - 1) < 0.25
+
+
+def test_resampled_sums(spark, monkeypatch):
+    """Sums are those of the restated multiplicities, however the groups are dealt out."""
+    made = [(f"g{i:03d}", i % 4, 3 + i % 5) for i in range(300)]
+    rows = spark.createDataFrame(made, "k string, events int, trials int")
+    times = order.block_multiplicities(42, 20, 300, 0)
+    want = {b: (float(times[b] @ [m[1] for m in made]), float(times[b] @ [m[2] for m in made])) for b in range(20)}
+    for parts in (1, 6):
+        got = {r.b: (r.events, r.trials) for r in order.resampled_sums(rows.repartition(parts), "k", ["events", "trials"], 20).collect()}
+        assert got == want
+    interval = evaluate.bootstrap_interval(rows, spark, "events", "trials", "k", 20).first()
+    rates = [e / t for e, t in want.values()]
+    np.testing.assert_allclose((interval.low, interval.high, interval.draws), (*np.quantile(rates, [0.025, 0.975]), 20), atol=1e-8)
+
+
+def test_leave_one_out_by_subtraction(spark):
+    rng = random.Random(2)
+    made = [(i, rng.choice(["x", "y"]), rng.choice(["f1", "f2", "f3", None]) if i % 7 else "f4", rng.choice(["complete", "partial", "error"]), rng.choice([True, False, None])) for i in range(200)]
+    made += [(900, "z", "f1", "complete", True)]  # an arm with one family only
+    cases = spark.createDataFrame(made, "case_id int, arm string, family string, status string, flagged boolean")
+    held = cases.select(F.col("family").alias("held_out")).distinct()
+    want = evaluate.strata(cases.join(held, F.col("family") != F.col("held_out")), ["held_out", "arm"])
+    key = lambda df: sorted((tuple(r[c] for c in sorted(df.columns)) for r in df.collect()), key=repr)
+    assert key(evaluate.leave_one_out(cases, ["arm"])) == key(want)
