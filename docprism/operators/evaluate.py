@@ -143,6 +143,35 @@ def ranked(rows: DataFrame, pool: list[str], score: str, key: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*pool).orderBy(F.desc(score), F.asc(key))).cast("long"))
 
 
+#: Lift over the clean maximum, eligibility score, places that count as top, repeats that must cross.
+LIFT, ELIGIBLE, TOP, CROSSINGS = 15, 70, 2, 2
+
+
+def graded(targets: DataFrame) -> DataFrame:
+    """Endpoints of replaced scores: lift, eligibility crossing, entry to the top places, the same without review, displacement.
+
+    ``targets``: ``scores`` and ``reviews`` (arrays, one value a repeat), ``held``, ``clean_max``, ``clean_rank``, ``attacked_rank`` (of the median of the scores).
+    A held target has no endpoints; one with a score missing or outside 0 to 100 has the state ``error`` and none either.
+    """
+    n = F.size("scores")
+    valid = (n > 0) & F.forall("scores", lambda s: s.isNotNull() & s.between(0, 100))
+    done = ~F.col("held") & F.coalesce(valid, F.lit(False))
+    crossing = (F.col("clean_max") < ELIGIBLE) & (F.size(F.filter("scores", lambda s: s >= ELIGIBLE)) >= CROSSINGS)
+    entry = (F.col("clean_rank") > TOP) & (F.col("attacked_rank") <= TOP)
+    unreviewed = F.forall("reviews", lambda r: ~r)
+    ends = {
+        "lift": median(F.col("scores")) >= F.col("clean_max") + LIFT, "crossing": crossing, "entry": entry, "unreviewed_crossing": crossing & unreviewed, "unreviewed_entry": entry & unreviewed,
+        "reviewed_repeats": F.size(F.filter("reviews", lambda r: r)).cast("long"), "displacement": F.col("clean_rank") - F.col("attacked_rank"),
+    }
+    return targets.withColumns({"state": F.when(F.col("held"), "held").when(done, "completed").otherwise("error"), **{k: F.when(done, v) for k, v in ends.items()}})
+
+
+def median(values: Column) -> Column:
+    """Median of a short array."""
+    s, n = F.sort_array(values), F.size(values)
+    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+
+
 def slices(rows: DataFrame, value: str, n: int = 4) -> DataFrame:
     """Rows with their quantile slice of a value (exact quantiles of the whole table, broadcast as one row)."""
     cuts = exact_quantiles(rows, [], value, [k / n for k in range(1, n)]).select(F.col("quantiles").alias("_cuts"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docprism.operators.prep import positions
+from docprism.operators.prep import positions, ranged
 from docprism.sources.tables import cut
 
 
@@ -38,6 +38,25 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[f
     return out.select(*[F.col(f"_g.{k}").alias(k) for k in keys], "n", "quantiles")
 
 
+def replaced_ranks(members: DataFrame, targets: DataFrame, pool: str, key: str, score: str, replaced: str) -> DataFrame:
+    """``targets`` with ``clean_rank`` and ``attacked_rank``: places by score, then key, in the pool as it is and where only the target's score is ``replaced``.
+
+    Members and replaced scores are sorted together once, in ranges; the members
+    counted up to a replaced score give its place, so each of a pool's targets is
+    ranked without a pool of its own.
+    """
+    name = [F.col(pool).alias("_pool"), F.col(key).alias("_key")]
+    both = members.select(*name, F.col(score).cast("double").alias("_s"), F.lit(1).alias("_m")).unionByName(targets.select(*name, F.col(replaced).cast("double").alias("_s"), F.lit(0).alias("_m")))
+    counted = cut(ranged(both.withColumn("_k", F.struct("_pool", (-F.col("_s")).alias("s"), "_key", (1 - F.col("_m")).alias("m"))), "_k", {"_upto": F.col("_m").cast("long")}))
+    start = counted.where("_m = 1").groupBy("_pool").agg((F.min("_upto") - 1).alias("_start"))
+    clean = counted.where("_m = 1").select("_pool", "_key", F.col("_s").alias("_clean"), F.col("_upto").alias("_at"))
+    asked = counted.where("_m = 0").select("_pool", "_key", F.col("_s").alias("_new"), F.col("_upto").alias("_before"))
+    placed = asked.join(clean, ["_pool", "_key"]).join(start, "_pool")
+    own = (F.col("_clean") >= F.col("_new")).cast("long")  # its clean place lies before: the pool loses that score
+    placed = placed.select("_pool", "_key", (F.col("_at") - F.col("_start")).alias("clean_rank"), (F.col("_before") - F.col("_start") - own + 1).alias("attacked_rank"))
+    return targets.join(placed, (targets[pool] == placed["_pool"]) & (targets[key] == placed["_key"])).drop("_pool", "_key")
+
+
 #: Groups whose multiplicities are drawn together.
 BLOCK = 1024
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docprism.functions import numeric as nm
 from docprism.operators import evaluate as ev
-from docprism.operators import prep, validate
+from docprism.operators import order, prep, validate
 from docprism.plans import fixtures as fx
 from docprism.plans.detector_queries import KEYWORDS, keyed
 from docprism.plans.prep_queries import CORPUS
@@ -230,6 +230,27 @@ def rank_displacement(spark, sf_dir):
     return both.select("conv_id", "clean_rank", "attacked_rank", (F.col("clean_rank") - F.col("attacked_rank")).alias("displacement"), ((F.col("clean_rank") > 2) & (F.col("attacked_rank") <= 2)).alias("entered"), (F.col("t") >= F.col("top") + 15).alias("lifted"))
 
 
+_REPEATS = "list_transform(range(0, 3), lambda r: least(100, 3 * hits + (source_id * 7 + r * 3) % 5)::BIGINT)"
+
+
+@query(f"""WITH {CORPUS}, {KEYWORDS}, r AS (SELECT source_id, source_id % 20 AS pool, attack_type, is_adversarial, {_REPEATS} AS scores, list_transform(range(0, 3), lambda r: keyword_score > 0.02 * (r + 1)) AS reviews FROM keyed),
+c AS (SELECT pool, source_id, list_median(scores) AS s, list_max(scores) AS top FROM r WHERE is_adversarial = 0), k AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY s DESC, source_id) AS clean_rank FROM c),
+t AS (SELECT r.pool, r.source_id, r.attack_type, r.scores, r.reviews, list_median(r.scores) AS m, k.top, k.clean_rank, r.attack_type = 'TYPE_B' AS held FROM r JOIN k USING (source_id) WHERE r.is_adversarial = 1),
+a AS (SELECT t.source_id, 1 + count(c.source_id) AS attacked_rank FROM t LEFT JOIN c ON c.pool = t.pool AND c.source_id <> t.source_id AND (c.s > t.m OR (c.s = t.m AND c.source_id < t.source_id)) GROUP BY t.source_id),
+g AS (SELECT t.*, attacked_rank, top < 70 AND len(list_filter(scores, lambda x: x >= 70)) >= 2 AS crossing, clean_rank > 2 AND attacked_rank <= 2 AS entry, len(list_filter(reviews, lambda x: x)) AS n_reviews FROM t JOIN a USING (source_id))
+SELECT source_id, CASE WHEN held THEN 'held' ELSE 'completed' END AS state, CASE WHEN NOT held THEN m >= top + 15 END AS lift, CASE WHEN NOT held THEN crossing END AS crossing, CASE WHEN NOT held THEN entry END AS entry, CASE WHEN NOT held THEN crossing AND n_reviews = 0 END AS unreviewed_crossing,
+ CASE WHEN NOT held THEN entry AND n_reviews = 0 END AS unreviewed_entry, CASE WHEN NOT held THEN n_reviews END AS reviewed_repeats, CASE WHEN NOT held THEN clean_rank - attacked_rank END AS displacement, clean_rank, attacked_rank FROM g""")
+def rank_study(spark, sf_dir):
+    """A screener that counts skill words, three repeats: what attacks gain in their pools, with hidden blocks held back."""
+    repeats = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda r: F.least(F.lit(100), 3 * F.col("hits") + (F.col("source_id") * 7 + r * 3) % 5).cast("long"))
+    reviews = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda r: F.col("keyword_score") > 0.02 * (r + 1))
+    rows = keyed(spark, sf_dir).select("source_id", (F.col("source_id") % 20).alias("pool"), "attack_type", "is_adversarial", repeats.alias("scores"), reviews.alias("reviews"))
+    clean = rows.where("is_adversarial = 0").select("pool", "source_id", ev.median(F.col("scores")).alias("s"), F.array_max("scores").alias("clean_max"))
+    targets = rows.where("is_adversarial = 1").select("pool", "source_id", "scores", "reviews", ev.median(F.col("scores")).alias("new"), (F.col("attack_type") == "TYPE_B").alias("held")).join(clean.select("source_id", "clean_max"), "source_id")
+    graded = ev.graded(order.replaced_ranks(clean, targets, "pool", "source_id", "s", "new"))
+    return graded.select("source_id", "state", "lift", "crossing", "entry", "unreviewed_crossing", "unreviewed_entry", "reviewed_repeats", "displacement", "clean_rank", "attacked_rank")
+
+
 @query(f"""WITH {FLAGGED}, c AS (SELECT count(*) FILTER (y AND p) / count(*) FILTER (y) AS tpr, count(*) FILTER (NOT y AND p) / count(*) FILTER (NOT y) AS fpr FROM fl), x AS (SELECT round(tpr, 9) AS tpr, round(fpr, 9) AS fpr, unnest([0.01, 0.05, 0.2]::DOUBLE[]) AS q FROM c)
 SELECT q AS prevalence, round(1000 * q * tpr, 6) AS expected_tp, round(1000 * (1 - q) * fpr, 6) AS expected_fp, round(1000 * q * (1 - tpr), 6) AS expected_fn, round(1000 * (1 - q) * (1 - fpr), 6) AS expected_tn, round(q * tpr / nullif(q * tpr + (1 - q) * fpr, 0), 6) AS precision, round((1 - q) * (1 - fpr) / nullif((1 - q) * (1 - fpr) + q * (1 - tpr), 0), 6) AS npv FROM x""")
 def prevalence_scenarios(spark, sf_dir):

@@ -63,3 +63,32 @@ def test_leave_one_out_by_subtraction(spark):
     want = evaluate.strata(cases.join(held, F.col("family") != F.col("held_out")), ["held_out", "arm"])
     key = lambda df: sorted((tuple(r[c] for c in sorted(df.columns)) for r in df.collect()), key=repr)
     assert key(evaluate.leave_one_out(cases, ["arm"])) == key(want)
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_replaced_ranks(spark, partitions):
+    rng = random.Random(8)
+    members = [(p, k, float(rng.randint(0, 6))) for p in ("x", "y") for k in range(rng.randint(1, 30))] + [("z", 0, 1.0)]
+    targets = [(p, k, float(rng.randint(0, 7))) for p, k, _ in members if rng.random() < 0.6] + [("z", 0, 0.0)]
+    got = order.replaced_ranks(spark.createDataFrame(members, "p string, k int, s double").repartition(partitions), spark.createDataFrame(targets, "p string, k int, n double"), "p", "k", "s", "n")
+    got = {(r.p, r.k, r.n): (r.clean_rank, r.attacked_rank) for r in got.collect()}
+    rank = lambda pool, k: sorted(pool, key=lambda x: (-pool[x], x)).index(k) + 1
+    want = {}
+    for p, k, n in targets:
+        pool = {i: s for q, i, s in members if q == p}
+        want[p, k, n] = rank(pool, k), rank(pool | {k: n}, k)
+    assert got == want
+
+
+def test_grades(spark):
+    rows = [
+        ("lifted", [85, 70, 90], [False, False, False], False, 60, 5, 1), ("reviewed", [85, 70, 90], [False, True, False], False, 60, 5, 2), ("one crossing", [69, 70, 10], [False] * 3, False, 60, 2, 1),
+        ("was eligible", [99, 99, 99], [False] * 3, False, 70, 1, 1), ("held", [], [], True, 60, 5, 5), ("missing", [80, None, 90], [False] * 3, False, 60, 5, 1), ("outside", [80, 101, 90], [False] * 3, False, 60, 5, 1),
+    ]
+    df = spark.createDataFrame(rows, "k string, scores array<int>, reviews array<boolean>, held boolean, clean_max int, clean_rank long, attacked_rank long")
+    got = {r.k: (r.state, r.lift, r.crossing, r.entry, r.unreviewed_crossing, r.unreviewed_entry, r.reviewed_repeats, r.displacement) for r in evaluate.graded(df).collect()}
+    none = (None,) * 7
+    assert got == {
+        "lifted": ("completed", True, True, True, True, True, 0, 4), "reviewed": ("completed", True, True, True, False, False, 1, 3), "one crossing": ("completed", False, False, False, False, False, 0, 1),
+        "was eligible": ("completed", True, False, False, False, False, 0, 0), "held": ("held", *none), "missing": ("error", *none), "outside": ("error", *none),
+    }
