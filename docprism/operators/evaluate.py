@@ -133,9 +133,14 @@ def displacement(rows: DataFrame, group: str, score: str, reference: str) -> Dat
     return rows.where(~F.col(reference)).join(base, group).withColumn("shift", F.round(F.col(score) - F.col("_reference"), 6)).drop("_reference")
 
 
+#: Fixed value: at which counters saturate.
+MOST_COUNTED = (1 << 53) - 1
+
+
 def histogram(rows: DataFrame, value: str, keys: list[str], bounds: list[float]) -> DataFrame:
-    """Cumulative buckets, count and sum by keys."""
-    return rows.groupBy(*keys).agg(*[F.count_if(F.col(value) <= b).alias(f"le_{str(b).replace('.', '_')}") for b in bounds], F.count("*").alias("n"), F.round(F.sum(value), 4).alias("total"))
+    """Cumulative buckets, count and sum by keys; counters stop at the largest whole number that a double tells apart."""
+    full = lambda n: F.least(n, F.lit(MOST_COUNTED))
+    return rows.groupBy(*keys).agg(*[full(F.count_if(F.col(value) <= b)).alias(f"le_{str(b).replace('.', '_')}") for b in bounds], full(F.count("*")).alias("n"), F.round(F.sum(value), 4).alias("total"))
 
 
 def ranked(rows: DataFrame, pool: list[str], score: str, key: str) -> DataFrame:

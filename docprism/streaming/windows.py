@@ -67,3 +67,64 @@ def backoff_stream(events: DataFrame, worker: str, order: list[str], failed: str
     return rows.groupBy(worker).applyInPandasWithState(
         step, f"{worker} {kind}, failures long, wait long, since timestamp", "n int, since long, upto long", "update", "NoTimeout",
     )
+
+
+def backoff_timed(events: DataFrame, worker: str, order: list[str], failed: str, late: str = "10 minutes", idle: str = "1 day") -> DataFrame:
+    """The state of :func:`backoff` from a stream, whatever the order in which its events come.
+
+    Events wait in the state until the watermark passes them, at ``late`` behind the
+    newest one; a timer then takes them in the order of time and ties, and a row of
+    the worker's state comes out.  A worker without an event for ``idle`` is
+    forgotten: its next failure is its first.  Null ``failed`` says nothing.  Needs
+    the RocksDB state store.
+    """
+    import pandas as pd
+    from pyspark.sql import types as T
+    from pyspark.sql.streaming import StatefulProcessor
+
+    if "RocksDB" not in events.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
+        raise ValueError("set spark.sql.streaming.stateStore.providerClass to the RocksDB provider")
+    rest = int(pd.Timedelta(idle).total_seconds() * 1000)
+    kinds = [events.schema[c].dataType.simpleString() for c in order[1:]]
+    pending = ", ".join(["at long", *(f"k{i} {kind}" for i, kind in enumerate(kinds)), "failed boolean"])
+
+    class Waits(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.pending = handle.getListState("pending", pending)
+            self.state = handle.getValueState("state", "n int, since long, upto long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            for batch in rows:
+                batch = batch[batch["is_failed"].notna()]
+                at = batch[order[0]].astype("datetime64[us]").astype("int64").tolist()
+                held = list(zip(at, *(batch[c].tolist() for c in order[1:]), batch["is_failed"].astype(bool).tolist()))
+                if held:
+                    self.pending.appendList(held)
+                    for ms in {-(-t // 1000) for t in at}:
+                        self.handle.registerTimer(ms)
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            upto = timerValues.getCurrentWatermarkInMs() * 1000
+            held = sorted(self.pending.get())
+            n, since, last = self.state.get() if self.state.exists() else (0, None, None)
+            ready = [e for e in held if e[0] <= upto]
+            if not ready:  # a timer of events that are taken already, or the idle one
+                if not held and last is not None and last + rest * 1000 <= upto:
+                    self.state.clear()
+                return
+            for at, *_, bad in ready:
+                n, since, last = (min(n + 1, MOST_FAILURES), at, at) if bad else (0, None, at)
+            self.pending.put(held[len(ready) :]) if len(held) > len(ready) else self.pending.clear()
+            self.state.update((n, since, last))
+            self.handle.registerTimer(last // 1000 + 1 + rest)
+            pause = min(LONGEST_WAIT, FIRST_WAIT * 2 ** (n - 1)) if n else 0
+            yield pd.DataFrame({worker: [key[0]], "failures": [n], "wait": [pause], "since": [pd.Timestamp(since, unit="us") if since is not None else pd.NaT]})
+
+        def close(self):
+            pass
+
+    out = T.StructType([T.StructField(worker, events.schema[worker].dataType), T.StructField("failures", T.LongType()), T.StructField("wait", T.LongType()), T.StructField("since", T.TimestampType())])
+    rows = events.withWatermark(order[0], late).select(worker, *order, F.col(failed).alias("is_failed"))
+    return rows.groupBy(worker).transformWithStateInPandas(Waits(), out, "Update", "EventTime")
