@@ -10,6 +10,7 @@ from docprism.functions import text as tx
 from docprism.operators import prep
 from docprism.plans.registry import query
 from docprism.sources import tables as src
+from docprism.sources.pages import fold_pages
 from docprism.sources.tables import table
 
 SP = r"[ \t\n\r\f\v]+"
@@ -146,6 +147,16 @@ def bounded_pages(spark, sf_dir):
     return src.bounded_pages(pages, 1500)
 
 
+@query("""WITH p AS (SELECT conv_id AS doc_id, turn AS page, text, row_number() OVER w AS k, sum(length(text)) OVER w AS upto FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+r AS (SELECT * FROM p WHERE k <= 4 AND upto - length(text) <= 900 AND coalesce((SELECT max(x.upto) FROM p x WHERE x.doc_id = p.doc_id AND x.k = p.k - 1), 0) <= 900)
+SELECT doc_id, md5(string_agg(CASE WHEN upto <= 900 THEN text ELSE substr(text, 1, (900 - upto + length(text))::INT) END, chr(10) ORDER BY page)) AS text_md5, count(*) AS pages_read, count(*) FILTER (trim(text) = '') AS pages_without_text,
+ CASE WHEN max(upto) > 900 THEN 'characters' WHEN count(*) < (SELECT count(*) FROM p y WHERE y.doc_id = r.doc_id) THEN 'pages' ELSE 'end' END AS stopped FROM r GROUP BY doc_id""")
+def folded_pages(spark, sf_dir):
+    """Turns as pages, folded by a table function that stops at 900 characters or four pages."""
+    pages = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text")
+    return fold_pages(pages, 900, 4).select("doc_id", F.md5("text").alias("text_md5"), "pages_read", "pages_without_text", "stopped")
+
+
 @query("""SELECT conv_id, bool_and(trim(text) <> '') AND sum(length(text)) BETWEEN 300 AND 15000 AND count(*) BETWEEN 2 AND 20 AS usable FROM conversations GROUP BY conv_id""")
 def usable_sources(spark, sf_dir):
     usable = F.bool_and(F.trim("text") != "") & F.sum(F.length("text")).between(300, 15000) & F.count("*").between(2, 20)
