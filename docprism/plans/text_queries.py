@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from docprism.functions import folding
 from docprism.functions import numeric as nm
 from docprism.functions import text as tx
 from docprism.operators import prep
@@ -95,8 +96,8 @@ def snippets(spark, sf_dir):
 @query()
 def folded_text(spark, sf_dir):
     """Unicode folding and the map back to the original places (no SQL has it)."""
-    t = F.col("text")
-    return docs(spark, sf_dir).select("doc_id", F.md5(tx.fold(t)).alias("folded"), F.size(tx.offsets(t)).alias("n_places"))
+    held = docs(spark, sf_dir).select("doc_id", folding.folded(F.col("text")).alias("f"))
+    return held.select("doc_id", F.md5("f.text").alias("folded"), F.size("f.places").alias("n_places"))
 
 
 @query("""WITH e AS (SELECT vec_id, embedding, label, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM embeddings)
