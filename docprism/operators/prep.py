@@ -275,6 +275,37 @@ def with_payload(rows: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     )
 
 
+def study_cases(rows: DataFrame, share: float = 0.2, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, family, text, payload`` and the payload's trace: the share of rows that comes first in hash order gets one payload, families by the digest's further digits; the others are controls."""
+    number = F.conv(F.substring(hash_order(F.col(key)), 1, 6), 16, 10).cast("long")
+    rank = F.conv(F.substring(hash_order(F.col(key)), 7, 6), 16, 10).cast("long")
+    family = F.when(number < int(share * 16**6), F.element_at(F.array(*[F.lit(f) for f in PAYLOADS]), (rank % len(PAYLOADS) + 1).cast("int"))).otherwise("control")
+    made = rows.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), rank.alias("_rank"), family.alias("family"))
+    body = F.lit(None).cast("string")
+    for name in PAYLOADS:
+        body = F.when(F.col("family") == name, payload(name, F.col("_rank"))).otherwise(body)
+    return made.select(
+        "doc_id", "family", "text", body.alias("payload"), F.when(F.col("family") == "tiny", 1.0).otherwise(9.5).alias("size"),
+        F.when(F.col("family") == "white", 1.0).otherwise(0.1).alias("colour"), F.when(F.col("family") == "off_page", -500.0).otherwise(50.0).alias("x0"),
+    )
+
+
+def study_pages(cases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Pages, traces, boxes and layers of :func:`study_cases`: a page for the text, one more for the payload, a trace each; one layer, which is on."""
+    parts = F.array(F.struct(F.lit(0).alias("page"), F.col("text").alias("text")), F.struct(F.lit(1).alias("page"), F.col("payload").alias("text")))
+    each = cases.select("doc_id", "size", "colour", "x0", F.explode(F.filter(parts, lambda p: (p["page"] == 0) | p["text"].isNotNull())).alias("p")).select("doc_id", "size", "colour", "x0", "p.page", "p.text")
+    own = F.col("page") == 1
+    left = F.when(own, F.col("x0")).otherwise(50.0)
+    traces = each.select(
+        "doc_id", "page", F.lit(0).alias("trace_idx"), left.alias("x0"), F.lit(700.0).alias("y0"), (left + 400).alias("x1"), F.lit(710.0).alias("y1"), F.when(own, F.col("size")).otherwise(9.5).alias("size"), F.lit(0).alias("render_type"),
+        F.lit(1.0).alias("opacity"), F.array_repeat(F.when(own, F.col("colour")).otherwise(0.1), 3).alias("color"), F.lit("text").alias("layer"),
+    )
+    kind = "array<struct<x0:double,y0:double,x1:double,y1:double>>"
+    fills = "array<struct<x0:double,y0:double,x1:double,y1:double,dark:boolean>>"
+    boxes = each.select("doc_id", "page", F.lit(0.0).alias("px0"), F.lit(0.0).alias("py0"), F.lit(600.0).alias("px1"), F.lit(800.0).alias("py1"), F.array().cast(kind).alias("images"), F.array().cast(fills).alias("fills"))
+    return each.select("doc_id", "page", "text"), traces, boxes, cases.select("doc_id", F.lit("text").alias("layer"), F.lit(True).alias("is_on"))
+
+
 def split_of(source: Column, seed: str = SEED) -> Column:
     """60/20/20 by the hash of the source, so that no source is in two splits."""
     bucket = F.conv(F.substring(hash_order(source, seed), 1, 8), 16, 10).cast("long") % 100

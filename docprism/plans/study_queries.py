@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docprism.functions import numeric as nm
-from docprism.operators import detect, policy, prep
+from docprism.operators import analysis, detect, encode, policy, prep
 from docprism.operators import evaluate as ev
-from docprism.plans.detector_queries import KEYWORDS, NATIVE, VERDICTS, keyed, repetition_sql, verdicts
+from docprism.plans.detector_queries import KEYWORDS, MODEL, NATIVE, VERDICTS, keyed, repetition_sql, verdicts
 from docprism.plans.evaluation_queries import RATES, WILSON, Z, flagged
-from docprism.plans.prep_queries import CORPUS, corpus
+from docprism.plans.prep_queries import COMMANDS, CORPUS, PAYLOAD_SQL, RANKED, corpus
 from docprism.plans.registry import query
 from docprism.plans.text_queries import docs
 
@@ -40,6 +40,27 @@ def stress_study(spark, sf_dir):
     return out.withColumns({"wilson_low": F.round(low, 9), "wilson_high": F.round(high, 9)})
 
 
+_PAYLOAD = f"CASE family {' '.join(f'WHEN {name!r} THEN {sql}' for name, sql in PAYLOAD_SQL.items())} ELSE c END"
+_CASES = f"""{RANKED}, f AS (SELECT doc_id, text, r, {COMMANDS}[(r % {len(prep.COMMANDS)} + 1)::INT] AS c, CASE WHEN n1 < {int(0.2 * 16**6)} THEN [{", ".join(f"'{x}'" for x in prep.PAYLOADS)}][(r % {len(prep.PAYLOADS)} + 1)::INT] ELSE 'control' END AS family FROM ranked),
+corpus AS (SELECT doc_id AS source_id, family AS attack_type, CASE WHEN family = 'control' THEN text ELSE text || chr(10) || {_PAYLOAD} END AS text, length(text) AS n_text FROM f)"""
+
+
+@query(f"""WITH {_CASES}, {repetition_sql()}, j AS (SELECT attack_type AS family, attack_type <> 'control' OR ({NATIVE}) > 0 OR source_id || attack_type IN (SELECT key FROM rep) AS review, length(text) <= 20000 AND length(text) <= 100000 AS complete FROM corpus),
+tally AS (SELECT family, count(*) AS n, count(*) FILTER (review AND complete) AS review_complete, count(*) FILTER (review AND NOT complete) AS review_partial, count(*) FILTER (NOT review AND complete) AS no_signals, count(*) FILTER (NOT review AND NOT complete) AS insufficient, 0 AS runtime_error,
+ count(*) FILTER (review) AS k, {Z} AS z FROM j GROUP BY family) SELECT family, n, review_complete, review_partial, no_signals, insufficient, runtime_error, {WILSON} FROM tally""")
+def verdict_study(spark, sf_dir):
+    """Ten payload families and controls from pages and traces through every module to verdicts, tallied by family.
+
+    Its SQL takes it for granted that each payload is found; tests say the same of each family.
+    """
+    cases = prep.study_cases(docs(spark, sf_dir))
+    verdicts = analysis.analyse(*prep.study_pages(cases), encode.HashedProjection(), STUDY_POLICY)
+    return analysis.tallied(cases, verdicts, ["family"])
+
+
+STUDY_POLICY = analysis.Policy(0.02, 0.02, MODEL)
+
+
 @query(f"""WITH {CORPUS}, d AS (SELECT attack_type = 'TYPE_D' AS y, ({NATIVE}) > 0 AS p FROM corpus), c AS (SELECT count(*) FILTER (y AND p) AS tp, count(*) FILTER (NOT y AND p) AS fp, count(*) FILTER (NOT y AND NOT p) AS tn, count(*) FILTER (y AND NOT p) AS fn FROM d) SELECT *, {RATES} FROM c""")
 def lexical_diagnostics(spark, sf_dir):
     rows = corpus(spark, sf_dir).select((F.col("attack_type") == "TYPE_D").cast("int").alias("label"), (F.size(detect.native_cues(F.col("text"))) > 0).cast("int").alias("predicted"))
