@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docprism.functions import numeric as nm
-from docprism.operators import detect, encode, policy
+from docprism.operators import detect, encode, order, policy
 from docprism.operators.encode import Encoder
 from docprism.sources.pages import MAX_CHARS, MAX_PAGES, fold_pages
 
@@ -54,7 +54,8 @@ def analyse(pages: DataFrame, traces: DataFrame, boxes: DataFrame, layers: DataF
         "a_status": policy.module_status(F.lit(True), F.lit(False), F.lit(True)), "b_status": policy.module_status(F.lit(True), failed, F.lit(True)), "c_status": policy.module_status(F.lit(True), F.lit(False), F.lit(True)),
     })
     rows = rows.withColumns({"score": held.model.score(), "model_flag": held.model.decision()})
-    keep = ["doc_id", "stopped", "pages_without_text", "keyword_score", "variance", "trace_score", "cue_count", "repetition", "a", "b", "c", "score", "model_flag", "a_flagged", "b_flagged", "c_flagged", "input_mode", "forced_partial", "semantic_truncated", "a_status", "b_status", "c_status"]
+    rows = rows.withColumn("baseline", F.when(t.isNotNull(), detect.simple_baseline(t)))
+    keep = ["doc_id", "baseline", "stopped", "pages_without_text", "keyword_score", "variance", "trace_score", "cue_count", "repetition", "a", "b", "c", "score", "model_flag", "a_flagged", "b_flagged", "c_flagged", "input_mode", "forced_partial", "semantic_truncated", "a_status", "b_status", "c_status"]
     return policy.decide(rows).select(*keep, detect.source_spans(F.col("_cues")).alias("spans"), "complete", "reason_codes", "decision", "status", "verdict")
 
 
@@ -73,3 +74,62 @@ def tallied(cases: DataFrame, verdicts: DataFrame, keys: list[str]) -> DataFrame
     out = rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.count_if(F.col("_o") == o).alias(o) for o in OUTCOMES])
     low, high = nm.wilson(F.col("review_complete") + F.col("review_partial"), F.col("n"))
     return out.withColumns({"wilson_low": F.round(low, 9), "wilson_high": F.round(high, 9)})
+
+
+ARMS = ("full_policy", "cue", "repetition", "structure", "model", "regex")
+_CODES = {"cue": "direct_instruction_cue", "repetition": "keyword_repetition_signal", "structure": "pdf_structure_advisory"}
+
+
+def arms(cases: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``case_id, arm, source_group, family, added_attack, status, flagged`` of six arms over the same verdicts.
+
+    ``cases``: doc_id, source_group, family, added_attack.  The full policy flags a
+    review and knows nothing of insufficient evidence; three arms are single reason
+    codes, one the model, one the fixed phrases.  What an unscorable document says,
+    or an incomplete one that is not flagged, is unknown; a document without a
+    verdict is an error in every arm.
+    """
+    both = cases.join(verdicts, "doc_id", "left")
+    flags = {
+        "full_policy": F.when(F.col("decision") != "insufficient_evidence", F.col("decision") == "review_recommended"), **{arm: F.array_contains("reason_codes", code) for arm, code in _CODES.items()},
+        "model": F.col("model_flag"), "regex": F.col("baseline"),
+    }
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), flags[a].alias("flagged")) for a in ARMS])).alias("x")
+    rows = both.select(F.col("doc_id").alias("case_id"), "source_group", "family", "added_attack", F.coalesce("status", F.lit("error")).alias("status"), each).select("case_id", "x.arm", "source_group", "family", "added_attack", "status", "x.flagged")
+    known = (F.col("status") == "complete") | (~F.col("status").isin("unscorable", "error") & F.col("flagged"))
+    return rows.withColumn("flagged", F.when(known, F.col("flagged")))
+
+
+def arm_intervals(long: DataFrame, draws: int = 200, seed: int = 42) -> DataFrame:
+    """``metric, low, high, draws`` of flag rates by arm and stratum, and of net differences from the full policy, by resampling source groups.
+
+    A draw takes whole groups, the same for all arms, as many as there are; a draw
+    without trials counts for no metric.  Group sums are made once; draws add them.
+    """
+    done = (F.col("status") == "complete") & F.col("flagged").isNotNull()
+    full = long.where(done & (F.col("arm") == "full_policy")).select("case_id", F.col("flagged").alias("_full"))
+    rows = long.join(full, "case_id", "left")
+    sums = {}
+    for arm in ARMS:
+        for stratum, test in (("attack", F.col("added_attack")), ("control", ~F.col("added_attack"))):
+            here = (F.col("arm") == arm) & test
+            sums[f"{arm}.{stratum}.all"] = (here & F.coalesce("flagged", F.lit(False)), here)
+            sums[f"{arm}.{stratum}.complete"] = (here & done & F.col("flagged"), here & done)
+            if arm != "full_policy":
+                pair = here & done & F.col("_full").isNotNull()
+                sums[f"{arm}.{stratum}.net"] = (pair & F.col("_full") & ~F.col("flagged"), pair, pair & ~F.col("_full") & F.col("flagged"))
+    columns, parts = [], []
+    for metric, tests in sums.items():
+        for k, test in enumerate(tests):
+            name = f"{metric.replace('.', '_')}_{k}"
+            columns.append(F.count_if(test).alias(name))
+            parts.append(name)
+    drawn = order.resampled_sums(rows.groupBy("source_group").agg(*columns), "source_group", parts, draws, seed)
+    rates = []
+    for metric, tests in sums.items():
+        name = metric.replace(".", "_")
+        up = F.col(f"{name}_0") - F.col(f"{name}_2") if len(tests) == 3 else F.col(f"{name}_0")
+        rates.append(F.struct(F.lit(metric).alias("metric"), F.try_divide(up, F.col(f"{name}_1")).alias("rate")))
+    q = F.percentile("rate", F.array(F.lit(0.025), F.lit(0.975)))  # of the draws
+    each = drawn.select(F.explode(F.array(*rates)).alias("x")).select("x.*")
+    return each.groupBy("metric").agg(F.round(q[0], 9).alias("low"), F.round(q[1], 9).alias("high"), F.count("rate").alias("draws"))

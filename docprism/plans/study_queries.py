@@ -8,10 +8,11 @@ from docprism.functions import numeric as nm
 from docprism.operators import analysis, detect, encode, policy, prep
 from docprism.operators import evaluate as ev
 from docprism.plans.detector_queries import KEYWORDS, MODEL, NATIVE, VERDICTS, keyed, repetition_sql, verdicts
-from docprism.plans.evaluation_queries import RATES, WILSON, Z, flagged
+from docprism.plans.evaluation_queries import RATES, STRATA, STRATUM_W, WILSON, Z, flagged
 from docprism.plans.prep_queries import COMMANDS, CORPUS, PAYLOAD_SQL, RANKED, corpus
 from docprism.plans.registry import query
 from docprism.plans.text_queries import docs
+from docprism.sources.tables import cut
 
 _STRESS = f"""{CORPUS}, {KEYWORDS}, {repetition_sql()}, j AS (SELECT k.attack_type, k.keyword_score > 0.02 AS density, ({NATIVE}) > 0 AS cue, contains(c.text, '{prep.BLOCK_START}') AS hidden, c.source_id || c.attack_type IN (SELECT key FROM rep) AS repeated
  FROM keyed k JOIN corpus c ON k.source_id = c.source_id AND k.attack_type = c.attack_type),
@@ -61,6 +62,49 @@ def verdict_study(spark, sf_dir):
 STUDY_POLICY = analysis.Policy(0.02, 0.02, MODEL)
 
 
+def challenge(spark, sf_dir):
+    """Six arms of the study's verdicts."""
+    cases = prep.study_cases(docs(spark, sf_dir))
+    verdicts = analysis.analyse(*prep.study_pages(cases), encode.HashedProjection(), STUDY_POLICY)
+    return cut(analysis.arms(cases.select("doc_id", (F.col("doc_id") % 40).alias("source_group"), "family", (F.col("family") != "control").alias("added_attack")), verdicts))
+
+
+_CHALLENGE = f"""{_CASES}, {repetition_sql()}, v AS (SELECT source_id AS case_id, attack_type AS family, attack_type <> 'control' AS added_attack, length(text) <= 20000 AS complete, attack_type NOT IN ('control', 'repetition') OR ({NATIVE}) > 0 AS cue, source_id || attack_type IN (SELECT key FROM rep) AS repeated,
+ attack_type = 'off_page' AS structure, regexp_matches(text, '(?i)previous guidance|earlier instructions|fit score') AS regex FROM corpus),
+a AS (SELECT *, unnest(['full_policy', 'cue', 'repetition', 'structure', 'regex']) AS arm, unnest([CASE WHEN cue OR repeated THEN true WHEN complete THEN false END, cue, repeated, structure, regex]) AS f FROM v),
+cases AS (SELECT case_id, family, arm, added_attack, CASE WHEN complete THEN 'complete' ELSE 'partial' END AS status, CASE WHEN complete OR f THEN f END AS flagged FROM a)"""
+
+
+def _challenge_strata(keys: str, source: str) -> str:
+    return f"""WITH {_CHALLENGE} SELECT {keys}, attempts, complete, flagged, partial_flagged, errors, complete - flagged AS missed, attempts - complete - partial_flagged - errors AS insufficient, round((flagged + partial_flagged) / attempts, 9) AS all_rate, round(flagged / nullif(complete, 0), 9) AS complete_rate, {WILSON}
+ FROM ({STRATUM_W} (SELECT {keys}, {STRATA} FROM {source} GROUP BY {keys}))"""
+
+
+@query(_challenge_strata("arm, added_attack", "cases"))
+def challenge_strata(spark, sf_dir):
+    """Strata of the arms that are projected from verdicts; the model's arm is in :func:`challenge_intervals` alone, as SQL has no encoder for payloads."""
+    return ev.strata(challenge(spark, sf_dir).where("arm <> 'model'"), ["arm", "added_attack"])
+
+
+@query(_challenge_strata("held_out, arm", "(SELECT * FROM cases JOIN (SELECT DISTINCT family AS held_out FROM cases) ON family <> held_out)"))
+def challenge_leave_one_out(spark, sf_dir):
+    """The same without each family in turn."""
+    return ev.leave_one_out(challenge(spark, sf_dir).where("arm <> 'model'"), ["arm"])
+
+
+@query(f"""WITH {_CHALLENGE}, known AS (SELECT * FROM cases WHERE status = 'complete' AND flagged IS NOT NULL), j AS (SELECT o.arm, o.added_attack, o.flagged, b.flagged AS base FROM known o JOIN known b USING (case_id) WHERE o.arm <> 'full_policy' AND b.arm = 'full_policy')
+SELECT arm, added_attack, count(*) AS pairs, count(*) FILTER (base AND NOT flagged) AS gains, count(*) FILTER (NOT base AND flagged) AS losses, round((count(*) FILTER (base AND NOT flagged) - count(*) FILTER (NOT base AND flagged)) / count(*), 9) AS net FROM j GROUP BY arm, added_attack""")
+def challenge_paired(spark, sf_dir):
+    """Gains and losses of the full policy against each other arm."""
+    return ev.paired(challenge(spark, sf_dir).where("arm <> 'model'"), "full_policy", ["added_attack"])
+
+
+@query()
+def challenge_intervals(spark, sf_dir):
+    """Intervals of every arm's rates and net differences by resampling source groups."""
+    return analysis.arm_intervals(challenge(spark, sf_dir))
+
+
 @query(f"""WITH {CORPUS}, d AS (SELECT attack_type = 'TYPE_D' AS y, ({NATIVE}) > 0 AS p FROM corpus), c AS (SELECT count(*) FILTER (y AND p) AS tp, count(*) FILTER (NOT y AND p) AS fp, count(*) FILTER (NOT y AND NOT p) AS tn, count(*) FILTER (y AND NOT p) AS fn FROM d) SELECT *, {RATES} FROM c""")
 def lexical_diagnostics(spark, sf_dir):
     rows = corpus(spark, sf_dir).select((F.col("attack_type") == "TYPE_D").cast("int").alias("label"), (F.size(detect.native_cues(F.col("text"))) > 0).cast("int").alias("predicted"))

@@ -45,3 +45,57 @@ def test_tally_counts_every_case(spark, verdicts):
     assert sum(r.n for r in got.values()) == 303 and sum(r.runtime_error for r in got.values()) == 1
     for r in got.values():
         assert r.n == sum(r[o] for o in analysis.OUTCOMES)
+
+
+def test_arms_follow_from_verdicts(spark):
+    schema = "doc_id long, decision string, status string, reason_codes array<string>, model_flag boolean, baseline boolean"
+    made = [
+        (1, "review_recommended", "complete", ["direct_instruction_cue"], True, True), (2, "no_signals_detected", "complete", [], False, False), (3, "insufficient_evidence", "partial", ["pdf_structure_advisory"], None, False),
+        (4, "review_recommended", "partial", ["keyword_repetition_signal"], False, None), (5, "insufficient_evidence", "unscorable", ["direct_instruction_cue"], True, True),
+    ]
+    cases = spark.createDataFrame([(k, k % 2, "f", k % 2 == 1) for k in range(1, 7)], "doc_id long, source_group int, family string, added_attack boolean")
+    got: dict = {}
+    for r in analysis.arms(cases, spark.createDataFrame(made, schema)).collect():
+        got.setdefault(r.case_id, {})[r.arm] = r.flagged
+        assert r.status == {6: "error"}.get(r.case_id, dict((m[0], m[2]) for m in made).get(r.case_id))
+    order = lambda k: tuple(got[k][a] for a in analysis.ARMS)
+    assert order(1) == (True, True, False, False, True, True) and order(2) == (False,) * 6
+    assert order(3) == (None, None, None, True, None, None)  # partial: what is not flagged is unknown
+    assert order(4) == (True, None, True, None, None, None) and order(5) == order(6) == (None,) * 6
+
+
+def test_arm_intervals(spark):
+    """Against draws of the restated multiplicities."""
+    import random
+
+    import numpy as np
+
+    from docprism.operators.order import block_multiplicities
+
+    rng = random.Random(4)
+    made = []
+    for case in range(120):
+        status = rng.choice(["complete", "complete", "partial", "error"])
+        flags = {a: rng.choice([True, False, None]) if status == "complete" else rng.choice([True, None]) if status == "partial" else None for a in analysis.ARMS}
+        made += [(case, a, case % 12, "f", case % 3 > 0, status, f) for a, f in flags.items()]
+    long = spark.createDataFrame(made, "case_id int, arm string, source_group int, family string, added_attack boolean, status string, flagged boolean")
+    got = {r.metric: (r.low, r.high, r.draws) for r in analysis.arm_intervals(long, 30, 7).collect()}
+    assert len(got) == 2 * (6 * 2 + 5)
+    times = block_multiplicities(7, 30, 12, 0)
+    full = {c: f for c, a, *_, s, f in made if a == "full_policy" and s == "complete" and f is not None}
+    for arm in analysis.ARMS:
+        for stratum in ("attack", "control"):
+            rows = [r for r in made if r[1] == arm and r[4] == (stratum == "attack")]
+            done = [r for r in rows if r[5] == "complete" and r[6] is not None]
+            values = {"all": [(r[2], int(bool(r[6]))) for r in rows], "complete": [(r[2], int(r[6])) for r in done]}
+            if arm != "full_policy":
+                values["net"] = [(r[2], int(full[r[0]]) - int(r[6])) for r in done if r[0] in full]
+            for kind, pairs in values.items():
+                up, down = np.zeros(12), np.zeros(12)
+                for g, v in pairs:
+                    up[g] += v
+                    down[g] += 1
+                rates = (times @ up) / (times @ down)
+                low, high, n = got[f"{arm}.{stratum}.{kind}"]
+                np.testing.assert_allclose((low, high), np.quantile(rates, [0.025, 0.975]), atol=1e-8)
+                assert n == 30
