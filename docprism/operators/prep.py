@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docprism.functions import text as tx
-from docprism.sources.tables import cut
+from docprism.sources.tables import cut, forget
 
 #: Our own skill words and passages for building test attacks.
 SKILLS = (
@@ -144,7 +144,8 @@ def first_come(nodes: DataFrame, threshold: float = 0.95, least_share: float = 0
         gone.append(dropped)
         pays = dropped.count() > least_share * tested.count()
         settled = dropped.unionByName(tested.select(F.col("a").alias("id")).distinct())
-        keys = cut(keys.join(settled, "id", "left_anti"))
+        settled_keys, keys = keys, cut(keys.join(settled, "id", "left_anti"))
+        forget(settled_keys, edges, tested)
     out = greedy_kept(verified(candidates(keys, threshold), nodes, threshold))
     for part in gone:
         out = out.unionByName(part)
@@ -174,8 +175,10 @@ def greedy_kept(pairs: DataFrame, max_rounds: int | None = None) -> DataFrame:
         kept = cut(open_.join(edges.select(F.col("b").alias("id")).distinct(), "id", "left_anti"))
         dropped = cut(edges.join(kept.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct())
         settled = kept.unionByName(dropped)
-        edges = cut(edges.join(settled.withColumnRenamed("id", "a"), "a", "left_anti").join(dropped.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b"))
-        open_ = cut(open_.join(settled, "id", "left_anti"))
+        left = cut(edges.join(settled.withColumnRenamed("id", "a"), "a", "left_anti").join(dropped.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b"))
+        still = cut(open_.join(settled, "id", "left_anti"))
+        forget(edges, open_, kept)
+        edges, open_ = left, still
         gone.append(dropped)
     out = pairs.sparkSession.createDataFrame([], "id long")
     for part in gone:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docprism.operators.policy import REASONS
+
 
 def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """``key, rule`` for each row and each rule that does not hold (null counts as broken)."""
@@ -63,7 +65,32 @@ def verdict_rules() -> dict[str, Column]:
 
 
 def group_rules(group: str) -> dict[str, Column]:
-    return {"group_known": F.col(group).isNotNull() & (F.trim(F.col(group).cast("string")) != "")}
+    """A lineage that can be split by: there, not blank, and no written-out nothing such as a number that is none."""
+    said = F.lower(F.trim(F.col(group).cast("string")))
+    return {"group_known": F.col(group).isNotNull() & (said != "") & ~said.isin("nan", "none", "null")}
+
+
+#: Closed words of a projected verdict; a document with a trigger is one to review, and no other is.
+TRIGGERS = ("keyword_repetition_signal", "direct_instruction_cue")
+CATEGORIES, SEVERITIES = ("direct_instruction", "repetition", "structure", "density"), ("high", "medium", "low")
+
+
+def projection_rules() -> dict[str, Column]:
+    """Consistency of ``decision, status, complete, input_mode, reason_codes, findings``."""
+    codes, review = F.col("reason_codes"), F.col("decision") == "review_recommended"
+    said = lambda c: F.array_contains(codes, c)
+    return {
+        "codes_known": F.forall(codes, lambda c: c.isin(*REASONS)), "codes_once": F.size(codes) == F.size(F.array_distinct(codes)), "review_has_trigger": review == F.exists(codes, lambda c: c.isin(*TRIGGERS)),
+        "clean_is_whole": (F.col("decision") != "no_signals_detected") | (F.col("complete") & (F.col("status") == "complete")), "incomplete_is_said": (F.col("input_mode") != "pdf") | (~F.col("complete") == said("analysis_incomplete")),
+        "findings_known": F.forall("findings", lambda f: f["category"].isin(*CATEGORIES) & f["severity"].isin(*SEVERITIES)), "findings_fit": review == F.exists("findings", lambda f: f["review_trigger"]),
+    }
+
+
+def projected(rows: DataFrame) -> DataFrame:
+    """A row a document of :func:`policy.findings`: categories, findings and triggers counted, and the rules it breaks."""
+    broken = F.filter(F.array(*[F.when(~F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in projection_rules().items()]), lambda x: x.isNotNull())
+    categories = F.array_join(F.array_sort(F.array_distinct(F.transform("findings", lambda f: f["category"]))), ",")
+    return rows.withColumns({"categories": categories, "n_findings": F.size("findings").cast("long"), "n_triggers": F.size(F.filter("findings", lambda f: f["review_trigger"])).cast("long"), "broken": F.array_join(F.array_sort(broken), ",")})
 
 
 def shared_groups(rows: DataFrame, group: str, split: str) -> DataFrame:

@@ -206,6 +206,22 @@ def review_projection(spark, sf_dir):
     return rows.groupBy("category").agg(F.count("*").alias("n"), F.count_if("review_trigger").alias("triggers"), F.count_distinct("doc_id").alias("documents"))
 
 
+@query(f"""WITH {VERDICTS}, w AS (SELECT doc_id, input_mode, complete, CASE WHEN doc_id % 60 = 1 THEN 'no_signals_detected' ELSE decision END AS decision, status, cue_count > 0 AS di, repetition AS re, b_flagged AS st, a_flagged AS de,
+ CASE WHEN doc_id % 60 = 2 THEN reason_codes || ['unheard_of'] WHEN doc_id % 60 = 3 THEN reason_codes || reason_codes WHEN doc_id % 60 = 4 THEN list_filter(reason_codes, lambda c: c <> 'analysis_incomplete') ELSE reason_codes END AS codes FROM v)
+SELECT doc_id, array_to_string(list_sort(list_filter([CASE WHEN di THEN 'direct_instruction' END, CASE WHEN re THEN 'repetition' END, CASE WHEN st THEN 'structure' END, CASE WHEN de THEN 'density' END], lambda x: x IS NOT NULL)), ',') AS categories, (di::INT + re::INT + st::INT + de::INT)::BIGINT AS n_findings, (di::INT + re::INT)::BIGINT AS n_triggers,
+ array_to_string(list_sort(list_filter([CASE WHEN list_contains(codes, 'unheard_of') THEN 'codes_known' END, CASE WHEN len(codes) <> len(list_distinct(codes)) THEN 'codes_once' END,
+ CASE WHEN (decision = 'review_recommended') <> (list_contains(codes, 'keyword_repetition_signal') OR list_contains(codes, 'direct_instruction_cue')) THEN 'review_has_trigger' END, CASE WHEN decision = 'no_signals_detected' AND NOT (complete AND status = 'complete') THEN 'clean_is_whole' END,
+ CASE WHEN input_mode = 'pdf' AND complete = list_contains(codes, 'analysis_incomplete') THEN 'incomplete_is_said' END, CASE WHEN (decision = 'review_recommended') <> (di OR re) THEN 'findings_fit' END], lambda x: x IS NOT NULL)), ',') AS broken FROM w""")
+def projected_verdicts(spark, sf_dir):
+    """Findings counted by document and the rules of consistency that it breaks, some on purpose."""
+    at, codes = F.col("doc_id") % 60, F.col("reason_codes")
+    rows = verdicts(spark, sf_dir).withColumns({
+        "decision": F.when(at == 1, "no_signals_detected").otherwise(F.col("decision")),
+        "reason_codes": F.when(at == 2, F.concat(codes, F.array(F.lit("unheard_of")))).when(at == 3, F.concat(codes, codes)).when(at == 4, F.array_remove(codes, "analysis_incomplete")).otherwise(codes),
+    })
+    return validate.projected(policy.findings(rows)).select("doc_id", "categories", "n_findings", "n_triggers", "broken")
+
+
 @query(f"WITH {VERDICTS} SELECT b_status, c_status, count(*) AS n FROM v GROUP BY ALL")
 def module_states(spark, sf_dir):
     rows = fx.verdict_rows(spark, sf_dir)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +23,11 @@ def digest(text: str | bytes) -> str:
 def tree(spark: SparkSession, folder: str) -> DataFrame:
     """``name, sha256`` of every file below the folder, names relative to it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    root = folder.split("://", 1)[-1].replace("file:", "", 1).rstrip("/") + "/"
-    # the listing gives whole addresses: the name is what follows the folder
-    return files.select(F.substring_index("path", root, -1).alias("name"), F.sha2("content", 256).alias("sha256"))
+    plain = lambda address: re.sub("^[a-z0-9]+:(?://[^/]*)?", "", address)
+    root = plain(folder).rstrip("/") + "/"
+    # the listing gives whole addresses: the name is what stands behind the folder, whose path may come again below it
+    path = F.regexp_replace("path", "^[a-z0-9]+:(?://[^/]*)?", "")
+    return files.select(F.substring(path, F.lit(len(root) + 1), F.length(path)).alias("name"), F.sha2("content", 256).alias("sha256"))
 
 
 def freeze_tree(spark: SparkSession, folder: str, manifest: str, identity: dict[str, str]) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import tempfile
 import uuid
@@ -28,11 +29,37 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_folders: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:  # the session has ended
+        return
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: later plans see one and the same result, and lineage ends."""
-    path = f"{shared_folder(df.sparkSession)}/docprism/{df.sparkSession.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
+    """Write ``df`` once to the shared folder and read it back: later plans see one and the same result, and lineage ends.
+
+    Tables go when :func:`forget` says so, the rest when the driver ends.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/docprism/{spark.sparkContext.applicationId}/cuts"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_delete, spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete tables of :func:`cut` that no later plan reads."""
+    for frame in frames:
+        _delete(frame.sparkSession, frame._cut_path)
 
 
 def read_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -157,6 +184,7 @@ def open_bundle(text: str) -> dict:
 
 
 def metrics_text(rows: list[tuple[str, dict, float]]) -> str:
-    """Metric rows (name, labels, value) in the text exposition format."""
-    label = lambda d: "{" + ",".join(f'{k}="{v}"' for k, v in sorted(d.items())) + "}" if d else ""
+    """Metric rows (name, labels, value) in the text exposition format; backslashes, quotes and line feeds in labels are escaped."""
+    escaped = lambda v: str(v).replace("\\", r"\\").replace('"', r"\"").replace("\n", r"\n")
+    label = lambda d: "{" + ",".join(f'{k}="{escaped(v)}"' for k, v in sorted(d.items())) + "}" if d else ""
     return "".join(f"{name}{label(d)} {value:g}\n" for name, d, value in rows)

@@ -15,3 +15,39 @@ def test_fold_stops_at_its_bounds(spark):
     folded = {r.doc_id: r.text for r in fold_pages(pages.where("text is not null"), 100).collect()}
     assert whole == folded
     assert fold_pages(pages.where("false")).count() == 0
+
+
+def test_names_of_a_folder_that_comes_again_below_itself(spark, tmp_path):
+    from docprism.sources import freeze
+
+    root = tmp_path / "a"
+    inner = root / str(tmp_path).lstrip("/") / "a"
+    inner.mkdir(parents=True)
+    (root / "x.txt").write_text("outer")
+    (inner / "x.txt").write_text("inner")
+    got = {r.name: r.sha256 for r in freeze.tree(spark, str(root)).collect()}
+    assert got == {"x.txt": freeze.digest("outer"), f"{str(tmp_path).lstrip('/')}/a/x.txt": freeze.digest("inner")}
+    pin = freeze.freeze_tree(spark, f"file://{root}", str(tmp_path / "m.json"), {"v": "1"})
+    assert freeze.verify_tree(spark, str(root), str(tmp_path / "m.json"), pin)["identity"] == {"v": "1"}
+
+
+def test_metrics_escape_labels():
+    assert src.metrics_text([("n", {"a": 'x"y\\z\n'}, 2.0), ("m", {}, 1.5)]) == 'n{a="x\\"y\\\\z\\n"} 2\nm 1.5\n'
+
+
+def test_forgotten_tables_are_gone(spark):
+    import os
+
+    kept, gone = src.cut(spark.range(3)), src.cut(spark.range(3))
+    src.forget(gone)
+    path = lambda df: df._cut_path.removeprefix("file://")
+    assert os.path.exists(path(kept)) and not os.path.exists(path(gone)) and kept.count() == 3
+
+
+def test_lineage_that_says_nothing(spark):
+    from docprism.operators import validate
+
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, " "), (4, "NaN"), (5, "none")], "k int, g string")
+    assert [r.k for r in rows.where(~validate.group_rules("g")["group_known"]).orderBy("k").collect()] == [2, 3, 4, 5]
+    numbers = spark.createDataFrame([(1, 2.0), (2, float("nan"))], "k int, g double")
+    assert [r.k for r in numbers.where(~validate.group_rules("g")["group_known"]).collect()] == [2]
