@@ -158,6 +158,31 @@ def near_dropped(rows: DataFrame, key: str, words: str, threshold: float = 0.95)
     return first_come(nodes, threshold).unionByName(members.select(F.col("member").alias("id")))
 
 
+def build_corpus(rows: DataFrame, key: str, text: str, category: str, low: int = 50, high: int = 5000, threshold: float = 0.95, prefix: str = "DOC_") -> tuple[DataFrame, DataFrame]:
+    """The whole clean in one: ``row_id, key, category, clean_text`` and measures, and ``step, dropped, left`` of each step.
+
+    Null texts go; markup is stripped and the rest normalised; texts of ``low`` to
+    ``high`` words stay; of equal fingerprints the least key stays; a scan in the
+    order of keys drops near copies of kept texts (similarity of the word sets over
+    ``threshold``); what is left is numbered in that order.
+    """
+    spark = rows.sparkSession
+    given = rows.count()
+    plain = tx.normalize_text(tx.strip_html(F.col(text)))
+    texts = cut(rows.where(F.col(text).isNotNull()).select(key, F.col(category).alias("category"), plain.alias("clean_text")).withColumn("word_count", tx.word_count(F.col("clean_text"))))
+    sized = texts.where(F.col("word_count").between(low, high))
+    single = cut(exact_dedup(sized.withColumn("_fp", tx.fingerprint(F.col("clean_text"))), "_fp", key).drop("_fp"))
+    sets = single.select(F.col(key), F.array_distinct(tx.tokens(F.lower("clean_text"))).alias("_w"))
+    dropped = cut(near_dropped(sets, key, "_w", threshold))
+    kept = cut(single.join(dropped.select(F.col("id").alias(key)), key, "left_anti"))
+    left = [("given", given), ("null_text", texts.count()), ("length", sized.count()), ("exact_copies", single.count()), ("near_copies", kept.count())]
+    forget(texts, single, dropped)
+    steps = spark.createDataFrame([(k, name, before - n, n) for k, ((name, n), before) in enumerate(zip(left, [given, *(n for _, n in left)]))], "position int, step string, dropped long, left long")
+    out = numbered(kept, key, prefix)
+    clean_text = F.col("clean_text")
+    return out.select("row_id", key, "category", "clean_text", "word_count", tx.unique_words(clean_text).alias("unique_word_count"), tx.lexical_diversity(clean_text).alias("lexical_diversity"), F.length(clean_text).cast("long").alias("char_count")), steps
+
+
 def greedy_kept(pairs: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Ids that a first-come scan drops: ``id`` of nodes with a kept smaller neighbour; removed nodes remove nobody.
 

@@ -90,6 +90,19 @@ def near_dup_survivors(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id").join(dropped.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
 
 
+def _corpus_rows(spark, sf_dir):
+    """Documents, and pages as further rows behind them."""
+    pages = table(spark, sf_dir, "pages").select((F.col("page_id").cast("long") + 1_000_000_000_000).alias("doc_id"), F.lit("page").alias("category"), F.col("html").alias("text"))
+    return docs(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("category"), "text").unionByName(pages)
+
+
+@query()
+def built_corpus(spark, sf_dir):
+    """The complete clean of documents and pages: markup, length, exact and near copies, ids."""
+    built, _ = prep.build_corpus(_corpus_rows(spark, sf_dir), "doc_id", "text", "category")
+    return built.select("row_id", "doc_id", "category", F.md5("clean_text").alias("text_md5"), "word_count", "unique_word_count", F.round("lexical_diversity", 9).alias("lexical_diversity"), "char_count")
+
+
 @query("""WITH used AS (SELECT doc_id FROM labels), texts AS (SELECT md5(text) AS h FROM benchmark), first AS (SELECT doc_id, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS rn FROM documents)
 SELECT reason, count(*) AS n FROM (SELECT CASE WHEN d.doc_id IN (SELECT doc_id FROM used) THEN 'consumed_source' WHEN n_chars < 200 THEN 'size' WHEN md5(text) IN (SELECT h FROM texts) THEN 'consumed_text' WHEN rn > 1 THEN 'duplicate_text' ELSE 'eligible' END AS reason
  FROM documents d JOIN first USING (doc_id)) GROUP BY reason""")
