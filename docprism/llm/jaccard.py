@@ -29,8 +29,10 @@ are linked; the result has each document's class (component of links).
 
 Defined results: without words a document has the empty set and is linked with
 nothing; so is a row with a null ``doc_id`` (its ``component_id`` is null);
-repeated rows are one node and get equal rows.  Sets are compared by 64-bit
-hashes of shingles and of whole sets.
+repeated rows are one node and get equal rows; an id that comes with two sets is
+two nodes, each in its own class; classes with the same least id stay apart in
+:func:`keep_one`, whose ties go to the least id, then the least set.  Sets are
+compared by 64-bit hashes of shingles and of whole sets.
 """
 
 from __future__ import annotations
