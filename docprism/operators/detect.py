@@ -517,8 +517,13 @@ def repetition(docs: DataFrame, doc: str = "doc_id", text: str = "text", words=S
 
     A run of period w is an island of tokens that equal the one w places before.
     It counts when run + w >= max(least, 8 w) and half of a period are skill words.
-    The least width wins, then the earliest place.
+    The least width wins, then the earliest place.  Each whole period of such a run
+    holds as many skill words, so texts with fewer of them than the shortest run of
+    any width has are never cut into tokens.
     """
+    needed = min(max(least, 8 * w) // w * -(-w // 2) for w in range(1, widths + 1))
+    skills = r"\b(?:" + "|".join(re.escape(w) for w in sorted(words)) + r")(?![a-z0-9_])"
+    docs = docs.where(F.regexp_count(F.lower(F.col(text)), F.lit(skills)) >= needed)
     toks = docs.select(doc, F.posexplode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("([a-z0-9_+#.]*[a-z0-9_+#])"), 1)).alias("pos", "tok"))
     by = Window.partitionBy(doc).orderBy("pos")
     skill = F.col("tok").isin(*words).cast("int")

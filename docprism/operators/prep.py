@@ -64,6 +64,14 @@ def positions(rows: DataFrame, key: str) -> DataFrame:
     return ranged(rows, key, {"position": F.lit(1).cast("long")}).withColumn("position", F.col("position") - 1)
 
 
+def positions_within(rows: DataFrame, group: str, key: Column) -> DataFrame:
+    """``rows`` with their ``position`` from 1 within the group in the order of the key: places in one order of groups and keys, less the group's first."""
+    placed = cut(positions(rows.withColumn("_order", F.struct(F.col(group).alias("g"), key.alias("k"))), "_order").drop("_order"))
+    first = placed.groupBy(F.col(group).alias("_g")).agg(F.min("position").alias("_first"))
+    out = placed.join(first, F.col(group).eqNullSafe(F.col("_g")))
+    return out.withColumn("position", F.col("position") - F.col("_first") + 1).drop("_g", "_first")
+
+
 def numbered(rows: DataFrame, key: str, prefix: str = "DOC_") -> DataFrame:
     """Sequential ids in the order of the key, padded to five digits at least."""
     number = F.col("position").cast("string")

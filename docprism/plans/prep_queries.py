@@ -211,5 +211,5 @@ def slice_rates(spark, sf_dir):
 @query("SELECT doc_id, position FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('shuffle' || doc_id::VARCHAR)) AS position FROM documents)")
 def seeded_shuffle(spark, sf_dir):
     """Seeded order within each source."""
-    w = Window.partitionBy("source").orderBy(F.md5(F.concat(F.lit("shuffle"), F.col("doc_id").cast("string"))))
-    return docs(spark, sf_dir).select("doc_id", F.row_number().over(w).cast("long").alias("position"))
+    order = F.md5(F.concat(F.lit("shuffle"), F.col("doc_id").cast("string")))
+    return prep.positions_within(docs(spark, sf_dir).select("doc_id", "source"), "source", order).select("doc_id", "position")
