@@ -20,13 +20,6 @@ from pyspark.sql import types as T
 
 from docprism.functions.text import LOOK_ALIKES
 
-#: Further letters that look like a Latin one (lower case, as folding leaves them), by their Unicode names.
-MORE = {
-    "l": "CYRILLIC SMALL LETTER PALOCHKA", "b": "GREEK SMALL LETTER BETA", "e": "GREEK SMALL LETTER EPSILON", "u": "GREEK SMALL LETTER MU", "t": "GREEK SMALL LETTER TAU", "x": "GREEK SMALL LETTER CHI",
-}
-TABLE = LOOK_ALIKES | {unicodedata.lookup(name): latin for latin, name in MORE.items()}
-
-
 def folded_char(c: str) -> str:
     return "".join(x for x in unicodedata.normalize("NFKC", c).casefold() if unicodedata.category(x) != "Cf")
 
@@ -62,7 +55,7 @@ _LATIN = np.zeros(0x110000, bool)
 _WORD = np.zeros(0x110000, bool)
 _KNOWN = np.zeros(0x110000, bool)
 _ALIKE = np.arange(0x110000, dtype=np.uint32)
-for _from, _to in TABLE.items():
+for _from, _to in LOOK_ALIKES.items():
     _ALIKE[ord(_from)] = ord(_to)
 
 

@@ -117,10 +117,12 @@ def strict_decode(token: Column, least: int = 8, limit: int = 2048) -> Column:
 
 #: Letters of other scripts that look like a Latin one, by their Unicode names.
 _LIKE = {
-    "a": ("CYRILLIC SMALL LETTER A", "GREEK SMALL LETTER ALPHA"), "c": ("CYRILLIC SMALL LETTER ES",), "d": ("CYRILLIC SMALL LETTER KOMI DE",), "e": ("CYRILLIC SMALL LETTER IE",),
+    "a": ("CYRILLIC SMALL LETTER A", "GREEK SMALL LETTER ALPHA"), "b": ("GREEK SMALL LETTER BETA",), "c": ("CYRILLIC SMALL LETTER ES",), "d": ("CYRILLIC SMALL LETTER KOMI DE",),
+    "e": ("CYRILLIC SMALL LETTER IE", "GREEK SMALL LETTER EPSILON"), "l": ("CYRILLIC SMALL LETTER PALOCHKA",),
     "h": ("CYRILLIC SMALL LETTER SHHA",), "i": ("CYRILLIC SMALL LETTER BYELORUSSIAN-UKRAINIAN I", "GREEK SMALL LETTER IOTA"), "j": ("CYRILLIC SMALL LETTER JE",), "k": ("CYRILLIC SMALL LETTER KA", "GREEK SMALL LETTER KAPPA"),
     "m": ("CYRILLIC SMALL LETTER EM",), "o": ("CYRILLIC SMALL LETTER O", "GREEK SMALL LETTER OMICRON"), "p": ("CYRILLIC SMALL LETTER ER", "GREEK SMALL LETTER RHO"), "q": ("CYRILLIC SMALL LETTER QA",),
-    "s": ("CYRILLIC SMALL LETTER DZE",), "t": ("CYRILLIC SMALL LETTER TE",), "u": ("GREEK SMALL LETTER UPSILON",), "v": ("GREEK SMALL LETTER NU",), "w": ("CYRILLIC SMALL LETTER WE",), "x": ("CYRILLIC SMALL LETTER HA",), "y": ("CYRILLIC SMALL LETTER U",),
+    "s": ("CYRILLIC SMALL LETTER DZE",), "t": ("CYRILLIC SMALL LETTER TE", "GREEK SMALL LETTER TAU"),
+    "u": ("GREEK SMALL LETTER UPSILON", "GREEK SMALL LETTER MU"), "v": ("GREEK SMALL LETTER NU",), "w": ("CYRILLIC SMALL LETTER WE",), "x": ("CYRILLIC SMALL LETTER HA", "GREEK SMALL LETTER CHI"), "y": ("CYRILLIC SMALL LETTER U",),
 }
 LOOK_ALIKES = {unicodedata.lookup(name): latin for latin, names in _LIKE.items() for name in names}
 _WORD = re.compile(r"[^\W_]+")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docprism.functions import folding
 from docprism.functions import numeric as nm
 from docprism.functions import text as tx
 from docprism.operators.order import exact_quantiles
@@ -456,20 +457,29 @@ def _quoted(before: str, after: str) -> bool:
     return False
 
 
-def cue_matches(text: str | None) -> list[dict]:
-    """Actionable cues: pattern, kind of view, span in the original (of the carrier for decoded views)."""
+def cue_matches(text: str | None, view: tuple[str, Sequence[int] | None] | None = None) -> list[dict]:
+    """Actionable cues: pattern, kind of view, span in the original (of the carrier for decoded views).
+
+    ``view``: the folded text and the places of its characters, if they are there already.
+    """
     if not text:
         return []
     out = []
-    folded, spans = tx.fold_spans(text)
+    if view is None or view[1] is None:
+        folded, spans = tx.fold_spans(text)
+        around = lambda start, end: (spans[start][0], spans[end - 1][1])
+    else:
+        folded, places = view
+        around = lambda start, end: (int(places[start]), int(places[end - 1]) + 1)
     for name, start, end in View(folded).matches():
-        out.append({"pattern": name, "kind": "plain", "start": spans[start][0], "end": spans[end - 1][1]})
+        begin, stop = around(start, end)
+        out.append({"pattern": name, "kind": "plain", "start": begin, "end": stop})
     carriers = _carriers(text)
     low = View(text.lower() if carriers else "")
     for begin, end, raw in carriers:
         first = low.clause(begin, end)
-        around = low.text[max(0, begin - 160) : begin] + " " + low.text[end : end + 160]
-        if _LABEL.search(low.text[max(first[0], begin - 160) : begin]) and not _APPLY.search(around) or _quoted(low.text[first[0] : begin], low.text[end : first[1]]):
+        beside = low.text[max(0, begin - 160) : begin] + " " + low.text[end : end + 160]
+        if _LABEL.search(low.text[max(first[0], begin - 160) : begin]) and not _APPLY.search(beside) or _quoted(low.text[first[0] : begin], low.text[end : first[1]]):
             continue
         for name in dict.fromkeys(name for name, _, _ in View(tx.fold_text(raw)).matches()):
             out.append({"pattern": name, "kind": "base64", "start": begin, "end": end})
@@ -482,7 +492,11 @@ CUE = T.StructType([T.StructField("pattern", T.StringType()), T.StructField("kin
 @F.pandas_udf(T.ArrayType(CUE))
 def _cues(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
-        yield batch.map(cue_matches)
+        texts = batch.tolist()
+        other = [k for k, t in enumerate(texts) if t and not t.isascii()]
+        views = {k: (t.casefold(), range(len(t))) for k, t in enumerate(texts) if t and t.isascii()}
+        views |= dict(zip(other, zip(*folding.fold_batch([texts[k] for k in other]))))
+        yield pd.Series([cue_matches(t, views.get(k)) for k, t in enumerate(texts)])
 
 
 #: Letters that folding leaves as they are, or that no pattern holds.

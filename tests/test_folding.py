@@ -6,6 +6,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from docprism.functions import folding
+from docprism.functions.text import LOOK_ALIKES
 
 
 def plain(text):
@@ -19,7 +20,7 @@ def plain(text):
         while end < len(out) and out[end].isalnum():
             end += 1
         if any(unicodedata.name(c, "").startswith("LATIN") for c in out[k:end]):
-            out[k:end] = [folding.TABLE.get(c, c) for c in out[k:end]]
+            out[k:end] = [LOOK_ALIKES.get(c, c) for c in out[k:end]]
         k = max(end, k + 1)
     return "".join(out), places
 

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from docprism.functions import folding
 from docprism.functions import numeric as nm
 from docprism.functions import text as tx
 from docprism.operators import detect, evaluate, policy, prep, validate
@@ -396,6 +397,8 @@ def test_cues_of_surveyed_cases(spark):
     for k, (text, want) in enumerate(CUE_CASES):
         assert got[k][0] == want, text
         plain = [m for m in detect.cue_matches(text) if m["kind"] == "plain"]
+        batch = folding.fold_batch([text])
+        assert detect.cue_matches(text, (batch[0][0], batch[1][0])) == detect.cue_matches(text)
         assert [(m["start"], m["end"], m["pattern"]) for m in plain] == plain_cues(text), text
     assert got[0][1] == ["override"] and got[20][1] is None and got[21][1] == []
 
