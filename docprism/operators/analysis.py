@@ -11,6 +11,7 @@ from docprism.functions import numeric as nm
 from docprism.operators import detect, encode, order, policy
 from docprism.operators.encode import Encoder
 from docprism.sources.pages import MAX_CHARS, MAX_PAGES, fold_pages
+from docprism.sources.tables import cut
 
 #: Characters that the coherence measure reads; a longer text is judged in part.
 SEMANTIC_CHARS = 20_000
@@ -35,7 +36,7 @@ def analyse(pages: DataFrame, traces: DataFrame, boxes: DataFrame, layers: DataF
     judged has an error there; without a trace there is nothing hidden.  A measure
     that is missing never counts as clean.
     """
-    text = fold_pages(pages, limit, most)
+    text = cut(fold_pages(pages, limit, most))  # read by several measures
     rows = encode.text_coherence(detect.keyword_measures(text), encoder)
     again = detect.repetition(text.select("doc_id", "text")).select("doc_id", F.lit(True).alias("repetition"))
     flags = detect.trace_flags(traces, boxes, layers)
