@@ -99,3 +99,26 @@ def test_arm_intervals(spark):
                 low, high, n = got[f"{arm}.{stratum}.{kind}"]
                 np.testing.assert_allclose((low, high), np.quantile(rates, [0.025, 0.975]), atol=1e-8)
                 assert n == 30
+
+
+def test_payload_behind_a_long_text(spark, tmp_path):
+    """A payload behind more than 100,000 characters is found, as the SQL of the study says; the document stays partial."""
+    from docprism.plans import study_queries
+
+    key = 49_680  # its family is direct
+    spark.createDataFrame([(key, "river " * 20_000)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    row = study_queries.verdict_study(spark, str(tmp_path)).first()
+    assert (row.family, row.n, row.review_partial, row.insufficient) == ("direct", 1, 1, 0)
+    arms = {r.arm: r for r in study_queries.challenge_strata(spark, str(tmp_path)).collect()}
+    assert arms["cue"].partial_flagged == 1 and arms["regex"].partial_flagged == 1
+
+
+def test_pages_without_bounds(spark):
+    from docprism.sources.pages import fold_pages
+
+    rows = [(1, 2, "b"), (1, 0, "a"), (1, 1, None), (2, 0, " \t"), *((3, k, "x" * 9000) for k in range(30))]
+    got = {r.doc_id: r for r in fold_pages(spark.createDataFrame(rows, "doc_id long, page int, text string"), None, None).collect()}
+    assert (got[1].text, got[1].pages_read, got[1].pages_without_text) == ("a\n\nb", 3, 1) and got[2].pages_without_text == 1
+    assert len(got[3].text) == 30 * 9000 + 29 and got[3].pages_read == 30 and {r.stopped for r in got.values()} == {"end"}
+    one = fold_pages(spark.createDataFrame(rows, "doc_id long, page int, text string"), None, 40).where("doc_id = 3").first()
+    assert one.text == got[3].text and one.stopped == "end"
