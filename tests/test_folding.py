@@ -47,3 +47,26 @@ def test_folded_column(spark):
     assert got[0] in (None, (None, None))
     for k, t in enumerate(CASES, 1):
         assert got[k] == plain(t), t
+
+
+def test_fold_in_bounded_slices(monkeypatch):
+    """What a fold holds beside its result is bounded by a slice, not by the batch."""
+    texts = ["Ärger \u0430bc", None, "", "x" * 50, "e\u0301tude"] * 40
+    whole = folding.fold_batch(texts)
+    seen = []
+    fold = folding._fold_slice
+    monkeypatch.setattr(folding, "SLICE", 64)
+    monkeypatch.setattr(folding, "_fold_slice", lambda part: seen.append(sum(len(t or "") for t in part)) or fold(part))
+    cut = folding.fold_batch(texts)
+    assert len(seen) > 1 and max(seen) <= 64
+    assert cut[0] == whole[0] and all((a is None) == (b is None) and (a is None or a.tolist() == b.tolist()) for a, b in zip(cut[1], whole[1]))
+
+
+def test_tables_bound_the_batches(spark, tmp_path):
+    """Tables of the plans bound what is handed to Python at a time."""
+    from docprism.sources.tables import BATCHES, table
+
+    spark.range(3).write.parquet(f"{tmp_path}/t.parquet")
+    other = spark.newSession()
+    assert table(other, str(tmp_path), "t").count() == 3
+    assert {k: other.conf.get(k) for k in BATCHES} == BATCHES
