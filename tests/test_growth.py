@@ -36,3 +36,21 @@ def test_stacking_reads_its_rows_once(spark):
     rows = spark.range(60).select((F.col("id") % 2).alias("label"), measured("id").alias("a"), (F.col("id") % 7).cast("double").alias("b"), (F.col("id") % 5).cast("double").alias("c"))
     policy.fit_stack(rows, trees=2, folds=2)
     assert seen.value == 60
+
+
+def test_clusters_stream_by(spark):
+    """Groups of traces are no tables of their own, and groups may span batches."""
+    from docprism.operators import detect
+
+    rows = [(d, 0, k, 10.0 * (k % 2) * 30, 5.0 * (k // 2), 10.0 * (k % 2) * 30 + 50, 5.0 * (k // 2) + 5, True) for d in range(40) for k in range(8)]
+    flags = spark.createDataFrame(rows, "doc_id long, page int, trace_idx int, x0 double, y0 double, x1 double, y1 double, tiny boolean")
+    flags = flags.withColumns({f: F.lit(False) for f in detect.FLAGS if f != "tiny"})
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        made = detect.cluster_traces(flags)
+        got = sorted(made.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [tuple(r) for r in got] == [(d, 0, "tiny", x, 0.0, x + 50, 20.0, 4) for d in range(40) for x in (0.0, 300.0)]
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().toString()
