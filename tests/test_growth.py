@@ -54,3 +54,14 @@ def test_clusters_stream_by(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert [tuple(r) for r in got] == [(d, 0, "tiny", x, 0.0, x + 50, 20.0, 4) for d in range(40) for x in (0.0, 300.0)]
     assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().toString()
+
+
+def test_repetition_shuffles_no_tokens(spark):
+    """Runs are found within each text: neither windows nor exploded tokens."""
+    from docprism.operators import detect
+
+    texts = ["sql spark " * 20, "well then " + "sql " * 32, "sql " * 31, "a sql spark b " * 16, "python sql x y " * 9, "river " * 80 + " sql" * 20, None, ""]
+    made = detect.repetition(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {tuple(r) for r in made.collect()} == {(0, 2, 2), (1, 1, 3), (3, 4, 4), (4, 4, 4)}
+    plan = made._jdf.queryExecution().toString()
+    assert "Window" not in plan and "Generate" not in plan
