@@ -7,8 +7,10 @@ are linked; the result has each document's class (component of links).
    node from here on, so copies never meet each other.
 2. The same scan counts shingles by lossy counting: the table of frequent ones
    has at most ``MAX_FREQUENT`` entries whatever the corpus, as the cut-off rises
-   with the total.  It defines the global order: rare shingles first, then
-   classes of rising frequency.
+   with the total.  Words are counted alike, into a table of slots.  Both define
+   the global order: rare shingles first, those of rare words before others, then
+   classes of rising frequency.  So the prefix of a set has few shingles that only
+   chance has put into several sets, however many sets there are.
 3. A set indexes its first rare shingles one by one.  Where they do not reach
    the prefix bound, the prefix is extended into the frequent classes, and
    pairs of frequent shingles of one hash cell are indexed instead of single
@@ -22,7 +24,8 @@ are linked; the result has each document's class (component of links).
    the shuffle as a few leaders of each task, then as they stream by.  Only a
    forest of the pairs that may be similar leaves.
 5. Every candidate is compared exactly with its least neighbour in that forest,
-   group by group, large groups in slices.  Where candidates are still apart,
+   group by group, large groups in slices.  Texts travel there, and sets are made
+   on arrival: 64-bit hashes do not compress and would be several times as large.  Where candidates are still apart,
    their groups are compared in blocks: only against the others, never within
    what is linked already.
 6. Components of the verified links are the result.
@@ -54,6 +57,8 @@ WORDS, PERCENT = 5, 80
 MAX_FREQUENT, LEAST_FREQUENT = 1 << 21, 32
 #: Shingles counted at a time, and least count in that window to be reported.
 COUNT_WINDOW, WINDOW_LEAST = 1 << 20, 4
+#: Bits of the slots of word counts.
+WORD_BITS = 20
 #: Signatures that a signing task holds at a time, and nodes of a list that it reduces to leaders.
 SIGN_WINDOW, LOCAL_LIST = 1 << 19, 64
 #: Nodes of a signature that are compared all with all; above, by leaders.
@@ -144,12 +149,17 @@ class Shapes:
         return out
 
 
-def _sets(column, k: int) -> Iterator[tuple[int, np.ndarray]]:
+def _words(column) -> Iterator[tuple[int, np.ndarray]]:
     data, off = tv.buffers(column)
     for i, j in tv.row_blocks(off, 1 << 20):
         w = tv.words(data, off[i : j + 1])
         for r in range(i, j):
-            yield r, shingle_set(w.hash[w.first[r - i] : w.first[r - i + 1]], k)
+            yield r, w.hash[w.first[r - i] : w.first[r - i + 1]]
+
+
+def _sets(column, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    for r, h in _words(column):
+        yield r, shingle_set(h, k)
 
 
 class _Recent:
@@ -166,10 +176,10 @@ class _Recent:
 
 
 class _Often:
-    """Counts of the shingles that recur in a window."""
+    """Counts of the shingles (kind 1) or words (kind 2) that recur in a window."""
 
-    def __init__(self, window: int, least: int):
-        self.values, self.filled, self.least = np.empty(window, U64), 0, least
+    def __init__(self, window: int, least: int, kind: int = 1):
+        self.values, self.filled, self.least, self.kind = np.empty(window, U64), 0, least, kind
 
     def add(self, s: np.ndarray) -> Iterator[pa.RecordBatch]:
         while len(s):
@@ -187,25 +197,28 @@ class _Often:
         token = np.unique(v[:run][v[:run] == v[len(v) - run :]])
         counts = np.searchsorted(v, token, "right") - np.searchsorted(v, token, "left")
         none = pa.nulls(len(token), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), np.int32)), none, pa.array(counts), pa.array(token.view(np.int64)), pa.nulls(len(token), pa.binary())], names=["kind", "doc_id", "n", "node", "sketch"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(token), self.kind, np.int32)), none, pa.array(counts), pa.array(token.view(np.int64)), pa.nulls(len(token), pa.binary())], names=["kind", "doc_id", "n", "node", "sketch"])
 
 
 def _describe(k: int):
-    """Of each document its set's size, identity and histogram (kind 0); counts of recurring shingles (kind 1: ``node`` is the shingle)."""
+    """Of each document its set's size, identity and histogram (kind 0); counts of recurring shingles and words (kinds 1 and 2: ``node`` is the shingle or word)."""
     window, least = COUNT_WINDOW, WINDOW_LEAST
 
     def run(batches):
-        often, recent = _Often(window, least), _Recent()
+        often, often_words, recent = _Often(window, least), _Often(window, least, 2), _Recent()
         for batch in batches:
             n, nodes, shapes = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64), [None] * len(batch)
-            for r, s in _sets(batch.column(1), k):
+            for r, h in _words(batch.column(1)):
+                s = shingle_set(h, k)
                 if len(s):
                     n[r], nodes[r], shapes[r] = len(s), node_of(s), shape_of(s).tobytes()
                     if recent.fresh(nodes[r]):
                         yield from often.add(s)
+                        yield from often_words.add(h)
             kinds = pa.array(np.zeros(len(batch), np.int32))
             yield pa.RecordBatch.from_arrays([kinds, batch.column(0), pa.array(n), pa.array(nodes), pa.array(shapes, pa.binary())], names=["kind", "doc_id", "n", "node", "sketch"])
         yield often.flush()
+        yield often_words.flush()
 
     return tv.tidy(run)
 
@@ -214,22 +227,45 @@ class Frequent:
     """Class (rising with frequency, 0 for rare) of shingles, from a table of slots by hash.
 
     A rare shingle that shares the slot of a frequent one counts as frequent, in
-    every set alike: any order that all sets share keeps the guarantee.
+    every set alike: any order that all sets share keeps the guarantee.  So does
+    the order of rare ones by the counts of their words, whose slots are shared too.
     """
 
-    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray, words: np.ndarray, word_counts: np.ndarray):
         bits = min(24, max(16, (8 * len(tokens)).bit_length()))
         self.shift = U64(64 - bits)
         self.slots = np.zeros(1 << bits, np.uint8)
         np.maximum.at(self.slots, (tokens >> self.shift).astype(np.int64), (1 + np.log2(np.maximum(counts, 1)).astype(np.uint8)).astype(np.uint8))
 
+        self.words = np.zeros(1 << WORD_BITS, np.uint16)
+        self.words[words] = (4 * np.log2(1 + word_counts)).astype(np.uint16)
+
     def of(self, s: np.ndarray) -> np.ndarray:
         return self.slots[(s >> self.shift).astype(np.int64)]
 
-
-def signatures(s: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of a set: two sets that reach the threshold share at least one."""
+    def ranked(self, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The shingle set of a text's words, and how frequent each shingle's words are together."""
+        if not len(h):
+            return h, np.zeros(0, np.uint16)
+        k = min(k, len(h))
+        of_words = self.words[(h >> U64(64 - WORD_BITS)).astype(np.int64)]
+        m = len(h) - k + 1
+        rank = np.zeros(m, np.uint16)
+        for j in range(k):
+            rank += of_words[j : j + m]
+        s = tv.windows(h, k)
+        order = np.argsort(s)
+        s = s[order]
+        first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+        return s[first], rank[order[first]]
+
+
+def signatures(s: np.ndarray, classes: np.ndarray, percent: int, rank: np.ndarray | None = None) -> np.ndarray:
+    """Signatures of a set: two sets that reach the threshold share at least one.  ``rank``: order of the rare shingles, alike in all sets."""
     n = len(s)
+    if rank is not None:
+        order = np.argsort(rank, kind="stable")
+        s, classes = s[order], classes[order]
     need = n - (percent * n + 99) // 100 + 1  # shingles that cannot all be missing from a similar set
     level = n.bit_length() - 1
     out = []
@@ -386,9 +422,10 @@ def _sign(shared, k: int, percent: int):
     def run(batches):
         frequent, recent, window = shared.value, _Recent(), _Window(_bound(percent), most, long)
         for batch in batches:
-            for _, s in _sets(batch.column(0), k):
+            for _, h in _words(batch.column(0)):
+                s, rank = frequent.ranked(h, k)
                 if len(s) and recent.fresh(node := node_of(s)):
-                    yield from window.add(node, s, signatures(s, frequent.of(s), percent))
+                    yield from window.add(node, s, signatures(s, frequent.of(s), percent, rank))
         yield from window.flush()
 
     return tv.tidy(run)
@@ -576,22 +613,6 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[root[other]], nodes[other]
 
 
-def _emit_sets(k: int):
-    """The sets of candidates, for verification."""
-
-    def run(batches):
-        for batch in batches:
-            rows, sets = [], []
-            wanted = batch.column(1).to_numpy()
-            for r, s in _sets(batch.column(0), k):
-                if len(s) and node_of(s) == wanted[r]:
-                    rows.append(wanted[r])
-                    sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(sets, pa.binary())], names=["node", "tokens"])
-
-    return tv.tidy(run)
-
-
 def _common(s: np.ndarray, t: np.ndarray) -> int:
     """Shared elements of two sorted sets."""
     if len(s) < len(t):
@@ -599,18 +620,19 @@ def _common(s: np.ndarray, t: np.ndarray) -> int:
     return int((s[np.minimum(np.searchsorted(s, t), len(s) - 1)] == t).sum())
 
 
-def _check_stars(percent: int):
-    """Links of the members to the center of their group (rows sorted by group, the center first)."""
+def _check_stars(k: int, percent: int):
+    """Links of the members to the center of their group (rows ``grp, slice, role, node, text`` sorted by group, the center first)."""
 
     def run(batches):
         center, of = None, None
         for batch in batches:
             group, center_here, node = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            tokens, a, b = batch.column(4), [], []
-            for r in range(len(batch)):
-                s = np.frombuffer(tokens[r].as_buffer(), U64)
+            a, b = [], []
+            for r, s in _sets(batch.column(4), k):
+                if not len(s) or node_of(s) != node[r]:  # another text of the same id
+                    continue
                 if center_here[r] == 0:
-                    center, of = s.copy(), group[r]
+                    center, of = s, group[r]
                 elif of == group[r]:
                     both = _common(center, s)
                     if 100 * both >= percent * (len(s) + len(center) - both):
@@ -659,8 +681,8 @@ def links_of(sets: list[np.ndarray], percent: int, group: np.ndarray | None = No
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _check_blocks(percent: int):
-    """Links between the sets of two blocks, and in home parts within them (rows sorted by class and part): ``cls, part, home, block, node, comp, tokens``."""
+def _check_blocks(k: int, percent: int):
+    """Links between the sets of two blocks, and in home parts within them (rows sorted by class and part): ``cls, part, home, block, node, comp, text``."""
 
     def run(batches):
         held: dict[int, tuple] = {}
@@ -676,13 +698,12 @@ def _check_blocks(percent: int):
 
         for batch in batches:
             cls, part, homes, blocks, nodes, comps = (batch.column(c).to_pylist() for c in range(6))
-            tokens = batch.column(6)
-            for r in range(len(batch)):
+            for r, s in _sets(batch.column(6), k):
                 if (cls[r], part[r]) != key:
                     yield from done()
                     held, key, home = {}, (cls[r], part[r]), homes[r]
-                if nodes[r] not in held:
-                    held[nodes[r]] = comps[r], blocks[r], np.frombuffer(tokens[r].as_buffer(), U64).copy()
+                if len(s) and nodes[r] not in held and node_of(s) == nodes[r]:
+                    held[nodes[r]] = comps[r], blocks[r], s
         yield from done()
 
     return tv.tidy(run)
@@ -694,7 +715,9 @@ def _candidates(docs: DataFrame, scanned: DataFrame, nodes: DataFrame, words: in
     total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     cut = max(LEAST_FREQUENT, -(-total // MAX_FREQUENT))
     counted = scanned.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= cut).toArrow()  # about total / cut <= MAX_FREQUENT rows
-    shared = spark.sparkContext.broadcast(Frequent(counted["node"].to_numpy().view(U64), counted["n"].to_numpy()))
+    slot = F.shiftrightunsigned("node", 64 - WORD_BITS).alias("slot")
+    words_counted = scanned.where("kind = 2").groupBy(slot).agg(F.sum("n").alias("n")).toArrow()  # at most 2^WORD_BITS rows
+    shared = spark.sparkContext.broadcast(Frequent(counted["node"].to_numpy().view(U64), counted["n"].to_numpy(), words_counted["slot"].to_numpy(), words_counted["n"].to_numpy()))
     signed = docs.where("doc_id is not null").select("text").mapInArrow(_sign(shared, words, percent), _SIGNED)
     several = materialize(signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_shared(), _SIGNED), "signatures")
     lists = several.where("info >= 0").distinct().join(nodes.select("node", "n", "sketch"), "node").select("sig", "node", "n", "info", "sketch")
@@ -710,30 +733,30 @@ def _verified(docs: DataFrame, forest: DataFrame, nodes: DataFrame, words: int,
     spark = docs.sparkSession
     members = materialize(forest.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least", "n"), "node"), "members")
     near = docs.where(Bitmap(members, "least").has(F.col("doc_id")))  # most texts never travel
-    texts = members.join(near, members["least"] == near["doc_id"]).select("text", "node")
-    sets = materialize(texts.mapInArrow(_emit_sets(words), "node long, tokens binary"), "candidate-sets")
+
+    def with_texts(rows: DataFrame) -> DataFrame:
+        return rows.join(members.select("node", F.col("least").alias("_least")), "node").join(near, F.col("_least") == near["doc_id"]).select(*rows.columns, "text")
 
     parents = forest.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("grp"))
     slices = parents.groupBy("grp").agg(F.ceil(F.count("*") / STAR_NODES).cast("int").alias("slices"))
-    around = sets.join(parents.join(slices, "grp"), "node").select("grp", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int").alias("slice"), F.lit(1).alias("role"), "node", "tokens")
-    centers = sets.join(slices, sets["node"] == slices["grp"]).select("grp", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("role"), "node", "tokens")
-    stars = centers.unionByName(around).repartition("grp", "slice").sortWithinPartitions("grp", "slice", "role")
-    first = connected(stars.mapInArrow(_check_stars(percent), "a long, b long"))
+    around = parents.join(slices, "grp").select("grp", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int").alias("slice"), F.lit(1).alias("role"), "node")
+    centers = slices.select("grp", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("role"), F.col("grp").alias("node"))
+    stars = with_texts(centers.unionByName(around)).repartition("grp", "slice").sortWithinPartitions("grp", "slice", "role")
+    first = connected(stars.mapInArrow(_check_stars(words, percent), "a long, b long"))
     of = members.join(first, "node", "left").select("node", "least", "n", F.coalesce("root", "node").alias("comp"))
     of = materialize(of, "linked")
-    drop_materialized(spark, members)
 
     side = lambda name: of.select(F.col("node").alias(name), F.col("comp").alias(f"c{name}"))
     apart = forest.join(side("a"), "a").join(side("b"), "b").where("ca <> cb")
     apart = materialize(apart.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "apart")
     if apart.isEmpty():
-        drop_materialized(spark, sets, apart)
+        drop_materialized(spark, members, apart)
         return of.select("node", "least", F.col("comp").alias("root"))
     placed = _placed(of, connected(apart))
-    rows = sets.join(placed, "node").select("cls", "part", "home", "block", "node", "comp", "tokens")
-    links = rows.repartition("cls", "part").sortWithinPartitions("cls", "part").mapInArrow(_check_blocks(percent), "a long, b long")
+    rows = with_texts(placed.select("cls", "part", "home", "block", "node", "comp"))
+    links = rows.repartition("cls", "part").sortWithinPartitions("cls", "part").mapInArrow(_check_blocks(words, percent), "a long, b long")
     more = connected(links.join(side("a"), "a").join(side("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    drop_materialized(spark, sets, apart)
+    drop_materialized(spark, members, apart)
     return of.join(more.select(F.col("node").alias("comp"), "root"), "comp", "left").select("node", "least", F.coalesce("root", "comp").alias("root"))
 
 

@@ -155,6 +155,42 @@ def test_jaccard_signatures_meet_at_80_percent():
     assert met > 300
 
 
+def test_jaccard_prefixes_avoid_shingles_of_common_words():
+    """Unlike texts share shingles of common words by chance, the more the larger the corpus; signatures are those of rare words."""
+    rng = np.random.default_rng(3)
+    common = rng.integers(0, 1 << 63, 8, dtype=np.uint64)
+    texts = []
+    for _ in range(300):
+        h = rng.choice(common, 150)
+        h[::5] = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
+        h[100:] = rng.choice(common, 50)
+        texts.append(h)
+    none = np.zeros(0, np.int64)
+    counts = np.array([(np.concatenate(texts) == c).sum() for c in common])
+    order = jaccard.Frequent(none.view(np.uint64), none, (common >> np.uint64(64 - jaccard.WORD_BITS)).astype(np.int64), counts)
+
+    def signed(h):
+        s, rank = order.ranked(h, 3)
+        assert np.array_equal(s, jaccard.shingle_set(h, 3))
+        return jaccard.signatures(s, order.of(s), 90, rank)
+
+    _, times = np.unique(np.concatenate([signed(h) for h in texts]), return_counts=True)
+    assert times.max() == 1
+    for h in texts:  # near copies still meet
+        near = np.append(h, rng.integers(0, 1 << 63, 6, dtype=np.uint64))
+        assert len(np.intersect1d(signed(h), signed(near)))
+
+
+def test_jaccard_moves_candidates_as_texts(spark, monkeypatch):
+    """Sets of 64-bit hashes do not compress: none may be written or shuffled between the candidates and their links."""
+    written = []
+    monkeypatch.setattr(jaccard, "materialize", lambda df, name, f=jaccard.materialize: written.append((name, dict(df.dtypes))) or f(df, name))
+    made = [(i, " ".join(f"w{(i // 4) * 1000 + k}" for k in range(100)) + f" x{i}" * (i % 4), "en", "s", 0) for i in range(40)]
+    got = rows(jaccard.classes(spark.createDataFrame(made, DOCS), 3, 90), "doc_id", "component_id")
+    assert got == sorted([(i, i // 4 * 4) for i in range(40)], key=repr)
+    assert written and not any(kind == "binary" for name, kinds in written if name not in ("sets", "nodes") for kind in kinds.values())
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
