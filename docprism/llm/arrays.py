@@ -5,11 +5,17 @@ bits of the keys.  A shard's keys are sorted and kept as the 32 bits that follow
 shard's and the bucket's bits; ``INDEX`` bits after the shard's say in which bucket a
 key lies.  Counts take one byte; larger ones stand in a list beside it.  Files come
 into being under another name and are renamed, so a task that runs again does no harm.
+
+Shards are as small as a task that counts must hold them, so their number grows with
+the corpus, and a batch of keys meets all of them.  :func:`join_shards` puts up to
+``2^JOINED`` neighbours into one, where that leaves no fewer than ``2^FEW``.
 """
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import itertools
 import os
 import uuid
 
@@ -21,6 +27,8 @@ from docprism.llm.store import _own_folder
 
 U64 = np.uint64
 INDEX = 16
+#: Binary digits of the number of shards below which none are joined, and of how many are joined at most.
+FEW, JOINED = 6, 10
 #: Arrays that a worker keeps open.
 OPEN = 8192
 
@@ -63,20 +71,72 @@ def write_shard(folder: str, table: str, shard: int, bits: int, keys: np.ndarray
     _save(f"{at}.index.npy", np.searchsorted(bucket, np.arange((1 << INDEX) + 1)).astype(np.uint32 if len(keys) < 1 << 32 else np.int64))
 
 
-def look_up(folder: str, table: str, bits: int, keys: np.ndarray, columns: tuple[str, ...]) -> list[np.ndarray]:
-    """Shard-wise place of each key (-1: not there), then its columns (0: not there)."""
+def join_shards(spark: SparkSession, folder: str, bits: int, tables: dict[str, tuple[str, ...]]) -> int:
+    """Joins the shards of each table (with its columns of counts), and gives the binary digits of how many are one; a task a joined shard, which holds a shard's column at a time."""
+    more, names = min(max(bits - FEW, 0), JOINED), list(tables)
+    if not more:
+        return 0
+    groups = 1 << (bits - more)
+
+    def run(batches):
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                _join(folder, names[i // groups], i % groups, more, tables[names[i // groups]])
+            yield batch
+
+    spark.range(0, len(names) * groups, 1, len(names) * groups).mapInArrow(run, "id long").count()
+    return more
+
+
+def _join(folder: str, table: str, group: int, more: int, columns: tuple[str, ...]) -> None:
+    parts = [f"{folder}/{table}.{s}" for s in range(group << more, (group + 1) << more)]
+    out = f"{folder}/{table}.joined.{group}"
+    if not os.path.exists(f"{out}.index.npy"):  # it comes last; else this task ran before
+        read = lambda at, name: np.load(f"{at}.{name}.npy", mmap_mode="r")
+        there = [os.path.exists(f"{at}.index.npy") for at in parts]
+        sizes = np.array([len(read(at, "rest")) if held else 0 for at, held in zip(parts, there)], np.int64)
+        if not sizes.sum():
+            return
+        base = np.cumsum(sizes) - sizes
+        kept = [(at, b) for at, held, b in zip(parts, there, base) if held]
+        kind = np.uint32 if sizes.sum() < 1 << 32 else np.int64
+        for name, of in (("rest", np.uint32), *((c, np.uint8) for c in columns)):
+            _save_parts(f"{out}.{name}.npy", int(sizes.sum()), of, (read(at, name) for at, _ in kept))
+        for c in columns:
+            _save(f"{out}.{c}.large.npy", np.concatenate([read(at, f"{c}.large") + np.array([[b], [0]]) for at, b in kept], axis=1))
+        index = ((read(at, "index")[:-1] + b if held else np.full(1 << INDEX, b)).astype(kind) for at, held, b in zip(parts, there, base))
+        _save_parts(f"{out}.index.npy", (len(parts) << INDEX) + 1, kind, itertools.chain(index, [sizes.sum(keepdims=True).astype(kind)]))
+    for at in parts:
+        for name in ("rest", *columns, *(f"{c}.large" for c in columns), "index"):
+            with contextlib.suppress(FileNotFoundError):
+                os.remove(f"{at}.{name}.npy")
+
+
+def _save_parts(path: str, size: int, kind, parts) -> None:
+    """As :func:`_save`, an array of ``size`` numbers that comes in parts."""
+    part = f"{path}.{uuid.uuid4().hex}"
+    with open(part, "wb") as file:
+        np.lib.format.write_array_header_1_0(file, {"descr": np.lib.format.dtype_to_descr(np.dtype(kind)), "fortran_order": False, "shape": (size,)})
+        for x in parts:
+            file.write(np.ascontiguousarray(x).data)
+    os.replace(part, path)
+
+
+def look_up(folder: str, table: str, bits: int, keys: np.ndarray, columns: tuple[str, ...], more: int = 0) -> list[np.ndarray]:
+    """Shard-wise place of each key (-1: not there), then its columns (0: not there); ``more``: what :func:`join_shards` gave."""
     keys, back = np.unique(keys, return_inverse=True)
     place = np.full(len(keys), -1, np.int64)
     values = [np.zeros(len(keys), np.int64) for _ in columns]
-    shard = (keys >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    top, name = bits - more, f"{table}.joined" if more else table
+    shard = (keys >> U64(64 - top)).astype(np.int64) if top else np.zeros(len(keys), np.int64)
     cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(keys) else np.zeros(0, np.int64)
     for a, b in zip(cuts, np.append(cuts[1:], len(keys))):
-        at = f"{folder}/{table}.{shard[a]}"
+        at = f"{folder}/{name}.{shard[a]}"
         index = _load(f"{at}.index.npy")
         if index is None:  # no key has these top bits
             continue
         held, q = _load(f"{at}.rest.npy"), keys[a:b]
-        bucket = ((q << U64(bits)) >> U64(64 - INDEX)).astype(np.int64)
+        bucket = ((q << U64(top)) >> U64(64 - INDEX - more)).astype(np.int64)
         rest = ((q << U64(bits + INDEX)) >> U64(32)).astype(np.uint32)
         lo, end = index[bucket].astype(np.int64), index[bucket + 1].astype(np.int64)
         hi = end

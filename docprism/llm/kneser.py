@@ -9,7 +9,8 @@ Training takes all documents outside the held-out part:
    by a hash of their context, packed; a task adds them up by shard, writes the shard's
    counts and its contexts' totals, and passes each different n-gram's suffix on to the
    next lower order, where it counts once.  So lower orders hold continuation counts.
-3. The counts of counts of each order give its three discounts.
+3. The counts of counts of each order give its three discounts.  Neighbouring shards
+   are joined, so that a batch of tokens meets few files, however large the corpus.
 
 A text's tokens are scored from the uniform distribution over the vocabulary and one
 unknown word upwards: ``p = max(a - D(a), 0) / T + (D1 N1 + D2 N2 + D3 N3) / T * p``, with
@@ -52,6 +53,7 @@ DIGITS = 64
 U64 = np.uint64
 _END = U64(0xE7D1F3A59B8C2461)  # hash of the end
 _FACTOR = U64(0x9E3779B97F4A7C15)
+_TOTALS = ("t", "n1", "n2", "n3")
 _DEALT = "shard int, kind int, data binary, sums array<long>"
 
 
@@ -71,6 +73,7 @@ class Model:
     words: int
     discounts: dict[int, tuple[float, float, float, float]]
     context: tuple[int, int, int, int]
+    joined: int = 0  # binary digits of how many shards are one
 
     @property
     def start(self) -> int:
@@ -252,9 +255,16 @@ def _count_grams(model: Model):
 
 
 def _keep_grams(model: Model, k: int):
-    """Writes the shards of order ``k``; yields the suffixes' packed rows and the order's sums."""
+    """Writes the shards of order ``k``; yields the suffixes' packed rows, of several shards at a time, and the order's sums."""
 
     def run(batches):
+        suffixes, n = [], 0
+
+        def dealt():
+            *below, different = (np.concatenate(x) for x in zip(*suffixes))
+            below, different = _added(below, different)
+            return _dealt(_shard_of(_keys(below, model.bits)[0], model.bits), [*below, different.astype(np.uint32)])
+
         for shard, held, passed in _grouped(batches):
             if passed:
                 yield _batch([p[0] for p in passed], [p[1] for p in passed], [None] * len(passed), [p[2] for p in passed])
@@ -275,7 +285,13 @@ def _keep_grams(model: Model, k: int):
             totals = {"t": np.add.reduceat(count, first)} | {f"n{c}": np.add.reduceat((kinds == c).astype(np.int64), first) for c in (1, 2, 3)}
             arrays.write_shard(model.folder, f"contexts{k}", shard, model.bits, context[first][order], {c: v[order] for c, v in totals.items()})
             below, different = _added(grams[1:], np.ones(len(count), np.int64))
-            yield _dealt(_shard_of(_keys(below, model.bits)[0], model.bits), [*below, different.astype(np.uint32)])
+            suffixes.append([*below, different])
+            n += len(different)
+            if n >= CHUNK:
+                yield dealt()
+                suffixes, n = [], 0
+        if suffixes:
+            yield dealt()
 
     return tv.tidy(run)
 
@@ -311,8 +327,9 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
         rows = dealt(rows, _keep_grams(model, k))
     sums = [F.sum(F.col("sums")[i]) for i in range(8)]
     found = {r[0]: r[1:] for r in rows.where("kind > 0").groupBy("kind").agg(*sums).collect()}
+    joined = arrays.join_shards(spark, folder, bits, {f"grams{k}": ("n",) for k in range(1, order + 1)} | {f"contexts{k}": _TOTALS for k in range(2, order + 1)})
     low = found.get(1, (0,) * 8)
-    return dataclasses.replace(model, discounts={k: discounts(*r[:4]) for k, r in found.items()}, context=tuple(int(x) for x in low[4:8]))
+    return dataclasses.replace(model, discounts={k: discounts(*r[:4]) for k, r in found.items()}, context=tuple(int(x) for x in low[4:8]), joined=joined)
 
 
 def probabilities(model: Model, seq: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -323,11 +340,11 @@ def probabilities(model: Model, seq: np.ndarray, places: np.ndarray) -> np.ndarr
             continue
         grams = [seq[places - i] for i in range(k - 1, -1, -1)]
         context, key = _keys(grams, model.bits)
-        _, count = arrays.look_up(model.folder, f"grams{k}", model.bits, key, ("n",))
+        _, count = arrays.look_up(model.folder, f"grams{k}", model.bits, key, ("n",), model.joined)
         if k == 1:
             total, *follow = (np.full(len(places), x) for x in model.context)
         else:
-            _, total, *follow = arrays.look_up(model.folder, f"contexts{k}", model.bits, context, ("t", "n1", "n2", "n3"))
+            _, total, *follow = arrays.look_up(model.folder, f"contexts{k}", model.bits, context, _TOTALS, model.joined)
         lost = np.array(model.discounts[k])
         seen = total > 0
         kept = np.maximum(count - lost[np.minimum(count, 3)], 0) + sum(d * f for d, f in zip(lost[1:], follow)) * p

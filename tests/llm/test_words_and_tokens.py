@@ -1,5 +1,6 @@
 """Periodic runs, language-model scores and tokenizer alignment against plain restatements."""
 
+import os
 import random
 
 import brute
@@ -117,6 +118,22 @@ def test_language_model_prefers_what_it_has_read(spark):
     assert of[True][0] * 3 < of[False][0] and of[True][1] > 0
 
 
+def test_scores_meet_few_files_whatever_the_number_of_shards(spark, monkeypatch):
+    """A batch of tokens meets every shard, so their number may not grow with the corpus."""
+    monkeypatch.setattr(kneser, "SHARD", 8)
+    monkeypatch.setattr(arrays, "FEW", 2)
+    rng = random.Random(5)
+    texts = [(i, " ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(rng.randrange(60)))) for i in range(60)]
+    model = kneser.train(table(spark, texts))
+    assert model.bits > 6
+    assert len([x for x in os.listdir(model.folder) if x.endswith(".index.npy") and not x.startswith("words")]) <= 5 * 4
+    key = lambda r: r[0]
+    got = sorted(rows_of(kneser.score(table(spark, texts), model), *SCORES), key=key)
+    want = sorted(brute.kneser_ney(texts)[0], key=key)
+    assert [r[:4] + r[6:] for r in got] == [r[:4] + r[6:] for r in want]
+    np.testing.assert_allclose([r[4:6] for r in got], [r[4:6] for r in want], atol=1e-8)
+
+
 def test_discounts():
     assert kneser.discounts(4, 0, 1, 1) == (0.0, 0.5, 1.0, 1.5)
     y = 10 / 18
