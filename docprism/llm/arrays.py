@@ -54,7 +54,7 @@ def _save(path: str, array: np.ndarray) -> None:
 
 @functools.lru_cache(maxsize=OPEN)
 def _load(path: str) -> np.ndarray | None:
-    return np.load(path, mmap_mode="r") if os.path.exists(path) else None
+    return np.asarray(np.load(path, mmap_mode="r")) if os.path.exists(path) else None  # a plain view: numpy's class of mapped arrays costs more than short reads
 
 
 def write_shard(folder: str, table: str, shard: int, bits: int, keys: np.ndarray, columns: dict[str, np.ndarray], wide: dict[str, np.ndarray] | None = None) -> None:
@@ -122,9 +122,44 @@ def _save_parts(path: str, size: int, kind, parts) -> None:
     os.replace(part, path)
 
 
+def sorted_places(keys: np.ndarray, exact: bool = True) -> np.ndarray:
+    """Stable order of unsigned keys; not ``exact``: of the leading bits that fit beside a place.
+
+    Numbers of 64 bits that hold a key's leading bits and its place are sorted as
+    values, several times as fast as places by keys; what they leave out of order is
+    almost sorted.
+    """
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    digits = max((len(keys) - 1).bit_length(), 1)
+    lost = max(int(keys.max()).bit_length() + digits - 64, 0)
+    joint = keys.astype(U64) >> U64(lost) << U64(digits) | np.arange(len(keys), dtype=U64)
+    joint.sort()
+    order = (joint & U64((1 << digits) - 1)).astype(np.int64)
+    if exact and lost:
+        found = keys[order]
+        if (found[1:] < found[:-1]).any():
+            order = order[np.argsort(found, kind="stable")]
+    return order
+
+
+def different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted different keys, and which of them each is."""
+    order = sorted_places(keys)
+    keys = keys[order]
+    new = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return keys[new], back
+
+
 def look_up(folder: str, table: str, bits: int, keys: np.ndarray, columns: tuple[str, ...], more: int = 0) -> list[np.ndarray]:
-    """Shard-wise place of each key (-1: not there), then its columns (0: not there); ``more``: what :func:`join_shards` gave."""
-    keys, back = np.unique(keys, return_inverse=True)
+    """Shard-wise place of each key (-1: not there), then its columns (0: not there); ``more``: what :func:`join_shards` gave.
+
+    Equal keys are looked up each; where there are many, the caller asks for different ones.
+    """
+    order = sorted_places(keys, exact=False)  # a shard's keys must adjoin, and near ones should
+    keys = keys[order]
     place = np.full(len(keys), -1, np.int64)
     values = [np.zeros(len(keys), np.int64) for _ in columns]
     top, name = bits - more, f"{table}.joined" if more else table
@@ -139,23 +174,29 @@ def look_up(folder: str, table: str, bits: int, keys: np.ndarray, columns: tuple
         bucket = ((q << U64(top)) >> U64(64 - INDEX - more)).astype(np.int64)
         rest = ((q << U64(bits + INDEX)) >> U64(32)).astype(np.uint32)
         lo, end = index[bucket].astype(np.int64), index[bucket + 1].astype(np.int64)
-        hi = end
-        last = len(held) - 1
-        for _ in range(int((end - lo).max()).bit_length()):
-            middle = (lo + hi) >> 1
-            less = (held[np.minimum(middle, last)] < rest) & (lo < hi)
-            lo, hi = np.where(less, middle + 1, lo), np.where(less, hi, middle)
-        found = np.flatnonzero((lo < end) & (held[np.minimum(lo, last)] == rest))
-        place[a + found] = lo[found]
+        most = int((end - lo).max()).bit_length()
+        lo -= 1
+        for digit in range(most - 1, -1, -1):  # as far as smaller ones go, by falling powers of two
+            ahead = lo + (1 << digit)
+            less = held.take(ahead, mode="clip") < rest
+            less &= ahead < end
+            np.copyto(lo, ahead, where=less)
+        lo += 1
+        found = np.flatnonzero((lo < end) & (held.take(lo, mode="clip") == rest))
+        lo = lo[found]
+        place[a + found] = lo
         for column, out in zip(columns, values):
-            small = _load(f"{at}.{column}.npy")[lo[found]]
+            small = _load(f"{at}.{column}.npy")[lo]
             big = np.flatnonzero(small == 255) if small.dtype == np.uint8 else ()
             small = small.astype(np.int64)
             if len(big):
                 where, count = _load(f"{at}.{column}.large.npy")
-                small[big] = count[np.searchsorted(where, lo[found][big])]
+                small[big] = count[np.searchsorted(where, lo[big])]
             out[a + found] = small
-    return [place[back], *(v[back] for v in values)]
+    out = [np.empty_like(x) for x in (place, *values)]
+    for x, y in zip(out, (place, *values)):
+        x[order] = y
+    return out
 
 
 def pack(*arrays: np.ndarray) -> bytes:

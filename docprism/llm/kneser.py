@@ -120,7 +120,7 @@ def _shard_of(key: np.ndarray, bits: int) -> np.ndarray:
 
 def _dealt(shard: np.ndarray, values: list[np.ndarray]):
     """A packed row for each shard."""
-    order = np.argsort(shard, kind="stable")
+    order = np.argsort(shard.astype(np.uint16) if not len(shard) or shard.max() < 1 << 16 else shard, kind="stable")  # short numbers are sorted by their digits
     shard = shard[order]
     cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else []
     values = [v[order] for v in values]
@@ -132,11 +132,26 @@ def _batch(shard, kind, data, sums):
     return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary()), pa.array(sums, pa.list_(pa.int64()))], names=["shard", "kind", "data", "sums"])
 
 
+def _order(keys: list[np.ndarray]) -> np.ndarray:
+    """Places of the rows in the order of their keys: a key of up to 32 bits joins the rank of those before it in one of 64 bits."""
+    if any(k.itemsize > 4 for k in keys[1:]) or len(keys) > 1 and keys[0].itemsize > 4:
+        return np.lexsort(keys[::-1])
+    if len(keys) == 1:
+        return arrays.sorted_places(keys[0])
+    order, rank = None, keys[0]
+    for key in keys[1:]:
+        joint = rank.astype(U64) << U64(32) | (key if order is None else key[order])
+        then = np.argsort(joint, kind="stable") if order is None else arrays.sorted_places(joint)  # rows come in sorted stretches, which a stable sort merges
+        order, joint = then if order is None else order[then], joint[then]
+        rank = np.cumsum(np.append(False, joint[1:] != joint[:-1])) if key is not keys[-1] else None
+    return order
+
+
 def _added(keys: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Rows of equal keys added up, sorted."""
     if not len(counts):
         return keys, counts
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
+    order = _order(keys)
     keys = [k[order] for k in keys]
     new = np.zeros(len(order), bool)
     new[0] = True
@@ -146,6 +161,24 @@ def _added(keys: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray]
     return [k[first] for k in keys], np.add.reduceat(counts[order], first)
 
 
+def _tallied(keys: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Different rows, sorted, and how often each is there: as :func:`_added` with counts of 1, by sorting numbers of 64 bits that hold whole rows, where they do."""
+    widths = [max(int(k.max()).bit_length(), 1) if len(k) else 1 for k in keys]
+    if not len(keys[0]) or sum(widths) > 64:
+        return _added(keys, np.ones(len(keys[0]), np.int64))
+    joint = keys[0].astype(U64)
+    for k, width in zip(keys[1:], widths[1:]):
+        joint = joint << U64(width % 64) | k.astype(U64)
+    joint.sort()
+    first = np.flatnonzero(np.append(True, joint[1:] != joint[:-1]))
+    counts, joint = np.diff(first, append=len(joint)), joint[first]
+    out = []
+    for k, width in zip(keys[::-1], widths[::-1]):
+        out.append((joint & U64((1 << width) - 1)).astype(k.dtype))
+        joint = joint >> U64(width % 64)
+    return out[::-1], counts
+
+
 def _held(texts: pa.Array, rows: int = 1 << 21):
     """Words of about ``rows`` bytes of documents at a time: ``i, j, hashes, first word of each``."""
     data, off = tv.buffers(texts)
@@ -208,9 +241,10 @@ def _keep_words(folder: str):
 
 def _numbers(model: Model, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Number of each word hash (``unknown`` for others) and its count."""
+    hashes, back = arrays.different(hashes)
     place, count, local = arrays.look_up(model.folder, "words", VOCABULARY_BITS, hashes, ("n", "local"))
     number = model.first[_digits(count), _shard_of(hashes, VOCABULARY_BITS)] + local
-    return np.where(place < 0, model.unknown, number).astype(model.kind), count
+    return np.where(place < 0, model.unknown, number).astype(model.kind)[back], count[back]
 
 
 def _sequences(model: Model, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -235,7 +269,11 @@ def _count_grams(model: Model):
         held, n = [], 0
 
         def dealt():
-            grams, count = _added([np.concatenate(g) for g in zip(*held)], np.ones(n, np.int64))
+            number, rank = arrays.different(np.concatenate([seq for seq, _ in held]))  # a chunk's words in fewer bits, in the same order
+            base = np.cumsum([0, *(len(seq) for seq, _ in held)])
+            places = np.concatenate([at + b for (_, at), b in zip(held, base)])
+            grams, count = _tallied([rank[places - k] for k in range(model.order - 1, -1, -1)])
+            grams = [number[g] for g in grams]
             return _dealt(_shard_of(_keys(grams, model.bits)[0], model.bits), [*grams, count.astype(np.uint32)])
 
         for batch in batches:
@@ -243,7 +281,8 @@ def _count_grams(model: Model):
                 seq, places, *_ = _sequences(model, hashes, first)
                 for a in range(0, len(places), CHUNK):
                     part = places[a : a + CHUNK]
-                    held.append([seq[part - k] for k in range(model.order - 1, -1, -1)])
+                    begin = part[0] - model.order + 1
+                    held.append((seq[begin : part[-1] + 1], part - begin))
                     n += len(part)
                     if n >= CHUNK:
                         yield dealt()
@@ -273,7 +312,7 @@ def _keep_grams(model: Model, k: int):
             grams, count = _added([np.concatenate([h[i] for h in held]) for i in range(k)], np.concatenate([h[k] for h in held]).astype(np.int64))
             held.clear()
             context, key = _keys(grams, model.bits)
-            order = np.argsort(key)
+            order = arrays.sorted_places(key)
             arrays.write_shard(model.folder, f"grams{k}", shard, model.bits, key[order], {"n": count[order]})
             kinds = np.minimum(count, 3)
             sums = [*(int((count == c).sum()) for c in (1, 2, 3, 4)), int(count.sum()), *(int((kinds == c).sum()) for c in (1, 2, 3))]
@@ -281,10 +320,10 @@ def _keep_grams(model: Model, k: int):
             if k == 1:
                 continue
             first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))  # grams are sorted, equal contexts adjoin
-            order = np.argsort(context[first])
+            order = arrays.sorted_places(context[first])
             totals = {"t": np.add.reduceat(count, first)} | {f"n{c}": np.add.reduceat((kinds == c).astype(np.int64), first) for c in (1, 2, 3)}
             arrays.write_shard(model.folder, f"contexts{k}", shard, model.bits, context[first][order], {c: v[order] for c, v in totals.items()})
-            below, different = _added(grams[1:], np.ones(len(count), np.int64))
+            below, different = _tallied(grams[1:])
             suffixes.append([*below, different])
             n += len(different)
             if n >= CHUNK:
@@ -332,26 +371,53 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     return dataclasses.replace(model, discounts={k: discounts(*r[:4]) for k, r in found.items()}, context=tuple(int(x) for x in low[4:8]), joined=joined)
 
 
+def _weights(model: Model, k: int, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Total of each context of order ``k``, and what its counts lose."""
+    _, total, *follow = arrays.look_up(model.folder, f"contexts{k}", model.bits, contexts, _TOTALS, model.joined)
+    return total, sum(d * f for d, f in zip(model.discounts[k][1:], follow))
+
+
 def probabilities(model: Model, seq: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Probability of each token given those before it."""
+    """Probability of each token given those before it; different n-grams short of the highest order are looked up once, as grams and as contexts."""
     p = np.full(len(places), 1.0 / (model.words + 1))
+    weights, total = None, None  # of each token's context
+    ends = np.zeros(len(seq), bool)
+    ends[places] = ends[places - 1] = True  # the last start sign ends a context only
+    at, mine = np.flatnonzero(ends), (np.cumsum(ends) - 1)[places]
     for k in range(1, model.order + 1):
         if k not in model.discounts:
             continue
-        grams = [seq[places - i] for i in range(k - 1, -1, -1)]
-        context, key = _keys(grams, model.bits)
-        _, count = arrays.look_up(model.folder, f"grams{k}", model.bits, key, ("n",), model.joined)
         if k == 1:
-            total, *follow = (np.full(len(places), x) for x in model.context)
+            total = np.full(len(places), model.context[0])
+            weights = np.full(len(places), sum(d * f for d, f in zip(model.discounts[1][1:], model.context[1:])))
+        if k < model.order:
+            grams, back = _different([seq[at - i] for i in range(k - 1, -1, -1)])
+            this, before = back[mine], back[mine - 1]
         else:
-            _, total, *follow = arrays.look_up(model.folder, f"contexts{k}", model.bits, context, _TOTALS, model.joined)
+            grams, this, before = [seq[places - i] for i in range(k - 1, -1, -1)], slice(None), None
+        _, key = _keys(grams, model.bits)
+        count = arrays.look_up(model.folder, f"grams{k}", model.bits, key, ("n",), model.joined)[1][this]
         lost = np.array(model.discounts[k])
         seen = total > 0
-        kept = np.maximum(count - lost[np.minimum(count, 3)], 0) + sum(d * f for d, f in zip(lost[1:], follow)) * p
+        kept = np.maximum(count - lost[np.minimum(count, 3)], 0) + weights * p
         p[seen] = kept[seen] / total[seen]
+        if k < model.order and k + 1 in model.discounts:
+            total, weights = (x[before] for x in _weights(model, k + 1, _folded(grams)))
     return p
 
 
+def _different(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Different rows, and which of them each row is."""
+    values, rank = arrays.different(columns[0])
+    rows = [values]
+    for c in columns[1:]:
+        values, own = arrays.different(c)
+        width = U64(len(values).bit_length())
+        joint, rank = arrays.different(rank.astype(U64) << width | own.astype(U64))
+        rows = [r[(joint >> width).astype(np.int64)] for r in rows] + [values[(joint & ((U64(1) << width) - U64(1))).astype(np.int64)]]
+    return rows, rank
+
+
 _SCORED = "n_tokens long, n_known long, base_score double, score double"
 
 

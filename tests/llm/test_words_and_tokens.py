@@ -5,6 +5,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,6 +135,38 @@ def test_scores_meet_few_files_whatever_the_number_of_shards(spark, monkeypatch)
     np.testing.assert_allclose([r[4:6] for r in got], [r[4:6] for r in want], atol=1e-8)
 
 
+def test_scores_ask_once_for_what_occurs_again(spark, monkeypatch):
+    """Below the highest order a batch looks up each n-gram and each context once."""
+    text = "a b c d " * 500
+    model = kneser.train(table(spark, [(0, text)]))
+    seq, places, *_ = kneser._sequences(model, *list(kneser._held(pa.array([text])))[0][2:])
+    asked, look_up = {}, arrays.look_up
+    monkeypatch.setattr(arrays, "look_up", lambda folder, name, bits, keys, *rest: asked.update({name: len(keys)}) or look_up(folder, name, bits, keys, *rest))
+    p = kneser.probabilities(model, seq, places)
+    assert len(p) == 2001 and len(np.unique(p[2:-1])) <= 4
+    assert max(n for name, n in asked.items() if name != "grams3") < 10
+
+
+def test_orders_and_tallies_of_rows():
+    rng = np.random.default_rng(2)
+    for n, top in ((0, 9), (1, 9), (1000, 3), (1000, 1 << 32), (70000, 1 << 18)):
+        columns = [rng.integers(0, top, n, dtype=np.uint64).astype(np.uint32) for _ in range(3)]
+        whole = rng.integers(0, 1 << 63, n, dtype=np.uint64) >> np.uint64(rng.integers(0, 40)) << np.uint64(1)
+        assert (arrays.sorted_places(whole) == np.argsort(whole, kind="stable")).all()
+        near = (np.uint64(1) << np.uint64(63)) + rng.integers(0, 500, n, dtype=np.uint64)  # they differ in bits that a place leaves out only
+        assert (arrays.sorted_places(near) == np.argsort(near, kind="stable")).all()
+        values, back = arrays.different(near)
+        assert (values == np.unique(near)).all() and (values[back] == near).all()
+        for k in (1, 2, 3):
+            rows, count = np.unique(np.stack(columns[:k], axis=1), axis=0, return_counts=True) if n else (np.zeros((0, k)), [])
+            for kind in (np.uint32, np.uint64):
+                keys = [c.astype(kind) for c in columns[:k]]
+                for got, counts in (kneser._tallied(keys), kneser._added(keys, np.ones(n, np.int64))):
+                    assert (np.stack(got, axis=1) == rows).all() and (counts == count).all() and all(g.dtype == kind for g in got)
+                different, back = kneser._different(keys)
+                assert (np.stack(different, axis=1) == rows).all() and all((d[back] == c).all() for d, c in zip(different, keys))
+
+
 def test_discounts():
     assert kneser.discounts(4, 0, 1, 1) == (0.0, 0.5, 1.0, 1.5)
     y = 10 / 18
