@@ -65,3 +65,35 @@ def test_repetition_shuffles_no_tokens(spark):
     assert {tuple(r) for r in made.collect()} == {(0, 2, 2), (1, 1, 3), (3, 4, 4), (4, 4, 4)}
     plan = made._jdf.queryExecution().toString()
     assert "Window" not in plan and "Generate" not in plan
+
+
+def test_rows_among_ids(spark):
+    """A map of bits loses no row that has a partner, and lets few others by."""
+    rows = spark.range(20000).select((F.col("id") * 7 - 5000).alias("k"), F.lit("x").alias("w"))
+    ids = rows.where("k % 10 = 3").select("k")
+    got = {r.k for r in prep.among(rows, "k", ids).collect()}
+    want = {r.k for r in ids.collect()}
+    assert want <= got and len(got) < len(want) + 100
+    assert prep.among(rows, "k", ids.limit(0)).count() == 0
+
+
+def test_corpus_build_writes_texts_once(spark, monkeypatch):
+    """Copies are settled by keys: texts and sets are not written again by each step, nor sets without a partner."""
+    written, cut = [], prep.cut
+    monkeypatch.setattr(prep, "cut", lambda df: written.append(cut(df)) or written[-1])
+    words = lambda k, odd="": " ".join(f"w{k}x{i}" for i in range(60)) + odd
+    rows = [(k, words(k), "c") for k in range(30)] + [(40, words(3, " odd"), "c"), (41, words(4).upper(), "c")]
+    built, _ = prep.build_corpus(spark.createDataFrame(rows, "k long, t string, cat string"), "k", "t", "cat")
+    assert sum("clean_text" in df.columns for df in written) == 1
+    sets = [df.count() for df in written if "w" in df.columns]
+    assert sets == [32, 2]
+    assert [r.k for r in built.orderBy("row_id").collect()] == list(range(30))
+
+
+def test_same_key_twice_keeps_both_rows(spark):
+    """Rows of one key stay rows of their own, each with its number."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = spark.createDataFrame([(1, text(1), "c"), (1, text(2), "c"), (2, text(3), "c")], "k long, t string, cat string")
+    built, _ = prep.build_corpus(rows, "k", "t", "cat")
+    got = sorted((r.row_id, r.k, r.clean_text) for r in built.collect())
+    assert [x[:2] for x in got] == [("DOC_00000", 1), ("DOC_00001", 1), ("DOC_00002", 2)] and {x[2] for x in got[:2]} == {text(1), text(2)}
