@@ -70,3 +70,25 @@ def test_tables_bound_the_batches(spark, tmp_path):
     other = spark.newSession()
     assert table(other, str(tmp_path), "t").count() == 3
     assert {k: other.conf.get(k) for k in BATCHES} == BATCHES
+
+
+def test_controls_go_by_different_characters(monkeypatch):
+    """A long text with marks asks for the category of each different character, not of each place."""
+    text = "e\u0301x\u200b\u00ad y\u0300" * 5000
+    folding.fold_batch([text[:7]])
+    asked, category = [], unicodedata.category
+    monkeypatch.setattr(unicodedata, "category", lambda c: asked.append(c) or category(c))
+    folded, places = folding.fold_batch([text])
+    assert folded == ["\u00e9x \u1ef3" * 5000] and places == [None]
+    assert len(asked) < 100
+
+
+def test_density_with_aliases_and_few_hits(spark):
+    """Places of hits are looked for only where there are enough of them; aliases count wherever their words stand."""
+    from docprism.operators import detect
+
+    texts = ["PY  Spark and K8S", "py and spark", "sql " * 4 + "word " * 400, "sql sql sql " + "word " * 400, "structured query\tlanguage kafka docker sql " + "word " * 300, None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.hits, r.concentration) for r in detect.keyword_measures(rows).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {0: (3, 2), 1: (3, 1), 2: (404, 4), 3: (403, 3), 4: (304, 4), 5: (0, 0), 6: (0, 0)}
+    assert [k for k, v in got.items() if v[2] > 0] == [2, 4] and abs(got[2][2] - (1 - 1 / 20.2)) < 1e-12
