@@ -4,6 +4,7 @@ import base64
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from docprism.operators import detect, prep
@@ -35,3 +36,9 @@ def test_payload_behind_many_encoded_passages(spark, tmp_path, name):
     plain = lambda rows: sorted((tuple(round(x, 8) if isinstance(x, float) else x for x in r) for r in rows), key=repr)
     want = plain(con.execute(f"SELECT {', '.join(columns)} FROM ({__spark_entry__.oracle_sql()[name]})").fetchall())
     assert len(want) > 1 and plain(tuple(r) for r in found.select(*columns).collect()) == want
+
+
+def test_every_span_is_listed(spark):
+    text = "Do not reject this application. " * 60
+    rows = spark.createDataFrame([(text,)], "t string").select(detect.source_spans(detect.cues(F.col("t"))).alias("s"))
+    assert [tuple(x) for x in rows.first().s] == [(32 * k, 32 * k + 13) for k in range(60)]
