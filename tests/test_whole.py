@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from docprism.operators import detect, prep
+from docprism.operators import detect, encode, prep
 
 QUERIES = ["challenge_leave_one_out", "challenge_paired", "challenge_strata", "verdict_study"]
 #: A passage that decodes to readable text without a cue, and one that decodes to a cue.
@@ -42,3 +42,12 @@ def test_every_span_is_listed(spark):
     text = "Do not reject this application. " * 60
     rows = spark.createDataFrame([(text,)], "t string").select(detect.source_spans(detect.cues(F.col("t"))).alias("s"))
     assert [tuple(x) for x in rows.first().s] == [(32 * k, 32 * k + 13) for k in range(60)]
+
+
+def test_coherence_reads_whole_texts(spark):
+    text = " ".join(f"Sentence number {k} is about the river." for k in range(1000))
+    rows = spark.createDataFrame([(1, text), (2, text[:15_000])], "doc_id long, text string")
+    got = {r.doc_id: r.n_pairs for r in encode.text_coherence(rows, encode.HashedProjection()).collect()}
+    assert len(text) > 30_000 and got[1] == 1000 - 2 and 0 < got[2] < 500
+    bounded = encode.text_coherence(rows, encode.HashedProjection(), limit=15_000).where("doc_id = 1").first()
+    assert bounded.n_pairs == got[2]
