@@ -1,13 +1,14 @@
 """Nothing is left out where there is much of it: encoded passages, spans, sentences."""
 
 import base64
+import re
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from docprism.operators import detect, encode, prep
+from docprism.operators import analysis, detect, encode, policy, prep
 
 QUERIES = ["challenge_leave_one_out", "challenge_paired", "challenge_strata", "verdict_study"]
 #: A passage that decodes to readable text without a cue, and one that decodes to a cue.
@@ -51,3 +52,24 @@ def test_coherence_reads_whole_texts(spark):
     assert len(text) > 30_000 and got[1] == 1000 - 2 and 0 < got[2] < 500
     bounded = encode.text_coherence(rows, encode.HashedProjection(), limit=15_000).where("doc_id = 1").first()
     assert bounded.n_pairs == got[2]
+
+
+def test_decisions_without_the_score(spark):
+    """Density and coherence may be left out where no arm takes them: decisions, states and the other codes are the same."""
+    made = [(k, "We walked along the quiet river today. The water was cold and very clear.") for k in range(60)] + [(900, None), (901, ""), (902, "word " * 5000)]
+    pages, traces, boxes, layers = prep.study_pages(prep.study_cases(spark.createDataFrame(made, "doc_id long, text string"), 0.5))
+    traces = traces.withColumn("x1", F.when(F.col("doc_id") % 9 == 7, float("nan")).otherwise(F.col("x1")))
+    held = analysis.Policy(0.02, 0.02, policy.LinearModel((2.0, 1.5, -0.5), -0.25, (0.3, 0.4, 0.5), (0.2, 0.3, 0.25)))
+    whole, part = (analysis.analyse(pages, traces, boxes, layers, encode.HashedProjection(), held, None, None, scored) for scored in (True, False))
+    columns = [c for c in part.columns if c != "reason_codes"]
+    codes = F.array_remove(F.array_remove("reason_codes", "keyword_density_advisory"), "experimental_model_advisory").alias("codes")
+    rows = lambda df: sorted(map(tuple, df.select(*columns, codes).collect()))
+    assert len(rows(whole)) == len(made) and rows(whole) == rows(part) and "keyword_score" in whole.columns and "keyword_score" not in part.columns
+
+
+def test_letters_that_may_fold(spark):
+    """The native filter lets exactly those letters pass that it let pass as one class."""
+    class_ = re.compile(r"[^\x00-\x7FÀ-įıĴ-ľŁ-ňŊ-ž]")
+    letters = [chr(k) for k in [*range(1, 0x2200), 0xFB01, 0xFF21, 0x1D400, 0x1F600, 0x10FFFF]]
+    got = spark.createDataFrame([(c, f"a{c} ") for c in letters], "c string, t string").select("c", detect.may_have_cues(F.col("t"))).collect()
+    assert {r[0] for r in got if r[1]} == {c for c in letters if class_.search(c)}
